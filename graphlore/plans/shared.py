@@ -10,7 +10,9 @@ import atexit
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -40,6 +42,22 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+
+def located(df: DataFrame, name: str = "_locator") -> DataFrame:
+    """``df`` with the file and row that hold each row's content; what is not a plain Parquet scan is written first."""
+    at = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    try:
+        return df.withColumn(name, at)
+    except AnalysisException:
+        return cut(df, "located").withColumn(name, at)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
+    """Keep Arrow batches small where texts may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
