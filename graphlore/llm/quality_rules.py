@@ -28,7 +28,7 @@ SKETCH_K = 4096
 #: A limit is the third quartile plus this many times the interquartile range, and at least the slack of the feature.
 FENCE = 6.0
 #: Feature: room above the fence, in its own unit. Symbols a word; code points a word; share of lines that repeat.
-FEATURES = {"symbol_rate": 0.2, "word_length": 6.0, "dup_line_rate": 0.3}
+FEATURES = {"symbol_rate": 0.2, "word_length": 6.0, "dup_line_rate": 0.5}
 #: Up to this many (language, source) limits are sent to every executor; more are joined by a salted shuffle.
 BROADCAST_GROUPS = 20_000
 SALTS = 64

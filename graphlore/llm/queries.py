@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, quality_rules
+from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, secret_scan
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -82,5 +82,58 @@ FROM rated LEFT JOIN own ON rated.lang IS NOT DISTINCT FROM own.lang AND rated.s
 LEFT JOIN every ON rated.lang IS NOT DISTINCT FROM every.lang"""
 
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op4_quality_rules": op4_quality_rules}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql()}
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all sources at weights 1, 2, 3 repeating, no source more than three times."""
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("secrets", lambda x: x["kind"].isin(*kinds))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.BASE],
+        F.sha2(secret_scan.joined(of(*secret_scan.BASE)), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+OP7_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _op9_sql() -> str:
+    def canonical(x: str) -> str:
+        x = f"regexp_replace(lower({x}), '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
+        x = f"' ' || regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '".replace("\\\\", "\\")
+        x = f"replace(replace({x}, '  ', ' '), '  ', ' ')"
+        for a, b in license_scan.SPELLINGS:
+            x = f"replace({x}, '{a}', '{b}')"
+        return f"sha256({x})"
+
+    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_scan.KNOWN)
+    return f"""WITH known AS (SELECT DISTINCT license, {canonical('text')} AS digest FROM (VALUES {known}) k(license, text)),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+notices AS (
+  SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notice_licenses, count(*) AS n_notices
+  FROM lines JOIN known ON {canonical('line')} = known.digest WHERE regexp_matches(line, '{license_scan.MARK}') GROUP BY doc_id),
+whole AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS text_digest FROM documents)
+SELECT doc_id, text_digest, license AS text_license, coalesce(notice_licenses, '') AS notice_licenses, coalesce(n_notices, 0) AS n_notices
+FROM whole LEFT JOIN known ON text_digest = known.digest LEFT JOIN notices USING (doc_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op7_exact_dedup, op9_license_scan)}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": _op9_sql()}
