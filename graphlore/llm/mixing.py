@@ -90,17 +90,21 @@ def source_plan(sized: DataFrame, max_repeats: int, weights: tuple[int, ...]) ->
 def times_taken(sizes: np.ndarray, block: int, quota: int, max_repeats: int, seed: list[int]) -> np.ndarray:
     """Words taken of each of a shard's documents, laid end to end, when ``quota`` blocks are chosen."""
     ends = np.cumsum(sizes)
-    n = -(-int(ends[-1]) // block) if len(ends) else 0
-    if not n:
+    total = int(ends[-1]) if len(ends) else 0
+    if not total:
         return np.zeros(len(sizes), dtype=np.int64)
-    rounds, rest = divmod(min(quota, max_repeats * n), n)
+    rounds, rest = divmod(min(quota * block, max_repeats * total), total)
+    whole, n = total // block, -(-total // block)
+    chosen = np.random.default_rng(seed).permutation(whole)
     times = np.full(n + 1, rounds, dtype=np.int64)
-    times[np.random.default_rng(seed).permutation(n)[:rest]] += 1
+    times[chosen[: rest // block]] += 1
+    # what is less than a block comes from the start of one more
+    piece, start = rest % block, int([*chosen, whole][rest // block]) * block
     before = np.concatenate(([0], np.cumsum(times[:n] * block)))
 
     def upto(place: np.ndarray) -> np.ndarray:
         b = place // block
-        return before[b] + times[b] * (place - b * block)
+        return before[b] + times[b] * (place - b * block) + np.clip(place - start, 0, piece)
 
     return upto(ends) - upto(ends - sizes)
 

@@ -96,9 +96,11 @@ def segments(value: str) -> list[tuple[int, int, float]]:
                     break
         if m := DATE.match(value, s):
             out.append((s, m.end(), math.log10(120) if m.end() - s == 4 else math.log10(365 * 120)))
+        if value[s] in "-_. ":  # what parts words is guessed with them
+            out.append((s, s + 1, math.log10(4)))
     for s, e in _runs(low, lambda a, b: a == b):
         out.append((s, e, _letter_cost(low[s]) + math.log10(e - s)))
-    for size in (2, 3, 4):  # a unit that is repeated
+    for size in range(2, 17):  # a unit that is repeated
         k = 0
         while k + 2 * size <= len(value):
             e = k + size
