@@ -63,13 +63,15 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     stays, size = _state_fields(state)
     copies = state.filter(size > 1).select(F.col("key.digest").alias("digest"), stays["doc_id"].alias("keep_id"), stays["locator"].alias("keep_locator"), size.alias("group_size"))
     copies = cut(copies, "dedup-copies")
-    hits = docs.join(copies, "digest")
+    # merge joins whatever the sizes: a side that fits a broadcast here does not at scale, and hot digests are split
+    hits = docs.select("digest", "locator", "text").join(copies.hint("merge"), "digest").select("digest", "locator", "keep_locator", "text")
+    hits = cut(hits, "dedup-hits")
     staying = hits.filter("locator = keep_locator").select("digest", F.col("text").alias("keep_text"))
-    differing = hits.join(staying, "digest").filter(F.col("text") != F.col("keep_text")).select("digest").distinct()
+    differing = hits.join(staying.hint("merge"), "digest").filter(F.col("text") != F.col("keep_text")).select("digest").distinct()
     differing = cut(differing, "dedup-differing")
     out = ["doc_id", "locator", "digest", "keep_id", "keep_locator", "group_size", "kept"]
     single = F.col("group_size").isNull()
-    found = slim.join(copies, "digest", "left").withColumns({
+    found = slim.join(copies.hint("merge"), "digest", "left").withColumns({
         "keep_id": F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")),
         "keep_locator": F.coalesce("keep_locator", "locator"),
         "group_size": F.coalesce("group_size", F.lit(1).cast("bigint")),
@@ -96,4 +98,4 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     own = docs.columns
     docs = located(docs)
     dropped = exact_groups(docs.drop("_locator"), digest).filter(~F.col("kept")).select(F.col("locator").alias("_locator"))
-    return docs.join(cut(dropped, "dedup-dropped"), "_locator", "left_anti").select(*[F.col(f"`{c}`") for c in own])
+    return docs.join(cut(dropped, "dedup-dropped").hint("merge"), "_locator", "left_anti").select(*[F.col(f"`{c}`") for c in own])
