@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, secret_scan, sentencepiece_codec
+from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, secret_scan, sentencepiece_codec, toxicity
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -111,6 +111,10 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -147,5 +151,5 @@ SELECT doc_id, text_digest, license AS text_license, coalesce(notice_licenses, '
 FROM whole LEFT JOIN known ON text_digest = known.digest LEFT JOIN notices USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op7_exact_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op9_license_scan)}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": _op9_sql()}
