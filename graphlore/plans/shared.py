@@ -7,6 +7,7 @@ a lost executor costs a re-read and not the job.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -35,12 +36,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a scan of it."""
+    """Write ``df`` as Parquet to the shared folder and return a scan of it.
+
+    Shuffle files go when the driver collects the plan that made them, so
+    that is asked for here: the next stage then has their disk.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    scan = spark.read.schema(schema).parquet(path)
+    scan._shared_path = path
+    return scan
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`cut` wrote and nothing reads any more."""
+    _delete(table.sparkSession, table._shared_path)
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def located(df: DataFrame, name: str = "_locator") -> DataFrame:
@@ -62,8 +82,6 @@ def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(spark, path)
         except Exception:  # the session is gone: the cluster's own clean-up has the folder
             continue
