@@ -20,6 +20,7 @@ are passed on.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -27,7 +28,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlore.plans.shared import bound_batches
 
@@ -182,30 +183,65 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _lists(made: list[list[int]]) -> pa.Array:
+    ends = np.zeros(len(made) + 1, dtype=np.int32)
+    np.cumsum([*map(len, made)], out=ends[1:])
+    flat = np.fromiter(chain.from_iterable(made), dtype=np.int32, count=int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+
+
+def _id_lists(lists: pa.Array) -> list[list[int]]:
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *[n or 0 for n in lists.value_lengths().to_pylist()]])
+    return [flat[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _texts(c: Codec, lists: list[list[int]]) -> pa.Array:
+    return pa.array([c.decode(x) for x in lists], pa.string())
+
+
+def _added(docs: DataFrame, fields: dict[str, str], make) -> DataFrame:
+    """``docs`` with columns made batch by batch; a column of the same name is replaced."""
+    bound_batches(docs.sparkSession, rows=400, mb=8)
+    kept = docs.drop(*fields)
+    schema = T.StructType(kept.schema.fields + [T.StructField(f, T._parse_datatype_string(kind)) for f, kind in fields.items()])
+    inputs = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(k) for k, c in enumerate(inputs) if c not in fields]
+            yield pa.RecordBatch.from_arrays([*own, *make(batch)], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` with the ids of ``text``. ``model``: file path; None: the public 32k merge model."""
-    bound_batches(docs.sparkSession, rows=400, mb=8)
 
-    @F.arrow_udf("array<int>")
-    def run(texts: pa.Array) -> pa.Array:
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
         c = codec(model or _public())
-        made = [np.array(c.encode(t.as_py() or ""), dtype=np.int32) for t in texts]
-        ends = np.cumsum([0, *map(len, made)], dtype=np.int32)
-        flat = np.concatenate(made) if made else np.array([], dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return [_lists([c.encode(t or "") for t in batch.column(text).to_pylist()])]
 
-    return docs.withColumn(to, run(F.col(text)))
+    return _added(docs, {to: "array<int>"}, make)
 
 
 def decode(docs: DataFrame, model: str | None = None, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """``docs`` with the text that ``ids`` decode to; null ids decode to the empty text."""
 
-    @F.arrow_udf("string")
-    def run(lists: pa.Array) -> pa.Array:
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        return [_texts(codec(model or _public()), _id_lists(batch.column(ids)))]
+
+    return _added(docs, {to: "string"}, make)
+
+
+def round_trip(docs: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids", to: str = "decoded") -> DataFrame:
+    """:func:`encode`, then :func:`decode` of what it gave, in one pass over the rows."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
         c = codec(model or _public())
-        return pa.array([c.decode(x.values.to_pylist() if x.is_valid else []) for x in lists], pa.string())
+        made = [c.encode(t or "") for t in batch.column(text).to_pylist()]
+        return [_lists(made), _texts(c, made)]
 
-    return docs.withColumn(to, run(F.col(ids)))
+    return _added(docs, {ids: "array<int>", to: "string"}, make)
 
 
 def _public() -> str:
