@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, secret_scan, sentencepiece_codec, toxicity
+from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -127,6 +127,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -151,5 +156,5 @@ SELECT doc_id, text_digest, license AS text_license, coalesce(notice_licenses, '
 FROM whole LEFT JOIN known ON text_digest = known.digest LEFT JOIN notices USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan)}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": _op9_sql()}
