@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
+from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -156,5 +156,9 @@ SELECT doc_id, text_digest, license AS text_license, coalesce(notice_licenses, '
 FROM whole LEFT JOIN known ON text_digest = known.digest LEFT JOIN notices USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join)}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": _op9_sql()}
