@@ -24,8 +24,14 @@ from pyspark.sql import functions as F
 
 from graphlore.plans.shared import cut, fresh_path, located
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk; only changes are uploaded, no space is set aside, and a task's store is closed when it has committed.
+SETTINGS = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.unloadOnCommit": "true",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -38,16 +44,20 @@ def stream_state(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = fresh_path(spark, "dedup-landing")
     at = fresh_path(spark, "dedup-state")
     slim.write.parquet(source)
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(slim.schema).parquet(source)
         kept = stream.groupBy("digest").agg(F.max(F.struct("doc_id", "locator")).alias("stays"), F.count(F.lit(1)).alias("group_size"))
         query = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", at).trigger(availableNow=True).start()
         query.awaitTermination()
+        state = cut(spark.read.format("statestore").load(at), "dedup-state-read")
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
-    return spark.read.format("statestore").load(at), spark.read.schema(slim.schema).parquet(source)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    return state, spark.read.schema(slim.schema).parquet(source)
+
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
