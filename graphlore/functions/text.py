@@ -189,8 +189,10 @@ def truncate(text: Column, n: int, marker: str = "...") -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    """A text without the fence lines around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+    """A text without the fence lines around it; a text without an opening fence is only trimmed."""
+    clean = F.regexp_replace(text, r"^\s+|\s+$", "")
+    inner = F.regexp_replace(F.regexp_replace(clean, r"^```[^\n]*\n?", ""), r"\n?```[ \t]*$", "")
+    return F.when(F.startswith(clean, F.lit("```")), F.regexp_replace(inner, r"^\s+|\s+$", "")).otherwise(clean)
 
 
 def redact(text: Column, secrets: list[str]) -> Column:

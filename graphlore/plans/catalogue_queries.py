@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graphlore.functions import text, versions
-from graphlore.operators import catalogue, evaluate, graph, incremental, vectors
+from graphlore.operators import catalogue, evaluate, graph, incremental, records, vectors
 from graphlore.plans import guard
 from graphlore.plans.registry import query
 from graphlore.plans.retrieval_queries import PACK, VECTORS, _near
@@ -447,3 +447,48 @@ def truncate_digest(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), text.truncate(F.col("text"), 1500).alias("short"))
 
 
+
+
+def record_lines(spark, sf_dir):
+    """Vulnerability records made of the parts, as JSON lines."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    s = lambda **f: F.struct(*[c.alias(k) for k, c in f.items()])
+    x, lit = F.col, F.lit
+    number = (x("p_partkey") + 10000).cast("string")
+    meta = s(cveId=F.concat(lit("CVE-2020-"), number), state=F.when(x("p_partkey") % 17 == 0, "REJECTED").otherwise("PUBLISHED"), assignerShortName=lit("acme"), datePublished=lit("2020-05-06T07:08:09Z"))
+    cna = s(
+        title=F.when(x("p_partkey") % 5 == 0, "").otherwise(x("p_name")),
+        descriptions=F.array(s(lang=lit("de"), value=lit("etwas")), s(lang=lit("en"), value=F.concat(x("p_name"), lit(" is "), x("p_type")))),
+        affected=F.array(s(vendor=x("p_brand"), product=x("p_name"), packageName=lit("left-pad"), collectionURL=lit("https://registry.npmjs.org/"), purl=F.concat(lit("pkg:npm/pad@"), x("p_size"))), s(vendor=lit("n/a"), product=x("p_type"), packageName=lit("n/a"), collectionURL=lit(None).cast("string"), purl=lit(None).cast("string"))),
+        problemTypes=F.array(s(descriptions=F.array(s(cweId=F.concat(lit("CWE-"), x("p_size")), description=F.concat(lit("CWE-"), x("p_size"), lit(": weak")))))),
+        metrics=F.array(s(cvssV3_1=s(baseScore=lit(7.5), baseSeverity=lit("high"), vectorString=lit("AV:N")))),
+    )
+    return part.select(F.to_json(s(cveMetadata=meta, containers=s(cna=cna))).alias("value"))
+
+
+@query("""WITH p AS (SELECT 'CVE-2020-' || (p_partkey + 10000) AS article, *, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS t FROM part WHERE p_partkey % 17 <> 0)
+SELECT article, CASE WHEN t = '' THEN article ELSE t END AS title, CASE WHEN p_name = p_type THEN p_name ELSE p_name || '; ' || p_type END AS affected_products, 'registry.npmjs.org/left-pad; pad; left-pad' AS aliases, 'npm' AS ecosystems,
+  CASE WHEN t = '' THEN '' ELSE t || chr(10) || chr(10) END || p_name || ' is ' || p_type || chr(10) || chr(10) || 'Affected: ' || p_brand || ' ' || p_name || '; ' || p_type || '.' || chr(10) || chr(10)
+  || 'Package: left-pad; https://registry.npmjs.org/; pkg:npm/pad@' || p_size || '.' || chr(10) || chr(10) || 'Aliases: registry.npmjs.org/left-pad; pad; left-pad.' || chr(10) || chr(10)
+  || 'Weaknesses: CWE-' || p_size || ' weak.' || chr(10) || chr(10) || 'Severity: HIGH (CVSS 7.5) AV:N.' || chr(10) || chr(10) || 'Published: 2020-05-06.' || chr(10) || chr(10) || 'Assigner: acme.' AS content FROM p""")
+def record_articles(spark, sf_dir):
+    return records.parse_records(record_lines(spark, sf_dir)).select("article", "title", "affected_products", "aliases", "ecosystems", "content")
+
+
+@query("""WITH p AS (SELECT 'CVE-2020-' || (p_partkey + 10000) AS a, *, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS t FROM part WHERE p_partkey % 17 <> 0)
+SELECT a AS source, 'CWE-' || p_size AS target, 'has_weakness' AS relation, 'weak' AS context FROM p UNION ALL SELECT a, p_name, 'affects', t FROM p UNION ALL SELECT a, p_type, 'affects', t FROM p UNION ALL SELECT p_name, p_brand, 'made_by', '' FROM p""")
+def record_relations(spark, sf_dir):
+    return records.parse_records(record_lines(spark, sf_dir)).select(F.explode("relationships").alias("x")).select("x.source", "x.target", "x.relation", "x.context")
+
+
+@query("""SELECT conv_id, turn, conv_id % 4 <> 3 AS readable, CASE WHEN conv_id % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS n_entities, CASE WHEN conv_id % 4 = 3 THEN '' ELSE 'founded' END AS relations, CASE WHEN conv_id % 4 = 3 OR trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' THEN 0 ELSE 1 END::BIGINT AS n_facts FROM conversations""")
+def extraction_sanitize(spark, sf_dir):
+    x = F.col
+    made = F.to_json(F.struct(
+        F.array(F.struct(x("role").alias("name"), F.lit(" ").alias("type")), F.struct(F.lit("").alias("name"), F.lit("x").alias("type"))).alias("entities"),
+        F.array(F.struct(F.lit(" a ").alias("source"), F.lit("b").alias("target"), F.lit("Set-Up").alias("relation")), F.struct(F.lit("").alias("source"), F.lit("b").alias("target"), F.lit("made").alias("relation"))).alias("relationships"),
+        F.array(x("text"), F.lit(" ")).alias("key_facts"),
+    ))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("answer", F.when(x("conv_id") % 4 == 3, "no json").otherwise(F.concat(F.lit("```json\n"), made, F.lit("\n```"))))
+    done = records.parse_extraction(rows, "answer")
+    return done.select("conv_id", "turn", "readable", F.size("entities").cast("bigint").alias("n_entities"), F.array_join(F.transform("relationships", lambda r: r["relation"]), ",").alias("relations"), F.size("key_facts").cast("bigint").alias("n_facts"))
