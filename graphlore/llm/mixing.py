@@ -141,5 +141,5 @@ def mixed_documents(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, .
     taken = mix(docs, max_repeats, weights, seed, row=F.col("_row")).filter("taken > 0")
     times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
     times = cut(taken.select("_row", times.alias("_times")), "mix-times")
-    joined = docs.join(times, "_row")
+    joined = docs.join(times.hint("merge"), "_row")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in own])
