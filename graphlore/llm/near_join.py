@@ -168,20 +168,40 @@ def _split(docs: DataFrame, wide: DataFrame, members: DataFrame) -> DataFrame:
     return _hashed(texts).select("g", "paths", "words").mapInArrow(run, "g binary, key bigint").distinct()
 
 
-def _bits(columns: list[np.ndarray], least: int) -> np.ndarray:
-    """One row of bits for each array of values: which of the values that ``least`` or more rows have."""
-    flat = np.concatenate(columns) if columns else np.zeros(0)
-    values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
-    place = np.full(len(values), -1, dtype=np.int64)
-    common = times >= least
-    place[common] = np.arange(int(common.sum()))
-    words = max(1, -(-int(common.sum()) // 64))
-    out = np.zeros((len(columns), words), dtype=np.uint64)
-    row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    bit = place[at]
-    row, bit = row[bit >= 0], bit[bit >= 0]
-    np.bitwise_or.at(out, (row, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-    return out
+class _Shared:
+    """How many values one row of a bucket shares with others.
+
+    Values that many rows have are bits of a row; those that few rows have
+    are lists of rows. Either way memory follows the number of values held.
+    """
+
+    def __init__(self, columns: list[np.ndarray]):
+        m, few = len(columns), max(2, len(columns) // 64)
+        flat = np.concatenate(columns) if columns else np.zeros(0)
+        values, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(m), [len(c) for c in columns])
+        common = times >= few
+        place = np.cumsum(common) - 1
+        own = common[at]
+        self.bits = np.zeros((m, max(1, -(-int(common.sum()) // 64))), dtype=np.uint64)
+        bit = place[at[own]]
+        np.bitwise_or.at(self.bits, (row[own], bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+        rare = ~own & (times[at] >= 2)
+        by_value = np.argsort(at[rare], kind="stable")
+        self.holders = row[rare][by_value]
+        self.ends = np.concatenate(([0], np.cumsum(np.where(common | (times < 2), 0, times))))
+        self.values, self.starts = at[rare], np.searchsorted(row[rare], np.arange(m + 1))
+
+    def with_next(self, i: int, end: int) -> np.ndarray:
+        """For rows i + 1 to end - 1 the number of values that they share with row i."""
+        both = np.bitwise_count(self.bits[i + 1 : end] & self.bits[i]).sum(axis=1, dtype=np.int64)
+        mine = self.values[self.starts[i] : self.starts[i + 1]]
+        if len(mine):
+            rows = np.concatenate([self.holders[self.ends[v] : self.ends[v + 1]] for v in mine.tolist()])
+            rows = rows[(rows > i) & (rows < end)]
+            if len(rows):
+                both += np.bincount(rows - i - 1, minlength=len(both))
+        return both
 
 
 def compare(key: int, sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -194,28 +214,25 @@ def compare(key: int, sets: list[np.ndarray], keys: list[np.ndarray], side: np.n
     size = np.array([len(s) for s in sets], dtype=np.int64)
     links, label = np.zeros(m, dtype=np.int64), np.arange(m)
     order = np.argsort(size, kind="stable")
-    bits = _bits([sets[k] for k in order], 2)
-    lesser = _bits([keys[k][keys[k] < key] for k in order], 2)
+    shared = _Shared([sets[k] for k in order])
+    lesser = _Shared([keys[k][keys[k] < key] for k in order])
     sized, sides = size[order], side[order] if side is not None else None
     for i in range(m - 1):
         # sets are in the order of their sizes: those that are too large for this one end the search
         end = int(np.searchsorted(sized, sized[i] * DENOMINATOR // NUMERATOR, side="right"))
         if end <= i + 1:
             continue
-        j = np.arange(i + 1, end)
-        free = (lesser[i + 1 : end] & lesser[i]).any(axis=1)
-        np.logical_not(free, out=free)
+        linked = (NUMERATOR + DENOMINATOR) * shared.with_next(i, end) >= NUMERATOR * (sized[i + 1 : end] + sized[i])
         if sides is not None:
-            free &= sides[i + 1 : end] != sides[i]
-        if not free.any():
+            linked &= sides[i + 1 : end] != sides[i]
+        if not linked.any():
             continue
-        j = j[free]
-        both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1, dtype=np.int64)
-        linked = j[(NUMERATOR + DENOMINATOR) * both >= NUMERATOR * (sized[j] + sized[i])]
-        if len(linked):
-            links[order[i]] += len(linked)
-            links[order[linked]] += 1
-            parts = np.unique(label[order[np.append(linked, i)]])
+        linked &= lesser.with_next(i, end) == 0
+        j = np.flatnonzero(linked) + i + 1
+        if len(j):
+            links[order[i]] += len(j)
+            links[order[j]] += 1
+            parts = np.unique(label[order[np.append(j, i)]])
             if len(parts) > 1:
                 label[np.isin(label, parts)] = parts[0]
     return links, label
