@@ -54,7 +54,7 @@ def decode_entities(text: Column) -> Column:
         digits = F.when(hexa, F.substr(body, F.lit(3))).otherwise(F.regexp_extract(body, r"^#([0-9]+)", 1))
         code = F.when(hexa, F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        utf8 = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32BE"))
+        utf8 = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
         named = names[F.lower(body)]
         return F.when(F.startswith(body, F.lit("#")), F.coalesce(utf8, t)).when(body != "", F.coalesce(named, t)).otherwise(t)
 
