@@ -99,6 +99,10 @@ def _role(value: Column) -> Column:
     return F.coalesce(known[F.lower(_text(value))], _text(value))
 
 
+def _item_turns(items: Column, role: str, text: str) -> Column:
+    return F.transform(items, lambda x: F.struct(_role(x[role]).alias("role"), _text(x[text]).alias("text")))
+
+
 def _field_turns(m: Mapping, get) -> Column:
     turns = []
     for role, paths in m.fields:
@@ -125,7 +129,7 @@ def canonical_turns(df: DataFrame, key: str) -> DataFrame:
         return grouped.select(key, turns.alias("turns"), F.lit(m.name).alias("layout"))
     if m.items:
         field, role, text = m.items
-        turns = F.transform(F.coalesce(F.col(field), F.array().cast(df.select(field).schema[0].dataType)), lambda x: F.struct(_role(x[role]).alias("role"), _text(x[text]).alias("text")))
+        turns = _item_turns(F.coalesce(F.col(field), F.array().cast(df.select(field).schema[0].dataType)), role, text)
     else:
         turns = _field_turns(m, lambda p: F.col(p))
     return df.select(F.col(key), turns.alias("turns"), F.lit(m.name).alias("layout"))
@@ -155,7 +159,7 @@ def turns_from_json(df: DataFrame, key: str, column: str) -> DataFrame:
             field, role, text = m.items
             item = T.StructType([T.StructField(role, T.StringType()), T.StructField(text, T.StringType())])
             got = F.try_variant_get("v", f"$.{field}", f"array<{item.simpleString()}>")
-            made = F.transform(got, lambda x, role=role, text=text: F.struct(_role(x[role]).alias("role"), _text(x[text]).alias("text")))
+            made = _item_turns(got, role, text)
         else:
             made = _field_turns(m, lambda p: F.try_variant_get("v", f"$.{p}", "string"))
         layout, turns = F.when(fits(m), m.name).otherwise(layout), F.when(fits(m), made).otherwise(turns)

@@ -299,7 +299,7 @@ def _linked(docs: DataFrame, buckets: DataFrame, members: DataFrame, block: int)
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node) of every node of ``edges`` (a, b), by alternating large and small stars."""
+    """node, root (the least node of its component) of every node of ``edges`` (a, b) that is no root itself, by alternating large and small stars."""
     known = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-edges")
     before = None
     while True:
