@@ -37,8 +37,8 @@ SHINGLE = 5
 #: Similarity from which two sets are linked, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 4, 5
 TARGET_RECALL = 0.993
-#: Buckets up to this many sets are compared at once; larger ones are split, or compared in blocks of ``BLOCK``.
-SMALL, BLOCK = 2_000, 16_384
+#: Most sets and most tokens of a bucket, or of a block of one, that a task compares: some tens of MB, some seconds.
+SMALL, TOKENS = 16_384, 8_000_000
 #: Sets of a large bucket are alike, and it isn't split, from this mean similarity on.
 ALIKE = 0.25
 #: Most times that a bucket is split again; what is still large then is compared in blocks.
@@ -110,13 +110,14 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
 
 def _described(docs: DataFrame, n_runs: int) -> DataFrame:
-    """f, r, doc_id, g (digest of the set, null if empty), keys (buckets of all runs) and sketch of each text."""
+    """f, r, doc_id, g (digest of the set, null if empty), n (tokens), keys (buckets of all runs) and sketch of each text."""
     seeds, sketches = [_seed(k) for k in range(n_runs)], [_seed(1000 + k) for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            g, keys, sketch = [], [], []
+            g, n, keys, sketch = [], [], [], []
             for own in _words(batch):
+                n.append(len(own))
                 if not len(own):
                     g.append(None), keys.append([]), sketch.append([])
                     continue
@@ -125,18 +126,25 @@ def _described(docs: DataFrame, n_runs: int) -> DataFrame:
                 keys.append(np.unique(np.concatenate([chosen(t, s) for s in seeds])).view(np.int64))
                 wide = t.astype(np.uint64)
                 sketch.append(np.array([mix(wide ^ s).min() for s in sketches], dtype=np.uint64).view(np.int64))
-            made = [pa.array(g, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("f", "r", "doc_id")), *made], names=["f", "r", "doc_id", "g", "keys", "sketch"])
+            made = [pa.array(g, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("f", "r", "doc_id")), *made], names=["f", "r", "doc_id", "g", "n", "keys", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _hashed(docs).select("f", "r", "doc_id", "words").mapInArrow(run, f"f bigint, r bigint, doc_id {kind}, g binary, keys array<bigint>, sketch array<bigint>")
+    return _hashed(docs).select("f", "r", "doc_id", "words").mapInArrow(run, f"f bigint, r bigint, doc_id {kind}, g binary, n bigint, keys array<bigint>, sketch array<bigint>")
 
 
-def _sorted_buckets(pairs: DataFrame, sketches: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """(key, g, size) of buckets to compare, and (key, g) of those to split. ``pairs``: g, key."""
-    sizes = cut(pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "near-sizes")
-    ready = pairs.join(sizes.filter(F.col("size") <= small).hint("merge"), "key")
-    large = sizes.filter(F.col("size") > small)
+def _sizes(pairs: DataFrame) -> DataFrame:
+    """key, size and tokens of each bucket of ``pairs`` (g, n, key)."""
+    return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
+
+
+def _sorted_buckets(pairs: DataFrame, sketches: DataFrame, small: int, tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(key, g, size, tokens) of buckets to compare, and (key, g) of those to split. ``pairs``: g, n, key."""
+    sizes = cut(_sizes(pairs).filter("size > 1"), "near-sizes")
+    pairs = pairs.select("g", "key")
+    fits = (F.col("size") <= small) & (F.col("tokens") <= tokens)
+    ready = pairs.join(sizes.filter(fits).hint("merge"), "key")
+    large = sizes.filter(~fits)
     if large.isEmpty():
         return ready, ready.limit(0).select("key", "g")
     rows = cut(pairs.join(large.hint("merge"), "key"), "near-large")
@@ -238,9 +246,10 @@ def compare(key: int, sets: list[np.ndarray], keys: list[np.ndarray], side: np.n
     return links, label
 
 
-def _linked(docs: DataFrame, buckets: DataFrame, members: DataFrame, block: int) -> DataFrame:
-    """g, root, links from the comparison of buckets (key, g, size); root: a set of the same part."""
-    one = F.struct("key", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+def _linked(docs: DataFrame, buckets: DataFrame, members: DataFrame, small: int, tokens: int) -> DataFrame:
+    """g, root, links from the comparison of buckets (key, g, size, tokens); root: a set of the same part."""
+    blocks = F.greatest(F.ceil(F.col("size") / small), F.ceil(F.col("tokens") / tokens)).cast("int")
+    one = F.struct("key", blocks.alias("blocks"))
     asked = buckets.groupBy("g").agg(F.collect_list(one).alias("held")).join(members.hint("merge"), "g").select("f", "r", "g", "held")
     asked = asked.withColumn("own", F.pmod(F.xxhash64("g"), F.lit(1 << 30)))
 
@@ -317,26 +326,27 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.withColumnRenamed("a", "node")
 
 
-def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL, tokens: int = TOKENS) -> DataFrame:
     """f, r, doc_id, class_id (least doc_id of the class), n_links (different sets at the threshold or above), n_copies, first (least row of the class)."""
     bound_batches(docs.sparkSession, rows=500, mb=8)
     described = cut(_described(docs, runs(target)), "near-described")
-    reps = described.filter("g is not null").groupBy("g").agg(F.min(F.struct("f", "r")).alias("at"), F.count(F.lit(1)).alias("n_copies"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    reps = described.filter("g is not null").groupBy("g").agg(F.min(F.struct("f", "r")).alias("at"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = cut(reps, "near-sets")
     members, sketches = reps.select("g", "at.f", "at.r"), reps.select("g", "sketch")
-    pairs = reps.select("g", F.explode("keys").alias("key"))
+    pairs = reps.select("g", "n", F.explode("keys").alias("key"))
     buckets = None
     for depth in range(DEPTH + 1):
-        ready, wide = _sorted_buckets(pairs, sketches, small)
+        ready, wide = _sorted_buckets(pairs, sketches, small, tokens)
         buckets = ready if buckets is None else buckets.unionByName(ready)
         if wide.isEmpty():
             break
         if depth == DEPTH:
-            rest = wide.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-            buckets = buckets.unionByName(wide.join(rest.hint("merge"), "key").select("key", "g", "size"))
+            rest = _sizes(wide.join(reps.select("g", "n").hint("merge"), "g"))
+            buckets = buckets.unionByName(wide.join(rest.hint("merge"), "key"))
             break
-        pairs = cut(_split(docs, wide, members), "near-paths")
-    found = cut(_linked(docs, buckets.select("key", "g", "size"), members, block), "near-links")
+        paths = cut(_split(docs, wide, members), "near-paths")
+        pairs = paths.join(reps.select("g", "n").hint("merge"), "g")
+    found = cut(_linked(docs, buckets, members, small, tokens), "near-links")
     roots = components(found.select(F.col("g").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("g").agg(F.sum("links").alias("n_links"))
     sets = reps.select("g", "n_copies").join(links.hint("merge"), "g", "left").join(roots.withColumnRenamed("node", "g").hint("merge"), "g", "left")

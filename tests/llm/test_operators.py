@@ -354,7 +354,7 @@ def similar():
     return [(k, t, "en", "a") for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 30, "block": 40}])
+@pytest.mark.parametrize("options", [{}, {"small": 40}, {"tokens": 3000}])
 def test_near_classes(spark, make, similar, options):
     want = brute.near([(i, t) for i, t, *_ in similar])
     got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near_join.near_duplicates(make(similar), target=0.9999, **options).collect()}
