@@ -39,7 +39,7 @@ LEXICON = 2_000
 FAMILIES = (4, 5, 6, 7, 0)
 SMOOTH = 0.5
 #: An entry's smoothed toxic share is at least this many times as likely as not.
-LEAST_ODDS = 4.0
+LEAST_ODDS = 10.0
 #: Voters whose agreement is this far (as a correlation) from what the model explains are taken as correlated.
 CORRELATED = 0.15
 
@@ -48,6 +48,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def bounded_sample(rows: DataFrame, most: int, seed: int) -> DataFrame:
+    """``most`` rows or all, the same ones however rows are dealt.
+
+    A share is kept by hash first, so that what meets in one place is
+    about ``most`` rows and not that many of every partition.
+    """
+    n = rows.count()
+    span = 1 << 30
+    share = span if n <= most else int(span * min(1.0, 1.2 * most / n))
+    place = F.xxhash64("doc_id", F.lit(seed))
+    kept = rows.filter(F.pmod(place, F.lit(span)) < share)
+    return kept.orderBy(place, *[F.col(c) for c in rows.columns if c != "x"]).limit(most)
+
+
 def _letters(text: Column) -> Column:
     """Lower-case words parted by single spaces, one at each end."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "), F.lit(" "))
@@ -74,7 +88,7 @@ def mine_lexicons(labelled: DataFrame) -> list[tuple[str, int, float]]:
     counts = rows.groupBy("family", "entry").agg(F.sum("toxic").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("n"))
     # rates of toxic and of other texts that have the entry
     odds = ((F.col("t") + SMOOTH) / (toxic + 2 * SMOOTH)) / ((F.col("n") - F.col("t") + SMOOTH) / (n - toxic + 2 * SMOOTH))
-    share = (F.col("t") + SMOOTH) / (F.col("n") - F.col("t") + SMOOTH)
+    share = (F.col("t") + SMOOTH / 2) / (F.col("n") - F.col("t") + SMOOTH / 2)
     least = max(3.0, 0.004 * toxic)
     kept = counts.withColumn("w", F.log(odds)).filter((F.col("t") >= least) & (share >= LEAST_ODDS))
     kept = kept.orderBy(F.desc("t"), "family", "entry").limit(LEXICON * len(FAMILIES))
@@ -189,7 +203,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.nda
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     open_labels = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic").filter("toxic is not null")
-    sample = cut(open_labels.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(LABELLED_ROWS), "toxicity-sample")
+    sample = cut(bounded_sample(open_labels, LABELLED_ROWS, 0), "toxicity-sample")
     # bounded by LABELLED_ROWS, so its broadcast does not grow
     lexicon = mine_lexicons(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"))
     prior = sample.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
@@ -208,7 +222,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     inputs = [F.log1p(F.col(c)) for c in FEATURES[: 2 * len(FAMILIES)]] + [F.col("exclaims") / F.greatest(F.col("words"), F.lit(1.0)), F.col("shouts") / F.greatest(F.col("words"), F.lit(1.0))]
     posterior = 1 / (1 + F.exp(-model.logit(votes)))
-    fit = features.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(FIT_ROWS).select(F.array(*inputs).alias("x"), posterior.alias("y")).collect()
+    fit = features.filter(~held_out(F.col("doc_id"))).select("doc_id", F.array(*inputs).alias("x"), posterior.alias("y"))
+    fit = bounded_sample(fit, FIT_ROWS, 1).collect()
     if not fit or not lexicon:
         weights, base, scale = np.zeros(len(inputs)), float(np.log(prior / (1 - prior)) if not lexicon and prior < 0.5 else -1.0), np.ones(len(inputs))
     else:
