@@ -65,19 +65,18 @@ MOST_QUERIES = 10_000
 def knn_batch(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """query, id, similarity, rank of the ``k`` nearest rows of every query (columns ``query``, ``q``).
 
-    Rows stay where they are and keep their own best ``k`` of each query
-    first, so only k candidates a query and partition are shuffled.
+    Rows stay where they are; the rank's limit is applied inside each
+    partition first, so only ``k`` candidates a query and partition are
+    shuffled.
     """
     n = queries.limit(MOST_QUERIES + 1).count()
     if n > MOST_QUERIES:
         raise ValueError("too many query vectors for one pass; call it in blocks")
     pairs = rows.select("id", doubles(F.col(vector)).alias("_v")).join(F.broadcast(queries.select("query", doubles(F.col("q")).alias("_q"))))
     scored = pairs.select("query", "id", cosine(F.col("_v"), F.col("_q")).alias("similarity"))
-    best = scored.withColumn("_part", F.spark_partition_id())
-    near = best.groupBy("query", "_part").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "id"))), 1, k).alias("top"))
-    near = near.select("query", F.explode("top").alias("t")).select("query", F.col("t.id").alias("id"), (-F.col("t.d")).alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return near.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def quantize(v: Column) -> Column:

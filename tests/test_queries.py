@@ -33,6 +33,11 @@ def test_top_k_and_pruning(spark, small):
     assert "text" not in text.split("ReadSchema")[1]
 
 
+def test_group_limit_before_the_shuffle(spark, small):
+    text = plan(QUERIES["knn_batch_top3"](spark, small))
+    assert text.count("WindowGroupLimit") == 2 and "Partial" in text
+
+
 def test_entry(spark, small):
     import __spark_entry__
 
