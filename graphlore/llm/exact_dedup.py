@@ -77,8 +77,9 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     hits = docs.select("digest", "locator", "text").join(copies.hint("merge"), "digest").select("digest", "locator", "keep_locator", "text")
     hits = cut(hits, "dedup-hits")
     staying = hits.filter("locator = keep_locator").select("digest", F.col("text").alias("keep_text"))
-    differing = hits.join(staying.hint("merge"), "digest").filter(F.col("text") != F.col("keep_text")).select("digest").distinct()
-    differing = cut(differing, "dedup-differing")
+    # written before duplicates go, as an aggregate on the join's key would keep its hot digests in one task
+    differing = hits.join(staying.hint("merge"), "digest").filter(F.col("text") != F.col("keep_text")).select("digest")
+    differing = cut(differing, "dedup-differing").distinct()
     out = ["doc_id", "locator", "digest", "keep_id", "keep_locator", "group_size", "kept"]
     single = F.col("group_size").isNull()
     found = slim.join(copies.hint("merge"), "digest", "left").withColumns({
