@@ -295,13 +295,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
         raise ValueError("a k-gram and a block are no longer than a string")
     bound_batches(docs.sparkSession, rows=1000, mb=1)
     found = cut(occurrences(docs, length, gram), "repeats-anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h")
+    # counts are written before the join, whose hot hashes can then be split: an aggregate above it would bind them
+    again = cut(found.groupBy("h").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("h"), "repeats-again")
     shared = cut(found.join(again.hint("merge"), "h"), "repeats-shared")
     discard(found)
     place = F.struct("f", "r", "lo", "n", "a")
     kinds = shared.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at"))
     kinds = cut(kinds, "repeats-kinds")
-    sizes = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    sizes = cut(kinds.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "repeats-sizes")
     asked = kinds.join(sizes.hint("merge"), "h").select("at.f", "at.r", F.struct("h", "d", "c", "m", "at.lo", "at.n", "at.a").alias("s"))
     asked = asked.groupBy("f", "r").agg(F.collect_list("s").alias("all"))
 
