@@ -252,17 +252,17 @@ def url_categories(spark, sf_dir):
 
 
 _BASE = "base AS (SELECT o_orderkey AS key, o_custkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(18, 2) || '|' || o_orderpriority AS payload FROM orders)"
-_DELTA = """delta AS (SELECT o_orderkey AS key, o_custkey || '|' || o_orderstatus || '|' || (o_totalprice + CASE WHEN o_orderkey % 20 = 0 THEN 1 ELSE 0 END)::DECIMAL(18, 2) || '|' || o_orderpriority AS payload FROM orders WHERE o_orderkey % 10 = 0
-  UNION ALL SELECT o_orderkey + 100000000, o_custkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(18, 2) || '|' || o_orderpriority FROM orders WHERE o_orderkey % 10 = 3)"""
+_DELTA = """delta AS (SELECT o_orderkey AS key, o_custkey || '|' || o_orderstatus || '|' || (o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::DECIMAL(18, 2) || '|' || o_orderpriority AS payload FROM orders
+  UNION ALL SELECT o_orderkey + 100000000000, o_custkey || '|' || o_orderstatus || '|' || o_totalprice::DECIMAL(18, 2) || '|' || o_orderpriority FROM orders)"""
 
 
 def _delta(spark, sf_dir):
-    """A base of orders and a made delta: a tenth again, half of it with another price, and a tenth that is new."""
+    """Orders as the base; as the delta all of them again, finished ones at another price, and each once more under a new key."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
     payload = lambda price: F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderstatus", price.cast("decimal(18,2)").cast("string"), "o_orderpriority")
     base = o.select(F.col("o_orderkey").alias("key"), payload(F.col("o_totalprice")).alias("payload"))
-    again = o.filter("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("key"), payload(F.col("o_totalprice") + F.when(F.col("o_orderkey") % 20 == 0, 1).otherwise(0)).alias("payload"))
-    new = o.filter("o_orderkey % 10 = 3").select((F.col("o_orderkey") + 100000000).alias("key"), payload(F.col("o_totalprice")).alias("payload"))
+    again = o.select(F.col("o_orderkey").alias("key"), payload(F.col("o_totalprice") + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("payload"))
+    new = o.select((F.col("o_orderkey") + 100000000000).alias("key"), payload(F.col("o_totalprice")).alias("payload"))
     return base, again.unionByName(new)
 
 
