@@ -58,6 +58,18 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table._shared_path)
 
 
+def written() -> int:
+    """How many paths have been handed out so far."""
+    return len(_written)
+
+
+def release(since: int, keep: DataFrame) -> None:
+    """Delete all tables of this driver written after ``since`` other than ``keep``: nothing may read them any more."""
+    for spark, path in _written[since:]:
+        if path != keep._shared_path:
+            _delete(spark, path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
