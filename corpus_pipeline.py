@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlore.llm import exact_dedup, mixing, near_join, quality_rules, sentencepiece_codec
-from graphlore.plans.shared import cut
+from graphlore.plans.shared import cut, release, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
+        before = written()
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
