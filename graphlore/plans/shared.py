@@ -75,13 +75,29 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _place():
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
 def located(df: DataFrame, name: str = "_locator") -> DataFrame:
     """``df`` with the file and row that hold each row's content; what is not a plain Parquet scan is written first."""
-    at = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-    try:
-        return df.withColumn(name, at)
-    except AnalysisException:
-        return cut(df, "located").withColumn(name, at)
+    if "_metadata" not in df.columns:
+        try:
+            return df.withColumn(name, _place())
+        except AnalysisException:
+            pass
+    return cut(df.drop("_metadata"), "located").withColumn(name, _place())
+
+
+def packed(df: DataFrame, *needed: str) -> DataFrame:
+    """The columns ``needed``, each row's place as ``_locator`` and the whole row as ``_doc``, whatever its columns are called."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+    if "_metadata" not in df.columns:
+        try:
+            return df.select(whole, *needed, _place().alias("_locator"))
+        except AnalysisException:
+            pass
+    return cut(df.select(whole, *needed), "located").withColumn("_locator", _place())
 
 
 def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
