@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlore.plans.shared import cut, fresh_path, located
+from graphlore.plans.shared import cut, fresh_path, located, packed
 
 _STORE = "spark.sql.streaming.stateStore"
 #: State on disk; only changes are uploaded, no space is set aside, and a task's store is closed when it has committed.
@@ -61,13 +61,18 @@ def stream_state(slim: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """One row for each document: doc_id, locator, digest, keep_id, keep_locator, group_size, kept.
+    """One row for each document: doc_id, locator, digest, keep_id, keep_locator, group_size, kept."""
+    return _groups(located(docs.select("doc_id", "text")), digest)
+
+
+def _groups(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """:func:`exact_groups` of rows whose place is ``_locator``.
 
     Rows of a group that holds a third of all texts are counted before the
     shuffle; its members meet the one that stays in a join whose hot side
     adaptive execution can split.
     """
-    docs = located(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_locator").alias("locator"))
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("_locator").alias("locator"))
     docs = docs.withColumn("digest", digest(F.col("text")))
     state, slim = stream_state(docs.select("doc_id", "locator", "digest"))
     stays, size = _state_fields(state)
@@ -106,7 +111,6 @@ def _state_fields(state: DataFrame) -> tuple[Column, Column]:
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """The documents that stay, with their own columns."""
-    own = docs.columns
-    docs = located(docs)
-    dropped = exact_groups(docs.drop("_locator"), digest).filter(~F.col("kept")).select(F.col("locator").alias("_locator"))
-    return docs.join(cut(dropped, "dedup-dropped").hint("merge"), "_locator", "left_anti").select(*[F.col(f"`{c}`") for c in own])
+    docs = packed(docs, "doc_id", "text")
+    dropped = _groups(docs, digest).filter(~F.col("kept")).select(F.col("locator").alias("_locator"))
+    return docs.join(cut(dropped, "dedup-dropped").hint("merge"), "_locator", "left_anti").select("_doc.*")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlore.functions.columns import words_of
-from graphlore.plans.shared import cut, located
+from graphlore.plans.shared import cut, packed
 
 #: A shard holds about this many words and at most about this many documents.
 SHARD_WORDS, SHARD_DOCS = 1_000_000, 20_000
@@ -136,10 +136,9 @@ def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2,
 
 def mixed_documents(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
     """The documents of which the mix takes words, with their own columns, each as often as its share rounds to, once at least."""
-    own = docs.columns
-    docs = located(docs, "_row")
-    taken = mix(docs, max_repeats, weights, seed, row=F.col("_row")).filter("taken > 0")
+    docs = packed(docs, "doc_id", "source", "text")
+    taken = mix(docs, max_repeats, weights, seed, row=F.col("_locator")).filter("taken > 0")
     times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
-    times = cut(taken.select("_row", times.alias("_times")), "mix-times")
-    joined = docs.join(times.hint("merge"), "_row")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[F.col(f"`{c}`") for c in own])
+    times = cut(taken.select(F.col("_row").alias("_locator"), times.alias("_times")), "mix-times")
+    joined = docs.join(times.hint("merge"), "_locator")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

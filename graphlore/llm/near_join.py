@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlore.functions.columns import words_of
-from graphlore.plans.shared import bound_batches, cut, located
+from graphlore.plans.shared import bound_batches, cut, located, packed
 
 SHINGLE = 5
 #: Similarity from which two sets are linked, as a fraction of whole numbers.
@@ -367,8 +367,7 @@ def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL,
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with f, r: file and row of each text."""
-    docs = located(docs)
+    """``docs`` with f, r, file and row of each text, from its place ``_locator``."""
     row = F.substring_index("_locator", "#", -1)
     file = F.expr("substring(_locator, 1, length(_locator) - length(substring_index(_locator, '#', -1)))")
     return docs.withColumns({"f": F.xxhash64(file), "r": F.coalesce(row.cast("bigint"), F.lit(0).cast("bigint"))}).drop("_locator")
@@ -376,12 +375,11 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every document."""
-    return classes(with_rows(docs.select("doc_id", "text")), **options).select("doc_id", "class_id", "n_links", "n_copies")
+    return classes(with_rows(located(docs.select("doc_id", "text"))), **options).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The first document of each class, by doc_id, with its own columns."""
-    own = docs.columns
-    docs = with_rows(docs.drop("f", "r")) if {"f", "r"} & {*own} else with_rows(docs)
-    first = cut(classes(docs.select("f", "r", "doc_id", "text"), **options).filter("first").select("f", "r"), "near-first")
-    return docs.join(first.hint("merge"), ["f", "r"]).select(*[F.col(f"`{c}`") for c in own])
+    docs = with_rows(packed(docs, "doc_id", "text"))
+    first = cut(classes(docs.drop("_doc"), **options).filter("first").select("f", "r"), "near-first")
+    return docs.join(first.hint("merge"), ["f", "r"]).select("_doc.*")

@@ -36,7 +36,7 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 #: What a text must hold for any span, in the JVM's syntax.
-TRIGGER = r"AKIA[A-Z0-9]|[0-9a-f]{16}|(?i:pass|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth)[a-z]*[\"']?\x20*(?::=|=>|[:=])"
+TRIGGER = r"AKIA[A-Z0-9]|[0-9a-f]{16}|(?i:(?:pass|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth)[a-z]*)[\"']?\x20*[:=]"
 #: Values that take at least ten to the power of this many guesses are secrets.
 LEAST_LOG10_GUESSES = 12.0
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keys string, words string, ids string, h bigint, f string, g string, size string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, keys string, words string, ids string, h bigint, f string, g string, size string, _locator string, _metadata string, _row int, n_words string"
 
 
 @pytest.fixture(scope="session")
@@ -10,7 +10,7 @@ def make(spark):
     """Documents of (doc_id, text, lang, source), with more columns whose names operators use inside."""
 
     def build(rows: list[tuple], partitions: int = 3):
-        full = [(i, t, lang, source, len(t or ""), "k", "w", "i", 7, "f", "g", "s") for i, t, lang, source in rows]
+        full = [(i, t, lang, source, len(t or ""), "k", "w", "i", 7, "f", "g", "s", "l", "m", 8, "n") for i, t, lang, source in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(partitions)
 
     return build

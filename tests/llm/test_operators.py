@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import numpy as np
 import pytest
@@ -118,6 +119,13 @@ def test_secrets(spark, small):
 @given(st.text(alphabet="tokenSECRET=: \"'abc0123456789ſKAKIA.\n", max_size=80))
 def test_base_patterns(text):
     assert [x for x in secret_scan.spans(text) if x[0] != "guess"] == brute.base_spans(text)
+    assert not secret_scan.spans(text) or re.search(secret_scan.TRIGGER, text)
+
+
+def test_triggers_in_the_jvm(spark, make):
+    texts = ["PASSWORD: abcdefghijkl", "Api_Key='abcdefghijkl'", "apikey  = abcdefghijkl", "AKIA" + "A" * 14, "f" * 16, 'Passwd" = "abcdefghijkl', "passphrase => kX9vQ2#mZr7Lp", "TOKEN=abcdefghijkl"]
+    rows = secret_scan.scan(make([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()
+    assert {r.doc_id: [tuple(x) for x in r.secrets] for r in rows} == {k: secret_scan.spans(t) for k, t in enumerate(texts)} and all(r.secrets for r in rows)
 
 
 def test_guess_costs():
