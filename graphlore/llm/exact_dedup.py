@@ -25,11 +25,15 @@ from pyspark.sql import functions as F
 from graphlore.plans.shared import cut, fresh_path, located, packed
 
 _STORE = "spark.sql.streaming.stateStore"
-#: State on disk; only changes are uploaded, no space is set aside, and a task's store is closed when it has committed.
+#: State on disk; only changes are uploaded, no space is set aside, a task's store is closed when it has committed,
+#: and all stores of an executor share a small bounded memory.
 SETTINGS = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STORE}.rocksdb.writeBufferSizeMB": "4",
     f"{_STORE}.unloadOnCommit": "true",
 }
 
