@@ -34,7 +34,7 @@ from graphlore.plans.shared import bound_batches
 
 MARK = "▁"
 #: Entries of each generation of the cache of encoded pieces of text, and of the cache of tested pairs.
-CACHE, PAIRS = 200_000, 600_000
+CACHE, PAIRS = 150_000, 400_000
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
