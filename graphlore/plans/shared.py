@@ -15,6 +15,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most files of a written table for each core of the cluster.
+FILES_A_CORE = 8
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -38,12 +41,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it.
 
-    Shuffle files go when the driver collects the plan that made them, so
+    A few files for each core are enough, however many partitions a shuffle
+    had: each file costs its creation, on some stores a process. Shuffle
+    files go when the driver collects the plan that made them, so
     that is asked for here: the next stage then has their disk.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
     schema = df.schema
     del df
     gc.collect()
