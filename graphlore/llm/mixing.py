@@ -5,9 +5,10 @@ follow the weights, but no source gives more than ``max_repeats`` times what
 it has: the excess goes to the others by weight until none is above. Blocks
 go to sources by highest quotients target / (2 s - 1), then each source's
 blocks go to its shards, bounded hash classes of documents, in the same way,
-which gives every shard an integer quota. Inside a shard documents are laid
-end to end in a seeded order, cut into blocks, and a seeded choice takes as
-many blocks as the quota says, each as often as any other give or take one.
+which gives every shard an integer quota of words. Inside a shard documents
+are taken whole in a seeded order, each as often as any other give or take
+one, and one document at most is taken in part, so that the shard's words are
+just its quota and what is kept of a source as whole documents comes near it.
 
 Defined results: null and blank texts have no words and nothing is taken of
 them; a null source is a source, the last in order; repeated rows share out
@@ -87,26 +88,22 @@ def source_plan(sized: DataFrame, max_repeats: int, weights: tuple[int, ...]) ->
     return sainte_lague(sources, [], "target", "house", "source_no", "blocks").drop("house")
 
 
-def times_taken(sizes: np.ndarray, block: int, quota: int, max_repeats: int, seed: list[int]) -> np.ndarray:
-    """Words taken of each of a shard's documents, laid end to end, when ``quota`` blocks are chosen."""
+def times_taken(sizes: np.ndarray, block: int, quota: int, max_repeats: int) -> np.ndarray:
+    """Words taken of each of a shard's documents, which are in a seeded order, when ``quota`` blocks are taken."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
     if not total:
         return np.zeros(len(sizes), dtype=np.int64)
     rounds, rest = divmod(min(quota * block, max_repeats * total), total)
-    whole, n = total // block, -(-total // block)
-    chosen = np.random.default_rng(seed).permutation(whole)
-    times = np.full(n + 1, rounds, dtype=np.int64)
-    times[chosen[: rest // block]] += 1
-    # what is less than a block comes from the start of one more
-    piece, start = rest % block, int([*chosen, whole][rest // block]) * block
-    before = np.concatenate(([0], np.cumsum(times[:n] * block)))
-
-    def upto(place: np.ndarray) -> np.ndarray:
-        b = place // block
-        return before[b] + times[b] * (place - b * block) + np.clip(place - start, 0, piece)
-
-    return upto(ends) - upto(ends - sizes)
+    taken = rounds * sizes
+    whole = int(np.searchsorted(ends, rest, side="right"))
+    taken[:whole] += sizes[:whole]
+    # what is less than the next document comes from the shortest one that has as much
+    piece = rest - int(ends[whole - 1]) if whole else rest
+    if piece:
+        left = sizes[whole:]
+        taken[whole + int(np.argmin(np.where(left >= piece, left, total + 1)))] += piece
+    return taken
 
 
 def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, row: Column | None = None) -> DataFrame:
@@ -128,7 +125,7 @@ def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2,
         own = own.sort_values(["order", "doc_id", "size"], kind="stable")
         n = int(quota["quota"].iloc[0]) if len(quota) else 0
         block = int(own["block"].iloc[0]) if len(own) else 1
-        own["taken"] = times_taken(own["size"].to_numpy(np.int64), block, n, max_repeats, [seed, int(key[0]), int(key[1])])
+        own["taken"] = times_taken(own["size"].to_numpy(np.int64), block, n, max_repeats)
         return own[schema.names]
 
     return rows.groupBy("source_no", "shard").cogroup(quotas.groupBy("source_no", "shard")).applyInPandas(choose, schema)

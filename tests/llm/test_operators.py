@@ -104,6 +104,22 @@ def test_mix_meets_targets_and_repeats(spark, make):
     assert all(r.taken <= 3 * r.size for r in a.values())
 
 
+@pytest.mark.parametrize("shard_words", [1_000_000, 20_000])
+def test_whole_documents_meet_targets(make, monkeypatch, shard_words):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)
+    rng = random.Random(3)
+    rows = [(k, " ".join(["w"] * rng.randint(50, 500)), "en", "hot" if k < 600 else f"s{k % 6}") for k in range(1200)]
+    for weights in ((1, 2, 3), (1, 9, 9)):  # the hot source shrinks, to less than a fifth and further
+        taken = mixing.mix(make(rows), weights=weights).groupBy("source").agg(F.max("target").alias("target"), F.max("source_size").alias("size"))
+        plan = {r.source: r for r in taken.collect()}
+        kept = mixing.mixed_documents(make(rows), weights=weights).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("words"))
+        kept = {r.source: r.words for r in kept.collect()}
+        assert plan["hot"].target < 0.25 * plan["hot"].size
+        for s, r in plan.items():
+            shards = -(-r.size // shard_words)
+            assert abs(kept[s] - r.target) <= 128 + 250 * shards, (s, kept[s], r.target)
+
+
 # 3 -----------------------------------------------------------------------------------------------
 
 def test_secrets(spark, small):
