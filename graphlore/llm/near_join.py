@@ -6,8 +6,8 @@ buckets; two sets of at least the threshold's similarity then share a bucket
 with probability 1 - 1/e or more, and runs are repeated until the target
 recall is met. Small buckets are compared by brute force. A large bucket
 whose sets are unlike each other is split again by tokens chosen anew along
-its path; one whose sets are alike, which no token splits, is compared in
-blocks. Every pair is counted in the least of the buckets that hold both, so
+its path, as often as keeps the target recall at every depth; one whose sets
+are alike, which no token splits, is compared in blocks. Every pair is counted in the least of the buckets that hold both, so
 no pairs are written: a bucket gives each of its sets a number of links and
 one link of a spanning forest. Equal sets are one set throughout.
 
@@ -39,16 +39,29 @@ NUMERATOR, DENOMINATOR = 4, 5
 TARGET_RECALL = 0.993
 #: Most sets and most tokens of a bucket, or of a block of one, that a task compares: some tens of MB, some seconds.
 SMALL, TOKENS = 16_384, 8_000_000
-#: Sets of a large bucket are alike, and it isn't split, from this mean similarity on.
+#: Sets of a large bucket are alike, and it isn't split, from this mean similarity on at the latest.
 ALIKE = 0.25
 #: Most times that a bucket is split again; what is still large then is compared in blocks.
 DEPTH = 3
 SKETCH = 4
 
 
-def runs(target: float = TARGET_RECALL) -> int:
-    """Runs after which a pair at the threshold has met with the target's probability."""
-    return math.ceil(-math.log(1 - target))
+def recall(n_runs: int, repeats: int) -> float:
+    """Least probability that a pair at the threshold is compared, when all buckets it shares are split ``DEPTH`` times."""
+    kept = 1.0
+    for n in [repeats] * DEPTH + [n_runs]:
+        kept = 1 - math.exp(-n * kept)
+    return kept
+
+
+def runs(target: float = TARGET_RECALL) -> tuple[int, int]:
+    """Runs, and choices in each split of a bucket, after which a pair at the threshold has been compared with the target's probability."""
+    n = math.ceil(-math.log(1 - target))
+    while True:
+        for repeats in range(1, 2 * n + 1):
+            if recall(n, repeats) >= target:
+                return n, repeats
+        n += 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,7 +151,7 @@ def _sizes(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("tokens"))
 
 
-def _sorted_buckets(pairs: DataFrame, sketches: DataFrame, small: int, tokens: int) -> tuple[DataFrame, DataFrame]:
+def _sorted_buckets(pairs: DataFrame, sketches: DataFrame, small: int, tokens: int, repeats: int) -> tuple[DataFrame, DataFrame]:
     """(key, g, size, tokens) of buckets to compare, and (key, g) of those to split. ``pairs``: g, n, key."""
     sizes = cut(_sizes(pairs).filter("size > 1"), "near-sizes")
     pairs = pairs.select("g", "key")
@@ -152,13 +165,16 @@ def _sorted_buckets(pairs: DataFrame, sketches: DataFrame, small: int, tokens: i
     values = rows.join(sketches.hint("merge"), "g").select("key", "size", F.posexplode("sketch"))
     equal = values.groupBy("key", "size", "pos", "col").agg(F.count(F.lit(1)).cast("double").alias("n"))
     alike = equal.groupBy("key", "size").agg((F.sum(F.col("n") * F.col("n")) / (SKETCH * F.col("size").cast("double") * F.col("size"))).alias("mean"))
-    alike = cut(alike.select("key", (F.col("mean") >= ALIKE).alias("alike")), "near-alike")
+    # a split sends each set to so many smaller buckets that from some mean on it compares more pairs than the blocks
+    least = min(ALIKE, NUMERATOR / (DENOMINATOR * repeats))
+    alike = cut(alike.select("key", (F.col("mean") >= least).alias("alike")), "near-alike")
     judged = rows.join(alike.hint("merge"), "key")
     return ready.unionByName(judged.filter("alike").drop("alike")), judged.filter("not alike").select("key", "g")
 
 
-def _split(docs: DataFrame, wide: DataFrame, members: DataFrame) -> DataFrame:
-    """g, key of the buckets that the sets of buckets ``wide`` (key, g) go to along their paths."""
+def _split(docs: DataFrame, wide: DataFrame, members: DataFrame, repeats: int) -> DataFrame:
+    """g, key of the buckets that the sets of buckets ``wide`` (key, g) go to along their paths, in ``repeats`` choices of each."""
+    seeds = [_seed(2000 + k) for k in range(repeats)]
     asked = wide.groupBy("g").agg(F.collect_list("key").alias("paths")).join(members.hint("merge"), "g").select("f", "r", "g", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +182,11 @@ def _split(docs: DataFrame, wide: DataFrame, members: DataFrame) -> DataFrame:
             g, keys = [], []
             for own, one, paths in zip(_words(batch), batch.column("g").to_pylist(), batch.column("paths").to_pylist(), strict=True):
                 t = tokens_of(own)
-                for path in paths:
-                    found = chosen(t, mix(np.array([path], dtype=np.int64).view(np.uint64))[0])
-                    g += [one] * len(found)
-                    keys += found.view(np.int64).tolist()
+                for path in np.array(paths, dtype=np.int64).view(np.uint64):
+                    for s in seeds:
+                        found = chosen(t, mix(np.array([path ^ s]))[0])
+                        g += [one] * len(found)
+                        keys += found.view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(g, pa.binary()), pa.array(keys, pa.int64())], names=["g", "key"])
 
     texts = docs.join(asked.hint("merge"), ["f", "r"])
@@ -329,14 +346,15 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL, tokens: int = TOKENS) -> DataFrame:
     """f, r, doc_id, class_id (least doc_id of the class), n_links (different sets at the threshold or above), n_copies, first (least row of the class)."""
     bound_batches(docs.sparkSession, rows=500, mb=8)
-    described = cut(_described(docs, runs(target)), "near-described")
+    n_runs, repeats = runs(target)
+    described = cut(_described(docs, n_runs), "near-described")
     reps = described.filter("g is not null").groupBy("g").agg(F.min(F.struct("f", "r")).alias("at"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = cut(reps, "near-sets")
     members, sketches = reps.select("g", "at.f", "at.r"), reps.select("g", "sketch")
     pairs = reps.select("g", "n", F.explode("keys").alias("key"))
     buckets = None
     for depth in range(DEPTH + 1):
-        ready, wide = _sorted_buckets(pairs, sketches, small, tokens)
+        ready, wide = _sorted_buckets(pairs, sketches, small, tokens, repeats)
         buckets = ready if buckets is None else buckets.unionByName(ready)
         if wide.isEmpty():
             break
@@ -344,7 +362,7 @@ def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL,
             rest = _sizes(wide.join(reps.select("g", "n").hint("merge"), "g"))
             buckets = buckets.unionByName(wide.join(rest.hint("merge"), "key"))
             break
-        paths = cut(_split(docs, wide, members), "near-paths")
+        paths = cut(_split(docs, wide, members, repeats), "near-paths")
         pairs = paths.join(reps.select("g", "n").hint("merge"), "g")
     found = cut(_linked(docs, buckets, members, small, tokens), "near-links")
     roots = components(found.select(F.col("g").alias("a"), F.col("root").alias("b")))

@@ -394,6 +394,21 @@ def test_near_recall_on_documents(spark, small):
     assert sum(got[i][0] == want[i][0] for i in want) >= 0.99 * len(want)
 
 
+def test_near_recall_of_split_buckets(make):
+    rng = random.Random(11)
+    passages = [[f"p{k}w{j}" for j in range(40)] for k in range(80)]
+    texts = []
+    for _ in range(600):  # pairs at a similarity of just 0.8 whose shingles many other texts have too
+        *both, mine, other = rng.sample(passages, 10)
+        same = [w for p in both for w in p]
+        texts += [" ".join(same + mine), " ".join(same + other[:39])]
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)]
+    want = brute.near([(i, t) for i, t, *_ in rows])
+    got = near_join.near_duplicates(make(rows), small=12).agg(F.sum("n_links")).first()[0]
+    assert 0.99 * sum(w[1] for w in want.values()) <= got <= sum(w[1] for w in want.values()) == 1200
+    assert near_join.recall(*near_join.runs()) >= near_join.TARGET_RECALL
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(400 + k, 401 + k) for k in range(30)]
