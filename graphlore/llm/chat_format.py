@@ -1,25 +1,31 @@
 """Chat formatting by schema fingerprinting.
 
-The nested field paths of a table (or of one JSON value) are hashed; the
-hash selects a declarative mapping that turns the layout into canonical
-turns ``array<struct<role, text>>``. Canonical turns are rendered with a
-template whose markers cannot occur inside a text, because ``& < >`` are
-escaped reversibly, and a loss mask of code-point spans covers what the
-assistant says.
-
-Defined results: a null role or text counts as empty; an empty table gives
-an empty result; a null key is a conversation of its own; repeated rows stay
-separate turns; ties in the turn number are ordered by role, then text;
-columns that no mapping names are ignored, whatever they are called, as each
-mapping's hash is compared with the hash of those of its paths that are there.
-A layout that no mapping fits raises ``ValueError`` (for a table) or gives
-null turns and the layout ``unknown`` (for a JSON value).
+The nested field paths of a table, or of one JSON value, are brought into a
+normal form: sorted, without what belongs to no layout that is there in full.
+The digest of that whole set is the fingerprint. A registry, built by rule
+from the mappings, holds the fingerprint of every set that layouts can make,
+alone or beside each other, and the declarative mapping for it; the mapping
+turns the layout into canonical turns ``array<struct<role, text>>``. JSON
+rows find theirs one by one in a hash join with that registry, a constant.
+Canonical turns are rendered with a template whose markers cannot occur
+inside a text, because ``& < >`` are escaped reversibly, and a loss mask of
+code-point spans covers what the assistant says.
+
+Defined results: a null role or text counts as empty, also where a JSON value
+says null; an empty or null array of messages has no turns; an empty table
+gives an empty result; a null key is a conversation of its own; repeated rows
+stay separate turns; ties in the turn number are ordered by role, then text;
+columns and fields that no mapping names are ignored, whatever they are
+called. A layout that no mapping fits raises ``ValueError`` (for a table) or
+gives null turns and the layout ``unknown`` (for a JSON value, also for a text
+that is no JSON).
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,7 +58,7 @@ class Mapping:
         return sorted(f"{p}:string" for _, ps in self.fields for p in ps)
 
 
-#: Tried in this order: the first whose paths are all there is used.
+#: Where several layouts are there in full, the first in this order is used.
 MAPPINGS = (
     Mapping("turn_rows", rows=("turn", "role", "text")),
     Mapping("messages", items=("messages", "role", "content")),
@@ -81,13 +87,31 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
+def normal(paths: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> list[str]:
+    """The paths of all layouts that are there in full, sorted."""
+    there = set(paths)
+    return sorted({p for m in mappings if there.issuperset(m.paths()) for p in m.paths()})
+
+
+def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
+    """The mapping for the fingerprint of each normal form: of one layout, or of several beside each other."""
+    found: dict[str, Mapping] = {}
+    for n in range(1, len(mappings) + 1):
+        for some in combinations(mappings, n):
+            own = normal([p for m in some for p in m.paths()], mappings)
+            found.setdefault(fingerprint(own), next(m for m in mappings if set(own).issuperset(m.paths())))
+    return found
+
+
+REGISTRY = registry()
+
+
 def select_mapping(schema: T.StructType) -> Mapping:
-    """The first mapping whose fingerprint equals that of its own paths found in ``schema``."""
-    there = set(field_paths(schema))
-    for m in MAPPINGS:
-        if fingerprint([p for p in m.paths() if p in there]) == fingerprint(m.paths()):
-            return m
-    raise ValueError(f"no mapping fits the layout {sorted(there)}")
+    """The mapping registered for the fingerprint of a table's paths."""
+    paths = field_paths(schema)
+    if (found := REGISTRY.get(fingerprint(normal(paths)))) is None:
+        raise ValueError(f"no mapping fits the layout {paths}")
+    return found
 
 
 def _text(value: Column) -> Column:
@@ -135,35 +159,51 @@ def canonical_turns(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key), turns.alias("turns"), F.lit(m.name).alias("layout"))
 
 
-def turns_from_json(df: DataFrame, key: str, column: str) -> DataFrame:
-    """As :func:`canonical_turns` for rows that each hold a JSON text of their own layout."""
-    value = F.try_parse_json(F.col(column))
-    df = df.select(F.col(key), value.alias("v"))
-    needed = sorted({p for m in MAPPINGS if not m.rows for p in m.paths()})
+def _is_text(value: Column, field: str) -> Column:
+    """Whether an object has a field that is a plain value or null."""
+    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+    return F.coalesce(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), F.lit(False))
 
-    def there(path: str) -> Column:
-        at, _, _ = path.partition(":")
-        got = F.try_variant_get("v", "$." + at.replace("[]", "[0]"), "string")
-        return F.when(got.isNotNull(), F.lit(path))
 
-    found = F.filter(F.array(*[there(p) for p in needed]), lambda p: p.isNotNull())
-    df = df.withColumn("found", found)
+def _items(field: str) -> Column:
+    """The elements of an array of messages; none where it is null."""
+    found = F.try_variant_get("v", f"$.{field}", "array<variant>")
+    null = F.schema_of_variant(F.try_variant_get("v", f"$.{field}", "variant")) == "VOID"
+    return F.coalesce(found, F.when(null, F.array().cast("array<variant>")))
+
 
-    def fits(m: Mapping) -> Column:
-        own = F.filter("found", lambda p: p.isin(m.paths()))
-        return F.sha2(F.array_join(F.array_sort(own), "\n"), 256) == fingerprint(m.paths())
+def _variant_turns(field: str, role: str, text: str) -> Column:
+    value = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
+    return F.transform(_items(field), lambda x: F.struct(_role(value(x, role)).alias("role"), _text(value(x, text)).alias("text")))
 
-    layout, turns = F.lit("unknown"), F.lit(None).cast(TURNS)
-    for m in reversed([m for m in MAPPINGS if not m.rows]):
+
+def turns_from_json(df: DataFrame, key: str, column: str) -> DataFrame:
+    """As :func:`canonical_turns` for rows that each hold a JSON text of their own layout."""
+    mappings = tuple(m for m in MAPPINGS if not m.rows)
+    df = df.select(F.col(key), F.try_parse_json(F.col(column)).alias("v"))
+
+    def there(path: str) -> Column:
+        at = path.partition(":")[0]
+        if "[]" not in at:
+            return _is_text(F.col("v"), at)
+        items, field = _items(at.partition("[]")[0]), at.partition("[].")[2]
+        return F.coalesce((F.size(items) == 0) & items.isNotNull(), F.lit(False)) | F.coalesce(F.exists(items, lambda x: _is_text(x, field)), F.lit(False))
+
+    paths = sorted({p for m in mappings for p in m.paths()})
+    df = df.withColumn("found", F.filter(F.array(*[F.when(there(p), F.lit(p)) for p in paths]), lambda p: p.isNotNull()))
+    full = [F.when(F.size(F.array_except(F.array(*map(F.lit, m.paths())), "found")) == 0, F.array(*map(F.lit, m.paths()))) for m in mappings]
+    own = F.array_sort(F.array_distinct(F.flatten(F.filter(F.array(*full), lambda x: x.isNotNull()))))
+    df = df.withColumn("_print", F.sha2(F.array_join(own, "\n"), 256))
+    known = df.sparkSession.createDataFrame([(k, m.name) for k, m in registry(mappings).items()], "_print string, layout string")
+    df = df.join(F.broadcast(known), "_print", "left").withColumn("layout", F.coalesce("layout", F.lit("unknown")))
+    turns = F.lit(None).cast(TURNS)
+    for m in mappings:
         if m.items:
-            field, role, text = m.items
-            item = T.StructType([T.StructField(role, T.StringType()), T.StructField(text, T.StringType())])
-            got = F.try_variant_get("v", f"$.{field}", f"array<{item.simpleString()}>")
-            made = _item_turns(got, role, text)
+            made = _variant_turns(*m.items)
         else:
             made = _field_turns(m, lambda p: F.try_variant_get("v", f"$.{p}", "string"))
-        layout, turns = F.when(fits(m), m.name).otherwise(layout), F.when(fits(m), made).otherwise(turns)
-    return df.select(F.col(key), turns.alias("turns"), layout.alias("layout"))
+        turns = F.when(F.col("layout") == m.name, made).otherwise(turns)
+    return df.select(F.col(key), turns.alias("turns"), "layout")
 
 
 def escape(text: Column) -> Column:
