@@ -5,7 +5,9 @@ method adds values in a credential context whose guess cost is high: a
 dynamic program splits the value into dictionary words, dates, repeats,
 keyboard walks, sequences and brute-force spans so that the product of their
 guesses is least; a value that takes many guesses even so is a secret, one
-that words and dates explain is not.
+that words and dates explain is not. Words are ranked: frequent parts of
+passwords come first, then the whole words of a public tokenizer's
+vocabulary, whose order is that of their frequency.
 
 Texts without any trigger are told apart inside the JVM and never reach
 Python. Defined results: a null text counts as empty and has no spans; spans
@@ -16,8 +18,12 @@ an empty result; other columns are passed on.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from bisect import bisect_left
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,8 +43,10 @@ CONTEXT = re.compile(
 )
 #: What a text must hold for any span, in the JVM's syntax.
 TRIGGER = r"AKIA[A-Z0-9]|[0-9a-f]{16}|(?i:(?:pass|pwd|secret|token|api_?key|access_?key|private_?key|credential|auth)[a-z]*)[\"']?\x20*[:=]"
-#: Values that take at least ten to the power of this many guesses are secrets.
-LEAST_LOG10_GUESSES = 12.0
+#: Values that take at least ten to the power of this many guesses are secrets: from there on guessing offline is hard.
+LEAST_LOG10_GUESSES = 10.0
+#: Shortest and longest word of the dictionary.
+SHORTEST, LONGEST = 3, 20
 
 #: Frequent parts of passwords, most frequent first; fixed values.
 WORDS = (
@@ -54,7 +62,6 @@ WORDS = (
     "env", "prod", "production", "dev", "development", "staging", "local", "host", "localhost", "name", "id", "code",
     "pass", "word", "file", "path", "service", "client", "public", "private", "auth", "bearer", "basic", "session",
 )
-RANK = {w: i + 1 for i, w in enumerate(WORDS)}
 LEET = str.maketrans("0134578@$!", "oleastbasi")
 #: Rows of a keyboard, each key beside the next; fixed values.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
@@ -63,13 +70,35 @@ NEAR = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 NEAR |= {(a, b) for up, down in zip(ROWS, ROWS[1:], strict=False) for k, a in enumerate(up.lstrip("`")) for b in down[max(0, k - 1) : k + 1]}
 NEAR |= {(b, a) for a, b in NEAR}
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
-COSTS = {"digit": math.log10(10), "letter": math.log10(26), "other": math.log10(33)}
+COSTS = {"digit": math.log10(10), "letter": math.log10(26), "both": math.log10(52), "other": math.log10(33)}
 #: A new segment: where it ends is one more thing to guess.
 SEGMENT = math.log10(2)
 
 
-def _letter_cost(c: str) -> float:
-    return COSTS["digit"] if c.isdigit() else COSTS["letter"] if c.isalpha() and c.isascii() else COSTS["other"]
+@lru_cache(maxsize=4)
+def ranks(vocabulary: str) -> dict[str, int]:
+    """Rank of each word: :data:`WORDS`, then the whole words of a vocabulary whose ids ascend as frequency falls."""
+    with open(vocabulary, encoding="utf-8") as file:
+        ids = json.load(file)["model"]["vocab"]
+    whole = (w.removesuffix("</w>") for w in sorted(ids, key=ids.get) if w.endswith("</w>"))
+    named = [*WORDS, *(w for w in whole if SHORTEST <= len(w) <= LONGEST and w.isalpha())]
+    return {w: k + 1 for k, w in enumerate(dict.fromkeys(named))}
+
+
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def _letter_cost(c: str, both: bool = False) -> float:
+    """Guesses for one character; ``both``: among letters of either case."""
+    letter = COSTS["both" if both else "letter"]
+    return COSTS["digit"] if c.isdigit() else letter if c.isalpha() and c.isascii() else COSTS["other"]
+
+
+def both_cases(value: str) -> bool:
+    return value != value.lower() and value != value.upper()
 
 
 def _runs(value: str, linked) -> list[tuple[int, int]]:
@@ -83,14 +112,16 @@ def _runs(value: str, linked) -> list[tuple[int, int]]:
     return found
 
 
-def segments(value: str) -> list[tuple[int, int, float]]:
-    """(start, end, log10 of guesses) of everything in a value that is easier than its characters."""
+def segments(value: str, rank_of: dict[str, int]) -> list[tuple[int, int, float]]:
+    """(start, end, log10 of guesses) of everything in a value that is easier than its characters; as many as it is long, give or take a factor."""
     low, out = value.lower(), []
+    if len(low) != len(value):  # a letter whose lower case is two
+        low = value
     plain = low.translate(LEET)
     for s in range(len(value)):
-        for e in range(s + 2, min(len(value), s + 12) + 1):
+        for e in range(s + 2, min(len(value), s + LONGEST) + 1):
             for text, more in ((low, 0.0), (plain, math.log10(4))):
-                if rank := RANK.get(text[s:e]):
+                if rank := rank_of.get(text[s:e]):
                     case = 0.0 if value[s:e] == text[s:e] or more else math.log10(2)
                     out.append((s, e, math.log10(rank + 1) + more + case))
                     break
@@ -121,15 +152,16 @@ def segments(value: str) -> list[tuple[int, int, float]]:
     return out
 
 
-def log10_guesses(value: str) -> float:
+def log10_guesses(value: str, vocabulary: str | None = None) -> float:
     """Least cost of splitting a value into segments and brute-force spans, in time linear in its length."""
+    both, rank_of = both_cases(value), ranks(vocabulary or default_vocabulary())
     ends: dict[int, list[tuple[int, float]]] = {}
-    for s, e, cost in segments(value):
+    for s, e, cost in segments(value, rank_of):
         ends.setdefault(e, []).append((s, cost))
     # least cost up to each place, when a segment ends there and when a brute-force span does
     done, brute = [0.0], [math.inf]
     for e in range(1, len(value) + 1):
-        c = _letter_cost(value[e - 1])
+        c = _letter_cost(value[e - 1], both)
         brute.append(min(brute[e - 1], done[e - 1] + SEGMENT) + c)
         best = brute[e]
         for s, cost in ends.get(e, ()):
@@ -138,26 +170,28 @@ def log10_guesses(value: str) -> float:
     return done[-1]
 
 
-def spans(text: str, least: float = LEAST_LOG10_GUESSES) -> list[tuple[str, int, int]]:
+def spans(text: str, least: float = LEAST_LOG10_GUESSES, vocabulary: str | None = None) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets in a text."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
     base = sorted(x[1:] for x in found)
+    starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
     for m in CONTEXT.finditer(text):
         s, e = m.span(2)
-        if not any(a < e and s < b for a, b in base) and log10_guesses(m[2]) >= least:
+        before = bisect_left(starts, e)  # spans that start before the value ends; one that reaches into it overlaps
+        if (not before or reach[before - 1] <= s) and log10_guesses(m[2], vocabulary) >= least:
             found.append(("guess", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``secrets``: array of (kind, start, end)."""
+def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``docs`` with ``secrets``: array of (kind, start, end). ``vocabulary``: file of ranked words, there on every executor; None: the public one."""
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")
     def find(texts: pd.Series) -> pd.Series:
-        return pd.Series([[] if t is None else [{"kind": k, "start": s, "end": e} for k, s, e in spans(t)] for t in texts])
+        return pd.Series([[] if t is None else [{"kind": k, "start": s, "end": e} for k, s, e in spans(t, vocabulary=vocabulary)] for t in texts])
 
     triggered = F.when(F.col("text").rlike(TRIGGER), F.col("text"))
     return docs.withColumn("secrets", find(triggered))
