@@ -1,26 +1,33 @@
 """Toxicity by weak supervision.
 
-Lexicons of word beginnings and whole words are mined from a bounded sample
-of labelled rows. Together with patterns of the text they make many voters.
-A generative label model takes the voters' means and pairwise agreements
-over all documents, one small matrix whatever the corpus, and estimates from
-them how much each voter differs between toxic and other texts, and which
-voters are correlated beyond that; correlated ones share their weight. Its
-posteriors label a bounded sample without looking at gold labels, and a
-linear classifier trained on them scores every document.
+Lexicons of word beginnings, word endings and whole words are mined from the
+labelled rows. No entry of the lexicons of beginnings and words holds another
+one, and each lexicon is parted by a hash of its entries, so no voter's
+entries are those of another. With patterns of the text (exclamation,
+shouting) and of its structure (hits that repeat, that lie in both halves,
+that are dense) they make sixteen voters. A generative label model takes how
+often each of the 2^16 possible vote patterns occurs, over all documents, and
+estimates by expectation maximisation the rates of every voter in toxic and
+in other texts and the correlations: voters that depend on each other beyond
+the class are linked in a forest, and each linked voter's rates are
+parameters for either vote of the one it hangs on. The model's posteriors
+label a bounded sample without looking at gold labels, and a linear
+classifier trained on them, over counts of the text that also take in entries
+too weak to vote, scores every document.
 
 Labels are used to mine the lexicons and for the share of toxic texts only,
-and only those of rows outside the held-out fold. Language, source, labels
+over all labelled rows outside the held-out fold. Language, source, labels
 and identifiers are never inputs of a score.
 
 Defined results: null and empty texts are scored like any text without hits;
 without a toxic label the lexicons are empty and all scores are low; repeated
 rows get equal scores; a null doc_id is not held out; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns, whatever they are called, are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import ahocorasick
@@ -31,17 +38,31 @@ from pyspark.sql import functions as F
 
 from graphlore.plans.shared import bound_batches, cut
 
-#: Most labelled rows that lexicons are mined from, and most rows the classifier is fitted on.
-LABELLED_ROWS, FIT_ROWS = 12_000, 20_000
-#: Most entries of one lexicon.
-LEXICON = 2_000
-#: Lexicons: the first so many letters of longer words, and whole words (0).
-FAMILIES = (4, 5, 6, 7, 0)
+#: Most rows that the classifier is fitted on.
+FIT_ROWS = 20_000
+#: Lexicons: name, kind and lengths of entries, and into how many voters' parts they are dealt.
+BEGINNINGS, LONG, ENDING, WORD = (3, 4), (5, 6, 8), 4, 0
+GROUPS = (("short", 3), ("long", 3), ("word", 2), ("ending", 2))
+#: An entry is in this share of toxic texts at least, and in three: so the lexicons are bounded whatever the corpus.
+LEAST_SHARE, LEAST_TEXTS = 0.004, 3.0
 SMOOTH = 0.5
-#: An entry's smoothed toxic share is at least this many times as likely as not.
-LEAST_ODDS = 10.0
-#: Voters whose agreement is this far (as a correlation) from what the model explains are taken as correlated.
-CORRELATED = 0.15
+#: An entry that votes is at least this many times as likely in a toxic text as in another; a weak one this many times.
+LEAST_ODDS, WEAK_ODDS = 24.0, 4.0
+#: Voters are linked from this conditional mutual information (nats) on.
+LINKED = 0.002
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A part of a word, where it stands in it, the log of its odds, and its voter; voter -1: too weak to vote."""
+
+    text: str
+    kind: str
+    weight: float
+    voter: int
+
+    def pattern(self) -> str:
+        return {"short": f" {self.text}", "long": f" {self.text}", "word": f" {self.text} ", "ending": f"{self.text} "}[self.kind]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,123 +88,211 @@ def _letters(text: Column) -> Column:
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+", " "), F.lit(" "))
 
 
-def _entries(size: int) -> Column:
-    """The distinct entries that a text's words give to a lexicon."""
-    if size == 0:
-        return F.filter("words", lambda w: F.length(w) >= 2)
-    longer = F.filter("words", lambda w: F.length(w) > size)
-    return F.array_distinct(F.transform(longer, lambda w: F.substring(w, 1, size)))
-
-
-def mine_lexicons(labelled: DataFrame) -> list[tuple[str, int, float]]:
-    """(entry, family, log odds) of word beginnings and words that mark toxic texts. ``labelled``: text, toxic; bounded."""
-    labelled = cut(labelled.select(F.array_distinct(F.split(F.trim(_letters(F.col("text"))), " ")).alias("words"), (F.col("toxic") == 1).cast("int").alias("toxic")), "toxicity-labelled")
+def _parts(words: Column) -> Column:
+    """The distinct entries (kind, text) that a text's words give to the lexicons."""
+    named = lambda kind, x: F.transform(x, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("entry")))
+    longer = lambda k: F.filter(words, lambda w: F.length(w) >= k)
+    starts = lambda k: F.array_distinct(F.transform(longer(k), lambda w: F.substring(w, 1, k)))
+    ends = F.array_distinct(F.transform(longer(ENDING), lambda w: F.substring(w, -ENDING, ENDING)))
+    return F.concat(*[named("short", starts(k)) for k in BEGINNINGS], *[named("long", starts(k)) for k in LONG], named("word", longer(2)), named("ending", ends))
+
+
+def minimal(found: list[tuple[str, str, float, bool]]) -> list[Entry]:
+    """Entries (kind, text, weight, whether it votes), without beginnings and words that begin with another one that votes."""
+    strong = {text for kind, text, _, votes in found if votes and kind in ("short", "long")}
+    first = {}
+    for at, (kind, groups) in enumerate(GROUPS):
+        first[kind] = (sum(n for _, n in GROUPS[:at]), groups)
+    out = []
+    for kind, text, weight, votes in found:
+        shorter = (text[:k] for k in (*BEGINNINGS, *LONG) if k < len(text) or (kind == "word" and k == len(text)))
+        if kind != "ending" and any(x in strong for x in shorter):
+            continue
+        start, groups = first[kind]
+        part = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little") % groups
+        out.append(Entry(text, kind, weight, start + part if votes else -1))
+    return out
+
+
+def mine_lexicons(labelled: DataFrame) -> list[Entry]:
+    """Entries that mark toxic texts. ``labelled``: text, toxic. Counted over all rows; what is collected is bounded by :data:`LEAST_SHARE`."""
+    words = F.array_distinct(F.split(F.trim(_letters(F.col("text"))), " "))
+    labelled = cut(labelled.select(words.alias("words"), (F.col("toxic") == 1).cast("int").alias("toxic")), "toxicity-labelled")
     n, toxic = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == n:
         return []
-    every = [labelled.select("toxic", F.lit(k).alias("family"), F.explode(_entries(k)).alias("entry")) for k in FAMILIES]
-    rows = every[0]
-    for x in every[1:]:
-        rows = rows.unionByName(x)
-    counts = rows.groupBy("family", "entry").agg(F.sum("toxic").cast("double").alias("t"), F.count(F.lit(1)).cast("double").alias("n"))
-    # rates of toxic and of other texts that have the entry
-    odds = ((F.col("t") + SMOOTH) / (toxic + 2 * SMOOTH)) / ((F.col("n") - F.col("t") + SMOOTH) / (n - toxic + 2 * SMOOTH))
-    share = (F.col("t") + SMOOTH / 2) / (F.col("n") - F.col("t") + SMOOTH / 2)
-    least = max(3.0, 0.004 * toxic)
-    kept = counts.withColumn("w", F.log(odds)).filter((F.col("t") >= least) & (share >= LEAST_ODDS))
-    kept = kept.orderBy(F.desc("t"), "family", "entry").limit(LEXICON * len(FAMILIES))
-    return [(r["entry"], r["family"], float(r["w"])) for r in kept.collect()]
-
-
+    # what is in too few toxic texts is out before other texts are counted
+    marked = labelled.filter("toxic = 1").select(F.explode(_parts(F.col("words"))).alias("x")).groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    marked = cut(marked.filter(F.col("t") >= max(LEAST_TEXTS, LEAST_SHARE * toxic)).select("x.kind", "x.entry", "t"), "toxicity-marked")
+    other = labelled.filter("toxic = 0").select(F.explode(_parts(F.col("words"))).alias("x")).select("x.kind", "x.entry")
+    other = other.groupBy("kind", "entry").agg(F.count(F.lit(1)).cast("double").alias("o"))
+    counts = marked.join(other, ["kind", "entry"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
+    odds = ((F.col("t") + SMOOTH) / (toxic + 2 * SMOOTH)) / ((F.col("o") + SMOOTH) / (n - toxic + 2 * SMOOTH))
+    kept = counts.withColumn("odds", odds).filter(F.col("odds") >= WEAK_ODDS).orderBy("kind", "entry")
+    return minimal([(r["kind"], r["entry"], float(np.log(r["odds"])), r["odds"] >= LEAST_ODDS) for r in kept.collect()])
+
+
+LEXICON_VOTERS = [f"{kind}_{k}" for kind, n in GROUPS for k in range(n)]
 #: What :func:`text_hits` gives of a text, in order.
-FEATURES = [f"hits_{s}" for s in FAMILIES] + [f"weight_{s}" for s in FAMILIES] + ["words", "exclaims", "shouts"]
+HITS = [f"hits_{v}" for v in LEXICON_VOTERS] + ["weight", "weak", "entries", "most", "halves"]
+FEATURES = [*HITS, "words", "exclaims", "shouts"]
+_automata: dict[bytes, object] = {}
 
 
-def text_hits(docs: DataFrame, lexicon: list[tuple[str, int, float]]) -> DataFrame:
+def _automaton(lexicon: list[Entry]):
+    """Built once for each Python worker and lexicon."""
+    key = hashlib.blake2b(repr(lexicon).encode(), digest_size=16).digest()
+    if key not in _automata:
+        _automata.clear()
+        find = ahocorasick.Automaton()
+        for k, e in enumerate(lexicon):
+            find.add_word(e.pattern(), (k, e.voter, e.weight))
+        find.make_automaton()
+        _automata[key] = find
+    return _automata[key]
+
+
+def count_hits(text: str, find) -> list[float]:
+    """The counts of :data:`HITS` in lower-case words parted by single spaces, one at each end."""
+    n = len(LEXICON_VOTERS)
+    row, own, middle, first, second = [0.0] * len(HITS), {}, len(text) // 2, 0, 0
+    for at, (k, voter, weight) in find.iter(text):
+        if voter < 0:
+            row[n + 1] += weight
+            continue
+        row[voter] += 1
+        row[n] += weight
+        own[k] = own.get(k, 0) + 1
+        first, second = (first + 1, second) if at < middle else (first, second + 1)
+    row[n + 2], row[n + 3], row[n + 4] = float(len(own)), float(max(own.values(), default=0)), float(min(first, second))
+    return row
+
+
+def text_hits(docs: DataFrame, lexicon: list[Entry]) -> DataFrame:
     """doc_id and the counts of :data:`FEATURES` of every whole text."""
     bound_batches(docs.sparkSession)
-    n = len(FAMILIES)
 
     @F.arrow_udf("array<double>")
     def hits(texts: pa.Array) -> pa.Array:
-        find = ahocorasick.Automaton()
-        for entry, family, weight in lexicon:
-            # a word may begin an entry of one family and be one of another
-            find.add_word(f" {entry} " if family == 0 else f" {entry}", (FAMILIES.index(family), weight))
-        find.make_automaton()
-        out = []
-        for t in texts:
-            row = [0.0] * (2 * n)
-            if lexicon:
-                for _, (k, w) in find.iter(t.as_py()):
-                    row[k] += 1
-                    row[n + k] += w
-            out.append(row)
-        return pa.array(out, pa.list_(pa.float64()))
+        if not lexicon:
+            return pa.array([[0.0] * len(HITS)] * len(texts), pa.list_(pa.float64()))
+        find = _automaton(lexicon)
+        return pa.array([count_hits(t, find) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
     text = F.coalesce("text", F.lit(""))
     made = docs.select("doc_id", hits(_letters(F.col("text"))).alias("h"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"), F.regexp_count(text, F.lit("!")).alias("exclaims"), F.regexp_count(text, F.lit(r"\b[A-Z]{3,}\b")).alias("shouts"))
-    return made.select("doc_id", *[F.col("h")[k].alias(c) for k, c in enumerate(FEATURES[: 2 * n])], *[F.col(c).cast("double").alias(c) for c in FEATURES[2 * n :]])
+    return made.select("doc_id", *[F.col("h")[k].alias(c) for k, c in enumerate(HITS)], *[F.col(c).cast("double").alias(c) for c in FEATURES[len(HITS) :]])
+
+
+def _a_word(name: str) -> Column:
+    return F.col(name) / F.greatest(F.col("words"), F.lit(1.0))
 
 
 def voters() -> dict[str, Column]:
     """Name and condition of each voter: it votes 1 where that holds, else 0."""
-    c, words = F.col, F.greatest(F.col("words"), F.lit(1.0))
-    out = {f"any_{s}": c(f"hits_{s}") >= 1 for s in FAMILIES}
-    out |= {f"two_{s}": c(f"hits_{s}") >= 2 for s in FAMILIES}
-    out |= {f"dense_{s}": c(f"hits_{s}") / words >= 0.005 for s in (5, 0)}
-    out |= {f"heavy_{s}": c(f"weight_{s}") >= 6.0 for s in (4, 6)}
-    return out | {"exclaims": c("exclaims") / words >= 0.05, "shouts": c("shouts") / words >= 0.1}
+    c = F.col
+    every = sum((c(f"hits_{v}") for v in LEXICON_VOTERS), F.lit(0.0))
+    out = {v: c(f"hits_{v}") >= 1 for v in LEXICON_VOTERS}
+    out |= {"repeats": c("most") >= 2, "halves": c("halves") >= 1, "dense": every >= 0.02 * F.greatest(c("words"), F.lit(1.0)), "several": c("entries") >= 3}
+    return out | {"exclaims": _a_word("exclaims") >= 0.05, "shouts": _a_word("shouts") >= 0.1}
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Rates of each voter in toxic and other texts, its weight among correlated voters, and the share of toxic texts."""
+    """Share of toxic texts, and each voter's chance to vote 1 by class (0, 1) and by the vote (0, 1) of the voter it is linked to (-1: none)."""
 
     names: list[str]
-    toxic: np.ndarray
-    other: np.ndarray
-    weight: np.ndarray
     prior: float
+    linked: list[int]
+    rates: np.ndarray
 
     def logit(self, votes: dict[str, Column]) -> Column:
         out = F.lit(float(np.log(self.prior / (1 - self.prior))))
-        for k, name in enumerate(self.names):
-            yes = float(self.weight[k] * np.log(self.toxic[k] / self.other[k]))
-            no = float(self.weight[k] * np.log((1 - self.toxic[k]) / (1 - self.other[k])))
-            out = out + F.when(votes[name], F.lit(yes)).otherwise(F.lit(no))
+        for j, name in enumerate(self.names):
+            yes, no = np.log(self.rates[j, 1] / self.rates[j, 0]), np.log((1 - self.rates[j, 1]) / (1 - self.rates[j, 0]))
+            given = [F.when(votes[name], float(yes[v])).otherwise(float(no[v])) for v in (0, 1)]
+            up = self.linked[j]
+            out = out + (given[0] if up < 0 else F.when(votes[self.names[up]], given[1]).otherwise(given[0]))
         return out
 
+    def log_chances(self, patterns: np.ndarray) -> np.ndarray:
+        """Log of the chance of each pattern together with either class, a row for each pattern."""
+        out = np.tile(np.log([1 - self.prior, self.prior]), (len(patterns), 1))
+        for j, up in enumerate(self.linked):
+            given = patterns[:, up] if up >= 0 else np.zeros(len(patterns), dtype=int)
+            for y in (0, 1):
+                p = self.rates[j, y][given]
+                out[:, y] += np.log(np.where(patterns[:, j] == 1, p, 1 - p))
+        return out
 
-def fit_label_model(names: list[str], n: float, means: np.ndarray, second: np.ndarray, prior: float) -> LabelModel:
-    """The model from moments. Given the class, voters i and j that are independent
-    agree by prior * (1 - prior) * d_i * d_j, d being the difference of their
-    rates: a rank-one matrix off the diagonal. Pairs far off it are left out
-    as correlated and the rest is fitted again."""
+    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+        both = self.log_chances(patterns)
+        return 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -500, 500)))
+
+
+def _rates(patterns: np.ndarray, counts: np.ndarray, q: np.ndarray, linked: list[int]) -> np.ndarray:
+    """Smoothed chances to vote 1, by voter, class and the linked voter's vote."""
+    out = np.zeros((len(linked), 2, 2))
+    for y, w in ((0, counts * (1 - q)), (1, counts * q)):
+        for j, up in enumerate(linked):
+            alone = (w @ patterns[:, j] + 0.1) / (w.sum() + 0.2)
+            for v in (0, 1):
+                own = w if up < 0 else w * (patterns[:, up] == v)
+                # rates given a vote that hardly occurs are drawn to the voter's own rate
+                out[j, y, v] = (own @ patterns[:, j] + 5 * alone) / (own.sum() + 5)
+    return np.clip(out, 1e-6, 1 - 1e-6)
+
+
+def _forest(patterns: np.ndarray, counts: np.ndarray, q: np.ndarray) -> list[int]:
+    """For each voter the one it is linked to: a greatest spanning forest by conditional mutual information."""
+    m, total = patterns.shape[1], counts.sum()
+    worth = np.zeros((m, m))
+    for y, w in ((0, counts * (1 - q)), (1, counts * q)):
+        size = max(w.sum(), 1e-9)
+        for i in range(m):
+            for j in range(i):
+                for a in (0, 1):
+                    for b in (0, 1):
+                        both = (w @ ((patterns[:, i] == a) & (patterns[:, j] == b))) / size
+                        apart = ((w @ (patterns[:, i] == a)) / size) * ((w @ (patterns[:, j] == b)) / size)
+                        if both > 1e-12:
+                            worth[i, j] += size / total * both * np.log(both / apart)
+    tree, linked = list(range(m)), {j: [] for j in range(m)}
+    for i, j in sorted(((i, j) for i in range(m) for j in range(i) if worth[i, j] >= LINKED), key=lambda x: -worth[x]):
+        if tree[i] != tree[j]:
+            old = tree[i]
+            tree = [tree[j] if t == old else t for t in tree]
+            linked[i].append(j), linked[j].append(i)
+    up, seen = [-1] * m, set()
+    for root in range(m):
+        todo = [root] if root not in seen else []
+        seen |= {root}
+        while todo:
+            k = todo.pop()
+            for x in linked[k]:
+                if x not in seen:
+                    seen.add(x)
+                    up[x] = k
+                    todo.append(x)
+    return up
+
+
+def fit_label_model(names: list[str], patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 60) -> LabelModel:
+    """The model by expectation maximisation over vote patterns (0 or 1, a column for each voter) and how often each occurs."""
     m = len(names)
-    cov = second - np.outer(means, means)
-    sd = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
-    corr = cov / np.outer(sd, sd)
-    use = ~np.eye(m, dtype=bool)
-    b = np.zeros(m)
-    for _ in range(4):
-        b = np.sqrt(np.clip(np.where(use, corr, 0).sum(1) / np.maximum(use.sum(1), 1), 1e-6, 1))
-        for _ in range(200):
-            top, low = (use * corr) @ b, use @ (b * b)
-            b = 0.5 * b + 0.5 * np.clip(top / np.maximum(low, 1e-9), -0.999, 0.999)
-        off = np.abs(corr - np.outer(b, b))
-        fresh = ~np.eye(m, dtype=bool) & (off < CORRELATED)
-        if fresh.sum(1).min() < 2:  # a voter needs others to be judged by
-            break
-        use = fresh
-    extra = np.where(np.eye(m, dtype=bool), 0, np.clip(corr - np.outer(b, b), 0, None))
-    like = np.clip(np.outer(b, b), 0, None) * ~np.eye(m, dtype=bool)
-    weight = 1 / (1 + extra.sum(1) + 0.5 * like.sum(1) / max(1, m - 1) * (m > 8))
-    d = b * sd / np.sqrt(prior * (1 - prior))
-    floor = 1 / (n + 2)
-    other = np.clip(means - prior * d, floor, 1 - floor)
-    toxic = np.clip(other + d, floor, 1 - floor)
-    return LabelModel(names, toxic, other, weight, prior)
+    if not len(patterns):
+        return LabelModel(names, prior, [-1] * m, np.full((m, 2, 2), 0.5))
+    counts = counts.astype(float)
+    # to begin with a text is the likelier toxic the more voters say so
+    q = np.clip((patterns.sum(1) - 0.5) / 4, 0.001, 0.98)
+    linked = [-1] * m
+    for stage in range(2):
+        for _ in range(rounds):
+            model = LabelModel(names, prior, linked, _rates(patterns, counts, q, linked))
+            q = model.posterior(patterns)
+        if stage == 0:
+            linked = _forest(patterns, counts, q)
+    return model
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -202,25 +311,23 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.nda
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    open_labels = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic").filter("toxic is not null")
-    sample = cut(bounded_sample(open_labels, LABELLED_ROWS, 0), "toxicity-sample")
-    # bounded by LABELLED_ROWS, so its broadcast does not grow
-    lexicon = mine_lexicons(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"))
-    prior = sample.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
+    docs = docs.select("doc_id", "text")
+    labels = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic").filter("toxic is not null")
+    # a merge join whatever the sizes: labels grow with the corpus
+    lexicon = mine_lexicons(docs.join(labels.hint("merge"), "doc_id").select("text", "toxic"))
+    prior = labels.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     prior = min(max(prior, 0.01), 0.5)
-    features = cut(text_hits(docs.select("doc_id", "text"), lexicon), "toxicity-features")
+    features = cut(text_hits(docs, lexicon), "toxicity-features")
 
     votes = voters()
     names = list(votes)
-    bits = [F.coalesce(votes[v].cast("double"), F.lit(0.0)) for v in names]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    row = features.select(F.array(*bits).alias("v")).agg(F.count(F.lit(1)).alias("n"), *[F.avg(F.col("v")[i] * F.col("v")[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
-    second = np.zeros((len(names), len(names)))
-    for i, j in pairs:
-        second[i, j] = second[j, i] = row[f"m{i}_{j}"] or 0.0
-    model = fit_label_model(names, row["n"] or 1, np.diag(second).copy(), second, prior)
-
-    inputs = [F.log1p(F.col(c)) for c in FEATURES[: 2 * len(FAMILIES)]] + [F.col("exclaims") / F.greatest(F.col("words"), F.lit(1.0)), F.col("shouts") / F.greatest(F.col("words"), F.lit(1.0))]
+    pattern = sum((F.when(votes[v], 1 << k).otherwise(0) for k, v in enumerate(names)), F.lit(0))
+    # at most 2^16 rows, however many documents there are
+    seen = features.groupBy(pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("n")).orderBy("pattern").collect()
+    patterns = np.array([[r["pattern"] >> k & 1 for k in range(len(names))] for r in seen], dtype=int).reshape(-1, len(names))
+    model = fit_label_model(names, patterns, np.array([r["n"] for r in seen]), prior)
+
+    inputs = [F.log1p(F.col(c)) for c in HITS] + [F.log1p(100 * _a_word(c)) for c in ("weight", "weak")] + [_a_word(c) for c in ("exclaims", "shouts")]
     posterior = 1 / (1 + F.exp(-model.logit(votes)))
     fit = features.filter(~held_out(F.col("doc_id"))).select("doc_id", F.array(*inputs).alias("x"), posterior.alias("y"))
     fit = bounded_sample(fit, FIT_ROWS, 1).collect()
