@@ -229,15 +229,16 @@ class _Shared:
         return both
 
 
-def compare(key: int, sets: list[np.ndarray], keys: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each set of a bucket, and for each the least set of its part of the spanning forest.
+def compare(key: int, sets: list[np.ndarray], keys: list[np.ndarray], copies: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of each set of a bucket, documents that these lead to, and for each set the least one of its part of the spanning forest.
 
-    Pairs that another, lesser bucket holds too are left to it. ``side``: if
-    given, only pairs of different sides are compared.
+    Pairs that another, lesser bucket holds too are left to it. ``copies``:
+    documents of each set. ``side``: if given, only pairs of different sides
+    are compared.
     """
     m = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    links, label = np.zeros(m, dtype=np.int64), np.arange(m)
+    links, others, label = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64), np.arange(m)
     order = np.argsort(size, kind="stable")
     shared = _Shared([sets[k] for k in order])
     lesser = _Shared([keys[k][keys[k] < key] for k in order])
@@ -257,17 +258,19 @@ def compare(key: int, sets: list[np.ndarray], keys: list[np.ndarray], side: np.n
         if len(j):
             links[order[i]] += len(j)
             links[order[j]] += 1
+            others[order[i]] += copies[order[j]].sum()
+            others[order[j]] += copies[order[i]]
             parts = np.unique(label[order[np.append(j, i)]])
             if len(parts) > 1:
                 label[np.isin(label, parts)] = parts[0]
-    return links, label
+    return links, others, label
 
 
 def _linked(docs: DataFrame, buckets: DataFrame, members: DataFrame, small: int, tokens: int) -> DataFrame:
-    """g, root, links from the comparison of buckets (key, g, size, tokens); root: a set of the same part."""
+    """g, root, links, others from the comparison of buckets (key, g, size, tokens); root: a set of the same part; others: documents of linked sets."""
     blocks = F.greatest(F.ceil(F.col("size") / small), F.ceil(F.col("tokens") / tokens)).cast("int")
     one = F.struct("key", blocks.alias("blocks"))
-    asked = buckets.groupBy("g").agg(F.collect_list(one).alias("held")).join(members.hint("merge"), "g").select("f", "r", "g", "held")
+    asked = buckets.groupBy("g").agg(F.collect_list(one).alias("held")).join(members.hint("merge"), "g").select("f", "r", "g", "n_copies", "held")
     asked = asked.withColumn("own", F.pmod(F.xxhash64("g"), F.lit(1 << 30)))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,25 +283,25 @@ def _linked(docs: DataFrame, buckets: DataFrame, members: DataFrame, small: int,
                     mine = own % h["blocks"]
                     for other in range(h["blocks"]):
                         row.append(k), key.append(h["key"]), p.append(min(mine, other)), q.append(max(mine, other)), side.append(mine), keys.append(every)
-            names = ["key", "p", "q", "side", "g", "keys", "tokens"]
+            names = ["key", "p", "q", "side", "g", "copies", "keys", "tokens"]
             for s in range(0, len(row), 500):
                 e = s + 500
-                made = [pa.array(key[s:e], pa.int64()), *(pa.array(x[s:e], pa.int32()) for x in (p, q, side)), batch.column("g").take(pa.array(row[s:e], pa.int64())), pa.array(keys[s:e], pa.list_(pa.int64())), pa.array([tokens[k] for k in row[s:e]], pa.list_(pa.int32()))]
+                made = [pa.array(key[s:e], pa.int64()), *(pa.array(x[s:e], pa.int32()) for x in (p, q, side)), *(batch.column(x).take(pa.array(row[s:e], pa.int64())) for x in ("g", "n_copies")), pa.array(keys[s:e], pa.list_(pa.int64())), pa.array([tokens[k] for k in row[s:e]], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(made, names=names)
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(found: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64()))], names=["g", "root", "links"])
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int64()))], names=["g", "root", "links", "others"])
 
         def finish() -> None:
             if len(g) < 2:
                 return
             (key, p, q), sides = last, np.array(side)
-            links, label = compare(key, tokens, keys, sides if p != q else None)
+            links, others, label = compare(key, tokens, keys, np.array(copies), sides if p != q else None)
             for k in np.flatnonzero(links).tolist():
-                found.append((g[k], g[label[k]], int(links[k])))
+                found.append((g[k], g[label[k]], int(links[k]), int(others[k])))
 
-        last, g, tokens, keys, side, found = None, [], [], [], [], []
+        last, g, tokens, keys, side, copies, found = None, [], [], [], [], [], []
         for batch in batches:
             at = list(zip(*(batch.column(c).to_pylist() for c in ("key", "p", "q")), strict=True))
             flats = []
@@ -307,21 +310,21 @@ def _linked(docs: DataFrame, buckets: DataFrame, members: DataFrame, small: int,
                 ends = np.cumsum([0, *col.value_lengths().to_pylist()])
                 flat = col.flatten().to_numpy(zero_copy_only=False)
                 flats.append([flat[a:b].copy() for a, b in zip(ends, ends[1:], strict=False)])
-            for where, one, t, k, s in zip(at, batch.column("g").to_pylist(), *flats, batch.column("side").to_pylist(), strict=True):
+            for where, one, t, k, s, n in zip(at, batch.column("g").to_pylist(), *flats, *(batch.column(c).to_pylist() for c in ("side", "copies")), strict=True):
                 if where != last:
                     finish()
-                    last, g, tokens, keys, side = where, [], [], [], []
+                    last, g, tokens, keys, side, copies = where, [], [], [], [], []
                     if len(found) > 5000:
                         yield done(found)
                         found = []
-                g.append(one), tokens.append(t), keys.append(k), side.append(s)
+                g.append(one), tokens.append(t), keys.append(k), side.append(s), copies.append(n)
         finish()
         yield done(found)
 
     texts = docs.join(asked.hint("merge"), ["f", "r"])
-    rows = _hashed(texts).select("g", "held", "own", "words").mapInArrow(spread, "key bigint, p int, q int, side int, g binary, keys array<bigint>, tokens array<int>")
+    rows = _hashed(texts).select("g", "n_copies", "held", "own", "words").mapInArrow(spread, "key bigint, p int, q int, side int, g binary, copies bigint, keys array<bigint>, tokens array<int>")
     dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInArrow(solve, "g binary, root binary, links bigint")
+    return dealt.mapInArrow(solve, "g binary, root binary, links bigint, others bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,13 +347,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL, tokens: int = TOKENS) -> DataFrame:
-    """f, r, doc_id, class_id (least doc_id of the class), n_links (different sets at the threshold or above), n_copies, first (least row of the class)."""
+    """f, r, doc_id, class_id (least doc_id of the class), n_links (different sets at the threshold or above), n_copies, n_doc_links (other documents at the threshold or above, copies included), first (least row of the class)."""
     bound_batches(docs.sparkSession, rows=500, mb=8)
     n_runs, repeats = runs(target)
     described = cut(_described(docs, n_runs), "near-described")
     reps = described.filter("g is not null").groupBy("g").agg(F.min(F.struct("f", "r")).alias("at"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     reps = cut(reps, "near-sets")
-    members, sketches = reps.select("g", "at.f", "at.r"), reps.select("g", "sketch")
+    members, sketches = reps.select("g", "at.f", "at.r", "n_copies"), reps.select("g", "sketch")
     pairs = reps.select("g", "n", F.explode("keys").alias("key"))
     buckets = None
     for depth in range(DEPTH + 1):
@@ -366,9 +369,9 @@ def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL,
         pairs = paths.join(reps.select("g", "n").hint("merge"), "g")
     found = cut(_linked(docs, buckets, members, small, tokens), "near-links")
     roots = components(found.select(F.col("g").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("g").agg(F.sum("links").alias("n_links"))
+    links = found.groupBy("g").agg(F.sum("links").alias("n_links"), F.sum("others").alias("others"))
     sets = reps.select("g", "n_copies").join(links.hint("merge"), "g", "left").join(roots.withColumnRenamed("node", "g").hint("merge"), "g", "left")
-    sets = sets.select("g", "n_copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("root", "g").alias("root"))
+    sets = sets.select("g", "n_copies", F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("others", F.lit(0).cast("bigint")).alias("others"), F.coalesce("root", "g").alias("root"))
     rows = described.select("f", "r", "doc_id", "g").join(sets.hint("merge"), "g", "left")
     rows = cut(rows, "near-rows")
     own = F.struct(F.col("doc_id"), F.col("f"), F.col("r"))
@@ -380,6 +383,7 @@ def classes(docs: DataFrame, target: float = TARGET_RECALL, small: int = SMALL,
         F.when(lone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
         F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"),
+        F.coalesce(F.col("others") + F.col("n_copies") - 1, F.lit(0).cast("bigint")).alias("n_doc_links"),
         (lone | ((F.col("least.f") == F.col("f")) & (F.col("least.r") == F.col("r")))).alias("first"),
     )
 
@@ -392,8 +396,8 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies of every document."""
-    return classes(with_rows(located(docs.select("doc_id", "text"))), **options).select("doc_id", "class_id", "n_links", "n_copies")
+    """doc_id, class_id, n_links, n_copies, n_doc_links of every document."""
+    return classes(with_rows(located(docs.select("doc_id", "text"))), **options).select("doc_id", "class_id", "n_links", "n_copies", "n_doc_links")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
