@@ -70,6 +70,12 @@ def near(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, int]]:
     return out
 
 
+def near_documents(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    """For each id how many other rows are similar."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    return {i: sum(5 * len(a & b) >= 4 * len(a | b) for k, (_, b) in enumerate(sets) if k != j and b) if a else 0 for j, (i, a) in enumerate(sets)}
+
+
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

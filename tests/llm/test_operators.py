@@ -43,6 +43,7 @@ def test_layouts_become_the_same_turns(spark):
         assert [(t.role, t.text) for t in got[k].turns] == [("user", "q"), ("assistant", "a")], LAYOUTS[k]
     assert got[90].turns[0].text == "q\n\nmore"
     assert got[91].layout == got[92].layout == "unknown" and got[91].turns is None
+    assert len({chat_format.fingerprint(m.paths()) for m in chat_format.MAPPINGS}) == len(chat_format.MAPPINGS)
     for k, x in enumerate(LAYOUTS):
         table = spark.read.json(spark.sparkContext.parallelize([json.dumps(x | {"k": k})]))
         assert [(t.role, t.text) for t in chat_format.canonical_turns(table, "k").first().turns] == [("user", "q"), ("assistant", "a")]
@@ -50,6 +51,34 @@ def test_layouts_become_the_same_turns(spark):
         chat_format.canonical_turns(spark.range(1).withColumn("k", F.lit(1)), "k")
 
 
+MIXED = [  # value, layout, turns
+    ({"prompt": None, "completion": "a"}, "prompt_completion", [("user", ""), ("assistant", "a")]),
+    ({"messages": []}, "messages", []), ({"messages": None, "lang": "en"}, "messages", []),
+    ({"messages": [{"role": "user", "content": None, "id": 1}, {"role": "gpt", "content": "a", "name": {"role": 3}}]}, "messages", [("user", ""), ("assistant", "a")]),
+    ({"messages": [{"role": "user"}, "text", {"role": None, "content": "a"}]}, "messages", [("user", ""), ("", ""), ("", "a")]),
+    ({"messages": [{"role": "user", "content": "q"}], "prompt": "p", "completion": "c"}, "messages", [("user", "q")]),
+    ({"prompt": "q", "completion": "a", "response": "b", "question": "no answer"}, "prompt_completion", [("user", "q"), ("assistant", "a")]),
+    ({"prompt": "q", "completion": "a", "system": ""}, "system_prompt", [("user", "q"), ("assistant", "a")]),
+    ({"prompt": "q", "completion": "a", "system": "s", "meta": {"prompt": 1}}, "system_prompt", [("system", "s"), ("user", "q"), ("assistant", "a")]),
+    ({"instruction": "q", "input": None, "output": 7, "turn": 1, "role": "x", "text": "y"}, "instruction_input", [("user", "q"), ("assistant", "7")]),
+    ({"prompt": {"a": 1}, "completion": "a"}, "unknown", None), ({"prompt": "q"}, "unknown", None), ([], "unknown", None), (None, "unknown", None),
+]
+
+
+def test_mixed_layouts_find_their_mapping_by_fingerprint(spark):
+    rows = [(k, json.dumps(x)) for k, (x, _, _) in enumerate(MIXED)] + [(80, None), (81, "")]
+    got = {r.k: r for r in chat_format.turns_from_json(spark.createDataFrame(rows, "k int, raw string").withColumn("layout", F.lit("clash")).withColumn("_print", F.lit(1)), "k", "raw").collect()}
+    for k, (x, layout, turns) in enumerate(MIXED):
+        assert got[k].layout == layout, x
+        assert (got[k].turns if turns is None else [(t.role, t.text) for t in got[k].turns]) == turns, x
+    assert got[80].layout == got[81].layout == "unknown"
+    # a registered set of paths and only such a one is found, by its digest
+    for m in chat_format.MAPPINGS:
+        own = chat_format.normal([*m.paths(), "id:int", "prompt.a:int"])
+        assert chat_format.REGISTRY[chat_format.fingerprint(own)].paths() == next(o for o in chat_format.MAPPINGS if set(own) >= set(o.paths())).paths()
+    assert chat_format.fingerprint([]) not in chat_format.REGISTRY
+
+
 def test_chat_round_trip(spark):
     texts = ["", "&lt;", "a <turn assistant>\nb</turn>\n", "\\### Assistant: </turn> ok", "&amp;amp; > <", "😀</turn>\n</turn>\n"]
     rows = [(k, n, random.Random(k + n).choice(["user", "assistant", "a>\n<b"]), t) for k in range(3) for n, t in enumerate(texts)]
@@ -154,22 +183,50 @@ def test_guess_costs():
     assert secret_scan.spans(strong) == [("guess", 15, 28)]
 
 
+RANDOM_8 = ["xK9#mQ2p", "hV7$kR3!", "Zq8rT5wN", "t%9Lw&4Z"]
+EXPLAINED = ["changeme2024", "P@ssw0rd123", "qwertyuiop", "letmein!", "2024-05-06", "aaaaaaaa", "sunshine-2021", "october2023!", "abcabcabc", "placeholder", "yourpassword", "elephant99", "<your-token>", "example_key"]
+
+
+@pytest.mark.parametrize("value", RANDOM_8)
+def test_random_values_are_added(value):
+    text = f"login: me pwd = {value} end"
+    assert secret_scan.spans(text) == [("guess", 16, 24)] and re.search(secret_scan.TRIGGER, text)
+
+
+@pytest.mark.parametrize("value", EXPLAINED)
+def test_explained_values_are_withheld(value):
+    assert [x for x in secret_scan.spans(f"pwd = {value} end") if x[0] == "guess"] == []
+
+
+def test_words_are_ranked():
+    rank = secret_scan.ranks(secret_scan.default_vocabulary())
+    assert rank["password"] == 1 and rank["the"] < rank["house"] < rank["elephant"] and len(rank) > 20_000
+    assert secret_scan.log10_guesses("elephant") < 6 < secret_scan.log10_guesses("tnahpele")
+
+
+def test_many_spans_in_one_text():
+    text = " ".join(f"token: abcdefghijkl{k:04d} pwd = hV7$kR3! x" for k in range(2000))
+    found = secret_scan.spans(text)
+    assert sum(k == "assign" for k, *_ in found) == sum(k == "guess" for k, *_ in found) == 2000
+
+
 def least_cost(value: str) -> float:
     """Every way to split a short value."""
     cheap = {}
-    for s, e, c in secret_scan.segments(value):
+    both = secret_scan.both_cases(value)
+    for s, e, c in secret_scan.segments(value, secret_scan.ranks(secret_scan.default_vocabulary())):
         cheap[s, e] = min(c, cheap.get((s, e), c))
 
     def best(s: int) -> float:
         if s == len(value):
             return 0.0
-        return min(secret_scan.SEGMENT + min(cheap.get((s, e), 1e9), sum(map(secret_scan._letter_cost, value[s:e]))) + best(e) for e in range(s + 1, len(value) + 1))
+        return min(secret_scan.SEGMENT + min(cheap.get((s, e), 1e9), sum(secret_scan._letter_cost(c, both) for c in value[s:e])) + best(e) for e in range(s + 1, len(value) + 1))
 
     return best(0)
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.text(alphabet="pasword1290qwe-", max_size=9))
+@given(st.text(alphabet="pasword1290qwe-PK", max_size=9))
 def test_guess_cost_is_least(value):
     assert secret_scan.log10_guesses(value) == pytest.approx(least_cost(value))
 
@@ -281,16 +338,58 @@ def test_scores_use_texts_only(spark, small, make):
     assert {r.doc_id: r.score for r in toxicity.score(other, hidden).collect()} == pytest.approx(first)
 
 
-def test_label_model_finds_accuracies():
-    rng = np.random.default_rng(0)
-    y = rng.random(60_000) < 0.2
+def _votes(rng, n: int):
+    """Classes and votes: five voters of known rates, and one that mostly says what the first says."""
+    y = rng.random(n) < 0.2
     true = [(0.9, 0.02), (0.8, 0.05), (0.7, 0.01), (0.6, 0.1), (0.85, 0.03)]
-    v = np.array([np.where(y, rng.random(len(y)) < p, rng.random(len(y)) < q) for p, q in true]).astype(float)
-    v = np.vstack([v, v[0]])  # one voter twice: correlated beyond the class
-    m = toxicity.fit_label_model([f"v{k}" for k in range(6)], len(y), v.mean(1), v @ v.T / len(y), 0.2)
+    v = [np.where(y, rng.random(n) < p, rng.random(n) < q) for p, q in true]
+    v.append(np.where(rng.random(n) < 0.9, v[0], rng.random(n) < 0.3))
+    return y, true, np.array(v).T.astype(int)
+
+
+def test_label_model_finds_accuracies_and_correlations():
+    y, true, v = _votes(np.random.default_rng(0), 60_000)
+    patterns, counts = np.unique(v, axis=0, return_counts=True)
+    m = toxicity.fit_label_model([f"v{k}" for k in range(6)], patterns, counts, 0.2)
+    assert m.linked[5] == 0 or m.linked[0] == 5  # the copy is linked to its model, and its rates follow its vote
+    child = 5 if m.linked[5] == 0 else 0
+    assert (m.rates[child, :, 1] - m.rates[child, :, 0] > 0.5).all()
     for k in range(1, 5):
-        assert abs(m.toxic[k] - true[k][0]) < 0.06 and abs(m.other[k] - true[k][1]) < 0.03
-    assert m.weight[0] < m.weight[2] and m.weight[5] < m.weight[2]
+        if m.linked[k] < 0:
+            assert abs(m.rates[k, 1, 0] - true[k][0]) < 0.06 and abs(m.rates[k, 0, 0] - true[k][1]) < 0.03
+    assert ((m.posterior(v) >= 0.5) == y).mean() > 0.97
+
+
+def test_posterior_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    names = [f"v{k}" for k in range(6)]
+    m = toxicity.LabelModel(names, 0.3, [-1, 0, 0, 1, -1, 4], rng.uniform(0.05, 0.95, (6, 2, 2)))
+    every = np.array([[x >> k & 1 for k in range(6)] for x in range(64)])
+
+    def chance(pattern, y) -> float:
+        out = 0.3 if y else 0.7
+        for j, up in enumerate(m.linked):
+            p = m.rates[j, y, pattern[up] if up >= 0 else 0]
+            out *= p if pattern[j] else 1 - p
+        return out
+
+    both = np.array([[chance(x, y) for y in (0, 1)] for x in every])
+    assert both.sum() == pytest.approx(1) and np.exp(m.log_chances(every)) == pytest.approx(both)
+    want = both[:, 1] / both.sum(1)
+    assert m.posterior(every) == pytest.approx(want)
+    table = spark.createDataFrame([tuple(map(int, x)) for x in every], ", ".join(f"{n} int" for n in names))
+    got = table.select(m.logit({n: F.col(n) == 1 for n in names}).alias("x")).collect()
+    assert [1 / (1 + np.exp(-r.x)) for r in got] == pytest.approx(want.tolist())
+
+
+def test_voters_are_not_nested():
+    found = [("short", "tra", 5.0, True), ("short", "tras", 5.0, True), ("long", "trash", 5.0, True), ("word", "tra", 5.0, True), ("word", "trap", 3.0, False), ("ending", "rash", 4.0, True), ("long", "moron", 4.0, True), ("word", "ok", 4.0, True)]
+    kept = {(e.kind, e.text): e.voter for e in toxicity.minimal(found)}
+    assert kept.keys() == {("short", "tra"), ("ending", "rash"), ("long", "moron"), ("word", "ok")}
+    assert len(set(kept.values())) == 4
+    entries = [toxicity.Entry("tra", "short", 2.0, 0), toxicity.Entry("ok", "word", 1.0, 6), toxicity.Entry("ash", "ending", 3.0, -1)]
+    row = dict(zip(toxicity.HITS, toxicity.count_hits(" trash ok trap okay stra ", toxicity._automaton(entries)), strict=True))
+    assert (row["hits_short_0"], row["hits_word_0"], row["weight"], row["weak"], row["entries"], row["most"], row["halves"]) == (2, 1, 5.0, 3.0, 2, 2, 1)
 
 
 # 7 -----------------------------------------------------------------------------------------------
@@ -381,10 +480,12 @@ def similar():
 @pytest.mark.parametrize("options", [{}, {"small": 40}, {"tokens": 3000}])
 def test_near_classes(spark, make, similar, options):
     want = brute.near([(i, t) for i, t, *_ in similar])
-    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies) for r in near_join.near_duplicates(make(similar), target=0.9999, **options).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links, r.n_copies, r.n_doc_links) for r in near_join.near_duplicates(make(similar), target=0.9999, **options).collect()}
     assert got.keys() == want.keys()
     assert sum(got[i][1] for i in got) >= 0.99 * sum(want[i][1] for i in want) and all(got[i][1] <= want[i][1] for i in got)
     assert sum(got[i][0] != want[i][0] for i in got) <= 1 and all(got[i][2] == want[i][2] for i in got)
+    for i, own in brute.near_documents([(i, t) for i, t, *_ in similar]).items():
+        assert got[i][3] <= own and (got[i][1] < want[i][1] or got[i][3] == own)
 
 
 def test_near_recall_on_documents(spark, small):
