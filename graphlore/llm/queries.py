@@ -136,22 +136,70 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def _op9_sql() -> str:
-    def canonical(x: str) -> str:
-        x = f"regexp_replace(lower({x}), '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
-        x = f"' ' || regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' '".replace("\\\\", "\\")
-        x = f"replace(replace({x}, '  ', ' '), '  ', ' ')"
-        for a, b in license_scan.SPELLINGS:
-            x = f"replace({x}, '{a}', '{b}')"
-        return f"sha256({x})"
-
-    known = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in license_scan.KNOWN)
-    return f"""WITH known AS (SELECT DISTINCT license, {canonical('text')} AS digest FROM (VALUES {known}) k(license, text)),
+def _canonical_sql(x: str) -> str:
+    """Written out here, not taken from the operator's tables, so that the one is held against the other."""
+    spelt = (
+        (" licenc", " licens"), (" sub licens", " sublicens"), (" organis", " organiz"), (" authoris", " authoriz"), (" recognis", " recogniz"),
+        (" utilis", " utiliz"), (" realis", " realiz"), (" favour", " favor"), (" behaviour", " behavior"), (" e mail", " email"),
+        (" non commercial", " noncommercial"), (" whilst ", " while "), (" per cent ", " percent "), (" merchantibility ", " merchantability "), (" fulfilment ", " fulfillment "),
+    )
+    x = rf"regexp_replace(lower({x}), '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$', ' ', 'g')"
+    x = rf"' ' || regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g') || ' '"
+    x = f"replace(replace({x}, '  ', ' '), '  ', ' ')"
+    for before, after in spelt:
+        x = f"replace({x}, '{before}', '{after}')"
+    return f"sha256({x})"
+
+
+#: Licences and digests of the canonical forms of their texts and notices; fixed values.
+OP9_KNOWN = """
+  ('0BSD', 'a65e75d1143c13ab3ec48ecb3eb1a5c4d027f27dece6853b821abe188b521244'),
+  ('Apache-2.0', '09e02350ed1aee730192e270be576bb6a819255b51e916d0c8c8947b4f298e24'),
+  ('Apache-2.0', '6b837003b475e68b638934fe59cf5a80fd42aaac706b018e5e9953cd03b6d609'),
+  ('Apache-2.0', '91788a58d686f795b99385623baaebc235921baf52ec95d14bb86e859e580352'),
+  ('Apache-2.0', 'a926a90b3c0a8655acc39a762385451ec7780a40ff51efcebbe1aa61f276fb07'),
+  ('Apache-2.0', 'ec52e3c4715dc561faeba3ee7bcef8fa84b75d90bfb866e1b2fc49c40beb3cf4'),
+  ('Artistic-1.0-Perl', '156ea114802e980c9f8581dd18b8b55a8361edd115f7fe75024213e44424ed7e'),
+  ('BSD-2-Clause', '192d35a841fe222e07817cf3c28ce58e977a221de0ff1edd99bf5c3109ac1c3c'),
+  ('BSD-3-Clause', '48c8a35a4353dae3524b849cfd2c781b3c935e964f465e15fb0bc23f23cf96ad'),
+  ('BSD-3-Clause', '7062b9e3c23606a194c78bcdf5583467428d17586d2b63f47d28b95b7d8c49b9'),
+  ('CC-BY-4.0', 'cdeaaf75e4f5b638ae8c9718870219cedf3a85fcabc6f8e6ee359069456acd30'),
+  ('CC-BY-4.0', 'f816f21f4420347fa741b3af9be15757208b07426dad7ec088be419361174ff1'),
+  ('CC-BY-NC-4.0', '42bf3a899a587639fee0fc60c1877a2924834b1f4d5bbc942056d405d683d6bb'),
+  ('CC-BY-SA-4.0', '3b718e1a633106726686fa3754f070e7c9b908ed2fa5ee2bdf05b4c080d18453'),
+  ('CC0-1.0', '3e6e368fd02abd67188d1bf25b196ac79f5782b2079e9579134c5e3f71f9ab74'),
+  ('GFDL-1.2', 'aea6038a701fc689af000f5d68aea404e3b4687ea875aea0e78acfd5dd6dfeee'),
+  ('GFDL-1.3', 'caa7b41c65ff5e92e1ba9af89759decfd1356c2acf3e1e5e238c3b7a7e5337f7'),
+  ('GPL-1.0', '33d98ff41562c09dfe36872170aead2a9e1e374cee5b97fd749ca83088665e41'),
+  ('GPL-2.0', '2459d0b759a85e7f8584d32ab04131d27dab1b6fd11644fcaf2fc5caf8db2ae7'),
+  ('GPL-3.0', 'c06ae785e05bae8fedc78e8c501b49df1828729eac7c2498116eaa2b067dd6d9'),
+  ('GPL-3.0', 'cad5ad1023dcebf1c4ff9868d210ebac5434cfc33cac6da8946a0694c9b52671'),
+  ('GPL-3.0', 'd60c230a33a8c40d7faa034ed52950460f8168d531aa2f2abcce422231eaf48f'),
+  ('GPL-3.0-only', '89af127481d75b43259bf3ede3c843077d78059202d7e2dd7e69f8373daa3c26'),
+  ('ISC', 'a17531580345f1fdc23198acfcee0adeaaf5670cde59f746853dbe83ff33f195'),
+  ('ISC', 'a66cef35e79fdf6588fc829e48a5641c9cc1e821919d3732d1ec78be85e3622b'),
+  ('LGPL-2.0', '954890b464598853673509c334974ad7f9ab367de826784aea2071f5ba278174'),
+  ('LGPL-2.1', '9b69d00b4bccc9b1926b5da285024ec98a15727a8e9a5388aa118b10f4a79cf0'),
+  ('LGPL-3.0', 'f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938'),
+  ('MIT', '1038ebc65831df94f10cce77d97edd471f1cf637c51c6e6283cb8ad8601b86bc'),
+  ('MIT', '56b4180c92be5357422868e9e33a8722c9a693afe4997f38910b3ad420bd8646'),
+  ('MIT', '5a992b1e26607fec3b8b25029e03d0b5c75684b2557ffd51f5e29dbe9c4fa8e7'),
+  ('MIT', '810574160cef45492589cc3a62e80658ebeb10b1ec06c4cdc94019d4cdcd11a7'),
+  ('MIT', 'a1a07d39477e8de9a829d6c574ded5f6881a3295d667164b6dacbc82ae320091'),
+  ('MIT', 'cf8155ce82ea64f0389b0b15d95913ebeec2d29d2b3cf37f4af89cdb23c3d49d'),
+  ('MIT', 'd14596bbf68570a924b84fa861d8b4932719b6b3d16ba83460d34aaa39a194ac'),
+  ('MPL-1.1', '260b601de5d5e5ec00bd903c42a1ac3b0cf3eebd7b1e529b025961a8d981cb56'),
+  ('MPL-2.0', 'a90ba5346ad1927fede05edb2d96afdd4948d68d16cef5d29e84239426134356'),
+  ('Unlicense', 'af6569657d66e59605c0ac493c85eea3f5f2a64128879b081d0a5ca46cb1d5f9'),
+  ('Unlicense', 'd838b4ad7073104ee15e8c7c02b134fb97d6e7602a159234aa4442c186c953f7'),
+  ('Unlicense', 'e036143787b9efdafaaf5676f94dbb07ab0e77c34f182f2481cac2660851fc4b')
+"""
+OP9_SQL = f"""WITH known(license, digest) AS (VALUES {OP9_KNOWN}),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 notices AS (
   SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notice_licenses, count(*) AS n_notices
-  FROM lines JOIN known ON {canonical('line')} = known.digest WHERE regexp_matches(line, '{license_scan.MARK}') GROUP BY doc_id),
-whole AS (SELECT doc_id, {canonical("coalesce(text, '')")} AS text_digest FROM documents)
+  FROM lines JOIN known ON {_canonical_sql('line')} = known.digest WHERE regexp_matches(line, '(?i)licen|permission|redistribution') GROUP BY doc_id),
+whole AS (SELECT doc_id, {_canonical_sql("coalesce(text, '')")} AS text_digest FROM documents)
 SELECT doc_id, text_digest, license AS text_license, coalesce(notice_licenses, '') AS notice_licenses, coalesce(n_notices, 0) AS n_notices
 FROM whole LEFT JOIN known ON text_digest = known.digest LEFT JOIN notices USING (doc_id)"""
 
@@ -161,4 +209,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join)}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": _op9_sql()}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": OP9_SQL}

@@ -49,6 +49,29 @@ def test_defined_results(awkward):
     assert [r.secrets for r in secret_scan.scan(awkward).filter("doc_id = 1").collect()] == [[]]
 
 
+def test_defined_texts(awkward):
+    """Bytes kept and licences found of the awkward rows."""
+    kept = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed, r.n_spans, len(r.kept)) for r in suffix_dedup.remove_repeats(awkward).collect()))
+    texts = [(r.doc_id or 0, (r.text or "").encode()) for r in awkward.select("doc_id", "text").collect()]
+    want = sorted((i, len(t), *brute_removed(i, t)) for i, t in texts)
+    assert kept == [(i, n, gone, spans, n - gone) for i, n, gone, spans in want]
+    got = {r.doc_id: (r.text_license, r.notice_licenses, r.n_notices) for r in license_scan.scan(awkward).collect()}
+    assert set(got.values()) == {(None, "", 0)} and len({r.text_digest for r in license_scan.scan(awkward).filter("doc_id <= 3").collect()}) == 1
+
+
+def brute_removed(doc_id: int, text: bytes) -> tuple[int, int]:
+    # the repeated row 5 and the run of one letter in row 8 repeat; nothing else has 400 bytes
+    return (len(text), 1) if doc_id in (5, 8) else (0, 0)
+
+
+def test_scores_ignore_other_columns(spark, awkward):
+    clash = awkward
+    for name in ("words", "toxic", "h", "pattern", "exclaims", "entry", "x", "kind"):
+        clash = clash.withColumn(name, F.lit("clash"))
+    labels = spark.createDataFrame([(k, 1, int(k == 6)) for k in range(10)], "doc_id bigint, quality int, toxic int").withColumn("text", F.lit("idiot"))
+    assert sorted((r.doc_id or 0, r.score) for r in toxicity.score(clash, labels).collect()) == sorted((r.doc_id or 0, r.score) for r in toxicity.score(awkward, labels).collect())
+
+
 def test_toxicity_edges(spark, awkward):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     rows = toxicity.score(awkward, labels).collect()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import random
 import re
 
@@ -460,6 +461,27 @@ def test_licence_variants(spark, make):
     assert got[3] == (None, "CC-BY-NC-4.0,MIT", 2) and got[4][0] == "MIT"
 
 
+DISTRIBUTED = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl"}
+
+
+def test_whole_licences_are_known(spark, make):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no folder of licence texts here")
+    texts = {k: open(f"{folder}/{k}", encoding="utf-8").read() for k in DISTRIBUTED if os.path.exists(f"{folder}/{k}")}
+    rows = [(k, ("© 2021 Someone\n" + t.upper().replace(" LICENSE", " LICENCE")), "en", name) for k, (name, t) in enumerate(texts.items())]
+    rows += [(100 + k, t[: len(t) // 2], "en", name) for k, (name, t) in enumerate(texts.items())]
+    got = {r.doc_id: r.text_license for r in license_scan.scan(make(rows)).collect()}
+    assert [got[k] for k in range(len(texts))] == [DISTRIBUTED[name] for name in texts] and not any(got[100 + k] for k in range(len(texts)))
+
+
+def test_licences_of_a_folder(spark, make, tmp_path):
+    (tmp_path / "House-1.0.txt").write_text("Copyright 2020 Us\nYou may use this in our house.\n")
+    (tmp_path / "Other").write_text("Not permitted.")
+    got = {r.doc_id: r.text_license for r in license_scan.scan(make([(1, "you may use this, in our house", "en", "a"), (2, "Not permitted!", "en", "a"), (3, "x", "en", "a")]), folder=str(tmp_path)).collect()}
+    assert got == {1: "House-1.0", 2: "Other", 3: None}
+
+
 # 10 ----------------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
