@@ -30,3 +30,12 @@ def words_of(text: Column) -> Column:
 def null_safe(left: Column, right: Column) -> Column:
     """Equality under which two nulls are equal."""
     return left.eqNullSafe(right)
+
+
+#: White space that is trimmed from the ends of a text: ASCII, and what Unicode adds; one class for every engine's patterns.
+WHITE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def strip(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")

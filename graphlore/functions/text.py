@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphlore.functions.columns import strip
+
 #: Named character references; fixed values.
 ENTITIES = {
     "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "mdash": "—", "ndash": "–",
@@ -19,9 +23,9 @@ NO_CATEGORY = ("en", "us", "docs", "index", "learn", "wiki")
 
 #: Relation verbs in use and what others are called; fixed values.
 RELATIONS = (
-    "founded invented discovered developed created led directed authored influenced inspired part_of uses requires "
-    "caused resulted_in fought_in participated_in born_in died_in located_in related_to"
-).split()
+    "founded", "invented", "discovered", "developed", "created", "led", "directed", "authored", "influenced", "inspired", "part_of", "uses", "requires",
+    "caused", "resulted_in", "fought_in", "participated_in", "born_in", "died_in", "located_in", "related_to",
+)
 SYNONYMS = {
     "established": "founded", "co_founded": "founded", "cofounded": "founded", "set_up": "founded",
     "built": "created", "made": "created", "constructed": "created", "designed": "created",
@@ -112,6 +116,21 @@ def categories(url: Column) -> Column:
     return F.when(host(url).rlike(r"(^|\.)wikipedia\.org$"), F.array().cast("array<string>")).otherwise(F.transform(clean, upper))
 
 
+def _without_dots(url: Column) -> Column:
+    """An absolute address with the path segments ``.`` and ``..`` resolved."""
+    base = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    segments, rest = F.split(path(url), "/"), F.regexp_extract(url, r"(\?.*)$", 1)
+
+    def step(kept: Column, s: Column) -> Column:
+        # the first segment is the empty one before the leading slash, which stays
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(s == "..", up).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+
+    walked = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array(F.lit("")), step)
+    full = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(walked, F.array(F.lit("")))).otherwise(walked)
+    return F.when(path(url).rlike(r"/\.\.?(/|$)"), F.concat(base, F.array_join(full, "/"), rest)).otherwise(url)
+
+
 def links(html: Column, url: Column) -> Column:
     """Absolute https links to the same host, fragments dropped, each once, in order."""
     found = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?href\s*=\s*["']([^"']+)["']"""), F.lit(1))
@@ -124,7 +143,7 @@ def links(html: Column, url: Column) -> Column:
     def absolute(h: Column) -> Column:
         out = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
         out = out.when(h.startswith("/"), F.concat(root, h)).when(h.startswith("?"), F.concat(root, path(url), h)).otherwise(F.concat(root, folder, h))
-        return F.regexp_replace(out, "#.*$", "")
+        return _without_dots(F.regexp_replace(out, "#.*$", ""))
 
     same = F.filter(F.transform(wanted, absolute), lambda a: a.startswith("https:") & (host(a) == host(url)))
     return F.array_distinct(same)
@@ -171,7 +190,7 @@ def windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Overlapping windows of a trimmed text; the last one reaches its end."""
     if size < 1:
         raise ValueError("a window has at least one character")
-    step, t = max(1, size - overlap), F.trim(text)
+    step, t = max(1, size - overlap), strip(text)
     n = F.when(F.length(t) <= size, F.lit(1)).otherwise(F.ceil((F.length(t) - size) / step) + 1).cast("int")
     made = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr(t, k * step + 1, F.lit(size)))
     return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(made)
@@ -179,11 +198,56 @@ def windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
 
 def relation(verb: Column) -> Column:
     """A relation verb in its usual form."""
-    clean = F.regexp_replace(F.lower(F.trim(verb)), r"[\s-]+", "_")
+    clean = F.regexp_replace(F.lower(strip(verb)), r"[\s-]+", "_")
     known = F.create_map(*[F.lit(x) for kv in SYNONYMS.items() for x in kv])
     return F.when(clean.isin(*RELATIONS), clean).otherwise(F.coalesce(known[clean], clean))
 
 
+def string_list(json: Column) -> Column:
+    """The strings of a JSON array of nothing but strings; null for anything else."""
+    kind = F.schema_of_variant(F.try_parse_json(json))
+    return F.when(kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(F.exists(F.from_json(json, "array<string>"), lambda x: x.isNull()), F.lit(False)), F.from_json(json, "array<string>"))
+
+
+def fill(template: str, values: dict[str, Column]) -> Column:
+    """A template whose ``{{name}}`` marks are replaced once, literally: what a value holds is not looked at again."""
+    parts = re.split(r"\{\{(\w+)\}\}", template)
+    made = [F.lit(x) if k % 2 == 0 else F.coalesce(values[x].cast("string"), F.lit("")) if x in values else F.lit("{{" + x + "}}") for k, x in enumerate(parts)]
+    return F.concat(*made)
+
+
+def lone_surrogate(json: Column) -> Column:
+    """Whether a JSON text escapes half of a surrogate pair, which no UTF-8 text can hold."""
+    escapes = F.replace(json, F.lit("\\\\"), F.lit(""))  # an escaped backslash begins no other escape
+    pairs = F.regexp_replace(escapes, r"(?i)\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2}", "")
+    return pairs.rlike(r"(?i)\\ud[89a-f][0-9a-f]{2}")
+
+
+def canonical_json(json: Column) -> Column:
+    """A JSON text without white space and with the keys of each object in order; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(json))
+
+
+#: Keys that no parsed object may have; fixed values.
+FORBIDDEN_KEYS = ("__proto__", "constructor", "prototype")
+
+
+def safe_json(json: Column) -> Column:
+    """Canonical JSON, null if any object in it has a forbidden key."""
+    clean = canonical_json(json)
+    return F.when(~clean.rlike(r'[{,]"(' + "|".join(FORBIDDEN_KEYS) + r')":'), clean)
+
+
+def real_date(text: Column) -> Column:
+    """The date that a text of the form yyyy-mm-dd names, null if there is no such day."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def tag_date(tag: Column) -> Column:
+    """The real date in a tag."""
+    return real_date(F.regexp_extract(tag, r"(?:^|\D)(\d{4}-\d{2}-\d{2})(?:\D|$)", 1))
+
+
 def truncate(text: Column, n: int, marker: str = "...") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(marker))).otherwise(text)
 

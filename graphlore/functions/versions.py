@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The public grammar of semantic versions; fixed values.
 _NUMBER = r"(?:0|[1-9]\d*)"
 _PRE = rf"(?:{_NUMBER}|\d*[a-zA-Z-][0-9a-zA-Z-]*)"
 SEMVER = re.compile(rf"^({_NUMBER})\.({_NUMBER})\.({_NUMBER})(?:-({_PRE}(?:\.{_PRE})*))?(?:\+([0-9A-Za-z-]+(?:\.[0-9A-Za-z-]+)*))?$")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlore.functions.text import wiki_url
+
 MOST_LINKS = 500
 SUMMARY = 200
 
@@ -60,6 +62,28 @@ def details(articles: DataFrame, sections: DataFrame, pairs: DataFrame, title: s
     return joined.join(F.broadcast(out)).join(F.broadcast(back))
 
 
+def full_details(articles: DataFrame, sections: DataFrame, pairs: DataFrame, title: str) -> DataFrame:
+    """One row of an article: category, words, address, its sections in order and its sorted links and backlinks, 500 of each at most."""
+    own = articles.filter(F.col("title") == title).select("title", "category", "word_count", wiki_url(F.col("title")).alias("url"))
+    part = F.struct("section_index", F.col("title").alias("heading"), "level", "content")
+    parts = sections.filter(F.col("article") == title).groupBy(F.col("article").alias("title")).agg(F.array_sort(F.collect_list(part)).alias("sections"))
+    listed = lambda df, c, name: df.select(c).distinct().orderBy(c).limit(MOST_LINKS).agg(F.array_sort(F.collect_list(c)).alias(name))
+    out, back = listed(pairs.filter(F.col("source") == title), "target", "links"), listed(pairs.filter(F.col("target") == title), "source", "backlinks")
+    return own.join(parts, "title", "left").join(F.broadcast(out)).join(F.broadcast(back))
+
+
+def full_stats(tables: dict[str, DataFrame], per_article: list[str], articles: DataFrame) -> DataFrame:
+    """kind, name, value: counts and rates of :func:`corpus_stats`, articles by category and by depth. A few rows; a service may keep them for a while."""
+    counts = corpus_stats(tables, per_article).select(F.when(F.startswith("metric", F.lit("avg_")), "rate").otherwise("count").alias("kind"), F.col("metric").alias("name"), "value")
+    by = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("name"), F.col("articles").cast("double").alias("value"))
+    return counts.unionByName(by("category", category_counts(articles), "category")).unionByName(by("depth", depth_histogram(articles), "expansion_depth"))
+
+
+def sourced(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """Articles with what they were made from, by title."""
+    return articles.join(sources, "title")
+
+
 def chat_sources(hits: DataFrame, sections: DataFrame) -> DataFrame:
     """article, position: articles of retrieved sections, each once, as retrieved."""
     found = hits.join(sections.select("id", "article"), "id").groupBy("article").agg(F.min("rank").alias("first"))

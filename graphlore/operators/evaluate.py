@@ -63,3 +63,14 @@ def stage_parity(actual: DataFrame, golden: DataFrame, threshold: float = 0.999)
     for s in reversed(STAGES):
         first = F.when(~same[s], s).otherwise(first)
     return j.select(F.col("a.id").alias("id"), *[c.alias(f"{s}_agrees") for s, c in same.items()], first.alias("first_difference"))
+
+
+def adoption_gate(hits: DataFrame, arms: DataFrame, least_hits: float = 0.98, least_change: float = -0.02) -> DataFrame:
+    """mean_hit, change, adopt: whether a smaller form may take the place of the full one.
+
+    ``hits``: hit of each query; ``arms``: arm (``full`` or ``small``) and accuracy.
+    """
+    mean = hits.agg(F.avg("hit").alias("mean_hit"))
+    change = arms.agg((F.max(F.when(F.col("arm") == "small", F.col("accuracy"))) - F.max(F.when(F.col("arm") == "full", F.col("accuracy")))).alias("change"))
+    both = mean.join(F.broadcast(change))
+    return both.withColumn("adopt", F.coalesce((F.col("mean_hit") >= least_hits) & (F.col("change") >= least_change), F.lit(False)))

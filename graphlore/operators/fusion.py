@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlore.functions.columns import strip
+from graphlore.operators.graph import reachable
 from graphlore.operators.vectors import vector_retrieve
 
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -17,22 +19,24 @@ TERMS, TERM_ROWS = 12, 200
 
 #: Words that are no keywords; fixed values.
 STOP_WORDS = (
-    "a an the and or but in on at to for of with by from is are was were be been being have has had do does did will "
-    "would could should may might shall can not no nor so yet both either neither as if then than that this these "
-    "those it its i we you he she they me us him her them my our your his their what which who whom when where why how "
-    "all any each few more most other some such"
-).split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should",
+    "may", "might", "shall", "can", "not", "no", "nor", "so", "yet", "both", "either", "neither", "as", "if", "then", "than",
+    "that", "this", "these", "those", "it", "its", "i", "we", "you", "he", "she", "they", "me", "us", "him", "her",
+    "them", "my", "our", "your", "his", "their", "what", "which", "who", "whom", "when", "where", "why", "how", "all", "any",
+    "each", "few", "more", "most", "other", "some", "such",
+)
 
 
 def keywords(question: Column) -> Column:
     """The first three words of more than three letters that are no stop words."""
     words = F.split(F.trim(F.regexp_replace(question, r"\s+", " ")), " ")
-    return F.slice(F.filter(words, lambda w: (F.length(w) > 3) & ~F.lower(w).isin(STOP_WORDS)), 1, KEYWORDS)
+    return F.slice(F.filter(words, lambda w: (F.length(w) > 3) & ~F.lower(w).isin(*STOP_WORDS)), 1, KEYWORDS)
 
 
 def lexical_terms(question: Column) -> Column:
     """The whole phrase, then its parts of two or more characters, distinct, twelve at most."""
-    phrase = F.trim(F.lower(question))
+    phrase = strip(F.lower(question))
     parts = F.filter(F.split(phrase, r"[\s/@:;,]+"), lambda w: F.length(w) >= 2)
     return F.slice(F.array_distinct(F.filter(F.concat(F.array(phrase), parts), lambda w: F.length(w) >= 2)), 1, TERMS)
 
@@ -139,3 +143,23 @@ def seed_neighbours(sections: DataFrame, article: str, limit: int, category: str
     order = [F.desc("similarity"), F.col("article")]
     top = best.orderBy(*order).limit(limit)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select("article", "similarity", "rank")
+
+
+def semantic_search(sections: DataFrame, articles: DataFrame, summaries: DataFrame, seed: str, k: int, category: str | None = None, threshold: float = 0.0) -> DataFrame:
+    """:func:`seed_neighbours` with category, words and summary of each article found; in the order of similarity."""
+    found = seed_neighbours(sections, seed, k, category, threshold).select("article", "similarity", "rank")
+    detail = articles.select(F.col("title").alias("article"), "category", "word_count")
+    joined = found.join(detail, "article", "left").join(summaries, "article", "left")
+    return joined.select("article", "category", "word_count", F.coalesce("summary", F.lit("")).alias("summary"), "similarity", "rank")
+
+
+def seed_hybrid(sections: DataFrame, links: DataFrame, seed: str, k: int = 10, pool: int = 50, depth: int = 2, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """article, score, rank: similarity to a seed article and nearness in the link graph, weighted and added."""
+    vec = seed_neighbours(sections, seed, pool).select("article", "similarity")
+    start = sections.filter(F.col("article") == seed).select(F.col("id").alias("node"))
+    near = reachable(links, start, depth).filter("depth > 0").join(sections.select(F.col("id").alias("node"), "article"), "node")
+    prox = near.filter(F.col("article") != seed).groupBy("article").agg(((depth - F.min("depth") + 1) / float(depth)).alias("p"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    scored = vec.join(prox, "article", "full_outer").select("article", (weights[0] * zero("similarity") + weights[1] * zero("p")).alias("score"))
+    order = [F.desc(F.round("score", 9)), F.col("article")]
+    return scored.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))

@@ -88,11 +88,18 @@ def co_occurrence_edges(has_entity: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def relation_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """source, target, relation, weight: distinct directed relations whose ends are both in ``nodes`` (entity_id)."""
     own = nodes.select("entity_id")
     kept = relations.join(own, relations["source"] == own["entity_id"], "left_semi").join(own, relations["target"] == own["entity_id"], "left_semi")
     return kept.select("source", "target", "relation").distinct().withColumn("weight", F.lit(1).cast("bigint"))
 
 
+def decorated(nodes: DataFrame, has_entity: DataFrame) -> DataFrame:
+    """Nodes of a walk with ``articles_count``: how many articles mention each, 0 where none does."""
+    held = has_entity.join(nodes.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.countDistinct("article").alias("articles_count"))
+    return nodes.join(held, "entity_id", "left").withColumn("articles_count", F.coalesce("articles_count", F.lit(0).cast("bigint")))
+
+
 def resolve_mode(mode: str, relations: DataFrame | None) -> str:
     """``auto`` means relations where there are any, else co-occurrence."""
     if mode != "auto":
@@ -114,9 +121,19 @@ def crawl(pages: DataFrame, page_links: DataFrame, seeds: DataFrame, max_depth:
         level = first.join(pages.select("page"), "page", "left_semi")
         if seen is not None:
             level = level.join(seen.select("page"), "page", "left_anti")
-        level = level.withColumn("turn", F.row_number().over(order).cast("bigint")).filter(F.col("turn") <= max_pages).withColumn("depth", F.lit(depth).cast("bigint"))
+        # cut to what may be returned before rows are numbered in one place
+        level = level.orderBy("parent", "index", "page").limit(max_pages)
+        level = level.withColumn("turn", F.row_number().over(order).cast("bigint")).withColumn("depth", F.lit(depth).cast("bigint"))
         level = level.select("page", "depth", "turn")
         seen = level if seen is None else seen.unionByName(level)
         queue = level.join(page_links, "page").select(F.col("target").alias("page"), F.col("turn").alias("parent"), F.col("index").cast("bigint"))
     n = F.row_number().over(Window.orderBy("depth", "turn")).cast("bigint")
+    seen = seen.orderBy("depth", "turn").limit(max_pages)
     return seen.withColumn("position", n).filter(F.col("position") <= max_pages).select("page", "depth", "position")
+
+
+def discover(pages: DataFrame, page_links: DataFrame, seeds: DataFrame, max_depth: int = 1, max_pages: int = 50) -> DataFrame:
+    """What a :func:`crawl` finds beyond its seeds, with the numbers of seeds and of pages found on each row."""
+    walked = crawl(pages, page_links, seeds, max_depth, max_pages)
+    counts = walked.agg(F.count_if(F.col("depth") == 0).alias("seeds"), F.count_if(F.col("depth") > 0).alias("discovered"))
+    return walked.filter("depth > 0").join(F.broadcast(counts))

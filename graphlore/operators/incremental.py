@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphlore.functions.columns import strip
+
 
 class DeltaError(ValueError):
     """A delta that is rejected as a whole."""
@@ -52,7 +55,8 @@ def identity(delta: DataFrame) -> DataFrame:
     """delta_id, rows: one digest of key-sorted (operation, key, payload digest).
 
     Keys are hashed in ranges first, so the driver's row is made of one
-    digest for each of 1024 ranges, whatever the size.
+    digest for each of 4096 ranges (three hexadecimal digits), whatever the size.
+    The digest of each range is over its rows in the order of their keys.
     """
     row = F.concat_ws(":", "operation", "key", F.sha2("payload", 256))
     parts = delta.select(F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 3).alias("part"), F.col("key").cast("string").alias("key"), row.alias("row"))
@@ -60,6 +64,33 @@ def identity(delta: DataFrame) -> DataFrame:
     return hashed.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("delta_id"), F.sum("n").alias("rows"))
 
 
+def build_identity(delta_id: DataFrame, pack: str, version: str, base_digest: str, model: str, versions: dict[str, str]) -> DataFrame:
+    """delta_id, build_id: the digest of everything that a build follows from, in a fixed order."""
+    known = [f"pack={pack}", f"version={version}", f"base={base_digest}", f"model={model}", *(f"{k}={versions[k]}" for k in sorted(versions))]
+    return delta_id.select("delta_id", F.sha2(F.concat_ws("\n", *map(F.lit, known), F.concat(F.lit("delta="), "delta_id")), 256).alias("build_id"))
+
+
+def recompute(base: DataFrame, delta: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """key, payload, embedding, reused: the rows after a delta. Only added and changed payloads are embedded.
+
+    ``base``: key, payload, embedding; ``delta``: key, payload. ``embed`` adds
+    the embedding and sees changed rows alone; unchanged ones, and those that
+    the delta doesn't name, keep the vectors of the base.
+    """
+    changed = delta.select("key", "payload").join(classify(base, delta).filter("classification <> 'unchanged'").select("key"), "key", "left_semi")
+    kept = base.select("key", "payload", "embedding").join(changed.select("key"), "key", "left_anti")
+    fresh = embed(changed).select("key", "payload", F.col("embedding").cast(base.schema["embedding"].dataType).alias("embedding"))
+    return kept.withColumn("reused", F.lit(True)).unionByName(fresh.withColumn("reused", F.lit(False)))
+
+
+def probe(hits: DataFrame, live: DataFrame, k: int) -> DataFrame:
+    """hits, distinct_hits, live_hits, sound: of the ids (query, id) that an index gave for its own vectors, how many are there; sound if every query found k live ids."""
+    known = live.select("id").distinct().withColumn("_live", F.lit(1))
+    found = hits.join(known, "id", "left")
+    counts = found.agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("query", "id").alias("distinct_hits"), F.count("_live").alias("live_hits"), F.countDistinct("query").alias("queries"))
+    return counts.select("hits", "distinct_hits", "live_hits", ((F.col("hits") == F.col("distinct_hits")) & (F.col("hits") == F.col("live_hits")) & (F.col("hits") == k * F.col("queries"))).alias("sound"))
+
+
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. Only the least row of each task is shuffled."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
@@ -97,6 +128,12 @@ def orphans(rows: DataFrame, column: str, keys: DataFrame, key: str) -> DataFram
     return rows.join(keys.select(F.col(key).alias(column)), column, "left_anti")
 
 
+def dangling(references: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """reference, value: of each named reference (rows, column, keys, key) the values that no key has. One anti join for each."""
+    found = [orphans(rows.select(column), column, keys, key).select(F.lit(name).alias("reference"), F.col(column).cast("string").alias("value")) for name, (rows, column, keys, key) in references.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def both_ends(edges: DataFrame, nodes: DataFrame, node: str, ends: tuple[str, str] = ("source", "target")) -> DataFrame:
     """Edges whose ends are both there."""
     for e in ends:
@@ -104,11 +141,23 @@ def both_ends(edges: DataFrame, nodes: DataFrame, node: str, ends: tuple[str, st
     return edges
 
 
-def validate(article: DataFrame, section: DataFrame, links: DataFrame, has_entity: DataFrame, entity: DataFrame, relation: DataFrame, size: int = 768) -> DataFrame:
-    """check_name, violations: every referential and content check of a pack; a valid one has none."""
+def differing(stored: DataFrame, derived: DataFrame, key: str) -> DataFrame:
+    """key of rows that are not what they are derived to be: missing, strange or with other values."""
+    both = stored.select(*derived.columns).exceptAll(derived).unionByName(derived.exceptAll(stored.select(*derived.columns)))
+    return both.select(key).distinct()
+
+
+def validate(article: DataFrame, section: DataFrame, links: DataFrame, has_entity: DataFrame, entity: DataFrame, relation: DataFrame, size: int = 768, derived: dict[str, tuple[DataFrame, DataFrame, str]] | None = None) -> DataFrame:
+    """check_name, violations: every referential and content check of a pack; a valid one has none.
+
+    ``derived``: by name (stored, derived, key), such as articles beside what
+    their payloads give anew; each row that differs is a violation.
+    """
     n = lambda name, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
     v = F.col("embedding")
-    sound = v.isNotNull() & (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x))
+    sound = v.isNotNull() & (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    blank = lambda c: F.coalesce(strip(F.col(c).cast("string")) == "", F.lit(True))
+    ordered = section.groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.min("section_index").alias("low"), F.max("section_index").alias("high"), F.countDistinct("section_index").alias("d"))
     checks = [
         n("article title repeated", duplicate_keys(article, ["title"])), n("section id repeated", duplicate_keys(section, ["id"])),
         n("entity id repeated", duplicate_keys(entity, ["entity_id"])), n("section without article", orphans(section, "article", article, "title")),
@@ -117,7 +166,11 @@ def validate(article: DataFrame, section: DataFrame, links: DataFrame, has_entit
         n("mention in no article", orphans(has_entity, "article", article, "title")), n("mention of no entity", orphans(has_entity, "entity_id", entity, "entity_id")),
         n("relation from nowhere", orphans(relation, "source", entity, "entity_id")), n("relation to nowhere", orphans(relation, "target", entity, "entity_id")),
         n("entity unused", entity.join(has_entity, "entity_id", "left_anti").join(relation.select(F.col("source").alias("entity_id")).union(relation.select("target")), "entity_id", "left_anti")),
-        n("embedding unsound", section.filter(~sound)),
+        n("embedding unsound", section.filter(~sound)), n("article without title", article.filter(blank("title"))), n("section without content", section.filter(blank("content"))),
+        n("sections not numbered from 0", ordered.filter((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("d") != F.col("n")))),
+        n("link repeated", duplicate_keys(links, ["src", "dst"])), n("link to itself", links.filter("src = dst")),
+        n("mention repeated", duplicate_keys(has_entity, ["article", "entity_id"])), n("relation repeated", duplicate_keys(relation, ["source", "target", "relation"])),
+        *(n(f"{name} differs from its source", differing(*x)) for name, x in (derived or {}).items()),
     ]
     return reduce(DataFrame.unionByName, checks)
 

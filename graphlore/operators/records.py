@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlore.functions.columns import strip
 from graphlore.functions.text import relation, strip_fence
 
 #: The part of a record that is read.
@@ -31,7 +32,7 @@ SUMMARY = 1500
 
 
 def _t(c: Column) -> Column:
-    return F.trim(F.coalesce(c, F.lit("")))
+    return strip(F.coalesce(c, F.lit("")))
 
 
 def _real(c: Column) -> Column:
@@ -46,8 +47,12 @@ def _unique(c: Column) -> Column:
     return F.array_distinct(F.filter(c, lambda x: x != ""))
 
 
+#: What is not the name in a package's address, taken off in this order; fixed values.
+AROUND = (r"(?i)^[a-z][\w+.-]*://", r"(?i)^git\+", r"(?i)\.git$", r"/+$")
+
+
 def _bare(c: Column) -> Column:
-    for pattern in (r"(?i)^[a-z][\w+.-]*://", r"(?i)^git\+", r"(?i)\.git$", r"/+$"):
+    for pattern in AROUND:
         c = F.regexp_replace(c, pattern, "")
     return c
 

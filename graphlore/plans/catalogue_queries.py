@@ -9,7 +9,7 @@ from graphlore.functions import text, versions
 from graphlore.operators import catalogue, evaluate, graph, incremental, records, vectors
 from graphlore.plans import guard
 from graphlore.plans.registry import query
-from graphlore.plans.retrieval_queries import PACK, VECTORS, _near
+from graphlore.plans.retrieval_queries import _STRIP, PACK, VECTORS, _near
 from graphlore.sources.pack import Pack
 from graphlore.streaming import events
 
@@ -81,10 +81,10 @@ def context_budget(spark, sf_dir):
     return catalogue.bounded_context(rows, "conv_id", 50, 800, 2000)
 
 
-@query("""WITH t AS (SELECT doc_id, trim(text, ' ') AS t FROM documents), n AS (SELECT doc_id, t, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 512 THEN 1 ELSE ceil((length(t) - 512) / 448.0)::INT + 1 END AS n FROM t)
+@query(f"""WITH t AS (SELECT doc_id, {_STRIP('chr(9) || chr(10) || text || chr(160) || chr(13)')} AS t FROM documents), n AS (SELECT doc_id, t, CASE WHEN length(t) = 0 THEN 0 WHEN length(t) <= 512 THEN 1 ELSE ceil((length(t) - 512) / 448.0)::INT + 1 END AS n FROM t)
 SELECT 'doc-' || doc_id || '#0#' || k AS chunk_id, length(substring(t, k * 448 + 1, 512)) AS chars, sha256(substring(t, k * 448 + 1, 512)) AS digest FROM (SELECT doc_id, t, unnest(range(0, n)) AS k FROM n)""")
 def chunk_windows(spark, sf_dir):
-    made = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.windows(F.col("text"))).alias("k", "w"))
+    made = _docs(spark, sf_dir).select("doc_id", F.posexplode(text.windows(F.concat(F.lit("\t\n"), "text", F.lit("\u00a0\r")))).alias("k", "w"))
     return made.select(F.concat(F.lit("doc-"), "doc_id", F.lit("#0#"), "k").alias("chunk_id"), F.length("w").cast("bigint").alias("chars"), F.sha2("w", 256).alias("digest"))
 
 
@@ -200,11 +200,11 @@ def ipv4_block_list(spark, sf_dir):
 
 
 _SYN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.SYNONYMS.items()) + "}"
-_VERBS = ["Found ", "built-on", "Located In", "DEPENDS  on", "part_of", "belongs-to", "mentions"]
+_VERBS = ["\tFound\n", "\u00a0built-on", "Located In", "DEPENDS  on", "part_of", "belongs-to", "mentions"]
 _VERB_SQL = "[" + ", ".join(f"'{v}'" for v in _VERBS) + "]"
 
 
-@query(f"""WITH v AS (SELECT regexp_replace(lower(trim({_VERB_SQL}[event_id % 7 + 1])), '[\\s-]+', '_', 'g') AS x FROM events)
+@query(f"""WITH v AS (SELECT regexp_replace(lower({_STRIP(_VERB_SQL + '[event_id % 7 + 1]')}), '[\\s-]+', '_', 'g') AS x FROM events)
 SELECT CASE WHEN x IN ({', '.join(f"'{r}'" for r in text.RELATIONS)}) THEN x ELSE coalesce(({_SYN})[x], x) END AS relation, count(*) AS mentions FROM v GROUP BY 1""")
 def relation_normalize(spark, sf_dir):
     verbs = F.array(*[F.lit(v) for v in _VERBS])
@@ -229,9 +229,11 @@ def sse_frames(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.sse_frame(F.col("role"), F.col("text")).alias("frame"))
 
 
-@query("SELECT item_id, trim(text) AS body FROM benchmark")
+@query("SELECT item_id, CASE item_id % 4 WHEN 0 THEN trim(text) WHEN 1 THEN '' WHEN 2 THEN 'x ```' || chr(10) || trim(text) ELSE trim(text) || chr(10) || '``` more' END AS body FROM benchmark")
 def fence_strip(spark, sf_dir):
-    fenced = F.concat(F.lit("```json\n"), F.trim("text"), F.lit("\n```"))
+    """A fenced text, an empty fence, a fence that doesn't open the text, and one that doesn't close it."""
+    kind, body = F.col("item_id") % 4, F.trim("text")
+    fenced = F.when(kind == 0, F.concat(F.lit("\n```json\n"), body, F.lit("\n```\n"))).when(kind == 1, F.lit("```\n```")).when(kind == 2, F.concat(F.lit("x ```\n"), body)).otherwise(F.concat(F.lit("```\n"), body, F.lit("\n``` more")))
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", text.strip_fence(fenced).alias("body"))
 
 
@@ -295,11 +297,11 @@ def orphan_relations(spark, sf_dir):
     return incremental.orphans(rel, "supplier", good, "s_suppkey").groupBy("part").agg(F.count(F.lit(1)).alias("relations"))
 
 
-@query("SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND c_custkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT c_custkey AS entity_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND c_custkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def orphan_entities(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("entity_id"))
-    e = incremental.orphans(e, "entity_id", spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_custkey")
-    return incremental.orphans(e, "entity_id", spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_partkey")
+    e = incremental.orphans(e, "entity_id", spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderpriority = '1-URGENT'"), "o_custkey")
+    return incremental.orphans(e, "entity_id", spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_quantity > 49"), "l_partkey")
 
 
 @query("SELECT l_orderkey AS source, l_suppkey AS target FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlore.functions.columns import strip
+
 #: First words of a read, and words that change something; fixed values.
 READS = ("MATCH", "CALL")
 WRITES = ("CREATE", "DELETE", "DROP", "SET", "MERGE", "REMOVE", "DETACH")
@@ -33,15 +35,84 @@ def check_graph_query(text: str) -> None:
 def is_read(text: Column) -> Column:
     """The same test as a column."""
     bare = F.regexp_replace(text, _QUOTED, "''")
-    starts = F.upper(F.trim(bare)).rlike("^(" + "|".join(READS) + ")")
+    starts = F.upper(strip(bare)).rlike("^(" + "|".join(READS) + ")")
     writes = F.upper(bare).rlike("(^|[^A-Z])(" + "|".join(WRITES) + ")([^A-Z]|$)")
     return starts & ~writes & ~text.rlike(_HOPS)
 
 
-def run_read(spark: SparkSession, sql: str, k: int, cap: int = 200) -> DataFrame:
-    """Run generated SQL if its parsed plan only reads; ``min(k, cap)`` rows at most."""
+#: Plan nodes of a read.
+NODES = (
+    "Project", "Filter", "Aggregate", "Join", "LateralJoin", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Except", "Intersect",
+    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedRelation", "UnresolvedWith", "UnresolvedHaving", "UnresolvedInlineTable", "OneRowRelation", "Generate",
+    "WithWindowDefinition", "Pivot", "Unpivot", "UnresolvedHint", "Expand", "LocalRelation", "UnresolvedOrderByAll",
+)
+#: Functions that reach beyond the rows: into the JVM, files or other services.
+FUNCTIONS = ("reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "read_files", "http_request", "ai_query", "secret", "raise_error", "assert_true", "call_function")
+SUBQUERIES = ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")
+GENERATORS = ("explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "range", "json_tuple")
+
+
+def _seq(found) -> list:
+    return [found.apply(k) for k in range(found.size())]
+
+
+def _kind(x) -> str:
+    return x.getClass().getSimpleName().rstrip("$")
+
+
+def _walk(plan):
+    """Every node of a parsed plan: below it, in its common table expressions and in the subqueries of its expressions."""
+    yield plan
+    for below in _seq(plan.children()):
+        yield from _walk(below)
+    if _kind(plan) == "UnresolvedWith":
+        for named in _seq(plan.cteRelations()):
+            yield from _walk(named._2())
+    todo = _seq(plan.expressions())
+    while todo:
+        e = todo.pop()
+        if _kind(e) in SUBQUERIES:
+            yield from _walk(e.plan())
+        todo += _seq(e.children())
+
+
+def _functions(plan):
+    todo = _seq(plan.expressions())
+    while todo:
+        e = todo.pop()
+        if _kind(e) == "UnresolvedFunction":
+            yield [x.lower() for x in _seq(e.nameParts())]
+        elif _kind(e) == "UnresolvedGenerator":
+            yield e.name().unquotedString().lower().split(".")
+        todo += _seq(e.children())
+
+
+def check_read(spark: SparkSession, sql: str, tables: set[str] | None = None) -> None:
+    """Raise unless every node of a generated query reads, from tables known by a plain name, with functions of rows only.
+
+    ``tables``: the names that may be read; None: the session's tables and views.
+    """
     parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    name = parsed.getClass().getSimpleName()
-    if re.search(r"Command|Create|Insert|Drop|Delete|Update|Merge|Alter|Replace|Truncate|Set", name):
-        raise ReadOnlyError(f"the query would write: {name}")
+    nodes = list(_walk(parsed))
+    own = {named._1().lower() for n in nodes if _kind(n) == "UnresolvedWith" for named in _seq(n.cteRelations())}
+    for n in nodes:
+        kind = _kind(n)
+        if kind == "UnresolvedTableValuedFunction":
+            if (name := ".".join(_seq(n.name())).lower()) not in GENERATORS:
+                raise ReadOnlyError(f"the query calls {name}")
+        elif kind not in NODES:
+            raise ReadOnlyError(f"the query is more than a read: {kind}")
+        if kind == "UnresolvedRelation":
+            parts = _seq(n.multipartIdentifier())
+            known = len(parts) == 1 and (parts[0].lower() in own or (parts[0].lower() in {t.lower() for t in tables} if tables is not None else spark.catalog.tableExists(parts[0])))
+            if not known:
+                raise ReadOnlyError(f"the query reads {'.'.join(parts)}, which is no table by a plain name")
+        for name in _functions(n):
+            if len(name) > 1 or name[0] in FUNCTIONS:
+                raise ReadOnlyError(f"the query calls {'.'.join(name)}")
+
+
+def run_read(spark: SparkSession, sql: str, k: int, cap: int = 200, tables: set[str] | None = None) -> DataFrame:
+    """Run generated SQL if the whole of its parsed plan only reads; ``min(k, cap)`` rows at most."""
+    check_read(spark, sql, tables)
     return spark.sql(sql).limit(min(k, cap))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlore.operators import fusion, graph, vectors
 from graphlore.plans.registry import query
 from graphlore.sources.pack import Pack
 
+def _STRIP(x: str) -> str:  # noqa: N802
+    """Without white space of any kind at either end."""
+    white = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+    return f"regexp_replace({x}, '^{white}+|{white}+$', '', 'g')"
+
+
 PACK = """section AS (
   SELECT e.vec_id AS id, 'doc-' || d.doc_id AS article, 'doc-' || d.doc_id AS title, d.text AS content, CAST(e.embedding AS DOUBLE[]) AS v, e.label, d.lang AS category
   FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
@@ -156,9 +162,9 @@ _TERMS = """(SELECT array_to_string(list(t ORDER BY i)[1:12], '|') FROM (SELECT
   SELECT unnest(list_prepend(p, regexp_split_to_array(p, '[\\s/@:;,]+'))) AS t, generate_subscripts(list_prepend(p, regexp_split_to_array(p, '[\\s/@:;,]+')), 1) AS i) WHERE length(t) >= 2 GROUP BY t))"""
 
 
-@query(f"SELECT page_id, {_TERMS} AS terms FROM (SELECT page_id, trim(lower(url)) AS p FROM pages)")
+@query(f"SELECT page_id, {_TERMS} AS terms FROM (SELECT page_id, {_STRIP('lower(chr(9) || url || chr(10))')} AS p FROM pages)")
 def lexical_terms(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(fusion.lexical_terms(F.col("url")), "|").alias("terms"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.array_join(fusion.lexical_terms(F.concat(F.lit("\t"), "url", F.lit("\n"))), "|").alias("terms"))
 
 
 PHRASE = "red widget/Brand#1;economy"
@@ -228,15 +234,7 @@ SELECT article, round(0.7 * coalesce(s, 0) + 0.3 * coalesce(p, 0), 6) AS score,
 FROM vec FULL JOIN prox USING (article) QUALIFY rank <= 10""")
 def seed_hybrid_search(spark, sf_dir):
     p = Pack.derive(spark, sf_dir)
-    vec = fusion.seed_neighbours(p.section, "doc-3", 50).select("article", "similarity")
-    seeds = p.section.filter("article = 'doc-3'").select(F.col("id").alias("node"))
-    near = graph.reachable(p.links_to, seeds, 2).filter("depth > 0").join(p.section.select(F.col("id").alias("node"), "article"), "node")
-    prox = near.filter("article <> 'doc-3'").groupBy("article").agg(((2 - F.min("depth") + 1) / 2.0).alias("p"))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    scored = vec.join(prox, "article", "full_outer").select("article", (0.7 * zero("similarity") + 0.3 * zero("p")).alias("score"))
-    order = [F.desc(F.round("score", 9)), F.col("article")]
-    top = scored.orderBy(*order).limit(10)
-    return top.select("article", F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"))
+    return fusion.seed_hybrid(p.section, p.links_to, "doc-3").withColumn("score", F.round("score", 6))
 
 
 def _neighbourhood(depth: int, category: str | None):
@@ -336,6 +334,13 @@ def entity_in_degree(spark, sf_dir):
 _CRAWL_LINKS = "pl AS (SELECT src AS page, unnest([1, 2]) AS idx, unnest([(src * 7 + 3) % (n + 20), (src * 13 + 5) % (n + 20)]) AS target FROM (SELECT page_id AS src FROM pages), (SELECT count(*) AS n FROM pages))"
 
 
+def crawl_links(pages: DataFrame) -> DataFrame:
+    """Two links from each page, some of them to pages that are not there."""
+    n = pages.agg(F.count(F.lit(1)).alias("n"))
+    made = F.posexplode(F.array((F.col("page") * 7 + 3) % (F.col("n") + 20), (F.col("page") * 13 + 5) % (F.col("n") + 20)))
+    return pages.join(F.broadcast(n)).select("page", made.alias("p", "target")).select("page", (F.col("p") + 1).alias("index"), "target")
+
+
 @query(f"""WITH {_CRAWL_LINKS}, s0 AS (SELECT page, idx AS turn, 0 AS depth FROM (SELECT unnest([2, 7, 11]) AS page, unnest([0, 1, 2]) AS idx) WHERE page IN (SELECT page_id FROM pages)),
 l1 AS (SELECT target AS page, min((turn, pl.idx)) AS o FROM s0 JOIN pl ON pl.page = s0.page GROUP BY target),
 s1 AS (SELECT page, row_number() OVER (ORDER BY o) AS turn, 1 AS depth FROM l1 WHERE page IN (SELECT page_id FROM pages) AND page NOT IN (SELECT page FROM s0)),
@@ -344,8 +349,6 @@ s2 AS (SELECT page, row_number() OVER (ORDER BY o) AS turn, 2 AS depth FROM l2 W
 SELECT page, CAST(depth AS BIGINT) AS depth, row_number() OVER (ORDER BY depth, turn) AS position FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2) QUALIFY position <= 12""")
 def bounded_crawl(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("page"))
-    n = pages.agg(F.count(F.lit(1)).alias("n"))
-    made = F.posexplode(F.array((F.col("page") * 7 + 3) % (F.col("n") + 20), (F.col("page") * 13 + 5) % (F.col("n") + 20)))
-    links = pages.join(F.broadcast(n)).select("page", made.alias("p", "target")).select("page", (F.col("p") + 1).alias("index"), "target")
+    links = crawl_links(pages)
     seeds = spark.createDataFrame([(2, 0), (7, 1), (11, 2)], "page bigint, index bigint")
     return graph.crawl(pages, links, seeds, 2, 12)

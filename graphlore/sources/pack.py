@@ -84,6 +84,14 @@ class Pack:
             return self.read("has_entity")
         return self.read("lineitem").select(F.col("l_orderkey").alias("article"), F.col("l_partkey").alias("entity_id")).distinct()
 
+    @cached_property
+    def entity(self) -> DataFrame:
+        """Parts as entities."""
+        if not self.derived:
+            return self.read("entity")
+        p = self.read("part")
+        return p.select(F.col("p_partkey").alias("entity_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"), F.col("p_brand").alias("description"))
+
     @cached_property
     def entity_relation(self) -> DataFrame:
         """part supplied_by supplier, supplier located_in nation, nation part_of region."""
@@ -96,6 +104,11 @@ class Pack:
         return supplied.union(located).union(part_of)
 
     def introspect(self) -> DataFrame:
-        """table, column and type of every table of a pack."""
-        rows = [(t, f.name, f.dataType.simpleString(), k) for t, s in SCHEMAS.items() for k, f in enumerate(self.spark.createDataFrame([], s).schema)]
+        """table, column and type of every table of a pack, as the tables have them: an opened pack's files, a derived one's plans."""
+        rows = []
+        for t in SCHEMAS:
+            table = getattr(self, t, None)
+            if table is None:
+                continue
+            rows += [(t, f.name, f.dataType.simpleString(), k) for k, f in enumerate(table.schema)]
         return self.spark.createDataFrame(rows, "table_name string, column_name string, column_type string, position int")
