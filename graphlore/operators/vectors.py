@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; 0 where a vector has no length."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def length(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
+def cosine(a: Column, b: Column, lengths: Column | None = None) -> Column:
+    """Cosine in double precision; 0 where a vector has no length. ``lengths``: the product of both lengths, where it is known."""
+    norm = length(a) * length(b) if lengths is None else lengths
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / F.when(norm != 0, norm))
 
 
@@ -58,7 +64,7 @@ def centroids(rows: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
     return means.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("p")).select(by, F.transform("p", lambda s: s["x"]).alias("q"))
 
 
-#: Query vectors that one executor can hold; more go through a join in blocks.
+#: Query vectors that are sent to every executor at once; :func:`knn_blocks` takes more.
 MOST_QUERIES = 10_000
 
 
@@ -71,14 +77,24 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
     """
     n = queries.limit(MOST_QUERIES + 1).count()
     if n > MOST_QUERIES:
-        raise ValueError("too many query vectors for one pass; call it in blocks")
-    pairs = rows.select("id", doubles(F.col(vector)).alias("_v")).join(F.broadcast(queries.select("query", doubles(F.col("q")).alias("_q"))))
-    scored = pairs.select("query", "id", cosine(F.col("_v"), F.col("_q")).alias("similarity"))
+        raise ValueError("too many query vectors for one pass; use knn_blocks")
+    # lengths are taken once for each vector, not for each pair
+    own = rows.select("id", doubles(F.col(vector)).alias("_v")).withColumn("_vl", length(F.col("_v")))
+    asked = queries.select("query", doubles(F.col("q")).alias("_q")).withColumn("_ql", length(F.col("_q")))
+    pairs = own.join(F.broadcast(asked))
+    scored = pairs.select("query", "id", cosine(F.col("_v"), F.col("_q"), F.col("_vl") * F.col("_ql")).alias("similarity"))
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+def knn_blocks(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", block: int = MOST_QUERIES) -> DataFrame:
+    """:func:`knn_batch` for any number of queries: dealt by hash into blocks of about half of what one pass takes, a pass over the rows for each."""
+    n = max(1, -(-2 * queries.count() // block))
+    dealt = [queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == j) for j in range(n)]
+    return reduce(DataFrame.unionByName, [knn_batch(rows, part, k, vector) for part in dealt])
+
+
 def quantize(v: Column) -> Column:
     """struct(scale, codes): int8 codes of a vector by its greatest absolute value."""
     top = F.array_max(F.transform(doubles(v), F.abs))

@@ -8,20 +8,28 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+#: Paths handed out inside the innermost :func:`tables` of this thread or task.
+_own: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("graphlore_tables", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a local one, in local mode only: a cluster's executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="graphlore-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -32,9 +40,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used; removed when the driver exits."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if (own := _own.get()) is not None:
+        own.append((spark, path))
     return path
 
 
+@contextmanager
+def tables() -> Iterator[Callable[[DataFrame], None]]:
+    """The tables written inside, in this thread, as a scope of their own.
+
+    Gives a function that deletes all of them but the one it is called with;
+    tables of other scopes, such as a second pipeline's, are not touched.
+    """
+    own: list[tuple[SparkSession, str]] = []
+    token = _own.set(own)
+
+    def keep_only(table: DataFrame) -> None:
+        for spark, path in own:
+            if path != table._shared_path:
+                _delete(spark, path)
+
+    try:
+        yield keep_only
+    finally:
+        _own.reset(token)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of it.
 
@@ -58,18 +89,6 @@ def discard(table: DataFrame) -> None:
     _delete(table.sparkSession, table._shared_path)
 
 
-def written() -> int:
-    """How many paths have been handed out so far."""
-    return len(_written)
-
-
-def release(since: int, keep: DataFrame) -> None:
-    """Delete all tables of this driver written after ``since`` other than ``keep``: nothing may read them any more."""
-    for spark, path in _written[since:]:
-        if path != keep._shared_path:
-            _delete(spark, path)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -100,10 +119,23 @@ def packed(df: DataFrame, *needed: str) -> DataFrame:
     return cut(df.select(whole, *needed), "located").withColumn("_locator", _place())
 
 
+def _number(setting: str) -> int:
+    """A setting's number, in bytes if it has a unit of size; 0 if it has none that is known."""
+    found = re.fullmatch(r"(\d+)([bkmg]?)b?", setting.strip().lower())
+    return int(found[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else 0
+
+
 def bound_batches(spark: SparkSession, rows: int = 1000, mb: int = 16) -> None:
-    """Keep Arrow batches small where texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
+    """Keep Arrow batches small where texts may be very long.
+
+    Results are computed after the operator has returned, so the session
+    keeps these limits; they only ever get smaller.
+    """
+    for key, most, unit in (("maxRecordsPerBatch", rows, ""), ("maxBytesPerBatch", mb << 20, "b")):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = _number(spark.conf.get(name))
+        if now <= 0 or now > most:
+            spark.conf.set(name, f"{most}{unit}")
 
 
 @atexit.register
