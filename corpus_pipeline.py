@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlore.llm import exact_dedup, mixing, near_join, quality_rules, sentencepiece_codec
-from graphlore.plans.shared import cut, release, written
+from graphlore.plans.shared import cut, tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, repeated as often as their share rounds to."""
+    """Documents that the mix takes words of, whole, repeated as often as their share rounds to; each source comes near its target."""
     return mixing.mixed_documents(docs)
 
 
@@ -53,7 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        before = written()
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        release(before, docs)
+        with tables() as keep_only:
+            docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep_only(docs)
     return STAGES[-1][1](spark, docs, sf_dir)

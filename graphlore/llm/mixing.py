@@ -14,13 +14,15 @@ Defined results: null and blank texts have no words and nothing is taken of
 them; a null source is a source, the last in order; repeated rows share out
 what is taken in either order; an empty table, or one without words, gives
 nothing taken; other columns are ignored or, by :func:`mixed_documents`,
-passed on.
+passed on. Rows without a doc_id are dealt to shards by the place they were
+read from, where there is one, so that many of them do not meet in one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +108,29 @@ def times_taken(sizes: np.ndarray, block: int, quota: int, max_repeats: int) ->
     return taken
 
 
+def _place(docs: DataFrame, row: Column | None) -> Column:
+    """A hash of where a row was read from: the place given, else the name of its file and its number there, else null."""
+    if row is not None:
+        return F.xxhash64(row)
+    try:
+        place = F.xxhash64(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
+        docs.select(place)
+    except AnalysisException:
+        return F.lit(None).cast("bigint")
+    return place
+
+
 def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, row: Column | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target and taken of every document (and ``row``, if one is given, as ``_row``)."""
     extra = [row.alias("_row")] if row is not None else []
-    sized = cut(docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), *extra), "mix-sizes")
+    sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.when(F.col("doc_id").isNull(), _place(docs, row)).alias("_place"), *extra)
+    sized = cut(sized, "mix-sizes")
     plan = cut(source_plan(sized, max_repeats, weights), "mix-plan")
     known = plan.withColumnRenamed("source", "_source")
     if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         known = F.broadcast(known)
     dealt = sized.join(known, sized["source"].eqNullSafe(known["_source"])).drop("_source")
-    dealt = dealt.withColumn("order", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard", F.pmod(F.col("order"), F.col("shards")))
+    dealt = dealt.withColumn("order", F.xxhash64("doc_id", F.lit(seed))).withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", "_place", F.lit(seed)), F.col("shards")))
     per_shard = dealt.groupBy("source_no", "shard", "blocks").agg(F.sum("size").cast("double").alias("words"))
     quotas = cut(sainte_lague(per_shard, ["source_no"], "words", "blocks", "shard", "quota").select("source_no", "shard", "quota"), "mix-quotas")
     rows = dealt.select("source_no", "shard", "order", "doc_id", "source", "size", "source_size", "target", "block", *(["_row"] if extra else []))

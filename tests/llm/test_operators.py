@@ -150,6 +150,24 @@ def test_whole_documents_meet_targets(make, monkeypatch, shard_words):
             assert abs(kept[s] - r.target) <= 128 + 250 * shards, (s, kept[s], r.target)
 
 
+def test_rows_without_id_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
+    rows = [(None, "one two three four five", "en", "a", 1)] * 2000 + [(k, "six seven eight", "en", "b", 1) for k in range(500)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    seen = []
+    original = mixing.sainte_lague
+    monkeypatch.setattr(mixing, "sainte_lague", lambda df, within, *a: (seen.append(df) if within else None, original(df, within, *a))[1])
+    first, again = mixing.mix(docs).collect(), mixing.mix(docs).collect()
+    shards = {r.shard: r.words for r in seen[0].filter("source_no = 1").collect()}
+    assert len(shards) >= 15 and max(shards.values()) < 2000  # 10,000 words without ids in 20 shards
+    key = lambda rows: sorted((r.doc_id or -1, r.source, r.size, r.taken) for r in rows)
+    assert key(first) == key(again)
+    for source in "ab":
+        own = [r for r in first if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 128
+
+
 # 3 -----------------------------------------------------------------------------------------------
 
 def test_secrets(spark, small):

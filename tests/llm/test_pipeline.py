@@ -50,6 +50,19 @@ def test_mix_repeats_by_share(steps):
     assert collections.Counter(r.doc_id for r in steps["mix"].collect()) == want
 
 
+def test_mix_meets_targets_in_words(steps):
+    """Words of the documents that leave the stage, by source, against the targets over those that came in."""
+    targets = {r.source: r.target for r in mixing.mix(steps["near"]).select("source", "target").distinct().collect()}
+    longest, words = collections.Counter(), collections.Counter()
+    for r in steps["near"].collect():
+        longest[r.source] = max(longest[r.source], len(brute.words(r.text)))
+    for r in steps["mix"].collect():
+        words[r.source] += len(brute.words(r.text))
+    assert sum(words.values()) == pytest.approx(sum(targets.values()), rel=0.03)
+    for source, target in targets.items():  # whole documents: as near as the longest one allows, and a block
+        assert abs(words[source] - target) <= max(0.01 * target, longest[source] + 64), (source, words[source], target)
+
+
 def test_tokens_round_trip(steps):
     sentencepiece = pytest.importorskip("sentencepiece")
     import public_tokenizers
