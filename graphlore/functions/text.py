@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphlore.functions.columns import strip
@@ -108,6 +108,27 @@ def html_title(html: Column, url: Column) -> Column:
     return F.when(title != "", title).otherwise(url_title(url))
 
 
+def page_sections(html: Column) -> Column:
+    """The sections of a page in order as an array of level, title, content: the lead, then one for each heading that has a title and content."""
+
+    def one(piece: Column, k: Column) -> Column:
+        # all but the first begin with the level, its mark and the heading's line
+        head = F.when(k == 0, F.lit("")).otherwise(F.substring_index(piece, "\n", 1))
+        body = F.when(k == 0, piece).otherwise(F.substr(piece, F.length(head) + 2))
+        lines = F.filter(F.transform(F.split(body, "\n"), clean_inline), lambda x: x != "")
+        level = F.when(k == 0, F.lit(0)).otherwise(F.substring(head, 1, 1).try_cast("int")).cast("bigint")
+        return F.struct(level.alias("level"), clean_inline(F.substr(head, F.lit(3))).alias("title"), F.array_join(lines, "\n").alias("content"))
+
+    made = F.transform(F.split(marked_lines(html), HEADING_MARK), one)
+    return F.filter(made, lambda s, k: (k == 0) | (s["title"] != "") & (s["content"] != ""))
+
+
+def sections(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key, section_index, level, title, content. Each page is taken apart inside its row, so nothing is shuffled."""
+    made = pages.select(key, F.posexplode(page_sections(F.col(html))).alias("section_index", "s"))
+    return made.select(key, F.col("section_index").cast("bigint").alias("section_index"), "s.level", "s.title", "s.content")
+
+
 def categories(url: Column) -> Column:
     """Up to three labels from the path; none of an encyclopedia's."""
     parts = F.slice(F.filter(F.split(path(url), "/"), lambda s: F.length(s) > 2), 1, 3)

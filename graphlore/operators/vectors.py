@@ -103,9 +103,13 @@ def quantize(v: Column) -> Column:
     return let(scale, lambda s: F.struct(s.alias("scale"), code(s).alias("codes")))
 
 
-def dequantize(q: Column) -> Column:
-    """The vector, in single precision, of a scale and its codes."""
-    return F.transform(q["codes"], lambda c: (c.cast("double") * q["scale"]).cast("float"))
+def dequantize(q: Column, size: int | None = None) -> Column:
+    """The vector, in single precision, of a scale and its codes. ``size``: if given, codes of another length are an error, as is a scale that is no finite number from 0 on."""
+    made = F.transform(q["codes"], lambda c: (c.cast("double") * q["scale"]).cast("float"))
+    if size is None:
+        return made
+    sound = (F.size(q["codes"]) == size) & (q["scale"] >= 0) & (q["scale"] < float("inf"))
+    return F.when(F.coalesce(sound, F.lit(False)), made).otherwise(F.raise_error(F.lit(f"codes are not {size} numbers with a finite scale")))
 
 
 def healthy(v: Column, size: int) -> Column:

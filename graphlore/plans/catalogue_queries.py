@@ -149,21 +149,6 @@ def url_title(spark, sf_dir):
 _MARKED = "unnest(string_split(" + _text_sql("html", "chr(10) || chr(30) || '{k}' || chr(31) || '\\1' || chr(10)") + ", chr(10)))"
 
 
-def sections(pages):
-    """page_id, section_index, level, title, content: a section for each heading, the lead first."""
-    lines = pages.select("page_id", F.posexplode(F.split(text.marked_lines(F.col("html")), "\n")).alias("at", "line"))
-    head = F.startswith("line", F.lit(text.HEADING_MARK))
-    level = F.when(head, F.substring("line", 2, 1).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-    w = Window.partitionBy("page_id").orderBy("at")
-    lines = lines.select("page_id", "at", head.alias("head"), level.alias("level"), text.clean_inline(F.when(head, F.substr("line", F.lit(4))).otherwise(F.col("line"))).alias("line"))
-    lines = lines.withColumn("s", F.sum(F.col("head").cast("int")).over(w))
-    body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("head") & (F.col("line") != ""), F.struct("at", "line")))), lambda x: x["line"])
-    made = lines.groupBy("page_id", "s").agg(F.max("level").alias("level"), F.coalesce(F.max(F.when(F.col("head"), F.col("line"))), F.lit("")).alias("title"), F.array_join(body, "\n").alias("content"))
-    made = made.filter((F.col("s") == 0) | (F.col("title") != "") & (F.col("content") != ""))
-    n = F.row_number().over(Window.partitionBy("page_id").orderBy("s")) - 1
-    return made.select("page_id", n.cast("bigint").alias("section_index"), "level", "title", "content")
-
-
 @query(f"""WITH marked AS (SELECT page_id, string_split({_text_sql("html", "chr(10) || chr(30) || '{k}' || chr(31) || '\\1' || chr(10)")}, chr(10)) AS ls FROM pages),
 lines AS (SELECT page_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM marked),
 kinds AS (SELECT page_id, pos, starts_with(line, chr(30)) AS head, CASE WHEN starts_with(line, chr(30)) THEN substring(line, 2, 1)::BIGINT ELSE 0 END AS level, CASE WHEN starts_with(line, chr(30)) THEN substring(line, 4) ELSE line END AS raw FROM lines),
@@ -171,7 +156,7 @@ clean AS (SELECT page_id, pos, head, level, {_clean_sql('raw')} AS line, sum(hea
 made AS (SELECT page_id, s, max(level) AS level, coalesce(max(line) FILTER (head), '') AS title, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT head AND line <> ''), '') AS content FROM clean GROUP BY page_id, s)
 SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY s) - 1 AS section_index, level, title, content FROM made WHERE s = 0 OR title <> '' AND content <> ''""")
 def html_sections(spark, sf_dir):
-    return sections(_pages(spark, sf_dir))
+    return text.sections(_pages(spark, sf_dir), "page_id")
 
 
 @query(f"""WITH a AS (SELECT page_id, url, {_HOST} AS host, regexp_extract_all(html, '(?i)<a\\b[^>]*?href\\s*=\\s*["'']([^"'']+)["'']', 1) AS hrefs FROM pages WHERE starts_with(url, 'https:')),

@@ -69,7 +69,7 @@ back AS (SELECT *, list_transform(codes, lambda c: CAST(CAST(c * scale AS FLOAT)
   round(min(list_cosine_similarity(v, w)), 6) AS min_cosine, round(max(scale), 9) AS max_scale FROM back GROUP BY label""")
 def embedding_int8_roundtrip(spark, sf_dir):
     rows = _vecs(spark, sf_dir).withColumn("c", vectors.quantize(F.col("embedding")))
-    same = vectors.cosine(vectors.doubles(F.col("embedding")), vectors.doubles(vectors.dequantize(F.col("c"))))
+    same = vectors.cosine(vectors.doubles(F.col("embedding")), vectors.doubles(vectors.dequantize(F.col("c"), 64)))
     rows = rows.select("label", "c.scale", same.alias("s"))
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("vectors"), F.round(F.avg("s"), 6).alias("mean_cosine"), F.round(F.min("s"), 6).alias("min_cosine"), F.round(F.max("scale"), 9).alias("max_scale"))
 

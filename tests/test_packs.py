@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphlore.functions import text
 from graphlore.functions.columns import strip
-from graphlore.operators import catalogue, evaluate, graph, incremental
+from graphlore.operators import catalogue, evaluate, graph, incremental, vectors
 from graphlore.plans import guard
 from graphlore.sources import files
 from graphlore.sources.pack import SCHEMAS, Pack
@@ -230,3 +230,20 @@ def test_crawl_is_cut_before_it_is_numbered(spark):
     links = pages.select("page", F.posexplode(F.array((F.col("page") * 3) % 100, (F.col("page") * 5 + 1) % 100)).alias("index", "target"))
     seeds = spark.createDataFrame([(1, 0), (2, 1)], "page bigint, index bigint")
     assert [r.page for r in graph.discover(pages, links, seeds, 1, 5).orderBy("position").collect()] == [3, 6, 11]
+
+
+def test_codes_of_the_wrong_length_are_an_error(spark):
+    v = spark.createDataFrame([([0.5, -1.0, 0.25],)], "v array<float>").withColumn("q", vectors.quantize(F.col("v")))
+    assert v.select(vectors.dequantize(F.col("q"), 3).alias("x")).first().x == pytest.approx([0.5, -1.0, 0.25], abs=0.01)
+    with pytest.raises(Exception, match="finite scale"):
+        v.select(vectors.dequantize(F.col("q"), 4)).collect()
+    with pytest.raises(Exception, match="finite scale"):
+        v.select(vectors.dequantize(F.struct(F.lit(float("nan")).alias("scale"), F.col("q.codes").alias("codes")), 3)).collect()
+
+
+def test_page_sections(spark):
+    html = "<title>t</title><p>lead <b>x</b></p><h1>One</h1><p>a</p><p> b </p><h2></h2><p>lost</p><h3>Empty</h3><h2>Two &amp; more</h2>c"
+    rows = text.sections(spark.createDataFrame([(1, html), (2, ""), (3, "<h1>A</h1>x")], "p int, html string"), "p").collect()
+    got = {k: [(r.section_index, r.level, r.title, r.content) for r in rows if r.p == k] for k in (1, 2, 3)}
+    assert got[1] == [(0, 0, "", "lead x"), (1, 1, "One", "a\nb"), (2, 2, "Two & more", "c")]
+    assert got[2] == [(0, 0, "", "")] and got[3] == [(0, 0, "", ""), (1, 1, "A", "x")]
