@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphlore.functions.columns import strip
+from graphlore.plans.shared import cut
 
 
 class DeltaError(ValueError):
@@ -64,6 +66,35 @@ def identity(delta: DataFrame) -> DataFrame:
     return hashed.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("delta_id"), F.sum("n").alias("rows"))
 
 
+def isolate(rows: DataFrame, key: str, column: str, run: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:
+    """(done, skipped): ``rows`` with ``value``, what ``run`` makes of a text, and key and error of those at which it fails; one that fails stops no other.
+
+    What is made is written first, so that ``run`` sees each row once.
+    """
+
+    @F.pandas_udf("struct<value:string,error:string>")
+    def attempt(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            try:
+                out.append((run(t), None))
+            except Exception as e:  # the article is skipped, with its reason
+                out.append((None, f"{type(e).__name__}: {e}"[:500]))
+        return pd.DataFrame(out, columns=["value", "error"])
+
+    tried = cut(rows.withColumn("_made", attempt(F.col(column))), "isolated")
+    done = tried.filter("_made.error is null").withColumn("value", F.col("_made.value")).drop("_made")
+    return done, tried.filter("_made.error is not null").select(key, F.col("_made.error").alias("error"))
+
+
+def without(links: DataFrame, skipped: DataFrame, key: str, ends: tuple[str, str] = ("source", "target")) -> DataFrame:
+    """Links neither of whose ends was skipped."""
+    own = links.columns
+    for e in ends:
+        links = links.join(skipped.select(F.col(key).alias(e)), e, "left_anti")
+    return links.select(*own)
+
+
 def build_identity(delta_id: DataFrame, pack: str, version: str, base_digest: str, model: str, versions: dict[str, str]) -> DataFrame:
     """delta_id, build_id: the digest of everything that a build follows from, in a fixed order."""
     known = [f"pack={pack}", f"version={version}", f"base={base_digest}", f"model={model}", *(f"{k}={versions[k]}" for k in sorted(versions))]
@@ -136,9 +167,10 @@ def dangling(references: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> Da
 
 def both_ends(edges: DataFrame, nodes: DataFrame, node: str, ends: tuple[str, str] = ("source", "target")) -> DataFrame:
     """Edges whose ends are both there."""
+    own = edges.columns
     for e in ends:
         edges = edges.join(nodes.select(F.col(node).alias(e)), e, "left_semi")
-    return edges
+    return edges.select(*own)
 
 
 def differing(stored: DataFrame, derived: DataFrame, key: str) -> DataFrame:

@@ -112,7 +112,7 @@ def check_read(spark: SparkSession, sql: str, tables: set[str] | None = None) ->
                 raise ReadOnlyError(f"the query calls {'.'.join(name)}")
 
 
-def run_read(spark: SparkSession, sql: str, k: int, cap: int = 200, tables: set[str] | None = None) -> DataFrame:
-    """Run generated SQL if the whole of its parsed plan only reads; ``min(k, cap)`` rows at most."""
+def run_read(spark: SparkSession, sql: str, k: int, cap: int = 200, tables: set[str] | None = None, args: dict | None = None) -> DataFrame:
+    """Run generated SQL if the whole of its parsed plan only reads; ``min(k, cap)`` rows at most. ``args``: values of its named parameters."""
     check_read(spark, sql, tables)
-    return spark.sql(sql).limit(min(k, cap))
+    return spark.sql(sql, args=args).limit(min(k, cap))

@@ -157,8 +157,11 @@ def list_size(asked: object, default: int = 3, most: int = 20) -> int:
     return max(1, min(most, int(asked))) if isinstance(asked, (int, float)) and not isinstance(asked, bool) else default
 
 
-def run_eval(questions: DataFrame, arms: dict[str, Callable[[str], str]], judge: Callable[[dict, str], str]) -> DataFrame:
-    """arm, id, correct, score, reasoning: each arm's answer to each question (id, question), judged; answers run on executors, a failing one counts as wrong."""
+def run_eval(questions: DataFrame, arms: dict[str, Callable[[str], str]], judge: Callable[[dict, str], str], by_skill: dict[str, Callable[[dict, str], str]] | None = None) -> DataFrame:
+    """arm, id, correct, score, reasoning: each arm's answer to each question (id, question), judged; answers run on executors, a failing one counts as wrong.
+
+    ``by_skill``: judges of their own for the skills that questions name in ``skill``; all others have ``judge``.
+    """
     from functools import reduce
 
     from graphlore.operators.evaluate import verdict
@@ -169,12 +172,13 @@ def run_eval(questions: DataFrame, arms: dict[str, Callable[[str], str]], judge:
             said = []
             for r in rows.to_dict("records"):
                 try:
-                    said.append(judge(r, ask(r["question"])))
+                    own = (by_skill or {}).get(r.get("skill"), judge)
+                    said.append(own(r, ask(r["question"])))
                 except Exception:  # one question that fails is a wrong answer, not the end of the run
                     said.append("")
             return pd.Series(said)
 
-        return run(F.struct("id", "question"))
+        return run(F.struct(*[c for c in ("id", "question", "answer", "skill") if c in questions.columns]))
 
     each = [questions.select("id", verdict(judged(ask)).alias("v")).select(F.lit(name).alias("arm"), "id", "v.*") for name, ask in arms.items()]
     return reduce(DataFrame.unionByName, each)

@@ -103,6 +103,15 @@ class Pack:
         part_of = self.read("nation").select(name("nation", "n_nationkey"), name("region", "n_regionkey"), F.lit("part_of"))
         return supplied.union(located).union(part_of)
 
+    def register(self, prefix: str = "") -> list[str]:
+        """Make the pack's tables views of the session, for SQL; their names."""
+        names = []
+        for t in SCHEMAS:
+            if not self.derived or hasattr(type(self), t):
+                getattr(self, t).createOrReplaceTempView(f"{prefix}{t}")
+                names.append(f"{prefix}{t}")
+        return names
+
     def introspect(self) -> DataFrame:
         """table, column and type of every table of a pack, as the tables have them: an opened pack's files, a derived one's plans."""
         rows = []

@@ -12,6 +12,7 @@ from graphlore.functions import text
 from graphlore.functions.columns import strip
 from graphlore.operators import catalogue, evaluate, graph, incremental, vectors
 from graphlore.plans import guard
+from graphlore.retriever import run_eval
 from graphlore.sources import files
 from graphlore.sources.pack import SCHEMAS, Pack
 from graphlore.streaming.writer import PackWriter
@@ -247,3 +248,30 @@ def test_page_sections(spark):
     got = {k: [(r.section_index, r.level, r.title, r.content) for r in rows if r.p == k] for k in (1, 2, 3)}
     assert got[1] == [(0, 0, "", "lead x"), (1, 1, "One", "a\nb"), (2, 2, "Two & more", "c")]
     assert got[2] == [(0, 0, "", "")] and got[3] == [(0, 0, "", ""), (1, 1, "A", "x")]
+
+
+def test_a_failing_article_stops_no_other(spark):
+    def run(x):
+        if x == "bad":
+            raise KeyError("no model")
+        return x.upper()
+
+    rows = spark.createDataFrame([("a", "x"), ("b", "bad"), ("c", "y")], "title string, content string")
+    done, skipped = incremental.isolate(rows, "title", "content", run)
+    assert {(r.title, r.value) for r in done.collect()} == {("a", "X"), ("c", "Y")} and [tuple(r) for r in skipped.collect()] == [("b", "KeyError: 'no model'")]
+    links = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "source string, target string")
+    assert [tuple(r) for r in incremental.without(links, skipped, "title").collect()] == [("a", "c")]
+
+
+def test_views_and_parameters(spark, small):
+    names = Pack.derive(spark, small).register("pk_")
+    assert "pk_article" in names
+    got = guard.run_read(spark, "SELECT title FROM pk_article WHERE category = :c ORDER BY title", 3, tables=set(names), args={"c": "en"}).collect()
+    assert len(got) == 3 and all(r.title.startswith("doc-") for r in got)
+
+
+def test_judges_by_skill(spark):
+    questions = spark.createDataFrame([("1", "q", "a", "lookup"), ("2", "r", "b", "other")], "id string, question string, answer string, skill string")
+    say = lambda ok: json.dumps({"correct": ok, "score": 1.0, "reasoning": ""})
+    rows = run_eval(questions, {"pack": lambda q: "a"}, lambda r, said: say(False), {"lookup": lambda r, said: say(r["answer"] == said)}).collect()
+    assert {(r.arm, r.id, r.correct) for r in rows} == {("pack", "1", True), ("pack", "2", False)}
