@@ -108,6 +108,14 @@ def times_taken(sizes: np.ndarray, block: int, quota: int, max_repeats: int) ->
     return taken
 
 
+def whole_copies(sizes: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """How often each document of a shard stands whole for what is taken of it: rounded halves up, but never nothing of a shard that gives something."""
+    copies = (2 * taken + sizes) // np.maximum(2 * sizes, 1)
+    if taken.any() and not copies.any():
+        copies[int(np.argmax(taken))] = 1
+    return copies
+
+
 def _place(docs: DataFrame, row: Column | None) -> Column:
     """A hash of where a row was read from: the place given, else the name of its file and its number there, else null."""
     if row is not None:
@@ -121,7 +129,7 @@ def _place(docs: DataFrame, row: Column | None) -> Column:
 
 
 def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, row: Column | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target and taken of every document (and ``row``, if one is given, as ``_row``)."""
+    """doc_id, source, size, source_size, target, taken and copies (:func:`whole_copies`) of every document (and ``row``, if one is given, as ``_row``)."""
     extra = [row.alias("_row")] if row is not None else []
     sized = docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"), F.when(F.col("doc_id").isNull(), _place(docs, row)).alias("_place"), *extra)
     sized = cut(sized, "mix-sizes")
@@ -134,23 +142,24 @@ def mix(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2,
     per_shard = dealt.groupBy("source_no", "shard", "blocks").agg(F.sum("size").cast("double").alias("words"))
     quotas = cut(sainte_lague(per_shard, ["source_no"], "words", "blocks", "shard", "quota").select("source_no", "shard", "quota"), "mix-quotas")
     rows = dealt.select("source_no", "shard", "order", "doc_id", "source", "size", "source_size", "target", "block", *(["_row"] if extra else []))
-    schema = rows.drop("source_no", "shard", "order", "block").schema.add("taken", "long")
+    schema = rows.drop("source_no", "shard", "order", "block").schema.add("taken", "long").add("copies", "long")
 
     def choose(key: tuple, own: pd.DataFrame, quota: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(["order", "doc_id", "size"], kind="stable")
         n = int(quota["quota"].iloc[0]) if len(quota) else 0
         block = int(own["block"].iloc[0]) if len(own) else 1
-        own["taken"] = times_taken(own["size"].to_numpy(np.int64), block, n, max_repeats)
+        sizes = own["size"].to_numpy(np.int64)
+        own["taken"] = times_taken(sizes, block, n, max_repeats)
+        own["copies"] = whole_copies(sizes, own["taken"].to_numpy(np.int64))
         return own[schema.names]
 
     return rows.groupBy("source_no", "shard").cogroup(quotas.groupBy("source_no", "shard")).applyInPandas(choose, schema)
 
 
 def mixed_documents(docs: DataFrame, max_repeats: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """The documents of which the mix takes words, with their own columns, each as often as its share rounds to, once at least."""
+    """Documents, with their own columns, each as often as the words that the mix takes of it round to."""
     docs = packed(docs, "doc_id", "source", "text")
-    taken = mix(docs, max_repeats, weights, seed, row=F.col("_locator")).filter("taken > 0")
-    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
-    times = cut(taken.select(F.col("_row").alias("_locator"), times.alias("_times")), "mix-times")
+    taken = mix(docs, max_repeats, weights, seed, row=F.col("_locator")).filter("copies > 0")
+    times = cut(taken.select(F.col("_row").alias("_locator"), F.col("copies").cast("int").alias("_times")), "mix-times")
     joined = docs.join(times.hint("merge"), "_locator")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")

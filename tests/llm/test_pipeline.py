@@ -46,7 +46,8 @@ def test_near_keeps_one_of_each(steps):
 
 
 def test_mix_repeats_by_share(steps):
-    want = {r.doc_id: max(1, int(r.taken / r.size + 0.5)) for r in mixing.mix(steps["near"]).filter("taken > 0").collect()}
+    rows = mixing.mix(steps["near"]).filter("taken > 0").collect()
+    want = {r.doc_id: n for r in rows if (n := max(int(r.taken / r.size + 0.5), int(sum(2 * x.taken >= x.size for x in rows if x.source == r.source) == 0)))}
     assert collections.Counter(r.doc_id for r in steps["mix"].collect()) == want
 
 
@@ -58,7 +59,7 @@ def test_mix_meets_targets_in_words(steps):
         longest[r.source] = max(longest[r.source], len(brute.words(r.text)))
     for r in steps["mix"].collect():
         words[r.source] += len(brute.words(r.text))
-    assert sum(words.values()) == pytest.approx(sum(targets.values()), rel=0.03)
+    assert sum(words.values()) == pytest.approx(sum(targets.values()), rel=0.05)  # sources have some ten documents here
     for source, target in targets.items():  # whole documents: as near as the longest one allows, and a block
         assert abs(words[source] - target) <= max(0.01 * target, longest[source] + 64), (source, words[source], target)
 
