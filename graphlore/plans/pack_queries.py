@@ -31,12 +31,12 @@ def entity_nodes_decorated(spark, sf_dir):
 
 @query(f"""WITH {PACK}, {_ARTICLE_PAIRS}, art AS ({ORACLE_SQL['word_counts']})
 SELECT title, word_count, 'https://en.wikipedia.org/wiki/doc-7' AS url, (SELECT string_agg('0:' || title || ':' || sha256(content), '|') FROM section WHERE article = 'doc-7') AS parts,
-  (SELECT list(target ORDER BY target) FROM pairs WHERE source = 'doc-7') AS links, (SELECT len(list(source ORDER BY source)) FROM pairs WHERE target = 'doc-7') AS n_backlinks FROM art WHERE title = 'doc-7'""")
+  (SELECT string_agg(target, '|' ORDER BY target) FROM pairs WHERE source = 'doc-7') AS links, (SELECT len(list(source ORDER BY source)) FROM pairs WHERE target = 'doc-7') AS n_backlinks FROM art WHERE title = 'doc-7'""")
 def article_full_detail(spark, sf_dir):
     p = Pack.derive(spark, sf_dir)
     found = catalogue.full_details(p.article, p.section, graph.article_links(p.section, p.links_to), "doc-7")
     parts = F.array_join(F.transform("sections", lambda s: F.concat_ws(":", s["section_index"], s["heading"], F.sha2(s["content"], 256))), "|")
-    return found.select("title", "word_count", "url", parts.alias("parts"), "links", F.size("backlinks").cast("bigint").alias("n_backlinks"))
+    return found.select("title", "word_count", "url", parts.alias("parts"), F.array_join("links", "|").alias("links"), F.size("backlinks").cast("bigint").alias("n_backlinks"))
 
 
 @query(f"""SELECT CASE WHEN starts_with(metric, 'avg_') THEN 'rate' ELSE 'count' END AS kind, metric AS name, value FROM ({ORACLE_SQL['corpus_stats']})
@@ -101,10 +101,10 @@ def quantised_adoption(spark, sf_dir):
 _LISTS = ['["a", "b,\\\\"c"]', "[]", '["a", 1]', '["a", null]', '{"a": 1}', "no json", '[["a"]]']
 
 
-@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN ['a', 'b,' || chr(34) || 'c'] WHEN 1 THEN []::VARCHAR[] END AS items FROM events")
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'a|b,' || chr(34) || 'c' WHEN 1 THEN '' END AS items FROM events")
 def string_lists(spark, sf_dir):
     values = F.array(F.lit('["a", "b,\\"c"]'), *map(F.lit, _LISTS[1:]))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.string_list(F.get(values, (F.col("event_id") % 7).cast("int"))).alias("items"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(text.string_list(F.get(values, (F.col("event_id") % 7).cast("int"))), "|").alias("items"))
 
 
 @query("SELECT conv_id, turn, 'Ask ' || role || ' {{answer}}: ' || coalesce(text, '') || ' (' || coalesce(text, '') || ') {{other}}.' AS prompt FROM conversations")
@@ -132,20 +132,20 @@ def canonical_records(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.safe_json(raw).alias("canonical"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 31 + 1 <= 28 OR o_orderkey % 31 + 1 <= 30 AND o_custkey % 12 + 1 <> 2 OR o_custkey % 12 + 1 IN (1, 3, 5, 7, 8, 10, 12) THEN make_date(2023, (o_custkey % 12 + 1)::INT, (o_orderkey % 31 + 1)::INT) END AS day FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 31 + 1 <= 28 OR o_orderkey % 31 + 1 <= 30 AND o_custkey % 12 + 1 <> 2 OR o_custkey % 12 + 1 IN (1, 3, 5, 7, 8, 10, 12) THEN make_date(2023, (o_custkey % 12 + 1)::INT, (o_orderkey % 31 + 1)::INT)::VARCHAR END AS day FROM orders""")
 def tag_dates(spark, sf_dir):
     tag = F.format_string("pack-2023-%02d-%02d.1", F.col("o_custkey") % 12 + 1, F.col("o_orderkey") % 31 + 1)
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.tag_date(tag).alias("day"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text.tag_date(tag).cast("string").alias("day"))
 
 
 # deltas and writing --------------------------------------------------------------------------------
 
-@query(f"WITH {_BASE}, {_DELTA} SELECT coalesce(d.key, b.key) AS key, coalesce(d.payload, b.payload) AS payload, CASE WHEN b.payload IS NOT NULL AND (d.payload IS NULL OR b.payload = d.payload) THEN [-1.0::DOUBLE, b.key % 7] ELSE [length(d.payload)::DOUBLE, 1.0] END AS embedding, b.payload IS NOT NULL AND (d.payload IS NULL OR b.payload = d.payload) AS reused FROM base b FULL JOIN delta d ON b.key = d.key")
+@query(f"WITH {_BASE}, {_DELTA} SELECT coalesce(d.key, b.key) AS key, coalesce(d.payload, b.payload) AS payload, CASE WHEN b.payload IS NOT NULL AND (d.payload IS NULL OR b.payload = d.payload) THEN -1.0::DOUBLE ELSE length(d.payload)::DOUBLE END AS first_value, b.payload IS NOT NULL AND (d.payload IS NULL OR b.payload = d.payload) AS reused FROM base b FULL JOIN delta d ON b.key = d.key")
 def delta_recompute(spark, sf_dir):
     """Vectors of unchanged rows are the base's, which no embedding of their payloads would give."""
     base, delta = _delta(spark, sf_dir)
     base = base.withColumn("embedding", F.array(F.lit(-1.0), (F.col("key") % 7).cast("double")))
-    return incremental.recompute(base, delta, lambda rows: rows.withColumn("embedding", F.array(F.length("payload").cast("double"), F.lit(1.0))))
+    return incremental.recompute(base, delta, lambda rows: rows.withColumn("embedding", F.array(F.length("payload").cast("double"), F.lit(1.0)))).select("key", "payload", F.col("embedding")[0].alias("first_value"), "reused")
 
 
 @query(f"SELECT delta_id, sha256('pack=orders' || chr(10) || 'version=1.2.0' || chr(10) || 'base=b0' || chr(10) || 'model=small' || chr(10) || 'builder=3' || chr(10) || 'schema=2' || chr(10) || 'delta=' || delta_id) AS build_id FROM ({ORACLE_SQL['delta_identity']})")
