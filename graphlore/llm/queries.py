@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, toxicity
+from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, quality_rules, secret_scan, sentencepiece_codec, spelling_groups, suffix_dedup, toxicity
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -208,5 +208,45 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join)}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": OP9_SQL}
+def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of at least seven letters, its neighbours one edit away and the form that it is a slip of."""
+    return spelling_groups.variant_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _crc32_sql(data: str) -> str:
+    """CRC-32 of a blob, bit by bit."""
+    at = lambda k: f"instr('123456789ABCDEF', substr(hex({data}), CAST({k} AS BIGINT), 1))"
+    bits = f"list_transform(range(0, 8 * octet_length({data})), lambda i: ((CASE WHEN i % 8 < 4 THEN {at('2 * (i // 8) + 2')} ELSE {at('2 * (i // 8) + 1')} END) >> (i % 4)) & 1)"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295)"
+
+
+OP13_SQL = f"""
+WITH runs AS (
+  SELECT doc_id, run, count(*) AS k, {_crc32_sql("encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 7 GROUP BY doc_id, run),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM runs)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+gaps AS (SELECT word, n, length(word) AS l, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM gaps a JOIN gaps b ON a.l = b.l AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word),
+near AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -other_n, word := encode(other))) AS best FROM pairs GROUP BY word),
+formed AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN -best.less >= 10 * n THEN decode(best.word) END AS form, CASE WHEN -best.less >= 10 * n THEN -best.less END AS form_n
+  FROM words LEFT JOIN near USING (word)),
+steps AS (
+  WITH RECURSIVE up AS (
+    SELECT word, form AS root, 1 AS step FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT up.word, formed.form, step + 1 FROM up JOIN formed ON up.root = formed.word WHERE formed.form IS NOT NULL)
+  SELECT word, arg_max(root, step) AS root FROM up GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN steps USING (word)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join, op13_spelling_groups)}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op13_spelling_groups": OP13_SQL}
