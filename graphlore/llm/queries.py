@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, quality_rules, secret_scan, sentencepiece_codec, spelling_groups, suffix_dedup, toxicity
+from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, spelling_groups, suffix_dedup, toxicity
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -208,6 +208,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each with its first turns borrowed from the hundredth before it."""
+    turns = prefix_trie.digested(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(prefix_trie.sequences(prefix_trie.with_borrowed_heads(turns)))
+
+
 def op13_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of at least seven letters, its neighbours one edit away and the form that it is a slip of."""
     return spelling_groups.variant_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -220,6 +226,30 @@ def _crc32_sql(data: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1))), 4294967295)"
 
 
+OP12_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_crc32_sql("encode(CAST(conv_id AS VARCHAR))")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+whole AS (
+  SELECT conv_id, place, role, text FROM turns JOIN convs USING (conv_id) WHERE place > h
+  UNION ALL SELECT convs.conv_id, place, role, text FROM convs JOIN turns ON convs.base = turns.conv_id WHERE place <= h),
+listed AS (
+  SELECT conv_id, count(place) AS n, coalesce(list(md5(length(role) || ':' || role || text) ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS d,
+    coalesce(list(length(text) ORDER BY place) FILTER (WHERE place IS NOT NULL), []) AS l
+  FROM convs LEFT JOIN whole USING (conv_id) GROUP BY conv_id),
+begun AS (SELECT conv_id, n, k AS depth, array_to_string(d[:k], '') AS node, array_to_string(d[:k - 1], '') AS up, l[k] AS len FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM listed)),
+nodes AS (
+  SELECT node, depth, min(conv_id) AS conv_id, min(up) AS up, count(*) AS n_convs, coalesce(min(len), 0) * (count(*) - 1) AS own,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM begun GROUP BY node, depth),
+kids AS (SELECT up AS node, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up, depth),
+counted AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node, depth)),
+over AS (SELECT substr(node, 1, 32 * k) AS node, k AS depth, own, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM counted)),
+below AS (SELECT node, depth, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM over GROUP BY node, depth)
+SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, below.n_leaves, CAST(saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below USING (node, depth) LEFT JOIN counted p ON c.depth = p.depth + 1 AND c.up = p.node
+"""
 OP13_SQL = f"""
 WITH runs AS (
   SELECT doc_id, run, count(*) AS k, {_crc32_sql("encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h
@@ -248,5 +278,5 @@ SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed L
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join, op13_spelling_groups)}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op13_spelling_groups": OP13_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join, op12_prefix_trie, op13_spelling_groups)}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling_groups": OP13_SQL}
