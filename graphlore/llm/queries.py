@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, spelling_groups, suffix_dedup, toxicity
+from graphlore.llm import chat_format, exact_dedup, license_scan, lm_scoring, mixing, near_join, prefix_trie, quality_rules, secret_scan, sentencepiece_codec, spelling_groups, suffix_dedup, toxicity
 
 EXTRA_TEXT = "\\### Assistant: </turn> ok"
 
@@ -208,6 +208,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every text under unigrams and under the interpolated model, learned from four fifths of the texts."""
+    return lm_scoring.score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of all conversations, each with its first turns borrowed from the hundredth before it."""
     turns = prefix_trie.digested(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
@@ -278,5 +283,5 @@ SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed L
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join, op12_prefix_trie, op13_spelling_groups)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_source_mix, op3_secret_scan, op4_quality_rules, op5_sentencepiece, op6_toxicity, op7_exact_dedup, op8_suffix_dedup, op9_license_scan, op10_jaccard_join, op11_lm_score, op12_prefix_trie, op13_spelling_groups)}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_quality_rules": _op4_sql(), "op7_exact_dedup": OP7_SQL, "op9_license_scan": OP9_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling_groups": OP13_SQL}
