@@ -466,12 +466,12 @@ def _totals(table: pa.Table) -> pa.Table:
     for kind, x in zip(table["kind"].to_pylist(), table["x"].to_pylist(), strict=True):
         at = expand(x[0], np.int64) & (size - 1)
         if kind == "sum":
-            score[at] += expand(x[1], np.float32)
+            np.add.at(score, at, expand(x[1], np.float32))  # a text may come twice, from packed rows of its frequent and its rare words
             continue
         if kind == "text":
             there[at], lengths[at] = True, expand(x[1], np.int64)
-        known[at] += expand(x[-2], np.int64)
-        base[at] += expand(x[-1], np.float64)
+        np.add.at(known, at, expand(x[-2], np.int64))
+        np.add.at(base, at, expand(x[-1], np.float64))
     at = np.flatnonzero(there)
     whole = lambda name: np.full(len(at), table[name][0].as_py(), np.int64)
     columns = {"file": whole("file"), "row": (whole("block") << BLOCK) + at, "n_tokens": lengths[at], "n_known": known[at], "base_score": base[at], "score": score[at]}
