@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlore.functions.columns import strip
+from graphlore.functions.columns import let, strip
 
 #: Named character references; fixed values.
 ENTITIES = {
@@ -159,7 +159,7 @@ def links(html: Column, url: Column) -> Column:
     root = F.concat(scheme, F.lit("://"), host(url))
     folder = F.regexp_replace(path(url), "[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    wanted = F.filter(F.transform(found, F.trim), lambda h: (h != "") & ~h.startswith("#") & ~F.lower(h).rlike("^(javascript|mailto|tel|data):"))
+    wanted = F.filter(F.transform(found, strip), lambda h: (h != "") & ~h.startswith("#") & ~F.lower(h).rlike("^(javascript|mailto|tel|data):"))
 
     def absolute(h: Column) -> Column:
         out = F.when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
@@ -211,10 +211,22 @@ def windows(text: Column, size: int = 512, overlap: int = 64) -> Column:
     """Overlapping windows of a trimmed text; the last one reaches its end."""
     if size < 1:
         raise ValueError("a window has at least one character")
-    step, t = max(1, size - overlap), strip(text)
-    n = F.when(F.length(t) <= size, F.lit(1)).otherwise(F.ceil((F.length(t) - size) / step) + 1).cast("int")
-    made = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr(t, k * step + 1, F.lit(size)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(made)
+    step = max(1, size - overlap)
+
+    def cut(t: Column) -> Column:
+        """Windows of a piece, each of which starts ``step`` after the last."""
+        n = F.when(F.length(t) <= size, F.lit(1)).otherwise(F.ceil((F.length(t) - size) / step) + 1).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substr(t, k * step + 1, F.lit(size)))
+
+    # a place in a text is found by walking there, so a long text is first dealt into pieces of many windows each
+    run = max(1, 65_536 // step)
+
+    def dealt(t: Column) -> Column:
+        whole = F.when(F.length(t) <= size, F.lit(1)).otherwise(F.ceil((F.length(t) - size) / step) + 1).cast("int")
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((whole - 1) / run).cast("int")), lambda p: F.substr(t, p * run * step + 1, F.lit((run - 1) * step + size)))
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.flatten(F.transform(pieces, lambda p: let(p, cut))))
+
+    return let(strip(text), dealt)
 
 
 def relation(verb: Column) -> Column:
@@ -302,9 +314,13 @@ def wiki_url(title: Column) -> Column:
 
 def cites(answer: Column, ident: Column) -> Column:
     """Place of the first mention of an identifier that no identifier character follows; 0 if there is none."""
-    pieces = F.split(answer, F.concat(F.lit("\\Q"), ident, F.lit("\\E")))
-    # the mention before piece k+1 counts if that piece starts with something else
-    free = F.filter(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: ~F.substring(F.get(pieces, k), 1, 1).rlike("[A-Za-z0-9_#]"))
-    before = F.aggregate(F.slice(pieces, 1, F.greatest(F.array_min(free), F.lit(1))), F.lit(0), lambda n, p: n + F.length(p))
-    place = before + (F.array_min(free) - 1) * F.length(ident) + 1
-    return F.when((F.size(pieces) < 2) | (F.size(free) == 0), F.lit(0)).otherwise(place).cast("bigint")
+
+    def first(pieces: Column) -> Column:
+        # the mention before piece k+1 counts if that piece starts with something else
+        free = F.filter(F.sequence(F.lit(1), F.size(pieces) - 1), lambda k: ~F.substring(F.get(pieces, k), 1, 1).rlike("[A-Za-z0-9_#]"))
+        return F.when((F.size(pieces) < 2) | (F.size(free) == 0), F.lit(0)).otherwise(let(F.array_min(free), lambda k: place(pieces, k)))
+
+    def place(pieces: Column, k: Column) -> Column:
+        return F.aggregate(F.slice(pieces, 1, k), F.lit(0), lambda n, p: n + F.length(p)) + (k - 1) * F.length(ident) + 1
+
+    return let(F.split(answer, F.concat(F.lit("\\Q"), ident, F.lit("\\E"))), first).cast("bigint")

@@ -27,7 +27,9 @@ def one(spark, column):
 READS = [
     "SELECT id FROM things WHERE id > 1 ORDER BY id LIMIT 3", "WITH a AS (SELECT max(id) AS m FROM things) SELECT t.id FROM things t JOIN a ON t.id < a.m",
     "SELECT id FROM things WHERE id IN (SELECT id FROM things) AND EXISTS (SELECT 1 FROM things b WHERE b.id = things.id)", "SELECT count(DISTINCT upper(name)), sum(id) OVER (PARTITION BY name) FROM things GROUP BY id, name",
-    "SELECT x FROM things LATERAL VIEW explode(array(id, id + 1)) e AS x", "SELECT id FROM things UNION ALL SELECT * FROM range(3)", "VALUES (1), (2)",
+    "SELECT x FROM things LATERAL VIEW explode(array(id, id + 1)) e AS x", "SELECT sum(id) OVER w AS s FROM things WINDOW w AS (PARTITION BY name ORDER BY id)", "WITH a AS (SELECT 1 AS x), b AS (SELECT * FROM a) SELECT * FROM b",
+    "SELECT name, CASE WHEN id > 1 THEN 'x' ELSE -id END, name COLLATE UNICODE_CI = 'A', transform(array(id), v -> v + 1)[0] FROM things", "SELECT name, count(*) FILTER (WHERE id > 1) FROM things GROUP BY ROLLUP (name) HAVING count(*) > 0 ORDER BY ALL",
+    "FROM things |> SELECT id", "SELECT * EXCEPT (name) FROM things WHERE name LIKE ANY ('a%', '%b') AND id BETWEEN 1 AND 2", "SELECT id FROM things UNION ALL SELECT * FROM range(3)", "VALUES (1), (2)",
 ]
 REFUSED = [
     "DROP TABLE things", "INSERT INTO things SELECT 1, 'a'", "CREATE TABLE x AS SELECT 1", "SET spark.sql.ansi.enabled = false", "SHOW TABLES",
@@ -35,6 +37,11 @@ REFUSED = [
     "SELECT * FROM parquet.`/etc`", "SELECT * FROM text.`/etc/passwd`", "SELECT * FROM things WHERE id IN (SELECT value FROM text.`/etc/passwd`)", "WITH a AS (SELECT * FROM json.`/etc`) SELECT * FROM a",
     "SELECT (SELECT reflect('java.lang.System', 'getProperty', 'user.home')) AS x", "SELECT id FROM unknown_table", "SELECT TRANSFORM(id) USING 'cat' AS x FROM things", "SELECT input_file_name() FROM things",
     "SELECT x FROM things LATERAL VIEW explode(array(reflect('java.lang.System', 'getProperty', 'user.home'))) e AS x", "SELECT * FROM read_files('/etc')", "EXPLAIN SELECT 1", "CALL something()",
+    # a function or table whose name is computed, the pipe syntax, windows that have names, and names that are seen elsewhere only
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.home') AS x FROM things", "FROM things |> SELECT IDENTIFIER('java_method')('java.lang.System', 'getenv', 'HOME')", "SELECT * FROM IDENTIFIER('things')",
+    "SELECT sum(id) OVER w FROM things WINDOW w AS (ORDER BY reflect('java.lang.System', 'getProperty', 'user.home'))", "SELECT builtin.reflect('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT * FROM hidden WHERE EXISTS (WITH hidden AS (SELECT 1) SELECT * FROM hidden)", "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden", "WITH a AS (SELECT * FROM hidden), hidden AS (SELECT 1) SELECT * FROM a",
+    "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r) SELECT * FROM r", "SELECT raise_error('x')", "SELECT session_user()", "SELECT explode(array(reflect('java.lang.System', 'getenv', 'HOME')))",
 ]
 
 
@@ -58,10 +65,33 @@ def test_run_read(spark, things):
     assert guard.run_read(spark, READS[0], 2).count() == 2
     with pytest.raises(guard.ReadOnlyError):
         guard.run_read(spark, "SELECT id FROM things", 5, tables={"others"})
+    spark.range(3).createOrReplaceTempView("hidden")
+    for sql in ("SELECT * FROM hidden WHERE EXISTS (WITH hidden AS (SELECT 1) SELECT * FROM hidden)", "WITH hidden AS (SELECT * FROM hidden) SELECT * FROM hidden"):
+        with pytest.raises(guard.ReadOnlyError, match="hidden"):
+            guard.run_read(spark, sql, 5, tables={"things"})
+    spark.catalog.dropTempView("hidden")
+    assert guard.run_read(spark, "WITH hidden AS (SELECT id FROM things) SELECT * FROM hidden", 1, tables={"things"}).count() == 1
 
 
 # text ----------------------------------------------------------------------------------------------
 
+def test_windows_of_a_very_long_text(spark):
+    """The work grows with the text, and windows go on across the pieces that it is dealt into."""
+    long = "é x" * 300_000
+    want = [long[k : k + 512] for k in range(0, len(long) - 64, 448)]
+    df = spark.createDataFrame([(f" {long}\n",)], "t string").select(text.windows(F.col("t")).alias("w"), text.windows(F.col("t"), 100, 10).alias("v"))
+    got = df.first()
+    assert got.w == want and len(got.v) == -(-(len(long) - 100) // 90) + 1 and got.v[-1] == long[90 * (len(got.v) - 1) :]
+
+
+def test_mentions_and_links(spark):
+    many = "CVE-1x " * 20_000 + "CVE-1"
+    assert one(spark, text.cites(F.lit(many), F.lit("CVE-1"))) == len(many) - 4
+    assert [one(spark, text.cites(F.lit(x), F.lit("a+"))) for x in ("", "a", "a+", "b a+1 a+.", "a+_")] == [0, 0, 1, 7, 0]
+    page = "<a href=\"\n/x\t\">1</a><a href='\u00a0b.html\u3000'>2</a><a href=' #top '>3</a>"
+    assert one(spark, text.links(F.lit(page), F.lit("https://h.org/d/p.html"))) == ["https://h.org/x", "https://h.org/d/b.html"]
+
+
 @pytest.mark.parametrize("value", ["\n\tabc d\n", "\u00a0\ufeffabc d\u3000", "\x0b\x0cabc d\r", "abc d"])
 def test_trimming(spark, value):
     assert one(spark, strip(F.lit(value))) == "abc d"
