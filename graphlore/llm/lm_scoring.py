@@ -30,7 +30,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,12 +46,47 @@ DELETED = 10
 STEPS = 4
 LEAST_WEIGHT = 1e-6
 RARE = np.uint64(1 << 63)
-END = xxhash.xxh64_intdigest(b"\n")  # no word has a line feed
+#: The hash of a text's end, which no word stands for.
+END = 0x9E3779B97F4A7C15
+SPACE = np.zeros(256, bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes that are hashed at once, and bits of the hash that find a rank.
+PIECE, SLOT = 1 << 19, 20
+_MULTIPLIER, _NEAR = 0xD1342543DE82EF95, 16
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a text in UTF-8 with A-Z lowered."""
-    return text.lower().split()
+def _powers(step: int, n: int) -> np.ndarray:
+    out = np.full(n, step, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_BYTE = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 64, 256, dtype=np.uint64)
+_BYTE[SPACE] = 0
+_UP, _UP_FAR = _powers(_MULTIPLIER, 1 << _NEAR), _powers(pow(_MULTIPLIER, 1 << _NEAR, 1 << 64), 1 << 15)
+
+
+def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of some texts in UTF-8 with A-Z lowered, and how many words each text has.
+
+    A word's hash is a polynomial in random numbers for its bytes, modulo 2^64, mixed.
+    """
+    data = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
+    word = ~SPACE[data]
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    starts = np.flatnonzero(begins)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    per_text = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.empty(0, np.uint64), per_text
+    values = _BYTE[data[starts[0] :]]
+    at = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    far = at >> _NEAR
+    if far.any():
+        values = values * _UP_FAR[far % len(_UP_FAR)]
+    values = values * _UP[at & ((1 << _NEAR) - 1)]
+    return _mixed(np.add.reduceat(values, starts - starts[0])), per_text
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -81,22 +115,27 @@ def pair_bucket(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarr
     return (_mixed(first, np.where(first < RARE, second, np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
 
 
-class Codes(dict):
-    """Codes of words: the rank of a frequent one, else its hash with the top bit set. Forgets when it grows."""
-
-    def __init__(self, ranks: dict[int, int], most: int = 1 << 19):
-        super().__init__()
-        self.ranks, self.most = ranks, most
-
-    def of_hash(self, h: int) -> int:
-        rank = self.ranks.get(h)
-        return h | (1 << 63) if rank is None else rank
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        code = self[word] = self.of_hash(xxhash.xxh64_intdigest(word))
-        return code
+class Ranks:
+    """Codes of hashed words: the rank of a frequent one, else its hash with the top bit set."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.rank = np.argsort(hashes)
+        self.sorted = hashes[self.rank]
+        self.slots = np.searchsorted(self.sorted >> np.uint64(64 - SLOT), np.arange((1 << SLOT) + 1, dtype=np.uint64))
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        out = hashes | RARE
+        slot = (hashes >> np.uint64(64 - SLOT)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            here = at[left]
+            hit = self.sorted[here] == hashes[left]
+            out[left[hit]] = self.rank[here[hit]].astype(np.uint64)
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        return out
 
 
 @dataclass
@@ -111,8 +150,8 @@ class Counts:
     words: int
     buckets: int
 
-    def codes(self) -> Codes:
-        return Codes(dict(zip(self.hashes.tolist(), range(len(self.hashes)), strict=True)))
+    def ranks(self) -> Ranks:
+        return Ranks(self.hashes)
 
     def base(self, trained: np.ndarray) -> np.ndarray:
         return np.log10((trained + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
@@ -214,41 +253,55 @@ class Unit:
     lengths: np.ndarray
 
 
-def _units(batches: Iterable[pa.RecordBatch], codes: Codes) -> Iterator[Unit]:
-    """Texts (file, row, part, text) in units of about ``UNIT`` tokens."""
-    end = codes.of_hash(END)
-    seqs, held, size = [], [], 0
+def _units(batches: Iterable[pa.RecordBatch], ranks: Ranks | None = None) -> Iterator[Unit]:
+    """Texts (file, row, part, text) in units of about ``UNIT`` tokens; without ``ranks`` words are their hashes."""
+    code = ranks.codes if ranks else lambda h: h
+    end = code(np.array([END], np.uint64))
+    held, texts, seqs, lengths, size, waiting = [], [], [], [], 0, 0
+
+    def encode() -> int:
+        words, n = hash_words(texts)
+        whole = np.empty(len(words) + len(texts), np.uint64)
+        last = np.cumsum(n + 1) - 1
+        inside = np.ones(len(whole), bool)
+        inside[last] = False
+        whole[inside], whole[last] = code(words), end
+        seqs.append(whole)
+        lengths.append(n + 1)
+        texts.clear()
+        return len(whole)
 
     def unit() -> Unit:
-        second = np.concatenate(seqs)
-        lengths = np.array([len(s) for s in seqs])
+        second, n = np.concatenate(seqs), np.concatenate(lengths)
         files, rows, parts = (np.array(c) for c in zip(*held, strict=True))
-        return Unit(np.r_[np.uint64(end), second[:-1]], second, np.repeat(np.arange(len(seqs)), lengths), files.astype(np.int64), rows.astype(np.int64), parts.astype(np.int8), lengths)
+        return Unit(np.r_[end, second[:-1]], second, np.repeat(np.arange(len(n)), n), files.astype(np.int64), rows.astype(np.int64), parts.astype(np.int8), n)
 
     for batch in batches:
         for file, row, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = tokens(text)
-            seq = np.empty(len(words) + 1, np.uint64)
-            seq[:-1] = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words))
-            seq[-1] = end
-            seqs.append(seq)
             held.append((file, row, part))
-            size += len(seq)
-            if size >= UNIT:
-                yield unit()
-                seqs, held, size = [], [], 0
-    if seqs:
+            texts.append(text)
+            waiting += len(text)
+            if waiting >= PIECE:
+                size, waiting = size + encode(), 0
+                if size >= UNIT:
+                    yield unit()
+                    held, seqs, lengths, size = [], [], [], 0
+    if texts:
+        encode()
+    if held:
         yield unit()
 
 
 def _dealt(kind: str, bucket: np.ndarray, u: Unit, keep: np.ndarray, *more: np.ndarray) -> list[tuple]:
     """Kept occurrences as one packed row for each bucket, with the texts that they are of."""
-    keep = keep[np.argsort(bucket[keep], kind="stable")]
+    mine = bucket[keep]
+    keep = keep[np.argsort(mine.astype(np.uint16) if mine.max(initial=0) < 1 << 16 else mine, kind="stable")]
     mine = bucket[keep]
     out = []
     for s, e in _stretches(_begins(mine)):
         k = keep[s:e]
-        texts, at = np.unique(u.at[k], return_inverse=True)
+        new = _begins(u.at[k])  # in order, as their sort was stable
+        texts, at = u.at[k][new], np.cumsum(new) - 1
         out.append((kind, int(mine[s]), None, None, [squeeze(c) for c in (u.first[k], u.second[k], at.astype(np.uint32), u.files[texts], u.rows[texts], u.parts[texts], *(m[k] for m in more))]))
     return out
 
@@ -299,8 +352,8 @@ class Plan:
 
 
 def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, held, size = Codes({}), [], 0
-    codes.of_hash = lambda h: h  # type: ignore[method-assign]
+    """Hashes of words with how often they occur in all texts, in training texts and in deleted ones."""
+    held, size = [], 0
 
     def out() -> pa.RecordBatch:
         h, n = (np.concatenate([x[k] for x in held]) for k in (0, 1))
@@ -308,11 +361,12 @@ def _count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.bincount(at, weights=n[:, k], minlength=len(keys)).astype(np.int64) for k in range(3)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (keys.view(np.int64), *sums)], ["h", "n", "trained", "deleted"])
 
-    for u in _units(batches, codes):
-        keys, at = np.unique(u.second, return_inverse=True)
+    for u in _units(batches):
         part = u.parts[u.at]
-        held.append((keys, np.stack([np.bincount(at, weights=w, minlength=len(keys)) for w in (np.ones(len(at)), part > 0, part == 2)], axis=1)))
-        size += len(keys)
+        for p in range(3):
+            keys, n = np.unique(u.second[part == p], return_counts=True)
+            held.append((keys, np.outer(n, [1, p > 0, p == 2])))
+            size += len(keys)
         if size >= UNIT:
             yield out()
             held, size = [], 0
@@ -336,8 +390,8 @@ def score(docs: DataFrame, folds: int = 5, left_out: int = 1, head: int = HEAD,
     def rare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text its length and what its frequent words come to; occurrences of rare words, by the word."""
         counts = known.value
-        base = counts.base(counts.trained)
-        for u in _units(batches, counts.codes()):
+        base, ranks = counts.base(counts.trained), counts.ranks()
+        for u in _units(batches, ranks):
             frequent = u.second < RARE
             value, seen = np.zeros(len(u.second)), np.zeros(len(u.second))
             value[frequent] = base[u.second[frequent].astype(np.int64)]
@@ -365,19 +419,21 @@ def score(docs: DataFrame, folds: int = 5, left_out: int = 1, head: int = HEAD,
     def count_frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of frequent words, counted within a unit."""
         counts = known.value
-        for u in _units(batches, counts.codes()):
+        ranks = counts.ranks()
+        for u in _units(batches, ranks):
             part = u.parts[u.at]
             keep = (u.second < RARE) & (part > 0)
-            a, b, gone = u.first[keep], u.second[keep], part[keep] == 2
-            key = _mixed(a, b)
-            _, at, back = np.unique(key, return_index=True, return_inverse=True)
-            a, b, n, d = a[at], b[at], np.bincount(back, minlength=len(at)), np.bincount(back, weights=gone, minlength=len(at)).astype(np.int64)
+            a, b, gone = u.first[keep], u.second[keep], (part[keep] == 2).astype(np.uint64)
+            both = a < RARE
+            key, n = np.unique((a[both] << np.uint64(19)) | (b[both] << np.uint64(1)) | gone[both], return_counts=True)
+            a, b = np.r_[a[~both], key >> np.uint64(19)], np.r_[b[~both], (key >> np.uint64(1)) & np.uint64(HEAD - 1)]
+            gone, n = np.r_[gone[~both], key & np.uint64(1)].astype(np.int64), np.r_[np.ones(len(a) - len(key), np.int64), n]
             bucket = pair_bucket(a, b, counts.buckets)
-            order = np.argsort(bucket, kind="stable")
+            order = np.argsort(bucket.astype(np.uint16) if counts.buckets < 1 << 16 else bucket, kind="stable")
             made = []
             for s, e in _stretches(_begins(bucket[order])):
                 k = order[s:e]
-                made.append(("count", int(bucket[k[0]]), None, None, [squeeze(c) for c in (a[k], b[k], n[k].astype(np.int64), d[k])]))
+                made.append(("count", int(bucket[k[0]]), None, None, [squeeze(c) for c in (a[k], b[k], n[k], n[k] * gone[k])]))
             yield _rows(made)
 
     def cases(table: pa.Table) -> pa.Table:
@@ -424,9 +480,10 @@ def score(docs: DataFrame, folds: int = 5, left_out: int = 1, head: int = HEAD,
     def frequent(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Probabilities of the most frequent pairs, and all other pairs of a frequent word."""
         counts, (codes, n, lam) = known.value, frequent_pairs.value
+        ranks = counts.ranks()
         a, b = codes >> 18, codes & (HEAD - 1)
         value = Model(counts, lam).log10(n, counts.trained[a].astype(float), counts.trained[b].astype(float)) if len(codes) else np.empty(0)
-        for u in _units(batches, counts.codes()):
+        for u in _units(batches, ranks):
             keep = u.second < RARE
             if len(codes):
                 own = np.flatnonzero(keep & (u.first < RARE))
