@@ -1,4 +1,4 @@
-"""Immutable upserts: reading deltas, classifying, merging, identity and validation."""
+"""Immutable upserts: reading deltas, classifying, merging, identity and references."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlore.functions.columns import strip
 from graphlore.plans.shared import cut
 
 
@@ -179,34 +178,6 @@ def differing(stored: DataFrame, derived: DataFrame, key: str) -> DataFrame:
     return both.select(key).distinct()
 
 
-def validate(article: DataFrame, section: DataFrame, links: DataFrame, has_entity: DataFrame, entity: DataFrame, relation: DataFrame, size: int = 768, derived: dict[str, tuple[DataFrame, DataFrame, str]] | None = None) -> DataFrame:
-    """check_name, violations: every referential and content check of a pack; a valid one has none.
-
-    ``derived``: by name (stored, derived, key), such as articles beside what
-    their payloads give anew; each row that differs is a violation.
-    """
-    n = lambda name, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
-    v = F.col("embedding")
-    sound = v.isNotNull() & (F.size(v) == size) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    blank = lambda c: F.coalesce(strip(F.col(c).cast("string")) == "", F.lit(True))
-    ordered = section.groupBy("article").agg(F.count(F.lit(1)).alias("n"), F.min("section_index").alias("low"), F.max("section_index").alias("high"), F.countDistinct("section_index").alias("d"))
-    checks = [
-        n("article title repeated", duplicate_keys(article, ["title"])), n("section id repeated", duplicate_keys(section, ["id"])),
-        n("entity id repeated", duplicate_keys(entity, ["entity_id"])), n("section without article", orphans(section, "article", article, "title")),
-        n("article without section", orphans(article.select("title"), "title", section, "article")),
-        n("link from nowhere", orphans(links, "src", section, "id")), n("link to nowhere", orphans(links, "dst", section, "id")),
-        n("mention in no article", orphans(has_entity, "article", article, "title")), n("mention of no entity", orphans(has_entity, "entity_id", entity, "entity_id")),
-        n("relation from nowhere", orphans(relation, "source", entity, "entity_id")), n("relation to nowhere", orphans(relation, "target", entity, "entity_id")),
-        n("entity unused", entity.join(has_entity, "entity_id", "left_anti").join(relation.select(F.col("source").alias("entity_id")).union(relation.select("target")), "entity_id", "left_anti")),
-        n("embedding unsound", section.filter(~sound)), n("article without title", article.filter(blank("title"))), n("section without content", section.filter(blank("content"))),
-        n("sections not numbered from 0", ordered.filter((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("d") != F.col("n")))),
-        n("link repeated", duplicate_keys(links, ["src", "dst"])), n("link to itself", links.filter("src = dst")),
-        n("mention repeated", duplicate_keys(has_entity, ["article", "entity_id"])), n("relation repeated", duplicate_keys(relation, ["source", "target", "relation"])),
-        *(n(f"{name} differs from its source", differing(*x)) for name, x in (derived or {}).items()),
-    ]
-    return reduce(DataFrame.unionByName, checks)
-
-
 def publish(tables: dict[str, DataFrame], path: str) -> None:
     """Write all tables to a new folder, then rename it into place; an existing pack is never replaced."""
     spark = next(iter(tables.values())).sparkSession

@@ -420,15 +420,6 @@ def stream_dedupe(spark, sf_dir):
     return events.drain(events.first_events(events.events_stream(spark, sf_dir), ["user_id", "event_type"]), "first-events")
 
 
-@query(f"WITH {PACK} SELECT * FROM (SELECT 'section without article' AS check_name, (SELECT count(*) FROM section WHERE article NOT IN (SELECT 'doc-' || doc_id FROM documents)) AS violations UNION ALL SELECT 'link to nowhere', (SELECT count(*) FROM links WHERE dst NOT IN (SELECT id FROM section)) UNION ALL SELECT 'article without section', (SELECT count(*) FROM documents WHERE 'doc-' || doc_id NOT IN (SELECT article FROM section)) UNION ALL SELECT 'embedding unsound', (SELECT count(*) FROM section WHERE len(v) <> 64))")
-def pack_checks(spark, sf_dir):
-    p = Pack.derive(spark, sf_dir)
-    he = p.has_entity.select(F.col("article").cast("string").alias("article"), F.col("entity_id").cast("string").alias("entity_id"))
-    entity = he.select("entity_id").distinct()
-    found = incremental.validate(p.article, p.section, p.links_to, he, entity, p.entity_relation, 64)
-    return found.filter(F.col("check_name").isin("section without article", "link to nowhere", "article without section", "embedding unsound"))
-
-
 @query("SELECT doc_id, lower(hex(unhex(sha256(coalesce(text, ''))))) AS digest, CASE WHEN length(text) > 1500 THEN substring(text, 1, 1500) || '...' ELSE text END AS short FROM documents")
 def truncate_digest(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), text.truncate(F.col("text"), 1500).alias("short"))

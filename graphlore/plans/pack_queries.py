@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlore.functions import text
-from graphlore.operators import catalogue, evaluate, fusion, graph, incremental
+from graphlore.operators import catalogue, evaluate, fusion, graph, incremental, support
 from graphlore.plans import retrieval_queries
 from graphlore.plans.catalogue_queries import _BASE, _DELTA, _delta
 from graphlore.plans.registry import ORACLE_SQL, QUERIES, query
@@ -73,14 +76,6 @@ def dangling_references(spark, sf_dir):
     return found.groupBy("reference", "value").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query("""WITH h AS (SELECT label AS q, vec_id AS id FROM embeddings UNION ALL SELECT label, vec_id + 1 FROM embeddings WHERE label < 3)
-SELECT count(*) AS hits, count(DISTINCT (q, id)) AS distinct_hits, count(*) FILTER (id IN (SELECT doc_id FROM documents WHERE lang = 'en')) AS live_hits, false AS sound FROM h""")
-def index_probe(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    hits = e.select(F.col("label").alias("query"), F.col("vec_id").alias("id")).unionByName(e.filter("label < 3").select(F.col("label").alias("query"), (F.col("vec_id") + 1).alias("id")))
-    return incremental.probe(hits, spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select(F.col("doc_id").alias("id")), 10)
-
-
 @query(f"WITH w AS ({ORACLE_SQL['bounded_crawl']}) SELECT page, depth, position, (SELECT count(*) FROM w WHERE depth = 0) AS seeds, (SELECT count(*) FROM w WHERE depth > 0) AS discovered FROM w WHERE depth > 0")
 def source_discovery(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("page"))
@@ -179,16 +174,16 @@ def pack_checks(spark, sf_dir):
     relation = rows.filter("l_linenumber = 1").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.lit("supplied_by").alias("relation"))
     derived = p.article.select("title", "word_count", "category")
     stored = derived.withColumn("word_count", F.when(F.col("category") == "fr", F.col("word_count") + 1).otherwise(F.col("word_count")))
-    return incremental.validate(p.article, p.section, p.links_to, he, entity, relation, 64, {"article": (stored, derived, "title")})
+    return support.validate(p.article, p.section, p.links_to, he, entity, relation, 64, {"article": (stored, derived, "title")})
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, 'order-' || o_orderkey AS title FROM orders), li AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY ALL),
-e AS (SELECT l_partkey, arg_min(l_orderkey, (l_orderkey % 4, l_orderkey, n)) AS first_order FROM li GROUP BY 1)
-SELECT 'article' AS table_name, count(*) AS n, sha256(string_agg(title, ',' ORDER BY title)) AS digest FROM a
-UNION ALL SELECT 'entity', count(*), sha256(string_agg(l_partkey || ':' || first_order, ',' ORDER BY l_partkey::VARCHAR || ':' || first_order)) FROM e
-UNION ALL SELECT 'has_entity', count(*), sha256(string_agg(l_orderkey || ':' || l_partkey, ',' ORDER BY l_orderkey || ':' || l_partkey)) FROM li
-UNION ALL SELECT 'links', count(*), sha256(string_agg(s || '>' || t, ',' ORDER BY s || '>' || t)) FROM (SELECT k AS s, k * 2 AS t FROM a WHERE k <> 0 AND k * 2 IN (SELECT k FROM a))
-UNION ALL SELECT 'entity_relation', count(*), sha256(string_agg(s || '>' || t, ',' ORDER BY s || '>' || t)) FROM (SELECT DISTINCT l_partkey AS s, l_partkey + 10 AS t FROM li WHERE l_partkey + 10 IN (SELECT l_partkey FROM li))""")
+e AS (SELECT l_partkey, arg_min(l_orderkey, (l_orderkey % 4, l_orderkey, n)) AS first_order FROM li GROUP BY 1),
+all_keys AS (
+  SELECT 'article' AS table_name, title AS key FROM a UNION ALL SELECT 'entity', l_partkey || ':' || first_order FROM e UNION ALL SELECT 'has_entity', l_orderkey || ':' || l_partkey FROM li
+  UNION ALL SELECT 'links', s || '>' || t FROM (SELECT k AS s, k * 2 AS t FROM a WHERE k <> 0 AND k * 2 IN (SELECT k FROM a))
+  UNION ALL SELECT 'entity_relation', s || '>' || t FROM (SELECT DISTINCT l_partkey AS s, l_partkey + 10 AS t FROM li WHERE l_partkey + 10 IN (SELECT l_partkey FROM li)))
+SELECT table_name, count(*) AS n, CAST(sum(CAST('0x' || substr(sha256(key), 1, 12) AS HUGEINT)) AS VARCHAR) AS digest FROM all_keys GROUP BY table_name""")
 def pack_writer(spark, sf_dir):
     """Orders written in four batches, one of them twice and by a writer that starts anew; links wait until all are there."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
@@ -204,15 +199,78 @@ def pack_writer(spark, sf_dir):
     folder = fresh_path(spark, "pack-writer")
     for turn in (0, 1, 1, 2, 3):
         PackWriter(spark, folder).write(rows.filter(F.col("position") % 4 == turn), turn)
-    writer = PackWriter(spark, folder)
-    writer.finish()
+    pack = PackWriter(spark, folder).finish()
     bare = lambda c: F.regexp_replace(c, "order-", "")
     keys = {
         "article": F.col("title"), "entity": F.concat_ws(":", "entity_id", bare("first_article")), "has_entity": F.concat_ws(":", bare("article"), "entity_id"),
         "links": F.concat_ws(">", bare("source"), bare("target")), "entity_relation": F.concat_ws(">", "source", "target"),
     }
-    out = None
-    for name, key in keys.items():
-        one = spark.read.parquet(f"{folder}/{name}").select(key.alias("key")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256).alias("digest")).select(F.lit(name).alias("table_name"), "n", "digest")
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = [spark.read.parquet(f"{pack}/{name}").select(F.lit(name).alias("table_name"), key.alias("key")) for name, key in keys.items()]
+    # a sum of digests doesn't depend on order and gathers nothing
+    digest = F.sum(F.conv(F.substring(F.sha2("key", 256), 1, 12), 16, 10).cast("decimal(30,0)")).cast("string")
+    return reduce(DataFrame.unionByName, found).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))
+
+
+# relations by support --------------------------------------------------------------------------------
+
+#: Orders as articles that state by whom parts are supplied and with which flag; a delta changes, removes and adds orders.
+_STATED = """stated AS (SELECT DISTINCT l_orderkey AS article, 'part-' || l_partkey AS source, 'supplier-' || l_suppkey AS target, 'supplied_by' AS relation, coalesce(l_returnflag, '') AS context FROM lineitem WHERE l_orderkey % 10 <> 1),
+fresh AS (
+  SELECT DISTINCT l_orderkey AS article, 'part-' || l_partkey AS source, 'supplier-' || l_suppkey AS target, 'supplied_by' AS relation, CASE WHEN l_linenumber = 2 THEN 'CART' ELSE coalesce(l_returnflag, '') END AS context
+  FROM lineitem WHERE l_orderkey % 10 = 1 OR l_orderkey % 10 = 2 AND l_linenumber > 1),
+before AS (SELECT source, target, relation, context, count(*) AS n FROM stated GROUP BY ALL),
+later AS (SELECT source, target, relation, context, count(*) AS n FROM (SELECT * FROM stated WHERE article % 10 NOT IN (2, 3) UNION ALL FROM fresh) GROUP BY ALL)"""
+
+
+def _stated(spark, sf_dir):
+    """Support before a delta, the articles that it changes (last digit 2) or removes (3), and what those and new ones (1) state now."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    named = lambda kind, key: F.concat(F.lit(f"{kind}-"), key)
+    stated = lambda where, context: support.supported(rows.filter(where).select(F.col("l_orderkey").alias("article"), named("part", "l_partkey").alias("source"), named("supplier", "l_suppkey").alias("target"), F.lit("supplied_by").alias("relation"), context.alias("context")))
+    changed = rows.filter("l_orderkey % 10 IN (2, 3)").select(F.col("l_orderkey").alias("article"))
+    moved = F.when(F.col("l_linenumber") == 2, F.lit("CART")).otherwise(F.col("l_returnflag"))
+    return stated("l_orderkey % 10 <> 1", F.col("l_returnflag")), changed, stated("l_orderkey % 10 = 1 OR l_orderkey % 10 = 2 AND l_linenumber > 1", moved)
+
+
+@query(f"WITH {_STATED} SELECT source, target, relation, context, n FROM later")
+def relation_support_delta(spark, sf_dir):
+    """Relations maintained by counts of support; the SQL builds them anew."""
+    before, changed, fresh = _stated(spark, sf_dir)
+    live = support.counts(before)
+    return support.maintained(live, support.changes(live, before, changed, fresh))
+
+
+@query(f"""WITH {_STATED}, touched AS (SELECT source, target, relation, context FROM stated WHERE article % 10 IN (2, 3) UNION SELECT source, target, relation, context FROM fresh)
+SELECT source, target, relation, context, coalesce(before.n, 0) AS was, coalesce(later.n, 0) AS now FROM touched LEFT JOIN before USING (source, target, relation, context) LEFT JOIN later USING (source, target, relation, context)""")
+def relation_support_changes(spark, sf_dir):
+    before, changed, fresh = _stated(spark, sf_dir)
+    return support.changes(support.counts(before), before, changed, fresh)
+
+
+@query(f"""WITH {_STATED}, art AS (SELECT DISTINCT o_orderkey AS t FROM orders WHERE o_orderkey % 10 <> 4), wrong AS (SELECT o_orderkey AS t FROM orders WHERE o_orderkey % 7 = 0),
+live AS (SELECT source, target, relation, context FROM stated WHERE context <> 'A' GROUP BY ALL UNION ALL SELECT 'part-0', 'supplier-0', 'supplied_by', '')
+SELECT 'support of no article' AS check_name, count(*) AS violations FROM stated WHERE article NOT IN (FROM art)
+UNION ALL SELECT 'support repeated', 0 UNION ALL SELECT 'relation without support', count(*) FROM (FROM live EXCEPT SELECT source, target, relation, context FROM stated)
+UNION ALL SELECT 'support without relation', count(*) FROM (SELECT source, target, relation, context FROM stated EXCEPT FROM live)
+UNION ALL SELECT 'source repeated', 0 UNION ALL SELECT 'source unlike its hash', count(*) FROM wrong UNION ALL SELECT 'source of no article', count(*) FROM orders WHERE o_orderkey % 10 = 4
+UNION ALL SELECT 'article without source', 0 UNION ALL SELECT 'applied delta unlike its source', count(*) FROM wrong WHERE t % 2 = 0
+UNION ALL SELECT 'chunk without section', count(*) FROM lineitem WHERE l_orderkey % 10 = 4 UNION ALL SELECT 'chunk without content', count(*) FROM lineitem WHERE coalesce(trim(l_returnflag), '') = ''
+UNION ALL SELECT 'chunks not numbered from 0', count(*) FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*))
+UNION ALL SELECT 'chunk id repeated', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)""")
+def support_checks(spark, sf_dir):
+    """Checks of support, sources, chunks and applied deltas over a pack with faults in each."""
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    there = orders.filter("o_orderkey % 10 <> 4").select(F.col("o_orderkey").alias("title"))
+    sections = there.select(F.col("title").alias("id"), F.col("title").alias("article"), F.lit(0).alias("section_index"), F.lit("x").alias("content"), F.array(F.lit(0.0)).alias("embedding"))
+    before, _, _ = _stated(spark, sf_dir)
+    live = before.filter("context <> 'A'").select(*support.RELATION).distinct().union(spark.range(1).select(F.lit("part-0"), F.lit("supplier-0"), F.lit("supplied_by"), F.lit("")))
+    payload = F.concat_ws("|", "o_orderstatus", "o_orderkey")
+    source = orders.select(F.col("o_orderkey").alias("title"), payload.alias("payload"), F.when(F.col("o_orderkey") % 7 != 0, F.sha2(payload, 256)).otherwise(F.lit("wrong")).alias("hash"))
+    applied = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("title"), F.sha2(payload, 256).alias("hash"))
+    chunk = lines.select(F.concat_ws("#", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("article"), F.lit(0).alias("section_index"), (F.col("l_linenumber") - 1).alias("chunk_index"), F.col("l_returnflag").alias("content"))
+    entity = lines.select(F.concat(F.lit("part-"), "l_partkey").alias("entity_id")).distinct()
+    mentions = spark.createDataFrame([], "article bigint, entity_id string")
+    found = support.validate(there, sections, sections.select(F.col("id").alias("src"), F.col("id").alias("dst")), mentions, entity, live, 1, support=before, source=source, chunk=chunk, applied=applied)
+    names = ("support of no article", "support repeated", "relation without support", "support without relation", "source repeated", "source unlike its hash", "source of no article", "article without source",
+             "applied delta unlike its source", "chunk without section", "chunk without content", "chunks not numbered from 0", "chunk id repeated")
+    return found.filter(F.col("check_name").isin(*names))

@@ -1,21 +1,36 @@
-"""A pack written by micro-batches, whose only memory is what it has written."""
+"""A pack written by micro-batches under a commit log: readers see whole batches only."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlore.operators.incremental import both_ends, first_wins
 
+ARTICLE = "title string, position bigint, content string, entities array<struct<entity_id:string,name:string>>, links array<string>, relations array<struct<source:string,target:string,relation:string>>"
+
+
+class Fenced(RuntimeError):
+    """Another writer has taken the folder over."""
+
 
 class PackWriter:
     """Writes batches of articles with their entities, links and relations.
 
-    Each batch goes to folders of its own number, so a batch that is repeated
-    replaces itself, and a torn one is written over. Titles and entities that
-    earlier batches hold are skipped: their tables are the state, so a new
-    writer over the same folder resumes where the last one stopped. Links and
-    relations wait for :meth:`finish`, as their ends may come later.
+    A batch is written to a folder that no one else knows, then one file of
+    its number is created in the commit log, which fails if it is there. A
+    reader takes the folders that the log names, so a batch that was torn is
+    not seen, whether or not it is repeated, and one that is repeated after
+    its commit is left alone. Opening a folder to write raises its epoch;
+    a writer of an earlier epoch can commit nothing more.
+
+    A batch costs what its own rows cost: titles and entities that several
+    batches hold are settled when they are read, the earliest batch's and
+    there the first position's first. Links and relations are taken then too,
+    as their ends may come later.
 
     Batches: title, position, content, entities (array of entity_id, name),
     links (array of titles), relations (array of source, target, relation).
@@ -23,62 +38,130 @@ class PackWriter:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._epoch: int | None = None
 
-    def _path(self, table: str) -> str:
-        return f"{self.folder}/{table}"
+    # files ---------------------------------------------------------------------------------------
 
     def _fs(self, path: str):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{path}")
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def _exists(self, path: str) -> bool:
+    def _names(self, path: str) -> list[str]:
         fs, target = self._fs(path)
-        return fs.exists(target)
+        return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
 
-    def stored(self, table: str, before: int | None = None) -> DataFrame | None:
-        """All of a table, or what batches other than ``before`` wrote."""
-        if not self._exists(self._path(table)):
-            return None
-        rows = self.spark.read.parquet(self._path(table))
-        rows = rows.filter(F.col("batch") != before) if before is not None else rows
-        return rows.drop("batch")
+    def _create(self, path: str, text: str, over: bool = False) -> bool:
+        """Create a small file, if it is not there or ``over`` it; whether it was created."""
+        fs, target = self._fs(path)
+        try:
+            out = fs.create(target, over)
+        except Exception as e:  # raised by the file system when there is one
+            if fs.exists(target):
+                return False
+            raise e
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
+    def _read(self, path: str) -> dict:
+        """What a small file says; nothing if its writer was lost before it was closed."""
+        fs, target = self._fs(path)
+        stream = fs.open(target)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        except ValueError:
+            return {}
+        finally:
+            stream.close()
+
+    # the log -------------------------------------------------------------------------------------
+
+    def _newest(self) -> int:
+        return max((int(n) for n in self._names("epochs")), default=0)
+
+    def open(self) -> PackWriter:
+        """Take the folder over for writing; done by the first write."""
+        while True:
+            self._epoch = self._newest() + 1
+            if self._create(f"epochs/{self._epoch:012d}", "{}"):
+                return self
+
+    def commits(self) -> dict[int, str]:
+        """Committed batches and the folder of each: one file a batch, read by the driver."""
+        found = {int(n): self._read(f"commits/{n}") for n in self._names("commits")}
+        return {n: x["folder"] for n, x in found.items() if "folder" in x}
 
     def batches(self) -> int:
         """How many batches are stored whole: where a resumed run goes on."""
-        done = self.stored_batches()
-        return 0 if done is None else done.count()
-
-    def stored_batches(self) -> DataFrame | None:
-        return self.spark.read.parquet(self._path("done")).select("batch").distinct() if self._exists(self._path("done")) else None
+        return len(self.commits())
 
-    def _put(self, rows: DataFrame, table: str, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self._path(table)}/batch={batch_id}")
+    # writing -------------------------------------------------------------------------------------
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         """One batch; as the function of a stream's ``foreachBatch`` or called by hand."""
-        new = first_wins(batch.filter("title is not null"), ["title"], ["position"])
-        if (old := self.stored("article", batch_id)) is not None:
-            new = new.join(old.select("title"), "title", "left_anti")
-        # what later steps read is what has been written, not the batch computed again
-        self._put(new.select("title", "position", "content", "entities", "links", "relations"), "article", batch_id)
-        new = self.spark.read.parquet(f"{self._path('article')}/batch={batch_id}")
-        each = new.select("title", "position", F.posexplode("entities").alias("at", "e")).select("title", "position", "at", "e.entity_id", "e.name")
-        entities = first_wins(each.filter("entity_id is not null"), ["entity_id"], ["position", "at"])
-        if (old := self.stored("entity", batch_id)) is not None:
-            entities = entities.join(old.select("entity_id"), "entity_id", "left_anti")
-        self._put(entities.select("entity_id", "name", F.col("title").alias("first_article")), "entity", batch_id)
-        self._put(each.select(F.col("title").alias("article"), "entity_id").filter("entity_id is not null").distinct(), "has_entity", batch_id)
-        # last: a batch counts as stored when this is there
-        self._put(self.spark.range(1).select(F.lit(batch_id).alias("number")), "done", batch_id)
+        if self._epoch is None:
+            self.open()
+        commit = f"commits/{batch_id:012d}"
+        begun = commit.split("/")[1] in self._names("commits")
+        if begun and "folder" in self._read(commit):
+            return
+        place = f"batches/{batch_id:012d}-{uuid.uuid4().hex}"
+        self._put(batch, place)
+        if self._newest() != self._epoch:
+            raise Fenced(f"{self.folder} is written by another writer now")
+        if not self._create(commit, json.dumps({"folder": place, "epoch": self._epoch}), over=begun):
+            raise Fenced(f"batch {batch_id} was committed by another writer")
+
+    def _put(self, batch: DataFrame, place: str) -> None:
+        rows = first_wins(batch.filter("title is not null"), ["title"], ["position"])
+        rows.select("title", "position", "content", "entities", "links", "relations").write.parquet(f"{self.folder}/{place}")
 
     def stream(self, source: DataFrame, checkpoint: str):
         """Write a stream of such rows; the caller awaits the query."""
         return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(self.write).start()
 
-    def finish(self) -> None:
-        """Write links and relations both of whose ends are there, each once, in one bulk load."""
-        article, entity = self.stored("article"), self.stored("entity")
+    # reading -------------------------------------------------------------------------------------
+
+    def _articles(self, upto: int | None) -> DataFrame:
+        """Every article of committed batches (with a number below ``upto``), with the batch that it is taken from."""
+        found = {n: f"{self.folder}/{p}" for n, p in self.commits().items() if upto is None or n < upto}
+        if not found:
+            return self.spark.createDataFrame([], f"{ARTICLE}, batch bigint")
+        rows = self.spark.read.schema(ARTICLE).parquet(*found.values())
+        return first_wins(rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batches/(\d+)-", 1).cast("bigint")), ["title"], ["batch", "position"])
+
+    @staticmethod
+    def _others(article: DataFrame) -> dict[str, DataFrame]:
+        """The tables that follow from the articles."""
+        each = article.select("title", "batch", "position", F.posexplode("entities").alias("at", "e")).select("title", "batch", "position", "at", "e.entity_id", "e.name").filter("entity_id is not null")
+        entity = first_wins(each, ["entity_id"], ["batch", "position", "at"]).select("entity_id", "name", F.col("title").alias("first_article"))
         links = article.select(F.col("title").alias("source"), F.explode("links").alias("target")).filter("source <> target").distinct()
-        both_ends(links, article, "title", ("target",)).write.mode("overwrite").parquet(self._path("links"))
         relations = article.select(F.explode("relations").alias("r")).select("r.*").distinct()
-        both_ends(relations, entity, "entity_id").write.mode("overwrite").parquet(self._path("entity_relation"))
+        return {
+            "entity": entity, "has_entity": each.select(F.col("title").alias("article"), "entity_id").distinct(),
+            "links": both_ends(links, article, "title", ("target",)), "entity_relation": both_ends(relations, entity, "entity_id"),
+        }
+
+    def snapshot(self, upto: int | None = None) -> dict[str, DataFrame]:
+        """The tables as of the commits there are now (with a number below ``upto``); later batches don't change them."""
+        article = self._articles(upto)
+        return {"article": article.drop("batch"), **self._others(article)}
+
+    def stored(self, table: str) -> DataFrame | None:
+        """A table of the snapshot of now; None before the first commit."""
+        return self.snapshot()[table] if self.batches() else None
+
+    def finish(self) -> str:
+        """Write the snapshot as a pack, in one bulk load; its folder, which has its name when it is whole."""
+        name = f"{self.batches():012d}-{uuid.uuid4().hex}"
+        staging, place = f"staging/{name}", f"packs/{name}"
+        articles = self._articles(None)
+        articles.write.parquet(f"{self.folder}/{staging}/article")
+        # further tables follow from what was written, not from the batches once more
+        for table, rows in self._others(self.spark.read.schema(articles.schema).parquet(f"{self.folder}/{staging}/article")).items():
+            rows.write.parquet(f"{self.folder}/{staging}/{table}")
+        (fs, source), (_, target) = self._fs(staging), self._fs(place)
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"{place} could not be published")
+        return f"{self.folder}/{place}"

@@ -15,7 +15,7 @@ from graphlore.plans import guard
 from graphlore.retriever import run_eval
 from graphlore.sources import files
 from graphlore.sources.pack import SCHEMAS, Pack
-from graphlore.streaming.writer import PackWriter
+from graphlore.streaming.writer import Fenced, PackWriter
 
 
 def one(spark, column):
@@ -192,17 +192,60 @@ def test_batch_writer_resumes_and_replays(spark, tmp_path):
     once, torn = str(tmp_path / "once"), str(tmp_path / "torn")
     for k, df in enumerate(frames):
         PackWriter(spark, once).write(df, k)
-    PackWriter(spark, once).finish()
-    assert _tables(spark, once) == want and PackWriter(spark, once).batches() == 3
+    assert _tables(spark, PackWriter(spark, once).finish()) == want and PackWriter(spark, once).batches() == 3
     PackWriter(spark, torn).write(frames[0], 0)
-    # the second batch stops after its articles
-    frames[1].limit(1).drop("relations").withColumn("relations", F.array().cast("array<struct<source:string,target:string,relation:string>>")).write.parquet(f"{torn}/article/batch=1")
+    before = PackWriter(spark, torn).snapshot()
+    # the second batch stops before its commit: nobody reads it, and a pack of now doesn't have it
+    frames[1].write.parquet(f"{torn}/batches/{1:012d}-torn")
     resumed = PackWriter(spark, torn)
-    assert resumed.batches() == 1
+    assert resumed.batches() == 1 and {r.title for r in resumed.stored("article").collect()} == {r.title for r in frames[0].collect() if r.title}
+    assert {r.title for r in spark.read.parquet(resumed.finish() + "/article").collect()} == {r.title for r in before["article"].collect()}
     for k in (1, 2, 2, 0):
         resumed.write(frames[k], k)
-    resumed.finish()
-    assert _tables(spark, torn) == want
+    assert _tables(spark, resumed.finish()) == want
+    assert {r.title for r in before["article"].collect()} == {r.title for r in PackWriter(spark, torn).snapshot(1)["article"].collect()}  # a snapshot stays what it was
+
+
+def test_a_write_that_fails_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    frames = [spark.createDataFrame(b, BATCH) for b in _batches()]
+    writer = PackWriter(spark, str(tmp_path))
+    assert writer.stored("article") is None and writer.snapshot()["links"].count() == 0
+    writer.write(frames[0], 0)
+    kept = {name: df.count() for name, df in writer.snapshot().items()}
+
+    def stop(path, text, over=False):
+        raise OSError("lost before the commit")
+
+    with monkeypatch.context() as m, pytest.raises(OSError, match="lost"):
+        m.setattr(writer, "_create", stop)
+        writer.write(frames[1], 1)
+    assert {name: df.count() for name, df in writer.snapshot().items()} == kept and writer.batches() == 1
+    (tmp_path / "commits" / f"{1:012d}").write_bytes(b"")  # a commit whose writer was lost before it was closed
+    assert writer.batches() == 1
+    writer.write(frames[1], 1)
+    assert writer.batches() == 2
+
+
+def test_a_second_writer_fences_the_first_off(spark, tmp_path):
+    frames = [spark.createDataFrame(b, BATCH) for b in _batches()]
+    first, second = PackWriter(spark, str(tmp_path)), PackWriter(spark, str(tmp_path))
+    first.write(frames[0], 0)
+    second.write(frames[1], 1)
+    with pytest.raises(Fenced):
+        first.write(frames[2], 2)
+    second.write(frames[2], 2)
+    assert second.batches() == 3 and {r.title for r in second.stored("article").collect()} == {"a", "b", "c"}
+
+
+def test_a_batch_reads_no_other(spark, tmp_path):
+    """What a batch costs doesn't grow with those before it."""
+    frames = [spark.createDataFrame(b, BATCH) for b in _batches()]
+    writer = PackWriter(spark, str(tmp_path))
+    writer.write(frames[0], 0)
+    for file in (tmp_path / writer.commits()[0]).glob("*.parquet"):
+        file.write_bytes(b"unreadable")
+    writer.write(frames[1], 1)
+    assert writer.batches() == 2
 
 
 def test_stream_into_a_pack(spark, tmp_path):
@@ -211,8 +254,7 @@ def test_stream_into_a_pack(spark, tmp_path):
     writer = PackWriter(spark, str(tmp_path / "pack"))
     stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     writer.stream(stream, str(tmp_path / "at")).awaitTermination()
-    writer.finish()
-    assert writer.batches() >= 3 and {r.title for r in spark.read.parquet(str(tmp_path / "pack" / "article")).collect()} == {"a", "b", "c"}
+    assert writer.batches() >= 3 and {r.title for r in spark.read.parquet(writer.finish() + "/article").collect()} == {"a", "b", "c"}
 
 
 def test_only_changed_rows_are_embedded(spark):
