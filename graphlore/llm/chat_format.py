@@ -1,12 +1,12 @@
 """Chat formatting by schema fingerprinting.
 
-The nested field paths of a table, or of one JSON value, are brought into a
-normal form: sorted, without what belongs to no layout that is there in full.
-The digest of that whole set is the fingerprint. A registry, built by rule
-from the mappings, holds the fingerprint of every set that layouts can make,
-alone or beside each other, and the declarative mapping for it; the mapping
-turns the layout into canonical turns ``array<struct<role, text>>``. JSON
-rows find theirs one by one in a hash join with that registry, a constant.
+A layout's fingerprint is the digest of its nested field paths, sorted. The
+registry holds one for each declarative mapping. Of a table, or of one JSON
+value, the paths that a mapping knows are hashed for each mapping, and these
+digests alone, looked up in the registry, say which layouts are there in
+full, also beside each other; the first of them in the order of the mappings
+is used. Its mapping turns the value into canonical turns
+``array<struct<role, text>>``.
 Canonical turns are rendered with a template whose markers cannot occur
 inside a text, because ``& < >`` are escaped reversibly, and a loss mask of
 code-point spans covers what the assistant says.
@@ -16,7 +16,9 @@ says null; an empty or null array of messages has no turns; an empty table
 gives an empty result; a null key is a conversation of its own; repeated rows
 stay separate turns; ties in the turn number are ordered by role, then text;
 columns and fields that no mapping names are ignored, whatever they are
-called. A layout that no mapping fits raises ``ValueError`` (for a table) or
+called; a key column of any name comes back under it, but for one that is
+called like a result, which comes back with ``_key`` behind its name; results
+replace columns of their names. A layout that no mapping fits raises ``ValueError`` (for a table) or
 gives null turns and the layout ``unknown`` (for a JSON value, also for a text
 that is no JSON).
 """
@@ -25,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,31 +88,29 @@ def fingerprint(paths: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-def normal(paths: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> list[str]:
-    """The paths of all layouts that are there in full, sorted."""
-    there = set(paths)
-    return sorted({p for m in mappings if there.issuperset(m.paths()) for p in m.paths()})
+def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, int]:
+    """The place in the order of mappings for the fingerprint of each layout."""
+    found: dict[str, int] = {}
+    for k, m in enumerate(mappings):
+        found.setdefault(fingerprint(m.paths()), k)
+    return found
 
 
-def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    """The mapping for the fingerprint of each normal form: of one layout, or of several beside each other."""
-    found: dict[str, Mapping] = {}
-    for n in range(1, len(mappings) + 1):
-        for some in combinations(mappings, n):
-            own = normal([p for m in some for p in m.paths()], mappings)
-            found.setdefault(fingerprint(own), next(m for m in mappings if set(own).issuperset(m.paths())))
-    return found
+def select_mapping(schema: T.StructType, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping:
+    """The mapping registered for a fingerprint of a table's paths."""
+    there, known = set(field_paths(schema)), registry(mappings)
+    found = [known[f] for m in mappings if (f := fingerprint(sorted(there.intersection(m.paths())))) in known]
+    if not found:
+        raise ValueError(f"no mapping fits the layout {sorted(there)}")
+    return mappings[min(found)]
 
 
-REGISTRY = registry()
+def _column(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
-def select_mapping(schema: T.StructType) -> Mapping:
-    """The mapping registered for the fingerprint of a table's paths."""
-    paths = field_paths(schema)
-    if (found := REGISTRY.get(fingerprint(normal(paths)))) is None:
-        raise ValueError(f"no mapping fits the layout {paths}")
-    return found
+def _key_name(key: str) -> str:
+    return f"{key}_key" if key.lower() in ("turns", "layout") else key
 
 
 def _text(value: Column) -> Column:
@@ -148,15 +147,15 @@ def canonical_turns(df: DataFrame, key: str) -> DataFrame:
     if m.rows:
         order, role, text = m.rows
         one = F.struct(F.col(order).alias("o"), _text(F.col(role)).alias("role"), _text(F.col(text)).alias("text"))
-        grouped = df.groupBy(F.col(key)).agg(F.array_sort(F.collect_list(one)).alias("all"))
+        grouped = df.groupBy(_column(key).alias("key")).agg(F.array_sort(F.collect_list(one)).alias("all"))
         turns = F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-        return grouped.select(key, turns.alias("turns"), F.lit(m.name).alias("layout"))
+        return grouped.select(F.col("key").alias(_key_name(key)), turns.alias("turns"), F.lit(m.name).alias("layout"))
     if m.items:
         field, role, text = m.items
         turns = _item_turns(F.coalesce(F.col(field), F.array().cast(df.select(field).schema[0].dataType)), role, text)
     else:
         turns = _field_turns(m, lambda p: F.col(p))
-    return df.select(F.col(key), turns.alias("turns"), F.lit(m.name).alias("layout"))
+    return df.select(_column(key).alias(_key_name(key)), turns.alias("turns"), F.lit(m.name).alias("layout"))
 
 
 def _is_text(value: Column, field: str) -> Column:
@@ -180,7 +179,7 @@ def _variant_turns(field: str, role: str, text: str) -> Column:
 def turns_from_json(df: DataFrame, key: str, column: str) -> DataFrame:
     """As :func:`canonical_turns` for rows that each hold a JSON text of their own layout."""
     mappings = tuple(m for m in MAPPINGS if not m.rows)
-    df = df.select(F.col(key), F.try_parse_json(F.col(column)).alias("v"))
+    df = df.select(F.struct(_column(key).alias("own")).alias("key"), F.try_parse_json(_column(column)).alias("v"))
 
     def there(path: str) -> Column:
         at = path.partition(":")[0]
@@ -191,11 +190,11 @@ def turns_from_json(df: DataFrame, key: str, column: str) -> DataFrame:
 
     paths = sorted({p for m in mappings for p in m.paths()})
     df = df.withColumn("found", F.filter(F.array(*[F.when(there(p), F.lit(p)) for p in paths]), lambda p: p.isNotNull()))
-    full = [F.when(F.size(F.array_except(F.array(*map(F.lit, m.paths())), "found")) == 0, F.array(*map(F.lit, m.paths()))) for m in mappings]
-    own = F.array_sort(F.array_distinct(F.flatten(F.filter(F.array(*full), lambda x: x.isNotNull()))))
-    df = df.withColumn("_print", F.sha2(F.array_join(own, "\n"), 256))
-    known = df.sparkSession.createDataFrame([(k, m.name) for k, m in registry(mappings).items()], "_print string, layout string")
-    df = df.join(F.broadcast(known), "_print", "left").withColumn("layout", F.coalesce("layout", F.lit("unknown")))
+    digests = F.array(*[F.sha2(F.array_join(F.array_intersect(F.array(*map(F.lit, m.paths())), "found"), "\n"), 256) for m in mappings])
+    known = F.create_map(*[F.lit(x) for kv in registry(mappings).items() for x in kv])
+    names = F.array(*[F.lit(m.name) for m in mappings])
+    first = F.array_min(F.transform(digests, lambda d: known[d]))
+    df = df.select("key", "v", F.coalesce(F.get(names, first), F.lit("unknown")).alias("layout"))
     turns = F.lit(None).cast(TURNS)
     for m in mappings:
         if m.items:
@@ -203,7 +202,7 @@ def turns_from_json(df: DataFrame, key: str, column: str) -> DataFrame:
         else:
             made = _field_turns(m, lambda p: F.try_variant_get("v", f"$.{p}", "string"))
         turns = F.when(F.col("layout") == m.name, made).otherwise(turns)
-    return df.select(F.col(key), turns.alias("turns"), "layout")
+    return df.select(F.col("key.own").alias(_key_name(key)), turns.alias("turns"), "layout")
 
 
 def escape(text: Column) -> Column:
@@ -223,8 +222,12 @@ def format_chat(df: DataFrame, turns: str = "turns", learn_from: str = "assistan
     """Add ``formatted`` and ``loss_spans``: code-point spans of the text to learn from, escaped, ends exclusive."""
     head = lambda t: F.concat(F.lit("<turn "), escape(t["role"]), F.lit(">\n"))
     made = F.transform(turns, lambda t: F.struct(t["role"].alias("role"), head(t).alias("head"), escape(t["text"]).alias("body")))
-    df = df.withColumn("_made", made)
-    formatted = F.array_join(F.transform("_made", lambda t: F.concat(t["head"], t["body"], F.lit("</turn>\n"))), "")
+    rest = [c for c in df.columns if c not in ("formatted", "loss_spans")]
+    held = "made"
+    while held in rest:
+        held += "_"
+    df = df.select(*map(_column, rest), made.alias(held))
+    formatted = F.array_join(F.transform(held, lambda t: F.concat(t["head"], t["body"], F.lit("</turn>\n"))), "")
     span = "struct<start:bigint,end:bigint>"
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
@@ -235,8 +238,8 @@ def format_chat(df: DataFrame, turns: str = "turns", learn_from: str = "assistan
         spans = F.when(t["role"] == learn_from, F.concat(acc["spans"], own)).otherwise(acc["spans"])
         return F.struct((end + len("</turn>\n")).cast("bigint").alias("at"), spans.cast(f"array<{span}>").alias("spans"))
 
-    spans = F.aggregate("_made", empty, step, lambda acc: acc["spans"])
-    return df.select(*[c for c in df.columns if c != "_made"], formatted.alias("formatted"), spans.alias("loss_spans"))
+    spans = F.aggregate(held, empty, step, lambda acc: acc["spans"])
+    return df.select(*map(_column, rest), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse_chat(formatted: Column) -> Column:

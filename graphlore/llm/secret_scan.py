@@ -186,7 +186,7 @@ def spans(text: str, least: float = LEAST_LOG10_GUESSES, vocabulary: str | None
 
 
 def scan(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``docs`` with ``secrets``: array of (kind, start, end). ``vocabulary``: file of ranked words, there on every executor; None: the public one."""
+    """``docs`` with ``secrets``, which replaces a column of that name: array of (kind, start, end). ``vocabulary``: file of ranked words, there on every executor; None: the public one."""
     bound_batches(docs.sparkSession)
 
     @F.pandas_udf("array<struct<kind:string,start:bigint,end:bigint>>")

@@ -88,3 +88,29 @@ def test_chat_edges(spark):
     assert [(t.role, t.text) for t in done[1].read] == [("", ""), ("assistant", "a"), ("assistant", "a"), ("assistant", "b")]
     assert len(done[None].read) == 1 and done[2].loss_spans[0].end - done[2].loss_spans[0].start == 100_000
     assert chat_format.canonical_turns(df.filter("conv_id > 5"), "conv_id").count() == 0
+
+
+@pytest.mark.parametrize("key", ["found", "_print", "print", "v", "key", "all", "made", "_made", "own", "layout", "turns", "a.b", "role name"])
+def test_chat_keys_of_any_name(spark, key):
+    out = f"{key}_key" if key in ("layout", "turns") else key
+    raw = spark.createDataFrame([("k1", '{"prompt": "q", "completion": "a"}'), ("k2", "no json")], f"`{key}` string, raw string")
+    got = chat_format.turns_from_json(raw, key, "raw")
+    assert got.columns == [out, "turns", "layout"]
+    assert {r[0]: (r[2], r[1] and [tuple(t) for t in r[1]]) for r in got.collect()} == {"k1": ("prompt_completion", [("user", "q"), ("assistant", "a")]), "k2": ("unknown", None)}
+    rows = spark.createDataFrame([("k1", 1, "assistant", "a"), ("k1", 0, "user", "q")], f"`{key}` string, turn int, role string, text string")
+    done = chat_format.canonical_turns(rows, key)
+    assert done.columns == [out, "turns", "layout"] and [tuple(t) for t in done.first()[1]] == [("user", "q"), ("assistant", "a")]
+    assert chat_format.format_chat(done).columns == [out, "turns", "layout", "formatted", "loss_spans"]
+
+
+def test_results_replace_columns_of_their_names(spark, make):
+    rows = spark.createDataFrame([(1, [("user", "q")], "old", 3, "m")], "id int, turns array<struct<role:string,text:string>>, formatted string, loss_spans int, made string")
+    got = chat_format.format_chat(rows)
+    assert got.columns == ["id", "turns", "made", "formatted", "loss_spans"] and got.first().formatted == "<turn user>\nq</turn>\n" and got.first().made == "m"
+    scanned = secret_scan.scan(make([(1, "hello", "en", "a")]).withColumn("secrets", F.lit("old")))
+    assert scanned.columns.count("secrets") == 1 and scanned.first().secrets == []
+
+
+def test_the_registry_grows_with_the_mappings():
+    many = tuple(chat_format.Mapping(f"m{k}", fields=(("user", (f"q{k}",)), ("assistant", (f"a{k}",)))) for k in range(200))
+    assert len(chat_format.registry(many)) == 200

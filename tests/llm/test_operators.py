@@ -12,6 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphlore.llm import chat_format, exact_dedup, license_scan, mixing, near_join, quality_rules, queries, secret_scan, sentencepiece_codec, suffix_dedup, suffix_groups, toxicity
 from tests.llm import brute
@@ -74,10 +75,13 @@ def test_mixed_layouts_find_their_mapping_by_fingerprint(spark):
         assert (got[k].turns if turns is None else [(t.role, t.text) for t in got[k].turns]) == turns, x
     assert got[80].layout == got[81].layout == "unknown"
     # a registered set of paths and only such a one is found, by its digest
-    for m in chat_format.MAPPINGS:
-        own = chat_format.normal([*m.paths(), "id:int", "prompt.a:int"])
-        assert chat_format.REGISTRY[chat_format.fingerprint(own)].paths() == next(o for o in chat_format.MAPPINGS if set(own) >= set(o.paths())).paths()
-    assert chat_format.fingerprint([]) not in chat_format.REGISTRY
+    known = chat_format.registry()
+    for k, m in enumerate(chat_format.MAPPINGS):
+        assert known[chat_format.fingerprint(m.paths())] == k
+        schema = T.StructType([T.StructField(p.partition(":")[0], T.IntegerType() if p.endswith(":int") else T.StringType()) for p in [*m.paths(), "id:int", "other:string"] if "[]" not in p and "." not in p])
+        if not m.items:
+            assert set(chat_format.select_mapping(schema).paths()) <= set(chat_format.field_paths(schema))
+    assert chat_format.fingerprint([]) not in known
 
 
 def test_chat_round_trip(spark):
