@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphlore.operators import merkle
 from graphlore.plans.shared import cut
 
 
@@ -53,16 +54,8 @@ def upsert(base: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def identity(delta: DataFrame) -> DataFrame:
-    """delta_id, rows: one digest of key-sorted (operation, key, payload digest).
-
-    Keys are hashed in ranges first, so the driver's row is made of one
-    digest for each of 4096 ranges (three hexadecimal digits), whatever the size.
-    The digest of each range is over its rows in the order of their keys.
-    """
-    row = F.concat_ws(":", "operation", "key", F.sha2("payload", 256))
-    parts = delta.select(F.substring(F.sha2(F.col("key").cast("string"), 256), 1, 3).alias("part"), F.col("key").cast("string").alias("key"), row.alias("row"))
-    hashed = parts.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "row"))), lambda x: x["row"]), "\n"), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return hashed.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256).alias("delta_id"), F.sum("n").alias("rows"))
+    """delta_id, rows: the root of a tree of digests over key, operation and payload, whatever the order and partitions."""
+    return merkle.identity(merkle.digested(delta, "key", "operation", "payload")).withColumnRenamed("digest", "delta_id")
 
 
 def isolate(rows: DataFrame, key: str, column: str, run: Callable[[str], str]) -> tuple[DataFrame, DataFrame]:

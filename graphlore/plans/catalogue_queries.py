@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphlore.functions import text, versions
 from graphlore.operators import catalogue, evaluate, graph, incremental, records, vectors
 from graphlore.plans import guard
+from graphlore.plans.digests import tree_sql
 from graphlore.plans.registry import query
 from graphlore.plans.retrieval_queries import _STRIP, PACK, VECTORS, _near
 from graphlore.sources.pack import Pack
@@ -268,8 +269,10 @@ def delta_upsert(spark, sf_dir):
     return incremental.upsert(*_delta(spark, sf_dir))
 
 
-@query(f"""WITH {_BASE}, {_DELTA}, r AS (SELECT substring(sha256(key::VARCHAR), 1, 3) AS part, key::VARCHAR AS key, 'upsert:' || key || ':' || sha256(payload) AS row FROM delta),
-h AS (SELECT part, sha256(string_agg(row, chr(10) ORDER BY key, row)) AS h, count(*) AS n FROM r GROUP BY part) SELECT sha256(string_agg(h, chr(10) ORDER BY part)) AS delta_id, sum(n)::BIGINT AS rows FROM h""")
+_ROWS = """r AS (SELECT key::VARCHAR AS key, sha256('1' || chr(10) || '{"operation":"upsert","payload":"' || payload || '"}') AS h FROM delta)"""
+
+
+@query(f"WITH {_BASE}, {_DELTA}, {_ROWS}, {tree_sql('r', 't')} SELECT digest AS delta_id, n::BIGINT AS rows FROM t_0")
 def delta_identity(spark, sf_dir):
     _, delta = _delta(spark, sf_dir)
     return incremental.identity(delta.select(F.lit("upsert").alias("operation"), "key", "payload"))

@@ -51,3 +51,16 @@ def append_new(batch: DataFrame, table: str, keys: list[str]) -> None:
     if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
         batch = batch.join(spark.read.parquet(table).select(*keys), keys, "left_anti")
     batch.dropDuplicates(keys).write.mode("append").parquet(table)
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """user_id, start, end, events, total of each session: events of a user with less than ``gap`` between them.
+
+    As a stream: a session is given out once the latest time of the batches
+    before has passed its end by ``late``. An event that by itself would have
+    been such a session one batch earlier comes too late and is dropped. As a
+    batch: all sessions.
+    """
+    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    grouped = timed.groupBy("user_id", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total"))
+    return grouped.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "events", F.round("total", 6).alias("total"))
