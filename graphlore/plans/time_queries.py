@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphlore.operators import merkle, temporal
 from graphlore.plans.catalogue_queries import _BASE, _DELTA, _delta
 from graphlore.plans.registry import query
+from graphlore.streaming import cache
 from graphlore.streaming import events as streams
 
 _SEEN = "seen AS (SELECT event_id, user_id, ts, value, event_type FROM events)"
@@ -57,3 +58,14 @@ def merkle_difference(spark, sf_dir):
     """Where base and delta differ, found by descending both trees."""
     base, delta = _delta(spark, sf_dir)
     return merkle.differing(merkle.digested(base, "key", "payload"), merkle.digested(delta, "key", "payload"))
+
+
+@query("""WITH RECURSIVE miss AS (
+  SELECT user_id, min(ts) AS ts FROM events GROUP BY user_id
+  UNION ALL SELECT miss.user_id, min(e.ts) FROM miss JOIN events e ON e.user_id = miss.user_id AND e.ts >= miss.ts + INTERVAL 6 HOUR GROUP BY miss.user_id),
+ends AS (SELECT user_id, ts + INTERVAL 6 HOUR AS "over", lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM miss)
+SELECT e.user_id::VARCHAR AS key, e.ts AS "at", CASE WHEN miss.ts IS NULL THEN 'hit' ELSE 'miss' END AS outcome FROM events e LEFT JOIN miss ON miss.user_id = e.user_id AND miss.ts = e.ts
+UNION ALL SELECT user_id::VARCHAR, "over", 'expired' FROM ends WHERE following IS NOT NULL OR "over" <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def cache_outcomes(spark, sf_dir):
+    """Events as requests to a cache of one value a user that lives six hours."""
+    return cache.replay(streams.events_stream(spark, sf_dir), "user_id", 21_600)

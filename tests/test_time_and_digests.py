@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlore.operators import incremental, merkle, temporal
-from graphlore.streaming import events
+from graphlore.streaming import cache, events
 
 SCHEMA = "id bigint, user_id string, at timestamp"
 START = datetime.datetime(2024, 1, 1)
@@ -107,3 +107,21 @@ def test_tree_shape_and_edges(spark):
 def test_delta_identity_is_the_root(spark):
     delta = spark.createDataFrame([("upsert", "a", "1"), ("upsert", "b", "2")], "operation string, key string, payload string")
     assert incremental.identity(delta).first() == incremental.identity(delta.orderBy(F.desc("key")).repartition(3)).first()
+
+
+def test_cache_over_batches(spark, tmp_path):
+    """A value lives across micro-batches, ends by its timer or at the next miss, and does so once."""
+    at = lambda m: START + datetime.timedelta(minutes=m)
+    files = [[("a", at(0)), ("a", at(59)), ("b", at(30)), (None, at(1))], [("a", at(58)), ("a", at(60))], [("c", at(500))], [("a", at(501))]]
+    for k, batch in enumerate(files):
+        spark.createDataFrame(batch, "who string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+        for f in (tmp_path / f"{k}").glob("*.parquet"):
+            f.rename(tmp_path / f"part-{k}.parquet")
+    stream = spark.readStream.schema("who string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "part-*.parquet"))
+    before = spark.conf.get(cache.PROVIDER)
+    got = sorted((r.key, r.at, r.outcome) for r in cache.replay(stream, "who", 3600).collect())
+    assert spark.conf.get(cache.PROVIDER) == before
+    assert got == sorted([
+        ("a", at(0), "miss"), ("a", at(59), "hit"), ("a", at(58), "hit"), ("a", at(60), "expired"), ("a", at(60), "miss"), ("a", at(120), "expired"), ("a", at(501), "miss"),
+        ("b", at(30), "miss"), ("b", at(90), "expired"), ("c", at(500), "miss"), ("null", at(1), "miss"), ("null", at(61), "expired"),
+    ])
