@@ -96,3 +96,30 @@ def bounded_context(rows: DataFrame, by: str, most_rows: int = 50, chars: int =
     cut = rows.withColumn("used", F.least(F.length("text"), F.lit(chars)).cast("bigint"))
     run = cut.withColumns({"n": F.count(F.lit(1)).over(w), "chars": F.sum("used").over(w)})
     return run.filter((F.col("n") <= most_rows) & (F.col("chars") <= total)).select(by, "position", "used", "chars")
+
+
+def stats_cube(articles: DataFrame) -> DataFrame:
+    """category, expansion_depth, level, articles, words: counts by both, by either and of all, in one pass.
+
+    ``level`` tells a total from a null: 0 both are given, 1 the depth is any, 2 the category is any, 3 both are.
+    """
+    cube = articles.cube("category", "expansion_depth").agg(F.grouping_id().cast("bigint").alias("level"), F.count(F.lit(1)).alias("articles"), F.sum("word_count").alias("words"))
+    return cube.select("category", "expansion_depth", "level", "articles", "words")
+
+
+def daily_sketches(rows: DataFrame, by: str, at: str, what: str, capacity: int = 1024) -> DataFrame:
+    """by, day, distinct_sketch, top_sketch: what days keep of ``what`` so that any days can be merged, a few kilobytes each."""
+    return rows.groupBy(by, F.to_date(at).alias("day")).agg(F.hll_sketch_agg(what, F.lit(14)).alias("distinct_sketch"), F.expr(f"approx_top_k_accumulate({what}, {capacity})").alias("top_sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: str, k: int, capacity: int = 1024) -> DataFrame:
+    """by, n_distinct (standard error 0.8 %), top: the ``k`` most frequent values with counts, over all days."""
+    merged = sketches.groupBy(by).agg(F.hll_union_agg("distinct_sketch").alias("d"), F.expr(f"approx_top_k_combine(top_sketch, {capacity})").alias("t"))
+    return merged.select(by, F.hll_sketch_estimate("d").alias("n_distinct"), F.expr(f"approx_top_k_estimate(t, {k})").alias("top"))
+
+
+def alike(rows: DataFrame, column: str, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """first, n, spellings of the values that a collation takes for equal, in its order; ``first`` is the least by code points."""
+    word = F.col(column)
+    grouped = rows.groupBy(F.collate(word, collation).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.collate(word, "UTF8_BINARY")).alias("spellings"), F.min(F.collate(word, "UTF8_BINARY")).alias("first"))
+    return grouped.orderBy("w").select("first", "n", "spellings")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from graphlore.plans import catalogue_queries, index_queries, pack_queries, retrieval_queries, time_queries  # noqa: F401
+from graphlore.plans import catalogue_queries, corpus_queries, index_queries, pack_queries, retrieval_queries, time_queries  # noqa: F401
 from graphlore.plans.registry import ORACLE_SQL, QUERIES
 from tests.oracle import same
 
