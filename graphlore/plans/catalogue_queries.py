@@ -190,11 +190,18 @@ _VERBS = ["\tFound\n", "\u00a0built-on", "Located In", "DEPENDS  on", "part_of",
 _VERB_SQL = "[" + ", ".join(f"'{v}'" for v in _VERBS) + "]"
 
 
-@query(f"""WITH v AS (SELECT regexp_replace(lower({_STRIP(_VERB_SQL + '[event_id % 7 + 1]')}), '[\\s-]+', '_', 'g') AS x FROM events)
+_PHRASE = r"[A-Za-zÀ-ÿ]+[\s-]+[A-Za-zÀ-ÿ]+"
+
+
+@query(f"""WITH raw AS (SELECT {_VERB_SQL}[event_id % 7 + 1] AS verb FROM events UNION ALL SELECT regexp_extract(text, '{_PHRASE}') FROM documents WHERE text IS NOT NULL),
+v AS (SELECT regexp_replace(lower({_STRIP('verb')}), '[\\s-]+', '_', 'g') AS x FROM raw)
 SELECT CASE WHEN x IN ({', '.join(f"'{r}'" for r in text.RELATIONS)}) THEN x ELSE coalesce(({_SYN})[x], x) END AS relation, count(*) AS mentions FROM v GROUP BY 1""")
 def relation_normalize(spark, sf_dir):
+    """Verbs with synonyms, and the first two words of every document as a verb that has none."""
     verbs = F.array(*[F.lit(v) for v in _VERBS])
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(text.relation(F.get(verbs, (F.col("event_id") % 7).cast("int"))).alias("relation"))
+    said = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.get(verbs, (F.col("event_id") % 7).cast("int")).alias("verb"))
+    said = said.unionByName(_docs(spark, sf_dir).filter("text is not null").select(F.regexp_extract("text", _PHRASE, 0).alias("verb")))
+    rows = said.select(text.relation(F.col("verb")).alias("relation"))
     return rows.groupBy("relation").agg(F.count(F.lit(1)).alias("mentions"))
 
 

@@ -93,13 +93,16 @@ def quantised_adoption(spark, sf_dir):
 
 # JSON and dates ------------------------------------------------------------------------------------
 
-_LISTS = ['["a", "b,\\\\"c"]', "[]", '["a", 1]', '["a", null]', '{"a": 1}', "no json", '[["a"]]']
+#: What a list of an event's fields goes on with; fixed values.
+_ENDS = ("]", ", 1]", ", null]", ', "x,\\"y"]', "", "}", ', ["z"]]')
 
 
-@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'a|b,' || chr(34) || 'c' WHEN 1 THEN '' END AS items FROM events")
+@query("""SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type || '|' || user_id WHEN 3 THEN event_type || '|' || user_id || '|x,' || chr(34) || 'y' END AS items FROM events""")
 def string_lists(spark, sf_dir):
-    values = F.array(F.lit('["a", "b,\\"c"]'), *map(F.lit, _LISTS[1:]))
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(text.string_list(F.get(values, (F.col("event_id") % 7).cast("int"))), "|").alias("items"))
+    """JSON lists of each event's own fields; one with a number, a null or a list in it, and one that is no JSON, is none of strings."""
+    end = F.get(F.array(*map(F.lit, _ENDS)), (F.col("event_id") % 7).cast("int"))
+    json = F.concat(F.lit('["'), "event_type", F.lit('", "'), F.col("user_id").cast("string"), F.lit('"'), end)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.array_join(text.string_list(json), "|").alias("items"))
 
 
 @query("SELECT conv_id, turn, 'Ask ' || role || ' {{answer}}: ' || coalesce(text, '') || ' (' || coalesce(text, '') || ') {{other}}.' AS prompt FROM conversations")
@@ -109,14 +112,14 @@ def template_fill(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", text.fill("Ask {{question}}: {{answer}} ({{answer}}) {{other}}.", values).alias("prompt"))
 
 
-_ESCAPES = ["\\ud83d\\ude00", "\\ud83d", "\\ude00 x", "\\\\ud83d", "plain", "\\\\\\udc00", "\\uD83D\\uDE00\\ud83d"]
-
-
-@query("SELECT event_type, count(*) AS records, count(*) FILTER (event_id % 7 IN (1, 2, 5, 6)) AS rejected FROM events GROUP BY event_type")
+@query("""WITH u AS (SELECT doc_id, 55040 + doc_id % 2560 AS a, 55040 + doc_id * 7 % 2560 AS b FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN a BETWEEN 55296 AND 56319 THEN NOT b BETWEEN 56320 AND 57343 ELSE a BETWEEN 56320 AND 57343 OR b BETWEEN 55296 AND 57343 END AS rejected FROM u""")
 def surrogate_check(spark, sf_dir):
-    values = F.array(*[F.lit('{"t": "' + x + '"}') for x in _ESCAPES])
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", text.lone_surrogate(F.get(values, (F.col("event_id") % 7).cast("int"))).alias("bad"))
-    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("records"), F.count_if("bad").alias("rejected"))
+    """Each document's text as JSON, then two escapes from around the range of surrogates, in pairs or alone."""
+    code = lambda c: F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(F.lit(55040) + c % 2560), 4, "0")))
+    whole = F.to_json(F.struct(F.col("text").alias("t")))
+    json = F.concat(F.substr(whole, F.lit(1), F.length(whole) - 2), code(F.col("doc_id")), code(F.col("doc_id") * 7), F.lit('"}'))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").select("doc_id", text.lone_surrogate(json).alias("rejected"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE '{"a":[{"b":"' || o_orderstatus || '","y":' || o_custkey || '}],"z":' || o_orderkey || ',"é":null}' END AS canonical FROM orders""")
