@@ -188,6 +188,42 @@ def ipv4_blocked(ip: Column) -> Column:
     return ~valid | F.coalesce(rules, F.lit(True))
 
 
+def ipv6_groups(ip: Column) -> Column:
+    """The eight 16-bit numbers of an IPv6 address in any of its spellings, null for anything else."""
+    v4 = r"^(.*:)(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+    byte = lambda k: F.regexp_extract(ip, v4, k).try_cast("int")
+    sound = F.coalesce(F.greatest(*[byte(k) for k in (2, 3, 4, 5)]) <= 255, F.lit(False))
+    pair = lambda a, b: F.lower(F.hex(byte(a) * 256 + byte(b)))
+    plain = F.when(~ip.rlike(v4), ip).when(sound, F.concat(F.regexp_extract(ip, v4, 1), pair(2, 3), F.lit(":"), pair(4, 5)))
+
+    def side(half: Column) -> Column:
+        return F.when(half == "", F.array().cast("array<string>")).otherwise(F.split(half, ":"))
+
+    def whole(halves: Column) -> Column:
+        left, right = side(F.get(halves, F.lit(0))), side(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+        missing = 8 - F.size(left) - F.size(right)
+        filled = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        fits = ((F.size(halves) == 2) & (missing >= 1)) | ((F.size(halves) == 1) & (missing == 0))
+        return F.when(fits & F.forall(filled, lambda g: g.rlike("^[0-9A-Fa-f]{1,4}$")), F.transform(filled, lambda g: F.conv(g, 16, 10).cast("int")))
+
+    return let(F.split(plain, "::", -1), whole)
+
+
+def ip_blocked_column(ip: Column) -> Column:
+    """Whether an address of either family is not public, with IPv4 inside IPv6 judged as IPv4; what is no address is blocked."""
+
+    def six(g: Column) -> Column:
+        at = lambda k: F.get(g, F.lit(k))
+        zeros = lambda n: F.forall(F.slice(g, 1, n), lambda x: x == 0)
+        inner = F.concat_ws(".", *[f(at(k)).cast("int").cast("string") for k in (6, 7) for f in (lambda x: F.floor(x / 256), lambda x: x % 256)])
+        carried = zeros(6) | (zeros(5) & (at(5) == 0xFFFF))
+        # fe80::/10 and fec0::/10 are fe80 to feff
+        reserved = at(0).between(0xFE80, 0xFEFF) | at(0).between(0xFC00, 0xFDFF) | (at(0) >= 0xFF00) | ((at(0) == 0x2001) & (at(1) == 0x0DB8))
+        return F.when(carried, ipv4_blocked(inner)).otherwise(reserved)
+
+    return F.when(F.contains(ip, F.lit(":")), F.coalesce(let(ipv6_groups(ip), six), F.lit(True))).otherwise(F.coalesce(ipv4_blocked(ip), F.lit(True)))
+
+
 def ip_blocked(ip: str) -> bool:
     """The gate for one address of either family, with IPv4 inside IPv6 judged as IPv4."""
     import ipaddress

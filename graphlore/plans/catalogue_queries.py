@@ -185,6 +185,22 @@ def ipv4_block_list(spark, sf_dir):
     return ips.groupBy("ip").agg(F.count(F.lit(1)).alias("requests")).withColumn("blocked", text.ipv4_blocked(F.col("ip")))
 
 
+@query("""WITH a AS (SELECT l_orderkey AS k, l_linenumber AS n, CASE l_linenumber % 4 WHEN 0 THEN 64512 + l_partkey % 1024 WHEN 1 THEN 8192 + l_orderkey % 4096 WHEN 2 THEN 8193 ELSE 0 END AS g0, CASE WHEN l_linenumber % 4 = 2 THEN 3510 + l_partkey % 4 ELSE 0 END AS g1, l_suppkey AS s FROM lineitem)
+SELECT CASE WHEN n % 4 = 3 THEN '::ffff:' || (s % 256) || '.' || (k % 256) || '.3.4' ELSE lower(printf('%x', g0)) || ':' || lower(printf('%x', g1)) || '::' || lower(printf('%x', s % 65536)) END AS ip,
+  CASE WHEN n % 4 = 3 THEN s % 256 IN (0, 10, 127) OR s % 256 >= 224 OR s % 256 = 169 AND k % 256 = 254 OR s % 256 = 192 AND k % 256 = 168 OR s % 256 = 172 AND k % 256 BETWEEN 16 AND 31 OR s % 256 = 100 AND k % 256 BETWEEN 64 AND 127
+    OR s % 256 = 198 AND k % 256 IN (18, 19) ELSE g0 BETWEEN 65152 AND 65279 OR g0 BETWEEN 64512 AND 65023 OR g0 >= 65280 OR g0 = 8193 AND g1 = 3512 END AS blocked, count(*) AS requests FROM a GROUP BY 1, 2""")
+def address_gate(spark, sf_dir):
+    """IPv6 addresses from around the reserved ranges, and IPv4 inside IPv6."""
+    h = lambda x: F.lower(F.hex(x))
+    n = F.col("l_linenumber") % 4
+    first = F.when(n == 0, 64512 + F.col("l_partkey") % 1024).when(n == 1, 8192 + F.col("l_orderkey") % 4096).otherwise(F.lit(8193))
+    second = F.when(n == 2, 3510 + F.col("l_partkey") % 4).otherwise(F.lit(0))
+    six = F.concat(h(first), F.lit(":"), h(second), F.lit("::"), h(F.col("l_suppkey") % 65536))
+    four = F.concat(F.lit("::ffff:"), F.col("l_suppkey") % 256, F.lit("."), F.col("l_orderkey") % 256, F.lit(".3.4"))
+    ips = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(n == 3, four).otherwise(six).alias("ip"))
+    return ips.groupBy("ip").agg(F.count(F.lit(1)).alias("requests")).withColumn("blocked", text.ip_blocked_column(F.col("ip")))
+
+
 _SYN = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.SYNONYMS.items()) + "}"
 _VERBS = ["\tFound\n", "\u00a0built-on", "Located In", "DEPENDS  on", "part_of", "belongs-to", "mentions"]
 _VERB_SQL = "[" + ", ".join(f"'{v}'" for v in _VERBS) + "]"

@@ -99,6 +99,21 @@ def test_trimming(spark, value):
     assert one(spark, text.relation(F.lit(value.replace("abc d", "Found")))) == "discovered"
 
 
+def test_addresses_of_both_families(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(5)
+    known = ["::", "::1", "::2", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::8.8.8.8", "::ffff:0808:0808", "fe80::1", "febf::", "fec0::1", "feff::", "fd00::1", "fbff::1", "ff02::1", "2001:db8::1", "2001:0DB8:0::", "2001:db9::1", "2606:4700::1111",
+             "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", ":::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4::5:6:7:8", "g::1", "12345::", "::1.2.3", "::1.2.3.256", "64:ff9b::1.2.3.4", "", ":", "no", "10.0.0.1", "8.8.8.8", "256.1.1.1"]
+    made = [str(ipaddress.IPv6Address(rng.getrandbits(128) >> rng.choice([0, 0, 64, 96, 112]))) for _ in range(200)]
+    made += [ipaddress.IPv6Address((rng.choice([0xFE80, 0xFD12, 0x2001, 0xFF05, 0x2A00]) << 112) + rng.getrandbits(100)).exploded.upper() for _ in range(100)]
+    rows = spark.createDataFrame([(x,) for x in [*known, *made]], "ip string")
+    got = {r.ip: r.b for r in rows.select("ip", text.ip_blocked_column(F.col("ip")).alias("b")).collect()}
+    assert {x: b for x, b in got.items() if b != text.ip_blocked(x)} == {}
+    assert spark.range(1).select(text.ip_blocked_column(F.lit(None).cast("string")).alias("b")).first().b is True
+
+
 HREFS = ["a", "./a", "../a", "../../a/./b/", "/x/../y", "a/..", "..", ".", "?q=1", "//host.org/z/../w", "https://host.org/a/b/../../c?d=../e", "../../../../top", "a/./../b?x#frag", "/a/b/.", "/..a/b.."]
 
 
