@@ -90,7 +90,7 @@ def test_scores_of_the_query(spark, small):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.3 * sum(r.n_tokens for r in held)
 
 
-@pytest.mark.parametrize("limits", [{"head": 3, "buckets": 5, "pair_share": 20}, {"head": 1, "buckets": 1}, {"pair_share": 0}])
+@pytest.mark.parametrize("limits", [{"head": 3, "buckets": 5, "pair_share": 20}, {"head": 1, "buckets": 1, "pair_share": 0}])
 def test_scores_alike_whatever_is_frequent(make, limits):
     """Ranks, buckets and the most frequent pairs decide where counts are found, not what they are."""
     rng = random.Random(4)
@@ -163,7 +163,7 @@ def collected(df) -> list[tuple]:
     return sorted(tuple(-1 if x is None else x for x in r) for r in df.collect())
 
 
-@pytest.mark.parametrize("ranges", [1, 3, 40])
+@pytest.mark.parametrize("ranges", [1, 7])
 def test_trie_over_ranges(spark, ranges):
     rows = made_conversations(ranges)
     df = spark.createDataFrame(rows, SCHEMA).withColumn("key", F.lit("clash")).withColumn("digest", F.lit(1)).withColumn("place", F.lit(2)).repartition(3)
@@ -245,7 +245,7 @@ def made_words(seed: int) -> list[tuple]:
     return [*texts, (None, "nobody's colourful colourful"), (90, None), (91, ""), (1, texts[1][1])]
 
 
-@pytest.mark.parametrize("how", [{}, {"symbols": 2}, {"symbols": 3, "most": 1}, {"symbols": 90}, {"slip": None}])
+@pytest.mark.parametrize("how", [{}, {"symbols": 3, "most": 1}, {"symbols": 90, "slip": None}])
 def test_variants_by_brute_force(make, how):
     rows = made_words(3)
     found = spelling_groups.variant_groups(make([(i, t, "en", "a") for i, t in rows]), **how)
