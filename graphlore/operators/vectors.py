@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlore.functions.columns import let
+from graphlore.functions.columns import let, words_of
 
 
 def doubles(v: Column) -> Column:
@@ -95,6 +95,22 @@ def knn_blocks(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embed
     return reduce(DataFrame.unionByName, [knn_batch(rows, part, k, vector) for part in dealt])
 
 
+def hashed_words(texts: DataFrame, size: int = 64) -> DataFrame:
+    """id, embedding of texts (id, text): each word counts up or down, by its digest, at the place its digest gives.
+
+    Sums by place are partly made before the shuffle, so a row moves at most
+    ``size`` numbers, whatever the length of its text. Texts of one id are taken
+    together; one without words has no row. ``size``: 256 at most.
+    """
+    if not 1 <= size <= 256:
+        raise ValueError("size is a whole number from 1 to 256")
+    digest = texts.select("id", F.explode(words_of(F.col("text"))).alias("w")).select("id", F.md5("w").alias("h"))
+    byte = lambda at: F.conv(F.substring("h", at, 2), 16, 10).cast("int")
+    sums = digest.groupBy("id", (byte(1) % size).alias("i")).agg(F.sum(F.when(byte(3) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
+    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
+
+
 def quantize(v: Column) -> Column:
     """struct(scale, codes): int8 codes of a vector by its greatest absolute value."""
     top = F.array_max(F.transform(doubles(v), F.abs))
