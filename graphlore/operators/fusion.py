@@ -61,10 +61,13 @@ def hybrid_retrieve(sections: DataFrame, links: DataFrame, query: DataFrame, wor
     graph = out.select(F.col("dst").alias("id"), "rank", turn.alias("n")).filter(F.col("n") <= k)
     graph = graph.select("id", F.lit(weights[1] * NEIGHBOUR).alias("delta"), F.lit(1).alias("step"), F.col("rank").alias("pos"), F.col("n").cast("bigint").alias("sub"))
     signals = [vector, graph]
-    for i, word in enumerate(words[:KEYWORDS]):
-        hit = sections.filter(F.contains(F.lower("title"), F.lit(word.lower()))).select("id").orderBy("id").limit(k)
-        n = F.row_number().over(Window.orderBy("id")).cast("bigint")
-        signals.append(hit.select("id", F.lit(weights[2] * KEYWORD).alias("delta"), F.lit(2).alias("step"), F.lit(i).cast("bigint").alias("pos"), n.alias("sub")))
+    if words:
+        # one scan for all keywords; the rank's limit is applied before the shuffle
+        said = [F.when(F.contains(F.lower("title"), F.lit(word.lower())), F.lit(i).cast("bigint")) for i, word in enumerate(words[:KEYWORDS])]
+        hit = sections.select("id", F.explode(F.array_compact(F.array(*said))).alias("pos"))
+        n = F.row_number().over(Window.partitionBy("pos").orderBy("id")).cast("bigint")
+        hit = hit.select("id", "pos", n.alias("sub")).filter(F.col("sub") <= k)
+        signals.append(hit.select("id", F.lit(weights[2] * KEYWORD).alias("delta"), F.lit(2).alias("step"), "pos", "sub"))
     return ranked(_added(signals), k)
 
 

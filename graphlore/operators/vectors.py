@@ -104,9 +104,9 @@ def hashed_words(texts: DataFrame, size: int = 64) -> DataFrame:
     """
     if not 1 <= size <= 256:
         raise ValueError("size is a whole number from 1 to 256")
-    digest = texts.select("id", F.explode(words_of(F.col("text"))).alias("w")).select("id", F.md5("w").alias("h"))
-    byte = lambda at: F.conv(F.substring("h", at, 2), 16, 10).cast("int")
-    sums = digest.groupBy("id", (byte(1) % size).alias("i")).agg(F.sum(F.when(byte(3) % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
+    words = texts.select("id", F.explode(words_of(F.col("text"))).alias("w"))
+    digest = words.select("id", F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int").alias("h"))  # its first two bytes
+    sums = digest.groupBy("id", (F.shiftright("h", 8) % size).alias("i")).agg(F.sum(F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
     held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
     return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
 

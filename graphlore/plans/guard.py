@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,3 +148,25 @@ def run_read(spark: SparkSession, sql: str, k: int, cap: int = 200, tables: set[
     """Run generated SQL if the whole of its parsed plan only reads; ``min(k, cap)`` rows at most. ``args``: values of its named parameters."""
     check_read(spark, sql, tables)
     return spark.sql(sql, args=args).limit(min(k, cap))
+
+
+def run_reads(spark: SparkSession, sql: str, k: int, cap: int = 200, tables: set[str] | None = None, args: dict | None = None) -> DataFrame:
+    """Run generated statements, parted by ``;``, of which each only reads; the rows of the last, ``min(k, cap)`` at most. One statement is :func:`run_read`.
+
+    They are parsed as one script that may hold plain statements only: no
+    variables, branches, loops, handlers or scripts inside it.
+    """
+    parser = spark._jsparkSession.sessionState().sqlParser()
+    script = f"BEGIN\n{sql}\nEND"
+    try:
+        body = parser.parsePlan(script)
+    except ParseException:  # the last statement isn't ended
+        script = f"BEGIN\n{sql}\n;\nEND"
+        body = parser.parsePlan(script)
+    statements = _seq(body.collection()) if _kind(body) == "CompoundBody" else []
+    if not statements or any(_kind(s) != "SingleStatement" for s in statements) or not body.handlers().isEmpty() or not body.conditions().isEmpty():
+        raise ReadOnlyError("the script holds more than plain statements")
+    allowed = None if tables is None else {t.lower() for t in tables}
+    for s in statements:
+        _check(s.parsedPlan(), lambda name: spark.catalog.tableExists(name) if allowed is None else name in allowed, frozenset())
+    return spark.sql(script, args=args).limit(min(k, cap))

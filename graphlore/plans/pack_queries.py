@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphlore.functions import text
 from graphlore.operators import catalogue, evaluate, fusion, graph, incremental, support
-from graphlore.plans import retrieval_queries
+from graphlore.plans import guard, retrieval_queries
 from graphlore.plans.catalogue_queries import _BASE, _DELTA, _delta
 from graphlore.plans.registry import ORACLE_SQL, QUERIES, query
 from graphlore.plans.retrieval_queries import _HE, _REL, PACK, _walk, _walk_sql
@@ -277,3 +277,14 @@ def support_checks(spark, sf_dir):
     names = ("support of no article", "support repeated", "relation without support", "support without relation", "source repeated", "source unlike its hash", "source of no article", "article without source",
              "applied delta unlike its source", "chunk without section", "chunk without content", "chunks not numbered from 0", "chunk id repeated")
     return found.filter(F.col("check_name").isin(*names))
+
+
+_STATUSES = "SELECT o_orderstatus AS status, count(*) AS n_orders, max(o_totalprice) AS top FROM {} WHERE o_totalprice > {} GROUP BY o_orderstatus"
+
+
+@query(_STATUSES.format("orders", 100000))
+def statement_sequence(spark, sf_dir):
+    """Statements in sequence, each of which only reads: the rows of the last, with a named parameter."""
+    spark.read.parquet(f"{sf_dir}/orders.parquet").createOrReplaceTempView("graphlore_orders")
+    sql = "SELECT count(*) FROM graphlore_orders; -- first the number; then the groups\n" + _STATUSES.format("graphlore_orders", ":least") + ";"
+    return guard.run_reads(spark, sql, 100, tables={"graphlore_orders"}, args={"least": 100000})

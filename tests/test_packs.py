@@ -6,6 +6,7 @@ import json
 from urllib.parse import urljoin
 
 import pytest
+from pyspark.errors import ParseException
 from pyspark.sql import functions as F
 
 from graphlore.functions import text
@@ -73,6 +74,28 @@ def test_run_read(spark, things):
     assert guard.run_read(spark, "WITH hidden AS (SELECT id FROM things) SELECT * FROM hidden", 1, tables={"things"}).count() == 1
 
 
+def test_statements_in_sequence_give_the_rows_of_the_last(spark, things):
+    last = "SELECT count(*) AS n, ';' AS c FROM things WHERE id < :k"
+    for sql in (last, f"{last};", f"SELECT 1 AS x; {last}", f"SELECT id FROM things; -- done; soon\n{last} ;\n", f"/* ; */ SELECT 1;\n{last} -- end"):
+        assert [tuple(r) for r in guard.run_reads(spark, sql, 5, tables={"things"}, args={"k": 4}).collect()] == [(4, ";")]
+    assert guard.run_reads(spark, "SELECT 1; SELECT id FROM things", 3).count() == 3
+
+
+@pytest.mark.parametrize("sql", [
+    "DROP TABLE things; SELECT 1", "SELECT 1; INSERT INTO things SELECT 1, 'a'", "SELECT reflect('java.lang.System', 'getenv', 'HOME'); SELECT 1", "SELECT id FROM hidden; SELECT 1", "DECLARE x INT DEFAULT 1; SELECT x",
+    "IF 1 = 1 THEN DROP TABLE things; END IF", "WHILE true DO SELECT 1; END WHILE", "BEGIN DROP TABLE things; END", "DECLARE EXIT HANDLER FOR SQLEXCEPTION BEGIN DROP TABLE things; END; SELECT 1 / 0", "EXECUTE IMMEDIATE 'DROP TABLE things'; SELECT 1",
+])
+def test_statements_that_do_more_than_read_are_refused(spark, things, sql):
+    with pytest.raises(guard.ReadOnlyError):
+        guard.run_reads(spark, sql, 5, tables={"things"})
+
+
+@pytest.mark.parametrize("sql", ["", ";", "SELECT 1; END; DROP TABLE things; BEGIN SELECT 1", "SET VAR x = 1; SELECT 1"])
+def test_what_is_no_script_is_refused(spark, things, sql):
+    with pytest.raises((guard.ReadOnlyError, ParseException)):
+        guard.run_reads(spark, sql, 5, tables={"things"})
+
+
 # text ----------------------------------------------------------------------------------------------
 
 def test_windows_of_a_very_long_text(spark):
