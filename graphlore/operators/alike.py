@@ -110,14 +110,14 @@ class Alike:
             raise ValueError("threshold and target are between 0 and 1")
         bound_batches(rows.sparkSession, rows=2000)
         self.threshold, self.small = threshold, small
-        rows = rows.select("id", doubles(F.col("embedding")).alias("v")).filter(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (length(F.col("v")) > 0))
+        rows = rows.select("id", F.col("embedding").alias("v")).filter(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (length(doubles(F.col("v"))) > 0))
         different = cut(rows.groupBy("v").agg(F.min("id").alias("vector_id"), F.count(F.lit(1)).alias("n_copies")), "alike-vectors")
         self.members = rows.join(different.hint("merge"), "v").select("id", "vector_id", "n_copies")
         self.copies = different.select("vector_id", "n_copies")
         self.n = different.count()
         if slots is None:
             picked = different.orderBy(F.xxhash64("vector_id"), "vector_id").limit(SAMPLE).select("v").toArrow()["v"]
-            slots = choose(_matrix(picked) if self.n else np.zeros((0, 1)), self.n, threshold, target)
+            slots = choose(_units(picked.combine_chunks()) if self.n else np.zeros((0, 1)), self.n, threshold, target)
         self.slots = slots
         self._keyed = cut(_keyed(different.select("vector_id", "v"), slots), "alike-keys")
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))
@@ -133,13 +133,13 @@ class Alike:
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))
         blocks = F.ceil(F.col("size") / self.small).cast("int")
         held = met.join(self._sizes.hint("merge"), ["run", "key"]).groupBy("vector_id").agg(F.collect_list(F.struct("run", "key", blocks.alias("blocks"))).alias("held"))  # one a run at most
-        rows = self._keyed.join(held.hint("merge"), "vector_id").select("vector_id", "v", "keys", F.explode("held").alias("h"))
+        rows = self._keyed.join(held.hint("merge"), "vector_id").select("vector_id", "v", F.explode("held").alias("h"))
         # a bucket of several blocks sends each vector to the tasks of its block with every block
         mine = F.pmod(F.xxhash64("vector_id"), F.col("h.blocks")).cast("int")
-        rows = rows.select("vector_id", "v", "keys", "h.run", "h.key", mine.alias("side"), F.explode(F.sequence(F.lit(0), F.col("h.blocks") - 1)).alias("other"))
-        rows = rows.select("run", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "vector_id", "v", "keys")
+        rows = rows.select("vector_id", "v", "h.run", "h.key", mine.alias("side"), F.explode(F.sequence(F.lit(0), F.col("h.blocks") - 1)).alias("other"))
+        rows = rows.select("run", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "vector_id", "v")
         dealt = rows.repartition("run", "key", "p", "q").sortWithinPartitions("run", "key", "p", "q")
-        return dealt.mapInArrow(_comparer(self.threshold), f"a {dict(rows.dtypes)['vector_id']}, b {dict(rows.dtypes)['vector_id']}, similarity double")
+        return dealt.mapInArrow(_comparer(self.threshold, self.slots), f"a {dict(rows.dtypes)['vector_id']}, b {dict(rows.dtypes)['vector_id']}, similarity double")
 
     def links(self) -> DataFrame:
         """id, vector_id, n_copies, n_links (different vectors at the threshold), n_row_links (other rows at the threshold, copies included) of every row that has a vector."""
@@ -183,35 +183,35 @@ def _near(held, threshold: float):
 
 
 def _keyed(vectors: DataFrame, slots: Slots) -> DataFrame:
-    """vector_id, v (unit length), keys: the bucket of each run."""
+    """vector_id, v, keys: the bucket of each run."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            units = _matrix(b.column(1))
-            if units.shape[1] != slots.size:
-                raise ValueError(f"vectors of {units.shape[1]} elements among those of {slots.size}")
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(units), _lists(slots.keys(units).view(np.int64))], ["vector_id", "v", "keys"])
-
-    return vectors.mapInArrow(run, f"vector_id {dict(vectors.dtypes)['vector_id']}, v array<double>, keys array<bigint>")
-
+            if b.num_rows:
+                keys = slots.keys(_units(b.column(1), slots.size)).view(np.int64)
+                ends = pa.array(np.arange(len(keys) + 1) * slots.runs, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], ["vector_id", "v", "keys"])
 
-def _lists(m: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.reshape(-1)))
+    kinds = dict(vectors.dtypes)
+    return vectors.mapInArrow(run, f"vector_id {kinds['vector_id']}, v {kinds['v']}, keys array<bigint>")
 
 
-def _rows(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _units(column: pa.ListArray, size: int | None = None) -> np.ndarray:
+    """Vectors that have a length as rows of length 1."""
+    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(lengths) != 1 or size not in (None, lengths[0]):
+        raise ValueError(f"vectors of {lengths} elements, where all have one number of elements")
+    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, lengths[0])
+    return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _comparer(threshold: float):
+def _comparer(threshold: float, slots: Slots):
     """For rows sorted by bucket and block: the pairs of each that reach the threshold and have met in no earlier run."""
 
     def found(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
         run, p, q = (whole.column(c)[0].as_py() for c in ("run", "p", "q"))
-        units, keys, side = _rows(whole.column("v")), _rows(whole.column("keys")), whole.column("side").to_numpy()
+        units, side, keys = _units(whole.column("v")), whole.column("side").to_numpy(), None
         rows, others = np.flatnonzero(side == p), np.flatnonzero(side == q)
         for at in range(0, len(rows), STRIP):
             some = rows[at : at + STRIP]
@@ -221,7 +221,9 @@ def _comparer(threshold: float):
                 later = j > i + at
                 i, j = i[later], j[later]
             score, i, j = alike[i, j], some[i], others[j]
-            for before in range(run):
+            if keys is None and run and len(i):
+                keys = slots.keys(units)  # made again here rather than shipped with every row
+            for before in range(run if len(i) else 0):
                 first = keys[i, before] != keys[j, before]
                 i, j, score = i[first], j[first], score[first]
             if len(i):

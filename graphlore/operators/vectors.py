@@ -108,7 +108,7 @@ def hashed_words(texts: DataFrame, size: int = 64) -> DataFrame:
     digest = words.select("id", F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int").alias("h"))  # its first two bytes
     sums = digest.groupBy("id", (F.shiftright("h", 8) % size).alias("i")).agg(F.sum(F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
     held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("embedding"))
+    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)).cast("float")).alias("embedding"))
 
 
 def quantize(v: Column) -> Column:
