@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlore.operators import incremental, index, vectors
+from graphlore.operators import incremental, index
 from graphlore.plans.registry import query
 from graphlore.plans.retrieval_queries import VECTORS, _vecs
 from graphlore.plans.shared import fresh_path
@@ -30,7 +30,7 @@ def index_top10(spark, sf_dir):
     """Every cell probed, so that candidates by codes, read back from the index and ranked exactly, are the exact neighbours."""
     rows = _vecs(spark, sf_dir)
     found = _built(spark, rows)
-    return found.search(_asked(rows), 10, probes=len(found.centres)).select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+    return found.search_blocks(_asked(rows), 10, probes=len(found.centres)).select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query()
@@ -39,10 +39,10 @@ def index_recall(spark, sf_dir):
     rows = _vecs(spark, sf_dir)
     found = _built(spark, rows)
     asked = _asked(rows)
-    cells = found.probed(asked).select("query", "cell")
+    cells = found.probed(asked)
     sizes = found.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"))
     read = cells.join(F.broadcast(sizes), "cell").groupBy("query").agg(F.sum("rows").alias("n")).agg(F.avg("n").alias("read")).join(sizes.agg(F.sum("rows").alias("all")))
-    got = index.recall(found.search(asked, 10), vectors.knn_batch(rows, asked, 10))
+    got = index.recall(found.search_blocks(asked, 10), index.neighbours(rows, asked, 10))
     return got.join(read).select("queries", "neighbours", "recall", F.round(F.col("read") / F.col("all"), 4).alias("share_read"))
 
 
@@ -53,5 +53,5 @@ def index_probe(spark, sf_dir):
     """The index asked for its own vectors, after rows of one label were taken from the table it was built of."""
     rows = _vecs(spark, sf_dir)
     found = _built(spark, rows)
-    hits = found.search(_asked(rows), 3, probes=len(found.centres)).select("query", "id")
+    hits = found.search_blocks(_asked(rows), 3, probes=len(found.centres)).select("query", "id")
     return incremental.probe(hits, rows.filter("id % 50 = 0 OR label < 9").select("id"), 3)
