@@ -115,7 +115,7 @@ def probe(hits: DataFrame, live: DataFrame, k: int) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key. Only the least row of each task is shuffled."""
+    """The first row of each key, of equal ones the least by the other columns in their order. Only the least row of each task is shuffled."""
     rest = [c for c in rows.columns if c not in keys and c not in order]
     best = rows.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_b"))
     return best.select(*keys, *[F.col(f"_b.{c}").alias(c) for c in [*order, *rest]])

@@ -323,7 +323,7 @@ def endpoint_filter(spark, sf_dir):
     return incremental.both_ends(incremental.both_ends(edges, a, "o_orderkey", ("source",)), b, "s_suppkey", ("target",))
 
 
-@query("SELECT l_partkey AS entity_id, min(l_orderkey) AS seq, min_by(l_linenumber, (l_orderkey, l_linenumber)) AS line, min_by(l_suppkey, (l_orderkey, l_linenumber)) AS supplier FROM lineitem GROUP BY l_partkey")
+@query("SELECT l_partkey AS entity_id, min(l_orderkey) AS seq, min_by(l_linenumber, (l_orderkey, l_linenumber, l_suppkey)) AS line, min_by(l_suppkey, (l_orderkey, l_linenumber, l_suppkey)) AS supplier FROM lineitem GROUP BY l_partkey")
 def entity_first_wins(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("entity_id"), F.col("l_orderkey").alias("seq"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("supplier"))
     return incremental.first_wins(rows, ["entity_id"], ["seq", "line"])

@@ -253,3 +253,15 @@ def test_empty_arms(spark):
 def test_context_stops_at_the_first_overflow(spark):
     rows = spark.createDataFrame([(1, 0, "a" * 50), (1, 1, "b" * 60), (1, 2, "c")], "k bigint, position bigint, text string")
     assert [r.position for r in catalogue.bounded_context(rows, "k", 50, 50, 90).collect()] == [0]
+
+
+def test_first_of_equal_lines_is_stated(spark, tmp_path):
+    """Two suppliers in one line: the query and its SQL take the same one, in whatever order the rows come."""
+    from graphlore.plans import catalogue_queries  # noqa: F401
+    from graphlore.plans.registry import ORACLE_SQL, QUERIES
+    from tests.oracle import same
+
+    rows = [(k, 7, 1, s) for k in range(1, 5) for s in (9 - k, 9, 3, 5)] + [(5, 8, 2, 1), (5, 7, 3, 4), (5, 7, 3, 2)]
+    lines = spark.createDataFrame(rows, "l_partkey bigint, l_orderkey bigint, l_linenumber bigint, l_suppkey bigint").coalesce(1)
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    same(QUERIES["entity_first_wins"], ORACLE_SQL["entity_first_wins"], spark, str(tmp_path))
