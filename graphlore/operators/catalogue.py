@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,11 +115,19 @@ def daily_sketches(rows: DataFrame, by: str, at: str, what: str, capacity: int =
 
 
 def merged_sketches(sketches: DataFrame, by: str, k: int, capacity: int = 1024) -> DataFrame:
-    """by, n_distinct (standard error 0.8 %), top: the ``k`` most frequent values with counts, over all days."""
+    """by, n_distinct (standard error 0.8 %), top: the ``k`` most frequent values with counts, over all days.
+
+    Counts are exact while no more values than some three quarters of twice the ``capacity`` came; else off by :func:`top_error` of all rows at most.
+    """
     merged = sketches.groupBy(by).agg(F.hll_union_agg("distinct_sketch").alias("d"), F.expr(f"approx_top_k_combine(top_sketch, {capacity})").alias("t"))
     return merged.select(by, F.hll_sketch_estimate("d").alias("n_distinct"), F.expr(f"approx_top_k_estimate(t, {k})").alias("top"))
 
 
+def top_error(capacity: int = 1024) -> float:
+    """The share of all rows by which a sketch's count of a value is off at most: that of frequent-items sketches, of 4/3 of the capacity rounded up to a power of 2."""
+    return 3.5 / 2 ** math.ceil(math.log2(capacity / 0.75))
+
+
 def alike(rows: DataFrame, column: str, collation: str = "UNICODE_CI_AI") -> DataFrame:
     """first, n, spellings of the values that a collation takes for equal, in its order; ``first`` is the least by code points."""
     word = F.col(column)

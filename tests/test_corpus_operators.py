@@ -69,3 +69,15 @@ def test_collated_groups(spark):
     got = [(r["first"], r.n, r.spellings) for r in catalogue.alike(words, "w").collect()]
     assert got == [(None, 1, 0), ("ete", 4, 4), ("Zoo", 2, 2)]
     assert [r.n for r in catalogue.alike(words.filter("w like '%t%'"), "w", "UNICODE_CI").collect()] == [1, 1, 2]
+
+
+def test_counts_of_more_users_than_a_sketch_holds(spark, tmp_path):
+    """5,000 users, all rare but three: the counts are exact, though sketches of days forget users."""
+    from graphlore.plans import corpus_queries  # noqa: F401
+    from graphlore.plans.registry import ORACLE_SQL, QUERIES
+    from tests.oracle import same
+
+    times = "array_repeat(id, CASE id WHEN 9 THEN 6 WHEN 4000 THEN 5 WHEN 77 THEN 4 ELSE 1 + cast(id % 3 = 0 AS INT) END)"
+    e = spark.range(5000).selectExpr("'view' AS event_type", f"posexplode({times}) AS (n, user_id)").selectExpr("event_type", "user_id", "timestamp'2024-01-01' + make_dt_interval(cast((n + user_id) % 5 AS INT)) AS ts")
+    e.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    same(QUERIES["sketched_users"], ORACLE_SQL["sketched_users"], spark, str(tmp_path))
