@@ -5,12 +5,16 @@ A projection on a random direction, cut into slots of a width that is a
 multiple of that distance, puts two such vectors into one slot with a known
 least probability, whatever the other vectors look like; a run joins a number of
 projections into one bucket, and runs are repeated until the target recall is
-met. How wide slots are, how many projections a run joins and so how many
+met. Where no pair may be lost, ``exact`` makes one bucket of all and compares
+every pair, first by an upper bound of the cosine that takes a quarter of the
+work; that is quadratic, bounded in memory and spread over tasks. How wide slots are, how many projections a run joins and so how many
 runs there are is chosen by what they cost on a sample: rows shipped and
 pairs compared. Small tables come out as one bucket, which is exact.
 
 Pairs are compared exactly inside buckets, large ones in blocks, and each is
-given by the first run in which it meets, so no pair is written twice.
+given by the first run in which it meets, so no pair is written twice. A cosine
+is the dot product over the root of the product of both squared lengths, in
+double precision, so that one exactly at the threshold is no matter of rounding.
 
 Defined results: equal vectors are one vector, named by its least id; rows
 without an id, with a vector that is null, has no length or holds what is no
@@ -43,7 +47,12 @@ WIDTHS, DEEPEST, MOST_PROJECTIONS, MOST_RUNS = (2, 3, 4, 6, 8), 48, 4096, 256
 ROW_COST = 32
 #: Most vectors of a bucket, or of a block of one, that a task compares with each other.
 SMALL = 4096
-STRIP = 512
+#: The same where all pairs are compared, and the number of blocks that smaller tables have.
+LARGE, FEW_BLOCKS = 65_536, 12
+#: Pairs that are compared at once, and those found of which cosines are taken at once.
+STRIP, FOUND = 1 << 22, 1 << 17
+#: Principal directions of the bound, and what its single precision may be off.
+DIRECTIONS, SLACK = 16, 1e-5
 
 
 def meeting(width: float) -> float:
@@ -105,7 +114,7 @@ class Alike:
     ``members``: id, vector_id (least id with an equal vector), n_copies. ``n``: different vectors. ``slots``: what was chosen.
     """
 
-    def __init__(self, rows: DataFrame, threshold: float, target: float = TARGET_RECALL, small: int = SMALL, slots: Slots | None = None):
+    def __init__(self, rows: DataFrame, threshold: float, target: float = TARGET_RECALL, small: int = SMALL, slots: Slots | None = None, exact: bool = False):
         if not 0 < threshold < 1 or not 0 < target < 1:
             raise ValueError("threshold and target are between 0 and 1")
         bound_batches(rows.sparkSession, rows=2000)
@@ -115,11 +124,15 @@ class Alike:
         self.members = rows.join(different.hint("merge"), "v").select("id", "vector_id", "n_copies")
         self.copies = different.select("vector_id", "n_copies")
         self.n = different.count()
+        if exact:
+            slots = Slots(1, 1, 1, 0, 1)
+            self.small = max(small, min(LARGE, -(-self.n // FEW_BLOCKS)))
         if slots is None:
             picked = different.orderBy(F.xxhash64("vector_id"), "vector_id").limit(SAMPLE).select("v").toArrow()["v"]
             slots = choose(_units(picked.combine_chunks()) if self.n else np.zeros((0, 1)), self.n, threshold, target)
         self.slots = slots
-        self._keyed = cut(_keyed(different.select("vector_id", "v"), slots), "alike-keys")
+        one = different.select("vector_id", "v", F.array(F.lit(0).cast("bigint")).alias("keys")) if exact else None
+        self._keyed = one if exact else cut(_keyed(different.select("vector_id", "v"), slots), "alike-keys")
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))
         self._sizes = cut(met.groupBy("run", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "alike-sizes")
 
@@ -128,8 +141,8 @@ class Alike:
         pairs = F.coalesce(F.sum(F.expr("size * (size - 1) div 2")), F.lit(0))
         return self._sizes.agg(F.lit(self.n).cast("bigint").alias("n_vectors"), F.lit(self.slots.runs).cast("bigint").alias("n_runs"), pairs.alias("n_compared"), F.lit(self.n * (self.n - 1) // 2).cast("bigint").alias("n_all"))
 
-    def pairs(self) -> DataFrame:
-        """a, b (ids of different vectors, a < b), similarity."""
+    def pairs(self, every: int = 1) -> DataFrame:
+        """a, b (ids of different vectors, a < b), similarity; ``every``: only pairs of which an id is divisible by it, left out before they leave the tasks."""
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))
         blocks = F.ceil(F.col("size") / self.small).cast("int")
         held = met.join(self._sizes.hint("merge"), ["run", "key"]).groupBy("vector_id").agg(F.collect_list(F.struct("run", "key", blocks.alias("blocks"))).alias("held"))  # one a run at most
@@ -138,8 +151,9 @@ class Alike:
         mine = F.pmod(F.xxhash64("vector_id"), F.col("h.blocks")).cast("int")
         rows = rows.select("vector_id", "v", "h.run", "h.key", mine.alias("side"), F.explode(F.sequence(F.lit(0), F.col("h.blocks") - 1)).alias("other"))
         rows = rows.select("run", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "vector_id", "v")
-        dealt = rows.repartition("run", "key", "p", "q").sortWithinPartitions("run", "key", "p", "q")
-        return dealt.mapInArrow(_comparer(self.threshold, self.slots), f"a {dict(rows.dtypes)['vector_id']}, b {dict(rows.dtypes)['vector_id']}, similarity double")
+        tasks = [min(2000, k * (k + 1) // 2)] if (k := -(-self.n // self.small)) > 1 and not self.slots.depth else []  # as many as one bucket has pairs of blocks
+        dealt = rows.repartition(*tasks, "run", "key", "p", "q").sortWithinPartitions("run", "key", "p", "q")
+        return dealt.mapInArrow(_comparer(self.threshold, self.slots, every), f"a {dict(rows.dtypes)['vector_id']}, b {dict(rows.dtypes)['vector_id']}, similarity double")
 
     def links(self) -> DataFrame:
         """id, vector_id, n_copies, n_links (different vectors at the threshold), n_row_links (other rows at the threshold, copies included) of every row that has a vector."""
@@ -165,23 +179,52 @@ def within(rows: DataFrame, queries: DataFrame, threshold: float, block: int = M
     for k in range(n):
         asked = queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == k).select("query", doubles(F.col("q")).alias("q")).toArrow()
         if asked.num_rows:
-            found = rows.select("id", doubles(F.col("embedding")).alias("v")).mapInArrow(_near(rows.sparkSession.sparkContext.broadcast((asked["query"].combine_chunks(), _matrix(asked["q"]))), threshold), kinds)
+            found = rows.select("id", doubles(F.col("embedding")).alias("v")).mapInArrow(_near(rows.sparkSession.sparkContext.broadcast((asked["query"].combine_chunks(), _matrix(asked["q"]), _padded(asked["q"]))), threshold), kinds)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.sparkSession.createDataFrame([], kinds)
 
 
 def _near(held, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = held.value
+        names, asked, whole = held.value
         for b in batches:
-            if b.num_rows:
-                alike = _matrix(b.column(1)) @ asked.T
-                i, j = np.nonzero(alike >= threshold)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), b.column(0).take(pa.array(i)), pa.array(np.minimum(alike[i, j], 1.0))], ["query", "id", "similarity"])
+            for at in range(0, b.num_rows, step := max(1, STRIP // max(1, len(asked)))):
+                some = b.slice(at, step)
+                i, j = np.nonzero(_matrix(some.column(1)) @ asked.T >= threshold - SLACK)
+                for i, j, score in _reached(_padded(some.column(1)), whole, i, j, threshold):  # noqa: B020, PLW2901
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), some.column(0).take(pa.array(i)), pa.array(score)], ["query", "id", "similarity"])
 
     return run
 
 
+def _padded(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors as they are, null ones as zeros."""
+    found = column.to_pylist()
+    size = max((len(v) for v in found if v is not None), default=0)
+    return np.array([v if v is not None else [0.0] * size for v in found], dtype=np.float64).reshape(len(found), size)
+
+
+def _reached(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of rows ``i`` of ``a`` and ``j`` of ``b`` those whose cosine reaches the threshold, with it, some at a time."""
+    long, others = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    for at in range(0, len(i), FOUND):
+        x, y = i[at : at + FOUND], j[at : at + FOUND]
+        score = np.minimum(np.einsum("ij,ij->i", a[x], b[y]) / np.sqrt(long[x] * others[y]), 1.0)
+        here = score >= threshold
+        if here.any():
+            yield x[here], y[here], score[here]
+
+
+def _bound(units: np.ndarray) -> np.ndarray:
+    """Vectors whose dot products are no less than those of ``units``: by its principal directions, with the length of the rest."""
+    if units.shape[1] <= DIRECTIONS + 1:
+        return units.astype(np.float32)
+    some = units[:: max(1, len(units) // 10_000)]
+    main = units @ np.linalg.eigh(some.T @ some)[1][:, -DIRECTIONS:]
+    rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", main, main), 0))
+    return np.column_stack([main, rest]).astype(np.float32)
+
+
 def _keyed(vectors: DataFrame, slots: Slots) -> DataFrame:
     """vector_id, v, keys: the bucket of each run."""
 
@@ -201,11 +244,15 @@ def _units(column: pa.ListArray, size: int | None = None) -> np.ndarray:
     lengths = pc.unique(pc.list_value_length(column)).to_pylist()
     if len(lengths) != 1 or size not in (None, lengths[0]):
         raise ValueError(f"vectors of {lengths} elements, where all have one number of elements")
-    m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, lengths[0])
+    m = _whole(column)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-def _comparer(threshold: float, slots: Slots):
+def _whole(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _comparer(threshold: float, slots: Slots, every: int = 1):
     """For rows sorted by bucket and block: the pairs of each that reach the threshold and have met in no earlier run."""
 
     def found(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,24 +260,28 @@ def _comparer(threshold: float, slots: Slots):
         run, p, q = (whole.column(c)[0].as_py() for c in ("run", "p", "q"))
         units, side, keys = _units(whole.column("v")), whole.column("side").to_numpy(), None
         rows, others = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        for at in range(0, len(rows), STRIP):
-            some = rows[at : at + STRIP]
-            alike = units[some] @ units[others].T
-            i, j = np.nonzero(alike >= threshold)
+        vectors, bound, ids = _whole(whole.column("v")), _bound(units), whole.column("vector_id")
+        asked = ids.to_numpy() % every == 0 if every > 1 else None
+        facing = np.ascontiguousarray(bound[others].T)
+        for at in range(0, len(rows) if len(others) else 0, step := max(1, STRIP // max(1, len(others)))):
+            some = rows[at : at + step]
+            i, j = np.nonzero(bound[some] @ facing >= np.float32(threshold - SLACK))
             if p == q:
                 later = j > i + at
                 i, j = i[later], j[later]
-            score, i, j = alike[i, j], some[i], others[j]
+            i, j = some[i], others[j]
+            if asked is not None:
+                here = asked[i] | asked[j]
+                i, j = i[here], j[here]
             if keys is None and run and len(i):
                 keys = slots.keys(units)  # made again here rather than shipped with every row
             for before in range(run if len(i) else 0):
                 first = keys[i, before] != keys[j, before]
-                i, j, score = i[first], j[first], score[first]
-            if len(i):
-                ids = whole.column("vector_id")
-                a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+                i, j = i[first], j[first]
+            for x, y, score in _reached(vectors, vectors, i, j, threshold):
+                a, b = ids.take(pa.array(x)), ids.take(pa.array(y))
                 swap = pc.greater(a, b)
-                yield pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(np.minimum(score, 1.0))], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(score)], ["a", "b", "similarity"])
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, last = [], None

@@ -23,7 +23,7 @@ def _documents(spark, sf_dir):
 
 @query(f"WITH {HASHED} SELECT a, b, round(cs, 6) AS similarity FROM alike")
 def vector_pairs(spark, sf_dir):
-    return Alike(_documents(spark, sf_dir), THRESHOLD).pairs().select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return Alike(_documents(spark, sf_dir), THRESHOLD, exact=True).pairs().select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {HASHED}, ends AS (SELECT a AS vector_id, b AS o FROM alike UNION ALL SELECT b, a FROM alike),
@@ -32,17 +32,17 @@ SELECT s.id, d.vector_id, d.n_copies, coalesce(c.n_links, 0)::BIGINT AS n_links,
 FROM vecs s JOIN different d ON d.v = s.v LEFT JOIN counted c ON c.vector_id = d.vector_id""")
 def vector_links(spark, sf_dir):
     """One row a document: the document that stands for its vector, and how many vectors and documents are alike to it."""
-    return Alike(_documents(spark, sf_dir), THRESHOLD).links()
+    return Alike(_documents(spark, sf_dir), THRESHOLD, exact=True).links()
 
 
 @query()
 def vector_pairs_work(spark, sf_dir):
     """What the join compares, and the share that it finds of the pairs of every fiftieth document, looked up exactly."""
     rows = _documents(spark, sf_dir)
-    alike = Alike(rows, THRESHOLD)
+    alike = Alike(rows, THRESHOLD, exact=True)
     named = alike.members.filter("id = vector_id").select("id").join(rows, "id")
     near = within(named, named.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q")), THRESHOLD).filter("id <> query")
     near = near.select(F.least("id", "query").alias("a"), F.greatest("id", "query").alias("b")).distinct()
-    hit = near.join(alike.pairs().select("a", "b", F.lit(1).alias("hit")).hint("merge"), ["a", "b"], "left")
+    hit = near.join(alike.pairs(every=50).select("a", "b", F.lit(1).alias("hit")).hint("merge"), ["a", "b"], "left")
     share = hit.agg(F.count(F.lit(1)).alias("n_asked"), F.count("hit").alias("n_found"))
     return alike.compared().join(F.broadcast(share)).withColumn("share_compared", F.round(F.col("n_compared") / F.greatest("n_all", F.lit(1)), 4))

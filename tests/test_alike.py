@@ -123,3 +123,21 @@ def test_hashed_words(spark):
             h = hashlib.md5(w.encode()).digest()
             want.setdefault(k, [0.0] * 8)[h[0] % 8] += 1 if h[1] % 2 == 0 else -1
     assert got == want
+
+
+def test_a_pair_exactly_at_the_threshold_and_many_near_it_are_all_found(spark):
+    """Cosines of 49/50 as whole numbers give them, which unit vectors miss by rounding; no pair of a larger table is lost."""
+    edge = [(k, [float(1 + (k == j % 7)) if j < 47 else 0.0 for j in range(64)]) for k in range(7)]
+    base = [1.0] * 50 + [0.0] * 14
+    edge += [(100 + k, [x if j != k else 0.0 for j, x in enumerate(base[:-1])] + [float(k >= 0)]) for k in range(-1, 40)]
+    rng = np.random.default_rng(5)
+    many = [(1000 + k, (np.array(edge[k % len(edge)][1]) * 3 + rng.integers(-1, 2, 64)).tolist()) for k in range(1500)]
+    m = np.array([v for _, v in edge + many])
+    ids, dots = np.array([k for k, _ in edge + many]), m @ m.T
+    cosines = dots / np.sqrt(np.outer(dots.diagonal(), dots.diagonal()))
+    want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(cosines >= 0.98), strict=True) if ids[i] < ids[j]}
+    rows = spark.createDataFrame(edge + many, "id bigint, embedding array<float>")
+    assert len([1 for a, b in want if a < 1000 and b < 1000 and cosines[list(ids).index(a), list(ids).index(b)] == 0.98]) > 5
+    alike = Alike(rows, 0.98, exact=True, small=200)
+    assert {(r.a, r.b) for r in alike.pairs().collect()} == want and alike.compared().first().n_compared == alike.n * (alike.n - 1) // 2
+    assert {(r.a, r.b) for r in alike.pairs(every=50).collect()} == {x for x in want if x[0] % 50 == 0 or x[1] % 50 == 0}
