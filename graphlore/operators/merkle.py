@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphlore.plans.shared import cut
+
 LEAF, MOST_DEPTH = 256, 12
 
 
@@ -37,12 +39,28 @@ def _leaf(depth: int) -> Column:
     return F.substring(F.sha2("key", 256), 1, depth) if depth else F.lit("")
 
 
+def _leaves(rows: DataFrame, depth: int) -> DataFrame:
+    return rows.withColumn("prefix", _leaf(depth)).groupBy("prefix").agg(_in_order("key", "h").alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+def _above(nodes: DataFrame, level: int) -> DataFrame:
+    up = nodes.select(F.substring("prefix", 1, level).alias("up"), F.substring("prefix", level + 1, 1).alias("digit"), "digest", "n")
+    return up.groupBy(F.col("up").alias("prefix")).agg(_in_order("digit", "digest").alias("digest"), F.sum("n").alias("n"))
+
+
 def levels(rows: DataFrame, depth: int) -> list[DataFrame]:
     """prefix, digest, n of the nodes of each level, the root's first. ``rows``: key, h."""
-    found = [rows.withColumn("prefix", _leaf(depth)).groupBy("prefix").agg(_in_order("key", "h").alias("digest"), F.count(F.lit(1)).alias("n"))]
+    found = [_leaves(rows, depth)]
+    for level in range(depth - 1, -1, -1):
+        found.insert(0, _above(found[0], level))
+    return found
+
+
+def _held_levels(rows: DataFrame, depth: int) -> list[DataFrame]:
+    """:func:`levels`, each written once."""
+    found = [cut(_leaves(rows, depth), "tree-leaves")]
     for level in range(depth - 1, -1, -1):
-        up = found[0].select(F.substring("prefix", 1, level).alias("up"), F.substring("prefix", level + 1, 1).alias("digit"), "digest", "n")
-        found.insert(0, up.groupBy(F.col("up").alias("prefix")).agg(_in_order("digit", "digest").alias("digest"), F.sum("n").alias("n")))
+        found.insert(0, cut(_above(found[0], level), "tree-nodes"))
     return found
 
 
@@ -55,11 +73,13 @@ def identity(rows: DataFrame, depth: int | None = None) -> DataFrame:
 def differing(left: DataFrame, right: DataFrame, depth: int | None = None) -> DataFrame:
     """key, problem (missing, unexpected or changed) of rows (key, h) in which ``right`` differs from ``left``.
 
-    Both trees are descended together: of each level only children of nodes
+    Rows and nodes are written once, so that no level makes those below it
+    anew. Both trees are descended together: of each level only children of nodes
     that differ are compared, and of the rows only those of leaves that do.
     """
+    left, right = cut(left.select("key", "h"), "tree-rows"), cut(right.select("key", "h"), "tree-rows")
     depth = depth_for(max(left.count(), right.count())) if depth is None else depth
-    a, b = levels(left, depth), levels(right, depth)
+    a, b = _held_levels(left, depth), _held_levels(right, depth)
     open_: DataFrame | None = None
     for level in range(depth + 1):
         x, y = (t[level].select("prefix", F.col("digest").alias(name)) for t, name in ((a, "x"), (b, "y")))

@@ -125,3 +125,16 @@ def test_cache_over_batches(spark, tmp_path):
         ("a", at(0), "miss"), ("a", at(59), "hit"), ("a", at(58), "hit"), ("a", at(60), "expired"), ("a", at(60), "miss"), ("a", at(120), "expired"), ("a", at(501), "miss"),
         ("b", at(30), "miss"), ("b", at(90), "expired"), ("c", at(500), "miss"), ("null", at(1), "miss"), ("null", at(61), "expired"),
     ])
+
+
+def test_trees_are_descended_over_written_tables(spark, monkeypatch):
+    """Rows and nodes are read where they were written: no scan of the tables below, and few shuffles in the last plan."""
+    from graphlore.operators import merkle
+
+    names, held = [], merkle.cut
+    monkeypatch.setattr(merkle, "cut", lambda df, name: names.append(name) or held(df, name))
+    a = merkle.digested(spark.range(40).selectExpr("id AS key", "id * 2 AS v"), "key", "v")
+    b = merkle.digested(spark.range(1, 41).selectExpr("id AS key", "id * 2 + cast(id = 7 AS INT) AS v"), "key", "v")
+    found = merkle.differing(a, b, depth=1)
+    assert {tuple(r) for r in found.collect()} == {("0", "missing"), ("40", "unexpected"), ("7", "changed")}
+    assert sorted(names) == ["tree-leaves"] * 2 + ["tree-nodes"] * 2 + ["tree-rows"] * 2
