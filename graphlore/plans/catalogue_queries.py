@@ -451,11 +451,14 @@ def truncate_digest(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), text.truncate(F.col("text"), 1500).alias("short"))
 
 
+#: Records that a task parses: a small file holds many, of which each is long in the parsing.
+RECORDS_A_TASK = 10_000
 
 
 def record_lines(spark, sf_dir):
-    """Vulnerability records made of the parts, as JSON lines."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    """Vulnerability records made of the parts, as JSON lines, dealt to tasks of a bounded number of them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_type", "p_brand", "p_size")
+    part = part.repartition(max(1, -(-part.count() // RECORDS_A_TASK)), "p_partkey")
     s = lambda **f: F.struct(*[c.alias(k) for k, c in f.items()])
     x, lit = F.col, F.lit
     number = (x("p_partkey") + 10000).cast("string")

@@ -265,3 +265,13 @@ def test_first_of_equal_lines_is_stated(spark, tmp_path):
     lines = spark.createDataFrame(rows, "l_partkey bigint, l_orderkey bigint, l_linenumber bigint, l_suppkey bigint").coalesce(1)
     lines.write.parquet(str(tmp_path / "lineitem.parquet"))
     same(QUERIES["entity_first_wins"], ORACLE_SQL["entity_first_wins"], spark, str(tmp_path))
+
+
+def test_records_of_one_small_file_are_dealt_to_tasks(spark, tmp_path, monkeypatch):
+    from graphlore.plans import catalogue_queries
+
+    part = spark.range(400).selectExpr("id AS p_partkey", "'name ' || id AS p_name", "'kind' AS p_type", "'b' || id % 7 AS p_brand", "cast(id % 50 + 1 AS INT) AS p_size")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(catalogue_queries, "RECORDS_A_TASK", 50)
+    sizes = catalogue_queries.record_articles(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and sum(r["count"] for r in sizes) == 376
