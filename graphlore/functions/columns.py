@@ -34,8 +34,10 @@ def null_safe(left: Column, right: Column) -> Column:
 
 #: White space that is trimmed from the ends of a text: ASCII, and what Unicode adds; one class for every engine's patterns.
 WHITE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+#: The same as characters.
+_WHITE = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 
 
 def strip(text: Column) -> Column:
-    """A text without white space of any kind at its ends."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    """A text without white space of any kind at its ends; only the ends are looked at, where a pattern would search all of it."""
+    return F.btrim(text, F.lit(_WHITE))

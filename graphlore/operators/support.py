@@ -31,19 +31,31 @@ def counts(support: DataFrame) -> DataFrame:
     return support.groupBy(*RELATION).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _moved(live: DataFrame, support: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Every relation with ``was`` and ``by``, by how much a delta changes it; null where it doesn't touch it.
+
+    Live relations and moves are summed in one grouping: ``live``, ``support`` and ``fresh`` are each read once.
+    """
+    number = lambda x: F.lit(x).cast("bigint")
+    withdrawn = support.join(changed.select("article").distinct(), "article", "left_semi").select(*RELATION, number(0).alias("was"), number(-1).alias("by"))
+    rows = live.select(*RELATION, F.col("n").alias("was"), number(None).alias("by")).unionByName(withdrawn).unionByName(fresh.select(*RELATION, number(0).alias("was"), number(1).alias("by")))
+    return rows.groupBy(*RELATION).agg(F.sum("was").alias("was"), F.sum("by").alias("by"))
+
+
 def changes(live: DataFrame, support: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Relations that a delta touches, with ``was`` and ``now``.
 
     ``live``: relations with ``n``; ``changed``: titles (``article``) that are
     changed or removed; ``fresh``: the support that changed and new articles
-    give. Only support of changed articles and the relations in it are read
-    beyond a scan.
+    give.
     """
-    withdrawn = support.join(changed.select("article").distinct(), "article", "left_semi").select(*RELATION, F.lit(-1).alias("by"))
-    net = withdrawn.unionByName(fresh.select(*RELATION, F.lit(1).alias("by"))).groupBy(*RELATION).agg(F.sum("by").alias("by"))
-    found = net.join(live, RELATION, "left")
-    was = F.coalesce("n", F.lit(0).cast("bigint"))
-    return found.select(*RELATION, was.alias("was"), (was + F.col("by")).alias("now"))
+    return _moved(live, support, changed, fresh).filter("by is not null").select(*RELATION, "was", (F.col("was") + F.col("by")).alias("now"))
+
+
+def applied(live: DataFrame, support: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """:func:`maintained` of the :func:`changes` of a delta, in one grouping: live relations after it, with ``n``."""
+    n = F.col("was") + F.coalesce("by", F.lit(0))
+    return _moved(live, support, changed, fresh).select(*RELATION, n.alias("n")).filter("n > 0")
 
 
 def maintained(live: DataFrame, touched: DataFrame) -> DataFrame:

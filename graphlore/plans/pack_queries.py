@@ -13,7 +13,7 @@ from graphlore.plans import guard, retrieval_queries
 from graphlore.plans.catalogue_queries import _BASE, _DELTA, _delta
 from graphlore.plans.registry import ORACLE_SQL, QUERIES, query
 from graphlore.plans.retrieval_queries import _HE, _REL, PACK, _walk, _walk_sql
-from graphlore.plans.shared import fresh_path
+from graphlore.plans.shared import cut, fresh_path
 from graphlore.sources.pack import Pack
 from graphlore.streaming.writer import PackWriter
 
@@ -226,21 +226,20 @@ later AS (SELECT source, target, relation, context, count(*) AS n FROM (SELECT *
 
 
 def _stated(spark, sf_dir):
-    """Support before a delta, the articles that it changes (last digit 2) or removes (3), and what those and new ones (1) state now."""
+    """Support before a delta, written once as its uses are many; the articles that it changes (last digit 2) or removes (3), and what those and new ones (1) state now."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     named = lambda kind, key: F.concat(F.lit(f"{kind}-"), key)
     stated = lambda where, context: support.supported(rows.filter(where).select(F.col("l_orderkey").alias("article"), named("part", "l_partkey").alias("source"), named("supplier", "l_suppkey").alias("target"), F.lit("supplied_by").alias("relation"), context.alias("context")))
     changed = rows.filter("l_orderkey % 10 IN (2, 3)").select(F.col("l_orderkey").alias("article"))
     moved = F.when(F.col("l_linenumber") == 2, F.lit("CART")).otherwise(F.col("l_returnflag"))
-    return stated("l_orderkey % 10 <> 1", F.col("l_returnflag")), changed, stated("l_orderkey % 10 = 1 OR l_orderkey % 10 = 2 AND l_linenumber > 1", moved)
+    return cut(stated("l_orderkey % 10 <> 1", F.col("l_returnflag")), "stated"), changed, stated("l_orderkey % 10 = 1 OR l_orderkey % 10 = 2 AND l_linenumber > 1", moved)
 
 
 @query(f"WITH {_STATED} SELECT source, target, relation, context, n FROM later")
 def relation_support_delta(spark, sf_dir):
     """Relations maintained by counts of support; the SQL builds them anew."""
     before, changed, fresh = _stated(spark, sf_dir)
-    live = support.counts(before)
-    return support.maintained(live, support.changes(live, before, changed, fresh))
+    return support.applied(support.counts(before), before, changed, fresh)
 
 
 @query(f"""WITH {_STATED}, touched AS (SELECT source, target, relation, context FROM stated WHERE article % 10 IN (2, 3) UNION SELECT source, target, relation, context FROM fresh)
@@ -267,6 +266,7 @@ def support_checks(spark, sf_dir):
     sections = there.select(F.col("title").alias("id"), F.col("title").alias("article"), F.lit(0).alias("section_index"), F.lit("x").alias("content"), F.array(F.lit(0.0)).alias("embedding"))
     before, _, _ = _stated(spark, sf_dir)
     live = before.filter("context <> 'A'").select(*support.RELATION).distinct().union(spark.range(1).select(F.lit("part-0"), F.lit("supplier-0"), F.lit("supplied_by"), F.lit("")))
+    live = cut(live, "live")
     payload = F.concat_ws("|", "o_orderstatus", "o_orderkey")
     source = orders.select(F.col("o_orderkey").alias("title"), payload.alias("payload"), F.when(F.col("o_orderkey") % 7 != 0, F.sha2(payload, 256)).otherwise(F.lit("wrong")).alias("hash"))
     applied = orders.filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("title"), F.sha2(payload, 256).alias("hash"))

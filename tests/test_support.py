@@ -5,7 +5,9 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from graphlore.functions.columns import strip
 from graphlore.operators import support
 
 SCHEMA = "article string, source string, target string, relation string, context string"
@@ -44,6 +46,31 @@ def test_statements_are_cleaned(spark):
     assert rows_of(support.supported(stated), *support.SUPPORT) == [("a", "x", "y", "r", ""), ("b", "x", "y", "r", "c")]
 
 
+def test_a_delta_is_applied_in_one_grouping(spark):
+    """Relations without a name for their kind are counted too, and each table is scanned once."""
+    held = spark.createDataFrame([("a", "x", "y", None, ""), ("b", "x", "y", None, ""), ("c", "x", "y", "r", "c"), (None, "p", "q", "r", "")], SCHEMA)
+    changed, fresh = spark.createDataFrame([("b",), ("c",), ("c",)], "article string"), spark.createDataFrame([("b", "z", "y", "r", "c")], SCHEMA)
+    live = support.counts(held)
+    assert rows_of(support.changes(live, held, changed, fresh), "source", "target", "context", "was", "now") == [("x", "y", "", 2, 1), ("x", "y", "c", 1, 0), ("z", "y", "c", 0, 1)]
+    assert rows_of(support.applied(live, held, changed, fresh), "source", "target", "context", "n") == [("p", "q", "", 1), ("x", "y", "", 1), ("z", "y", "c", 1)]
+
+
+def test_support_is_written_once_for_all_its_uses(spark, small):
+    from graphlore.plans import pack_queries
+
+    before, _, _ = pack_queries._stated(spark, small)
+    assert before.inputFiles() and all("/stated-" in f for f in before.inputFiles())
+    plan = pack_queries.relation_support_delta(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "LeftOuter" not in plan
+
+
+def test_ends_are_stripped_of_white_space_alone(spark):
+    """A next-line character is no white space, and what is before it stays; a pattern's end would match before it."""
+    texts = {"\ufeff\u3000a b\u2003\t": "a b", "a \u0085": "a \u0085", " \n ": "", "": "", "x": "x"}
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", strip(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == texts | {None: None}
+
+
 def test_validation_of_sound_empty_and_faulty_packs(spark):
     make = spark.createDataFrame
     article = make([("A",), ("B",)], "title string")
