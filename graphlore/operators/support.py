@@ -74,6 +74,12 @@ def unlike_support(live: DataFrame, support: DataFrame) -> tuple[DataFrame, Data
     return a.exceptAll(b), b.exceptAll(a)
 
 
+def compared(live: DataFrame, support: DataFrame) -> DataFrame:
+    """Every relation with ``live``, the rows that it has, and ``stated``, 1 if it has support: both tables meet in one grouping."""
+    rows = live.select(*RELATION, F.lit(1).alias("live"), F.lit(0).alias("stated")).unionByName(support.select(*RELATION, F.lit(0).alias("live"), F.lit(1).alias("stated")))
+    return rows.groupBy(*RELATION).agg(F.sum("live").alias("live"), F.max("stated").alias("stated"))
+
+
 # validation ----------------------------------------------------------------------------------------
 
 def _sum(value: Column | str, where: Column | None = None) -> Column:
@@ -135,8 +141,10 @@ def validate(
     if support is not None:
         by_title["is_p"] = support.groupBy(F.col("article").alias("key")).agg(F.count(F.lit(1)).alias("n_p"))
         found["support of no article"] = _sum("n_p", F.col("is_p") & ~a)
-        strange, missing = unlike_support(relation, support)
-        more += [_checks(support.groupBy(*SUPPORT).agg(n), {"support repeated": _sum(F.lit(1), F.col("n") > 1)}), _checks(strange, {"relation without support": _sum(F.lit(1))}), _checks(missing, {"support without relation": _sum(F.lit(1))})]
+        more += [
+            _checks(support.groupBy(*SUPPORT).agg(n), {"support repeated": _sum(F.lit(1), F.col("n") > 1)}),
+            _checks(compared(relation, support), {"relation without support": _sum(F.greatest(F.col("live") - F.col("stated"), F.lit(0))), "support without relation": _sum("stated", F.col("live") == 0)}),
+        ]
     if source is not None:
         whole = source.groupBy(F.col("title").alias("key")).agg(F.count(F.lit(1)).alias("n_o"), F.count_if(~F.coalesce(F.sha2("payload", 256) == F.col("hash"), F.lit(False))).alias("changed"), F.min("hash").alias("source_hash"))
         by_title["is_o"] = whole

@@ -64,6 +64,14 @@ def test_support_is_written_once_for_all_its_uses(spark, small):
     assert "LeftAnti" not in plan and "LeftOuter" not in plan
 
 
+def test_live_and_stated_relations_meet_in_one_grouping(spark):
+    live = spark.createDataFrame([("e", "q", None, ""), ("e", "q", None, ""), ("s", "t", "r", "")], "source string, target string, relation string, context string")
+    held = spark.createDataFrame([("A", "s", "t", "r", ""), ("B", "s", "t", "r", ""), ("B", "u", "v", "r", "")], SCHEMA)
+    assert rows_of(support.compared(live, held), "source", "live", "stated") == [("e", 2, 0), ("s", 1, 1), ("u", 0, 1)]
+    strange, missing = support.unlike_support(live, held)
+    assert (strange.count(), missing.count()) == (2, 1)
+
+
 def test_ends_are_stripped_of_white_space_alone(spark):
     """A next-line character is no white space, and what is before it stays; a pattern's end would match before it."""
     texts = {"\ufeff\u3000a b\u2003\t": "a b", "a \u0085": "a \u0085", " \n ": "", "": "", "x": "x"}
