@@ -203,15 +203,15 @@ def pack_writer(spark, sf_dir):
     for turn in (0, 1, 1, 2, 3):
         PackWriter(spark, folder).write(rows.filter(F.col("position") % 4 == turn), turn)
     pack = PackWriter(spark, folder).finish()
-    bare = lambda c: F.regexp_replace(c, "order-", "")
+    bare = lambda c: F.replace(c, F.lit("order-"), F.lit(""))
     keys = {
         "article": F.col("title"), "entity": F.concat_ws(":", "entity_id", bare("first_article")), "has_entity": F.concat_ws(":", bare("article"), "entity_id"),
         "links": F.concat_ws(">", bare("source"), bare("target")), "entity_relation": F.concat_ws(">", "source", "target"),
     }
     found = [spark.read.parquet(f"{pack}/{name}").select(F.lit(name).alias("table_name"), key.alias("key")) for name, key in keys.items()]
-    # a sum of digests doesn't depend on order and gathers nothing
-    digest = F.sum(F.conv(F.substring(F.sha2("key", 256), 1, 12), 16, 10).cast("decimal(30,0)")).cast("string")
-    return reduce(DataFrame.unionByName, found).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), digest.alias("digest"))
+    # a sum of digests doesn't depend on order and gathers nothing; halves of 24 bits are summed as longs
+    half = lambda at: F.sum(F.conv(F.substring(F.sha2("key", 256), at, 6), 16, 10).cast("bigint")).cast("decimal(30,0)")
+    return reduce(DataFrame.unionByName, found).groupBy("table_name").agg(F.count(F.lit(1)).alias("n"), (half(1) * F.lit(1 << 24).cast("decimal(8,0)") + half(7)).cast("decimal(38,0)").cast("string").alias("digest"))
 
 
 # relations by support --------------------------------------------------------------------------------

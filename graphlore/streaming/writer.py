@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphlore.operators.incremental import both_ends, first_wins
+from graphlore.plans.shared import cut
 
 ARTICLE = "title string, position bigint, content string, entities array<struct<entity_id:string,name:string>>, links array<string>, relations array<struct<source:string,target:string,relation:string>>"
 
@@ -27,10 +28,11 @@ class PackWriter:
     its commit is left alone. Opening a folder to write raises its epoch;
     a writer of an earlier epoch can commit nothing more.
 
-    A batch costs what its own rows cost: titles and entities that several
-    batches hold are settled when they are read, the earliest batch's and
-    there the first position's first. Links and relations are taken then too,
-    as their ends may come later.
+    A batch costs what its own rows cost, which are written as they come:
+    titles and entities that are there several times, in one batch or in
+    several, are settled when they are read, the earliest batch's and there
+    the first position's first. Links and relations are taken then too, as
+    their ends may come later.
 
     Batches: title, position, content, entities (array of entity_id, name),
     links (array of titles), relations (array of source, target, relation).
@@ -113,8 +115,7 @@ class PackWriter:
             raise Fenced(f"batch {batch_id} was committed by another writer")
 
     def _put(self, batch: DataFrame, place: str) -> None:
-        rows = first_wins(batch.filter("title is not null"), ["title"], ["position"])
-        rows.select("title", "position", "content", "entities", "links", "relations").write.parquet(f"{self.folder}/{place}")
+        batch.filter("title is not null").select("title", "position", "content", "entities", "links", "relations").write.parquet(f"{self.folder}/{place}")
 
     def stream(self, source: DataFrame, checkpoint: str):
         """Write a stream of such rows; the caller awaits the query."""
@@ -123,23 +124,32 @@ class PackWriter:
     # reading -------------------------------------------------------------------------------------
 
     def _articles(self, upto: int | None) -> DataFrame:
-        """Every article of committed batches (with a number below ``upto``), with the batch that it is taken from."""
+        """Every article of committed batches (with a number below ``upto``), with the batch that it is taken from.
+
+        Only titles are shuffled to find those that are there several times, and whole rows of these alone to settle them.
+        """
         found = {n: f"{self.folder}/{p}" for n, p in self.commits().items() if upto is None or n < upto}
         if not found:
             return self.spark.createDataFrame([], f"{ARTICLE}, batch bigint")
         rows = self.spark.read.schema(ARTICLE).parquet(*found.values())
-        return first_wins(rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batches/(\d+)-", 1).cast("bigint")), ["title"], ["batch", "position"])
+        rows = rows.withColumn("batch", F.regexp_extract(F.col("_metadata.file_path"), r"/batches/(\d+)-", 1).cast("bigint"))
+        # written, so that its size is known: a short list goes to the tasks, a long one is joined by a shuffle
+        again = cut(rows.groupBy("title").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("title"), "titles-again")
+        settled = first_wins(rows.join(again, "title", "left_semi"), ["title"], ["batch", "position"])
+        return rows.join(again, "title", "left_anti").unionByName(settled)
 
     @staticmethod
-    def _others(article: DataFrame) -> dict[str, DataFrame]:
-        """The tables that follow from the articles."""
+    def _others(article: DataFrame, write=lambda name, table: table) -> dict[str, DataFrame]:
+        """The tables that follow from the articles, each as ``write`` gives it back; an article has its title alone, so what it repeats is found within its row."""
         each = article.select("title", "batch", "position", F.posexplode("entities").alias("at", "e")).select("title", "batch", "position", "at", "e.entity_id", "e.name").filter("entity_id is not null")
-        entity = first_wins(each, ["entity_id"], ["batch", "position", "at"]).select("entity_id", "name", F.col("title").alias("first_article"))
-        links = article.select(F.col("title").alias("source"), F.explode("links").alias("target")).filter("source <> target").distinct()
-        relations = article.select(F.explode("relations").alias("r")).select("r.*").distinct()
+        entity = write("entity", first_wins(each, ["entity_id"], ["batch", "position", "at"]).select("entity_id", "name", F.col("title").alias("first_article")))
+        mentioned = F.array_distinct(F.transform("entities", lambda e: e["entity_id"]))
+        has_entity = article.select(F.col("title").alias("article"), F.explode(mentioned).alias("entity_id")).filter("entity_id is not null")
+        links = article.select(F.col("title").alias("source"), F.explode(F.array_distinct("links")).alias("target")).filter("source <> target")
+        relations = article.select(F.explode(F.array_distinct("relations")).alias("r")).select("r.*").distinct()
         return {
-            "entity": entity, "has_entity": each.select(F.col("title").alias("article"), "entity_id").distinct(),
-            "links": both_ends(links, article, "title", ("target",)), "entity_relation": both_ends(relations, entity, "entity_id"),
+            "entity": entity, "has_entity": write("has_entity", has_entity),
+            "links": write("links", both_ends(links, article, "title", ("target",))), "entity_relation": write("entity_relation", both_ends(relations, entity, "entity_id")),
         }
 
     def snapshot(self, upto: int | None = None) -> dict[str, DataFrame]:
@@ -155,11 +165,13 @@ class PackWriter:
         """Write the snapshot as a pack, in one bulk load; its folder, which has its name when it is whole."""
         name = f"{self.batches():012d}-{uuid.uuid4().hex}"
         staging, place = f"staging/{name}", f"packs/{name}"
-        articles = self._articles(None)
-        articles.write.parquet(f"{self.folder}/{staging}/article")
-        # further tables follow from what was written, not from the batches once more
-        for table, rows in self._others(self.spark.read.schema(articles.schema).parquet(f"{self.folder}/{staging}/article")).items():
+
+        def write(table: str, rows: DataFrame) -> DataFrame:
             rows.write.parquet(f"{self.folder}/{staging}/{table}")
+            return self.spark.read.schema(rows.schema).parquet(f"{self.folder}/{staging}/{table}")
+
+        # further tables follow from what was written, not from the batches once more
+        self._others(write("article", self._articles(None)), write)
         (fs, source), (_, target) = self._fs(staging), self._fs(place)
         fs.mkdirs(target.getParent())
         if not fs.rename(source, target):

@@ -16,6 +16,7 @@ from graphlore.plans import guard
 from graphlore.retriever import run_eval
 from graphlore.sources import files
 from graphlore.sources.pack import SCHEMAS, Pack
+from graphlore.streaming import writer as writer_module
 from graphlore.streaming.writer import Fenced, PackWriter
 
 
@@ -221,6 +222,21 @@ def _tables(spark, folder):
     return read("article", "title", "content"), read("entity", "entity_id", "name", "first_article"), read("has_entity", "article", "entity_id"), read("links", "source", "target"), read("entity_relation", "source", "target", "relation")
 
 
+def test_only_repeated_titles_are_settled_with_their_rows(spark, tmp_path, monkeypatch):
+    """In one batch or over several, the earliest batch's first position stays; rows whose title is there once are not grouped."""
+    seen, settle = [], writer_module.first_wins
+    monkeypatch.setattr(writer_module, "first_wins", lambda rows, keys, order: seen.append((keys, rows.count())) or settle(rows, keys, order))
+    batch = lambda *rows: spark.createDataFrame([(t, p, c, [("e", c), ("e", c)], ["a", "a"], [("e", "e", "r")] * 2) for t, p, c in rows], BATCH)
+    writer = PackWriter(spark, str(tmp_path))
+    writer.write(batch(("a", 2, "late"), ("a", 1, "first"), ("b", 3, "b")), 0)
+    writer.write(batch(("a", 0, "other"), ("c", 4, "c")), 1)
+    got = writer.snapshot()
+    assert [n for keys, n in seen if keys == ["title"]] == [3]
+    assert sorted((r.title, r.content) for r in got["article"].collect()) == [("a", "first"), ("b", "b"), ("c", "c")]
+    assert sorted(tuple(r) for r in got["has_entity"].collect()) == [("a", "e"), ("b", "e"), ("c", "e")]
+    assert sorted(tuple(r) for r in got["links"].collect()) == [("b", "a"), ("c", "a")] and got["entity_relation"].count() == 1
+
+
 def test_batch_writer_resumes_and_replays(spark, tmp_path):
     want = (
         {("a", "A"), ("b", "B"), ("c", "C")}, {("e1", "one", "a"), ("e2", "two", "a"), ("e3", "three", "b")}, {("a", "e1"), ("a", "e2"), ("b", "e3"), ("b", "e1")},
