@@ -460,6 +460,19 @@ def test_repeats_of_400_bytes(spark, small):
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in ids] == [(*w[:3], brute.sha(w[3])) for w in want]
 
 
+def test_passages_go_from_400_bytes_on(spark, tmp_path):
+    """Of passages of over 50 words in two texts each, one of 399 bytes stays: the rule counts bytes."""
+    rng = random.Random(8)
+    said = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(n))
+    passages = [said(60)[:399], said(60)[:400], "é" + said(60)[:398], said(90)]
+    assert all(len(x.split()) > 50 for x in passages) and [len(x.encode()) for x in passages] == [399, 400, 400, 629]
+    rows = [(2 * k + i, f"{said(40)}{i}{x}{i}{said(40)}") for k, x in enumerate(passages) for i in (0, 1)] + [(99, said(300))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in queries.op8_suffix_dedup(spark, str(tmp_path)).collect()}
+    gone = {i: x for k, x in enumerate(passages) if k for i in (2 * k, 2 * k + 1)}
+    assert got == {i: (len(t.encode()), len(gone.get(i, "").encode()), int(i in gone), brute.sha(t.replace(gone[i], "") if i in gone else t)) for i, t in rows}
+
+
 def test_anchors_in_pieces(monkeypatch):
     data = np.random.default_rng(1).integers(97, 101, 9000).astype(np.uint8)
     ends = np.array([4000, 4000, 4100, 9000])
