@@ -5,11 +5,10 @@ A projection on a random direction, cut into slots of a width that is a
 multiple of that distance, puts two such vectors into one slot with a known
 least probability, whatever the other vectors look like; a run joins a number of
 projections into one bucket, and runs are repeated until the target recall is
-met. Where no pair may be lost, ``exact`` makes one bucket of all and compares
-every pair, first by an upper bound of the cosine that takes a quarter of the
-work; that is quadratic, bounded in memory and spread over tasks. How wide slots are, how many projections a run joins and so how many
-runs there are is chosen by what they cost on a sample: rows shipped and
-pairs compared. Small tables come out as one bucket, which is exact.
+met. Where no pair may be lost, ``exact`` makes one bucket of all, whose pairs
+are those of :class:`EveryPair`. How wide slots are, how many projections a run
+joins and so how many runs there are is chosen by what they cost on a sample:
+rows shipped and pairs compared. Small tables come out as one bucket, which is exact.
 
 Pairs are compared exactly inside buckets, large ones in blocks, and each is
 given by the first run in which it meets, so no pair is written twice. A cosine
@@ -33,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlore.operators.every_pair import DIRECTIONS, SLACK, EveryPair, marked, units_of, whole
 from graphlore.operators.index import _matrix
 from graphlore.operators.vectors import MOST_QUERIES, doubles, length
 from graphlore.plans.shared import bound_batches, cut
@@ -47,12 +47,8 @@ WIDTHS, DEEPEST, MOST_PROJECTIONS, MOST_RUNS = (2, 3, 4, 6, 8), 48, 4096, 256
 ROW_COST = 32
 #: Most vectors of a bucket, or of a block of one, that a task compares with each other.
 SMALL = 4096
-#: The same where all pairs are compared, and the number of blocks that smaller tables have.
-LARGE, FEW_BLOCKS = 65_536, 12
 #: Pairs that are compared at once, and those found of which cosines are taken at once.
 STRIP, FOUND = 1 << 22, 1 << 17
-#: Principal directions of the bound, and what its single precision may be off.
-DIRECTIONS, SLACK = 16, 1e-5
 
 
 def meeting(width: float) -> float:
@@ -121,18 +117,22 @@ class Alike:
         self.threshold, self.small = threshold, small
         rows = rows.select("id", F.col("embedding").alias("v")).filter(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (length(doubles(F.col("v"))) > 0))
         different = cut(rows.groupBy("v").agg(F.min("id").alias("vector_id"), F.count(F.lit(1)).alias("n_copies")), "alike-vectors")
-        self.members = rows.join(different.hint("merge"), "v").select("id", "vector_id", "n_copies")
+        # by a digest first, as sorting arrays takes most of such a join
+        digest = F.xxhash64("v").alias("digest")
+        self.members = rows.select("*", digest).join(different.select("*", digest).hint("merge"), ["digest", "v"]).select("id", "vector_id", "n_copies")
         self.copies = different.select("vector_id", "n_copies")
         self.n = different.count()
+        self.every = EveryPair(different, self.n, threshold, small) if exact else None
         if exact:
             slots = Slots(1, 1, 1, 0, 1)
-            self.small = max(small, min(LARGE, -(-self.n // FEW_BLOCKS)))
         if slots is None:
             picked = different.orderBy(F.xxhash64("vector_id"), "vector_id").limit(SAMPLE).select("v").toArrow()["v"]
-            slots = choose(_units(picked.combine_chunks()) if self.n else np.zeros((0, 1)), self.n, threshold, target)
+            slots = choose(units_of(picked.combine_chunks()) if self.n else np.zeros((0, 1)), self.n, threshold, target)
         self.slots = slots
-        one = different.select("vector_id", "v", F.array(F.lit(0).cast("bigint")).alias("keys")) if exact else None
-        self._keyed = one if exact else cut(_keyed(different.select("vector_id", "v"), slots), "alike-keys")
+        if exact:
+            self._sizes = rows.sparkSession.range(1).select(F.lit(self.n).cast("bigint").alias("size"))
+            return
+        self._keyed = cut(_keyed(different.select("vector_id", "v"), slots), "alike-keys")
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))
         self._sizes = cut(met.groupBy("run", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "alike-sizes")
 
@@ -143,6 +143,8 @@ class Alike:
 
     def pairs(self, every: int = 1) -> DataFrame:
         """a, b (ids of different vectors, a < b), similarity; ``every``: only pairs of which an id is divisible by it, left out before they leave the tasks."""
+        if self.every:
+            return self.every.pairs(every)
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))
         blocks = F.ceil(F.col("size") / self.small).cast("int")
         held = met.join(self._sizes.hint("merge"), ["run", "key"]).groupBy("vector_id").agg(F.collect_list(F.struct("run", "key", blocks.alias("blocks"))).alias("held"))  # one a run at most
@@ -151,16 +153,18 @@ class Alike:
         mine = F.pmod(F.xxhash64("vector_id"), F.col("h.blocks")).cast("int")
         rows = rows.select("vector_id", "v", "h.run", "h.key", mine.alias("side"), F.explode(F.sequence(F.lit(0), F.col("h.blocks") - 1)).alias("other"))
         rows = rows.select("run", "key", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), "side", "vector_id", "v")
-        tasks = [min(2000, k * (k + 1) // 2)] if (k := -(-self.n // self.small)) > 1 and not self.slots.depth else []  # as many as one bucket has pairs of blocks
-        dealt = rows.repartition(*tasks, "run", "key", "p", "q").sortWithinPartitions("run", "key", "p", "q")
+        dealt = rows.repartition("run", "key", "p", "q").sortWithinPartitions("run", "key", "p", "q")
         return dealt.mapInArrow(_comparer(self.threshold, self.slots, every), f"a {dict(rows.dtypes)['vector_id']}, b {dict(rows.dtypes)['vector_id']}, similarity double")
 
     def links(self) -> DataFrame:
         """id, vector_id, n_copies, n_links (different vectors at the threshold), n_row_links (other rows at the threshold, copies included) of every row that has a vector."""
-        found = self.pairs().select("a", "b")
-        ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        counted = ends.join(self.copies.select(F.col("vector_id").alias("b"), "n_copies").hint("merge"), "b")
-        counted = counted.groupBy(F.col("a").alias("vector_id")).agg(F.count(F.lit(1)).alias("n_links"), F.sum("n_copies").alias("others"))
+        if self.every:
+            counted = self.every.counted()
+        else:
+            found = self.pairs().select("a", "b")
+            ends = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            counted = ends.join(self.copies.select(F.col("vector_id").alias("b"), "n_copies").hint("merge"), "b")
+            counted = counted.groupBy(F.col("a").alias("vector_id")).agg(F.count(F.lit(1)).alias("n_links"), F.sum("n_copies").alias("others"))
         all_rows = self.members.join(counted.hint("merge"), "vector_id", "left")
         none = F.lit(0).cast("bigint")
         return all_rows.select("id", "vector_id", "n_copies", F.coalesce("n_links", none).alias("n_links"), (F.coalesce("others", none) + F.col("n_copies") - 1).alias("n_row_links"))
@@ -190,7 +194,7 @@ def _near(held, threshold: float):
         for b in batches:
             for at in range(0, b.num_rows, step := max(1, STRIP // max(1, len(asked)))):
                 some = b.slice(at, step)
-                i, j = np.nonzero(_matrix(some.column(1)) @ asked.T >= threshold - SLACK)
+                i, j = marked(_matrix(some.column(1)) @ asked.T >= threshold - SLACK)
                 for i, j, score in _reached(_padded(some.column(1)), whole, i, j, threshold):  # noqa: B020, PLW2901
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), some.column(0).take(pa.array(i)), pa.array(score)], ["query", "id", "similarity"])
 
@@ -231,7 +235,7 @@ def _keyed(vectors: DataFrame, slots: Slots) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                keys = slots.keys(_units(b.column(1), slots.size)).view(np.int64)
+                keys = slots.keys(units_of(b.column(1), slots.size)).view(np.int64)
                 ends = pa.array(np.arange(len(keys) + 1) * slots.runs, pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(keys.reshape(-1)))], ["vector_id", "v", "keys"])
 
@@ -239,33 +243,20 @@ def _keyed(vectors: DataFrame, slots: Slots) -> DataFrame:
     return vectors.mapInArrow(run, f"vector_id {kinds['vector_id']}, v {kinds['v']}, keys array<bigint>")
 
 
-def _units(column: pa.ListArray, size: int | None = None) -> np.ndarray:
-    """Vectors that have a length as rows of length 1."""
-    lengths = pc.unique(pc.list_value_length(column)).to_pylist()
-    if len(lengths) != 1 or size not in (None, lengths[0]):
-        raise ValueError(f"vectors of {lengths} elements, where all have one number of elements")
-    m = _whole(column)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def _whole(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _comparer(threshold: float, slots: Slots, every: int = 1):
     """For rows sorted by bucket and block: the pairs of each that reach the threshold and have met in no earlier run."""
 
     def found(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
-        run, p, q = (whole.column(c)[0].as_py() for c in ("run", "p", "q"))
-        units, side, keys = _units(whole.column("v")), whole.column("side").to_numpy(), None
+        held = pa.Table.from_batches(group).combine_chunks().to_batches()[0]
+        run, p, q = (held.column(c)[0].as_py() for c in ("run", "p", "q"))
+        units, side, keys = units_of(held.column("v")), held.column("side").to_numpy(), None
         rows, others = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        vectors, bound, ids = _whole(whole.column("v")), _bound(units), whole.column("vector_id")
+        vectors, bound, ids = whole(held.column("v")).astype(np.float64), _bound(units), held.column("vector_id")
         asked = ids.to_numpy() % every == 0 if every > 1 else None
         facing = np.ascontiguousarray(bound[others].T)
         for at in range(0, len(rows) if len(others) else 0, step := max(1, STRIP // max(1, len(others)))):
             some = rows[at : at + step]
-            i, j = np.nonzero(bound[some] @ facing >= np.float32(threshold - SLACK))
+            i, j = marked(bound[some] @ facing >= np.float32(threshold - SLACK))
             if p == q:
                 later = j > i + at
                 i, j = i[later], j[later]

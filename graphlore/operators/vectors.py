@@ -1,13 +1,19 @@
-"""Exact vector search and quantisation on arrays, inside the JVM."""
+"""Exact vector search and quantisation on arrays, inside the JVM; vectors of hashed words."""
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlore.functions.columns import let, words_of
+from graphlore.functions.columns import let
+from graphlore.plans.shared import bound_batches
 
 
 def doubles(v: Column) -> Column:
@@ -98,17 +104,66 @@ def knn_blocks(rows: DataFrame, queries: DataFrame, k: int, vector: str = "embed
 def hashed_words(texts: DataFrame, size: int = 64) -> DataFrame:
     """id, embedding of texts (id, text): each word counts up or down, by its digest, at the place its digest gives.
 
-    Sums by place are partly made before the shuffle, so a row moves at most
-    ``size`` numbers, whatever the length of its text. Texts of one id are taken
+    A task counts the words of whole texts, so a row moves ``size`` numbers,
+    whatever the length of its text. Texts of one id are taken
     together; one without words has no row. ``size``: 256 at most.
     """
     if not 1 <= size <= 256:
         raise ValueError("size is a whole number from 1 to 256")
-    words = texts.select("id", F.explode(words_of(F.col("text"))).alias("w"))
-    digest = words.select("id", F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int").alias("h"))  # its first two bytes
-    sums = digest.groupBy("id", (F.shiftright("h", 8) % size).alias("i")).agg(F.sum(F.when(F.col("h") % 2 == 0, 1.0).otherwise(-1.0)).alias("x"))
-    held = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
-    return held.select("id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)).cast("float")).alias("embedding"))
+    bound_batches(texts.sparkSession)
+    counted = texts.select("id", F.col("text").cast("binary").alias("t")).mapInArrow(_word_counts(size), f"id {dict(texts.dtypes)['id']}, c array<int>")
+    sums = counted.groupBy("id").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(size)])
+    return sums.select("id", F.array(*[F.col(f"c{i}").cast("float") for i in range(size)]).alias("embedding"))
+
+
+#: Bytes of a text that are split at once, words whose digests a task remembers (the first it meets, so the frequent ones), and their most bytes.
+PIECE, KNOWN, LONGEST = 1 << 20, 1 << 18, 64
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class _Places(dict):
+    """Of a word twice the place its digest gives, and one more if it counts down."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size = size
+
+    def __missing__(self, word: bytes) -> int:
+        digest = hashlib.md5(word, usedforsecurity=False).digest()
+        place = digest[0] % self.size * 2 + digest[1] % 2
+        if len(word) <= LONGEST and len(self) < KNOWN:
+            self[word] = place
+        return place
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A text cut at white space, so that not all its words are held at once."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + PIECE)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _word_counts(size: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = _Places(size).__getitem__
+        for b in batches:
+            kept, counts = [], []
+            for k, text in enumerate(b.column(1)):
+                found = np.zeros(2 * size, dtype=np.int64)
+                for piece in _pieces(text.as_py() or b""):
+                    words = piece.split()  # bytes are split at ASCII white space, as words_of does
+                    found += np.bincount(np.fromiter(map(place, words), np.int16, len(words)), minlength=2 * size)
+                if found.any():
+                    kept.append(k)
+                    counts.append(found[::2] - found[1::2])
+            if kept:
+                values = pa.array(np.concatenate(counts), pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept)), pa.ListArray.from_arrays(pa.array(np.arange(len(kept) + 1) * size, pa.int32()), values)], ["id", "c"])
+
+    return run
 
 
 def quantize(v: Column) -> Column:

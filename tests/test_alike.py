@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphlore.operators.alike import Alike, Slots, choose, meeting, within
-from graphlore.operators.vectors import hashed_words
+from graphlore.operators.every_pair import _comparer
+from graphlore.operators.vectors import PIECE, _pieces, hashed_words
 
 KIND = "id bigint, embedding array<double>, a string, run int"
 
@@ -141,3 +142,52 @@ def test_a_pair_exactly_at_the_threshold_and_many_near_it_are_all_found(spark):
     alike = Alike(rows, 0.98, exact=True, small=200)
     assert {(r.a, r.b) for r in alike.pairs().collect()} == want and alike.compared().first().n_compared == alike.n * (alike.n - 1) // 2
     assert {(r.a, r.b) for r in alike.pairs(every=50).collect()} == {x for x in want if x[0] % 50 == 0 or x[1] % 50 == 0}
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def clusters(rows):
+    """Far groups of vectors, one of them of multiples, which no tree can part."""
+    rng = np.random.default_rng(9)
+    out = [(1000 + k, (np.eye(6)[k % 5] * (9 if k % 2 else -9) + rng.integers(-1, 2, 6)).tolist()) for k in range(300)]
+    return rows + out + [(2000 + k, [float(k + 1), float(2 * k + 2), 0.0, 0.0, 0.0, 0.0]) for k in range(90)]
+
+
+@pytest.mark.parametrize("small", [25, 4096])
+def test_every_pair_in_cells_that_are_blocks_or_several(spark, clusters, small):
+    alike, want = Alike(table(spark, clusters).repartition(3), 0.95, small=small, exact=True), brute(clusters, 0.95)
+    alike.every.small = small
+    alike.every.reach, alike.every.tasks = alike.every._reach()  # smaller blocks than so few vectors would have
+    assert found(alike) == want
+    assert {(r.a, r.b) for r in alike.pairs(every=3).collect()} == {x for x in want if x[0] % 3 == 0 or x[1] % 3 == 0}
+    got = {r.vector_id: r for r in alike.links().collect()}
+    ends = [e for x in want for e in x]
+    assert {k: r.n_links for k, r in got.items()} == {k: ends.count(k) for k in got}
+    if small == 25:
+        reach = alike.every.reach.collect()
+        blocks = sum(r.parts for r in reach)
+        assert max(r.parts for r in reach) >= 4  # the multiples
+        assert sum(r.parts * len(r.others) for r in reach) < blocks * blocks  # far ones are not sent to each other
+
+
+def test_links_are_counted_where_they_are_found(spark):
+    """A row leaves a task for each vector and block, not one for each pair; pairs asked for are not made of all pairs."""
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(k, (50 + rng.integers(0, 9, 8)).astype(float).tolist()) for k in range(900)], "id bigint, embedding array<double>")
+    alike = Alike(rows, 0.9, exact=True, small=100)
+    assert {r.n_links for r in alike.links().collect()} == {alike.n - 1}
+    assert "Union" not in plan(alike.links())
+    counted = alike.every._dealt(1).mapInArrow(_comparer(alike.every.tree, 0.9, 1, links=True), "vector_id bigint, n_links bigint, others bigint")
+    assert counted.count() <= alike.n * sum(r.parts for r in alike.every.reach.collect())
+    assert alike.every._dealt(50).count() <= alike.n + 18 * sum(r.parts for r in alike.every.reach.collect())
+
+
+def test_words_are_counted_in_whole_texts(spark):
+    """No row is made of a word; a text is taken in pieces that end at white space."""
+    assert "Generate" not in plan(hashed_words(spark.createDataFrame([(1, "a")], "id bigint, text string")))
+    text = b" a\x0bb " + b"c" * (PIECE + 3) + b"\td\x85 \xc2\xa0 e" + b" fg" * PIECE
+    assert [w for p in _pieces(text) for w in p.split()] == text.split() and b"".join(_pieces(text)) == text
+    assert max(map(len, _pieces(text))) < 2 * PIECE + 10
