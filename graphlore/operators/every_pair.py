@@ -9,8 +9,8 @@ few hundred vectors, then the coordinates' product decides, then the cosine.
 Each test only leaves out pairs that can't reach the threshold, so the result
 is that of comparing all. The work is quadratic in the number of vectors.
 
-Cells are bounded: one that holds too many vectors is dealt by hash into
-several blocks. A task compares two blocks; where links are counted it gives
+Cells are bounded: one that holds too many vectors, or of which a sample says
+that too many pairs will be found, is dealt by hash into several blocks. A task compares two blocks; where links are counted it gives
 a row for each vector, not for each pair.
 """
 
@@ -34,8 +34,8 @@ LARGE, FEW_BLOCKS, CELL_LEVELS, MOST_TASKS = 131_072, 12, 10, 2000
 TILE, DENSE, FOUND = 512, 50, 4096
 #: Principal directions of the bound, and what single precision may be off in a dot product and in a squared distance.
 DIRECTIONS, SLACK, FAR_SLACK = 16, 1e-5, 1e-4
-#: Pairs of one batch that is handed back, about.
-BATCH = 1 << 16
+#: Pairs of one batch that is handed back, about; vectors that found pairs are foretold from; most pairs foretold for a task, or the share of all.
+BATCH, FORETOLD, MOST_FOUND, MOST_SHARE = 1 << 16, 8192, 1 << 22, 1 / 256
 
 
 def units_of(column: pa.ListArray, size: int | None = None) -> np.ndarray:
@@ -106,11 +106,23 @@ class EveryPair:
         found = picked.toArrow()["v"].combine_chunks() if n else []
         if n and not len(found):
             found = different.limit(1).select("v").toArrow()["v"].combine_chunks()
-        self.tree = Tree(units_of(found) if n else np.zeros((0, 1)))
+        units = units_of(found) if n else np.zeros((0, 1))
+        self.tree = Tree(units)
         levels = min(CELL_LEVELS, DEPTH, max(0, (-(-n // self.small) - 1).bit_length()))
+        self.expected = self._foretold(units[:: max(1, len(units) // FORETOLD)], n, levels)
         self.placed = cut(different.select("vector_id", "v", "n_copies").mapInArrow(_placer(self.tree, levels), f"cell int, leaf int, vector_id {self.kind}, v {dict(different.dtypes)['v']}, n_copies bigint"), "every-placed")
         self.reach, self.tasks = self._reach()
 
+    def _foretold(self, units: np.ndarray, n: int, levels: int) -> np.ndarray:
+        """Pairs that will be found, about, by the cells of their vectors; only how work is dealt depends on it."""
+        cells, single = self.tree.leaves(self.tree.coordinates(units)) >> (DEPTH - levels), units.astype(np.float32)
+        met = np.zeros(1 << 2 * levels)
+        for k in range(0, len(units), TILE):
+            i, j = marked(single[k : k + TILE] @ single.T >= self.threshold)
+            i, j = i[i + k != j] + k, j[i + k != j]
+            met += np.bincount((cells[i] << levels) + cells[j], minlength=len(met))
+        return met.reshape(1 << levels, -1) * (n / max(1, len(units))) ** 2 / 2
+
     def _reach(self) -> tuple[DataFrame, int]:
         """cell, first (its first block), parts (its blocks), others (blocks within reach); and the number of pairs of blocks."""
         boxes = self.placed.select("cell", "v").mapInArrow(_boxes(self.tree), "cell int, n bigint, low array<float>, high array<float>")
@@ -121,7 +133,8 @@ class EveryPair:
         cells = sorted(held)
         box = np.array([[held[c][i] for i in sorted(held[c])] for c in cells], dtype=np.float64).reshape(len(cells), -1, 3)
         n, lows, highs = box[:, :1, 0].sum(axis=1), box[:, :, 1], box[:, :, 2]
-        parts = -(-n.astype(np.int64) // self.small)
+        most = max(MOST_FOUND, self.expected.sum() * MOST_SHARE)
+        parts = np.maximum(-(-n.astype(np.int64) // self.small), np.ceil(np.sqrt(self.expected.max(axis=1)[cells] / most)).astype(np.int64))
         first = np.cumsum(parts) - parts
         rows, met = [], 0
         for k, c in enumerate(cells):

@@ -8,9 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from graphlore.operators import every_pair
 from graphlore.operators.alike import Alike, Slots, choose, meeting, within
 from graphlore.operators.every_pair import _comparer
 from graphlore.operators.vectors import PIECE, _pieces, hashed_words
+from graphlore.plans import alike_queries
 
 KIND = "id bigint, embedding array<double>, a string, run int"
 
@@ -191,3 +193,16 @@ def test_words_are_counted_in_whole_texts(spark):
     text = b" a\x0bb " + b"c" * (PIECE + 3) + b"\td\x85 \xc2\xa0 e" + b" fg" * PIECE
     assert [w for p in _pieces(text) for w in p.split()] == text.split() and b"".join(_pieces(text)) == text
     assert max(map(len, _pieces(text))) < 2 * PIECE + 10
+
+
+def test_cells_of_many_pairs_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(every_pair, "MOST_FOUND", 1000)
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(k, (50 + rng.integers(0, 9, 8)).astype(float).tolist()) for k in range(300)], "id bigint, embedding array<double>")
+    alike = Alike(rows, 0.9, exact=True)
+    assert alike.every.reach.first().parts == 7  # 45,000 pairs foretold
+    assert len(found(alike)) == alike.n * (alike.n - 1) // 2
+
+
+def test_pairs_are_rounded_without_decimals(spark, small):
+    assert "round(" not in plan(alike_queries.vector_pairs(spark, small))
