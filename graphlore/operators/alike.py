@@ -32,8 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlore.operators.every_pair import DIRECTIONS, SLACK, EveryPair, marked, units_of, whole
-from graphlore.operators.index import _matrix
+from graphlore.operators.every_pair import DIRECTIONS, FOUND, SLACK, TILE, EveryPair, marked, reaching, units_of, whole
 from graphlore.operators.vectors import MOST_QUERIES, doubles, length
 from graphlore.plans.shared import bound_batches, cut
 
@@ -47,8 +46,8 @@ WIDTHS, DEEPEST, MOST_PROJECTIONS, MOST_RUNS = (2, 3, 4, 6, 8), 48, 4096, 256
 ROW_COST = 32
 #: Most vectors of a bucket, or of a block of one, that a task compares with each other.
 SMALL = 4096
-#: Pairs that are compared at once, and those found of which cosines are taken at once.
-STRIP, FOUND = 1 << 22, 1 << 17
+#: Pairs that are compared at once.
+STRIP = 1 << 22
 
 
 def meeting(width: float) -> float:
@@ -183,26 +182,44 @@ def within(rows: DataFrame, queries: DataFrame, threshold: float, block: int = M
     for k in range(n):
         asked = queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == k).select("query", doubles(F.col("q")).alias("q")).toArrow()
         if asked.num_rows:
-            found = rows.select("id", doubles(F.col("embedding")).alias("v")).mapInArrow(_near(rows.sparkSession.sparkContext.broadcast((asked["query"].combine_chunks(), _matrix(asked["q"]), _padded(asked["q"]))), threshold), kinds)
+            held = rows.sparkSession.sparkContext.broadcast((asked["query"].combine_chunks(), _padded(asked["q"].combine_chunks())))
+            found = rows.select("id", "embedding").mapInArrow(_near(held, threshold), kinds)
             out = found if out is None else out.unionByName(found)
     return out if out is not None else rows.sparkSession.createDataFrame([], kinds)
 
 
 def _near(held, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked, whole = held.value
+        names, asked = held.value
+        # every product is taken whole, in single precision, and what may reach the threshold again in double precision
+        least, room = np.float32(threshold - max(SLACK, asked.shape[1] * 2.0**-23)), np.empty(TILE * TILE, dtype=np.float32)
+        facing = [(at, np.ascontiguousarray(_single(asked[at : at + TILE]).T)) for at in range(0, len(asked), TILE)]
         for b in batches:
-            for at in range(0, b.num_rows, step := max(1, STRIP // max(1, len(asked)))):
-                some = b.slice(at, step)
-                i, j = marked(_matrix(some.column(1)) @ asked.T >= threshold - SLACK)
-                for i, j, score in _reached(_padded(some.column(1)), whole, i, j, threshold):  # noqa: B020, PLW2901
+            for at in range(0, b.num_rows, TILE):
+                some = b.slice(at, TILE)
+                vectors, met = _padded(some.column(1)), []
+                single = _single(vectors)
+                for to, tile in facing:
+                    i, j = reaching(single, tile, least, room)
+                    if len(i):
+                        met += [(x, to + y, score) for x, y, score in _reached(vectors, asked[to : to + TILE], i, j, threshold)]
+                if met:
+                    i, j, score = (np.concatenate(c) for c in zip(*met, strict=True))
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(j)), some.column(0).take(pa.array(i)), pa.array(score)], ["query", "id", "similarity"])
 
     return run
 
 
-def _padded(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors as they are, null ones as zeros."""
+def _single(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in single precision; those without a finite length are zeros."""
+    long = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return np.divide(vectors, long, out=np.zeros_like(vectors), where=(long > 0) & np.isfinite(long)).astype(np.float32)
+
+
+def _padded(column: pa.Array) -> np.ndarray:
+    """Vectors as they are, in double precision, null ones as zeros."""
+    if not column.null_count and not column.values.null_count and len(pc.unique(pc.list_value_length(column))) == 1:
+        return whole(column).astype(np.float64)
     found = column.to_pylist()
     size = max((len(v) for v in found if v is not None), default=0)
     return np.array([v if v is not None else [0.0] * size for v in found], dtype=np.float64).reshape(len(found), size)

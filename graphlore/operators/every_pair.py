@@ -56,6 +56,16 @@ def marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.divmod(np.flatnonzero(mask), mask.shape[1])
 
 
+def reaching(mine: np.ndarray, facing: np.ndarray, least: np.float32, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of products of at least ``least``; only rows that have one are looked through. ``room``: a buffer, as new memory takes longer than the product."""
+    bound = np.matmul(mine, facing, out=room[: len(mine) * facing.shape[1]].reshape(len(mine), -1))
+    rows = np.flatnonzero(bound.max(axis=1, initial=-np.inf) >= least)
+    if not len(rows):
+        return rows, rows
+    i, j = marked(bound[rows] >= least)
+    return rows[i], j
+
+
 class Tree:
     """Coordinates of unit vectors and, by medians, the leaf that they fall into."""
 
@@ -226,19 +236,15 @@ def _met(x: _Side, y: _Side, threshold: float) -> Iterator[tuple[int, int, np.nd
         near = from_tile + np.flatnonzero(apart(x.low[k], x.high[k], y.low[from_tile:], y.high[from_tile:]) <= far)
         mine, own = x.at[k], None
         for b in y.starts[near].tolist():
-            theirs = y.facing[b // TILE]
-            bound = np.matmul(mine, theirs, out=room[: len(mine) * theirs.shape[1]].reshape(len(mine), -1))
-            reaching = np.flatnonzero(bound.max(axis=1) >= least)
-            if not len(reaching):
+            i, j = reaching(mine, y.facing[b // TILE], least, room)
+            if not len(i):
                 continue
-            i, j = marked((bound if len(reaching) == len(bound) else bound[reaching]) >= least)
-            i = reaching[i]
             if x is y and a == b:
                 later = j > i
                 i, j = i[later], j[later]
             own = own or x.tile(a)
             (m, long), (others, lengths) = own, y.tile(b)
-            if len(i) * DENSE > bound.size:
+            if len(i) * DENSE > len(m) * len(others):
                 dots = (m @ others.T)[i, j]
             else:
                 dots = np.concatenate([np.einsum("ij,ij->i", m[i[s : s + FOUND]], others[j[s : s + FOUND]]) for s in range(0, max(1, len(i)), FOUND)])

@@ -41,7 +41,7 @@ def vector_pairs_work(spark, sf_dir):
     """What the join compares, and the share that it finds of the pairs of every fiftieth document, looked up exactly."""
     rows = _documents(spark, sf_dir)
     alike = Alike(rows, THRESHOLD, exact=True)
-    named = alike.members.filter("id = vector_id").select("id").join(rows, "id")
+    named = cut(alike.members.filter("id = vector_id").select("id").join(rows, "id"), "named-vectors")  # read once for each block of queries
     near = within(named, named.filter("id % 50 = 0").select(F.col("id").alias("query"), F.col("embedding").alias("q")), THRESHOLD).filter("id <> query")
     near = near.select(F.least("id", "query").alias("a"), F.greatest("id", "query").alias("b")).distinct()
     hit = near.join(alike.pairs(every=50).select("a", "b", F.lit(1).alias("hit")).hint("merge"), ["a", "b"], "left")

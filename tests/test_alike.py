@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from graphlore.operators import alike as alike_operators
 from graphlore.operators import every_pair
-from graphlore.operators.alike import Alike, Slots, choose, meeting, within
+from graphlore.operators.alike import Alike, Slots, _padded, choose, meeting, within
 from graphlore.operators.every_pair import _comparer
 from graphlore.operators.vectors import PIECE, _pieces, hashed_words
 from graphlore.plans import alike_queries
@@ -206,3 +208,20 @@ def test_cells_of_many_pairs_are_dealt_to_several_tasks(spark, monkeypatch):
 
 def test_pairs_are_rounded_without_decimals(spark, small):
     assert "round(" not in plan(alike_queries.vector_pairs(spark, small))
+
+
+def test_looking_up_takes_odd_vectors_and_no_lists(spark, rows, monkeypatch):
+    """Null, infinite and missing elements are like nothing and hide no other pair; sound vectors are read as arrays."""
+    made = table(spark, [r for r in rows if r[0] is not None])
+    asked = made.filter("id % 10 = 0 or id between 501 and 504").select(F.col("id").alias("query"), F.col("embedding").alias("q"))
+    got = [(r.query, r.id) for r in within(made, asked, 0.95).collect()]
+    sound = {r[0]: np.array(r[1], dtype=float) / np.linalg.norm(r[1]) for r in rows if r[0] is not None and not 500 <= r[0] <= 504}
+    want = {(a, b) for a in sound for b in sound if a % 10 == 0 and sound[a] @ sound[b] >= 0.95}
+    assert set(got) == want and len(got) > len(asked.collect())
+    column = pa.array([[1.0, 2.0], [3.0, 4.0]], pa.list_(pa.float32()))
+    monkeypatch.setattr(alike_operators, "whole", lambda c: np.array([[7.0, 8.0]]))
+    assert _padded(column).tolist() == [[7.0, 8.0]]
+
+
+def test_vectors_are_named_once_for_all_lookups(spark, small):
+    assert plan(alike_queries.vector_pairs_work(spark, small)).count("named-vectors") > 0
