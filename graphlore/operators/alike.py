@@ -136,12 +136,12 @@ class Alike:
         self._sizes = cut(met.groupBy("run", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "alike-sizes")
 
     def compared(self) -> DataFrame:
-        """n_vectors, n_runs, n_compared (comparisons of all runs), n_all (pairs there are)."""
+        """n_vectors, n_runs, n_compared (pairs that share a bucket, in all runs; ``exact``: every pair, though most are decided by boxes or coordinates), n_all (pairs there are)."""
         pairs = F.coalesce(F.sum(F.expr("size * (size - 1) div 2")), F.lit(0))
         return self._sizes.agg(F.lit(self.n).cast("bigint").alias("n_vectors"), F.lit(self.slots.runs).cast("bigint").alias("n_runs"), pairs.alias("n_compared"), F.lit(self.n * (self.n - 1) // 2).cast("bigint").alias("n_all"))
 
     def pairs(self, every: int = 1) -> DataFrame:
-        """a, b (ids of different vectors, a < b), similarity; ``every``: only pairs of which an id is divisible by it, left out before they leave the tasks."""
+        """a, b (ids of different vectors, a < b), similarity; ``every``: only pairs of which an id is divisible by it, left out before they leave the tasks, or, where all pairs are, before they are compared."""
         if self.every:
             return self.every.pairs(every)
         met = self._keyed.select("vector_id", F.posexplode("keys").alias("run", "key"))

@@ -38,7 +38,7 @@ def vector_links(spark, sf_dir):
 
 @query()
 def vector_pairs_work(spark, sf_dir):
-    """What the join compares, and the share that it finds of the pairs of every fiftieth document, looked up exactly."""
+    """Pairs among which the join decides, and the share that it finds of the pairs of every fiftieth document, looked up exactly; only those are compared here."""
     rows = _documents(spark, sf_dir)
     alike = Alike(rows, THRESHOLD, exact=True)
     named = cut(alike.members.filter("id = vector_id").select("id").join(rows, "id"), "named-vectors")  # read once for each block of queries
