@@ -48,7 +48,7 @@ def units_of(column: pa.ListArray, size: int | None = None) -> np.ndarray:
 
 
 def whole(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1 if len(column) else 0)
 
 
 def marked(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ class EveryPair:
         for r in sides.agg(F.sum("n").alias("n"), F.min("s.low").alias("low"), F.max("s.high").alias("high")).collect():
             held.setdefault(r.cell, {})[r.i] = (r.n, r.low, r.high)
         cells = sorted(held)
-        box = np.array([[held[c][i] for i in sorted(held[c])] for c in cells], dtype=np.float64).reshape(len(cells), -1, 3)
+        box = np.array([[held[c][i] for i in sorted(held[c])] for c in cells], dtype=np.float64).reshape(len(cells), len(held[cells[0]]) if cells else 0, 3)
         n, lows, highs = box[:, :1, 0].sum(axis=1), box[:, :, 1], box[:, :, 2]
         most = max(MOST_FOUND, self.expected.sum() * MOST_SHARE)
         parts = np.maximum(-(-n.astype(np.int64) // self.small), np.ceil(np.sqrt(self.expected.max(axis=1)[cells] / most)).astype(np.int64))

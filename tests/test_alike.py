@@ -225,3 +225,10 @@ def test_looking_up_takes_odd_vectors_and_no_lists(spark, rows, monkeypatch):
 
 def test_vectors_are_named_once_for_all_lookups(spark, small):
     assert plan(alike_queries.vector_pairs_work(spark, small)).count("named-vectors") > 0
+
+
+def test_every_pair_of_none_and_of_one(spark):
+    for rows, n in (([], 0), ([(1, None), (2, [0.0, 0.0])], 0), ([(1, [1.0, 2.0]), (3, [1.0, 2.0])], 1)):
+        alike = Alike(table(spark, rows), 0.9, exact=True)
+        assert found(alike) == set() and alike.pairs(every=2).count() == 0 and alike.compared().first().n_compared == 0
+        assert sorted((r.id, r.n_links, r.n_row_links) for r in alike.links().collect()) == [(1, 0, 1), (3, 0, 1)][: 2 * n]
